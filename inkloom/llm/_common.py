@@ -69,3 +69,52 @@ def utf8_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(offsets, np.int64 if large else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
     return data, offsets - offsets[0]
+
+
+_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power_table(name: str, base: np.uint64, n: int) -> np.ndarray:
+    if len(have := _powers.get(name, np.zeros(0, np.uint64))) < n:
+        have = np.full(1 << max(16, int(n - 1).bit_length()), base, np.uint64)
+        have[0] = 1
+        have = _powers[name] = np.multiply.accumulate(have)
+    return have[:n]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit values."""
+    x = x ^ (x >> np.uint64(30))
+    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x = x ^ (x >> np.uint64(27))
+    x = x * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of many spans of a byte buffer at once, from one running polynomial."""
+    prefix = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table("base", _BASE, len(data)), out=prefix[1:])
+    raw = (prefix[ends] - prefix[starts]) * _power_table("inverse", _INVERSE, len(data) + 1)[starts]
+    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of each row, and the n + 1 places where each row's words begin."""
+    solid = ~_SPACE[data]
+    first = solid.copy()
+    first[1:] &= ~solid[:-1]
+    last = solid.copy()
+    last[:-1] &= ~solid[1:]
+    inner = offsets[1:-1]
+    inner = inner[(inner > 0) & (inner < len(data))]
+    first[inner] = solid[inner]  # words don't go on from row to row
+    last[inner - 1] = solid[inner - 1]
+    starts, ends = np.nonzero(first)[0], np.nonzero(last)[0] + 1
+    return starts, ends, np.searchsorted(starts, offsets)

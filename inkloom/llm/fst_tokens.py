@@ -286,3 +286,12 @@ def count_tokens(df: DataFrame, model: str, text: str = "text", keep: list[str]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), size, pa.array(m.counts(part.column("__text")))], names=[*keep, "n_bytes", "n_tokens"])
 
     return df.select(*(df[c] for c in keep), df[text].alias("__text")).mapInArrow(run, schema)
+
+
+def op1_token_counts(spark, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from ._common import table
+
+    out = count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"])
+    return out.withColumn("over_limit", out["n_tokens"] > OVER_LIMIT)
