@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 SPACE = r"[ \t\n\r\f\x0B]"
 ENTITY = r"&[^;]*?;"
-#: What counts as the same quotation mark.
+#: The role of boilerplate paragraphs, what counts as the same quotation mark, containers without a meaning of their own, names of languages.
+BOILERPLATE_ROLE = "RoleCreateBugPara"
 APOSTROPHES, QUOTES = r"'|’|&apos;", r"\"|“|”|&quot;"
 IGNORED_CONTAINERS = ("partintro",)
 LISTING_LANGUAGES = {"ini": "INI Files", "json": "JavaScript"}
@@ -78,7 +79,7 @@ def unwrap(xml: Column, names: tuple[str, ...] = IGNORED_CONTAINERS) -> Column:
 
 
 def drop_boilerplate(xml: Column) -> Column:
-    return F.regexp_replace(xml, r"""(?s)<para\s[^>]*role=["']RoleCreateBugPara["'][^>]*>.*?</para>""", "")
+    return F.regexp_replace(xml, rf"""(?s)<para\s[^>]*role=["']{BOILERPLATE_ROLE}["'][^>]*>.*?</para>""", "")
 
 
 def listing_language(name: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed values.
+SETTINGS_FILE = "publican.cfg"
 IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "gif", "svg", "bmp")
 
 
@@ -99,5 +100,5 @@ def is_office_text(files: DataFrame) -> DataFrame:
 def book_problems(files: DataFrame, locale: str) -> DataFrame:
     """Sources with what keeps them from being a book: no root settings file, or no XML file of the locale outside tmp/."""
     xml = F.bool_or(F.col("path").rlike(rf"^{locale}/.*\.xml$") & ~F.col("path").startswith("tmp/"))
-    found = files.groupBy("source_id").agg(F.bool_or(F.col("path") == "publican.cfg").alias("cfg"), xml.alias("xml"))
+    found = files.groupBy("source_id").agg(F.bool_or(F.col("path") == SETTINGS_FILE).alias("cfg"), xml.alias("xml"))
     return found.select("source_id", F.array_compact(F.array(F.when(~F.col("cfg"), "no settings"), F.when(~F.col("xml"), "no text"))).alias("problems"))
