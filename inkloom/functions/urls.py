@@ -56,3 +56,111 @@ def allowed(url: Column, patterns: list[str]) -> Column:
     for p in patterns:
         ok = ok | url.rlike(p)
     return ok
+
+
+def public_suffix(host: Column, second_levels: list[str]) -> Column:
+    """The last two labels where they are on the list of second-level suffixes (like co.uk), else the last."""
+    last, two = F.regexp_extract(host, r"([^.]+)$", 1), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    return F.when(F.lower(two).isin([s.lower() for s in second_levels]), two).otherwise(last)
+
+
+def registered_domain(host: Column, second_levels: list[str]) -> Column:
+    """The public suffix and one label more; the host itself if it has none."""
+    three, two = F.regexp_extract(host, r"([^.]+\.[^.]+\.[^.]+)$", 1), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)
+    long = F.lower(two).isin([s.lower() for s in second_levels])
+    return F.coalesce(F.nullif(F.when(long, three).otherwise(two), F.lit("")), host)
+
+
+def mime_type(path: Column, types: dict[str, str] | None = None) -> Column:
+    """By the suffix, upper or lower case; types adds to or overrides the interpreter's own table. Unknown: octet-stream."""
+    import mimetypes
+
+    known = mimetypes.types_map | {k if k.startswith(".") else f".{k}": v for k, v in (types or {}).items()}
+    table = F.create_map(*(F.lit(x) for kv in sorted(known.items()) for x in kv))
+    return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))), F.lit("application/octet-stream"))
+
+
+def _each(f):
+    """A text function as a vectorised column function; null stays null."""
+    return F.pandas_udf(lambda s: s.map(f, na_action="ignore"), "string")
+
+
+def _compact(host: str) -> str:
+    import ipaddress
+
+    inner = host[1:-1] if host.startswith("[") and host.endswith("]") else host
+    try:
+        short = ipaddress.IPv6Address(inner).compressed
+    except ValueError:
+        return host
+    return f"[{short}]" if inner != host else short
+
+
+def compact_ipv6(host: Column) -> Column:
+    """The shortest form of an IPv6 address, with its brackets; other hosts as they are."""
+    return _each(_compact)(host)
+
+
+def _ascii(host: str) -> str:
+    return ".".join(p if p.isascii() else "xn--" + p.lower().encode("punycode").decode("ascii") for p in host.split("."))
+
+
+def _unicode(host: str) -> str:
+    def label(p: str) -> str:
+        try:
+            return p[4:].encode("ascii").decode("punycode") if p.lower().startswith("xn--") else p
+        except (UnicodeError, ValueError):
+            return p
+
+    return ".".join(label(p) for p in host.split("."))
+
+
+def to_punycode(host: Column) -> Column:
+    """Labels with letters beyond ASCII in their xn-- form."""
+    return _each(_ascii)(host)
+
+
+def from_punycode(host: Column) -> Column:
+    """xn-- labels as letters; broken ones stay."""
+    return _each(_unicode)(host)
+
+
+#: Fixed values (RFC 6570): operator: first, separator, with names, name of an empty value, reserved letters stay.
+_TEMPLATE = {
+    "": ("", ",", False, "", False),
+    "+": ("", ",", False, "", True),
+    "#": ("#", ",", False, "", True),
+    ".": (".", ".", False, "", False),
+    "/": ("/", "/", False, "", False),
+    ";": (";", ";", True, "", False),
+    "?": ("?", "&", True, "=", False),
+    "&": ("&", "&", True, "=", False),
+}
+
+
+def _expand(template: str, values: dict[str, str]) -> str:
+    import re
+    from urllib.parse import quote
+
+    def put(m):
+        first, sep, named, empty, reserved = _TEMPLATE[m[1]]
+        out = []
+        for spec in m[2].split(","):
+            name, _, cut = spec.rstrip("*").partition(":")
+            value = values.get(name)
+            if value is not None:
+                value = quote(value[: int(cut)] if cut.isdigit() else value, safe=":/?#[]@!$&'()*+,;=-._~" if reserved else "-._~")
+                out.append((f"{name}={value}" if value else name + empty) if named else value)
+        return first + sep.join(out) if out else ""
+
+    return re.sub(r"\{([+#./;?&]?)([^{}]+)\}", put, template)
+
+
+def expand_template(template: Column, values: Column) -> Column:
+    """A URL template (RFC 6570) filled from a map of texts; names without a value vanish."""
+    import pandas as pd
+
+    def run(t, v):
+        return pd.Series([None if a is None else _expand(a, dict(b if b is not None else {})) for a, b in zip(t, v, strict=True)], dtype=object)
+
+    return F.pandas_udf(run, "string")(template, values)

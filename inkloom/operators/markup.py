@@ -186,6 +186,12 @@ def canonical_markup(xml: Column) -> Column:
 
 # HTML to sections.
 
+
+def strip_number(title: str) -> str:
+    """A heading without its section number."""
+    return re.sub(r"^\d+(\.\d+)*\.?\s*", "", title)
+
+
 _SKIP = {"script", "style", "head", "nav", "footer"}
 _MARKS = {"strong": "bold", "b": "bold", "em": "italic", "i": "italic", "u": "underline", "s": "strikethrough", "strike": "strikethrough"}
 
@@ -304,7 +310,7 @@ class _Page:
             yield from self.under(k)
 
     def heading(self, n: int) -> str:
-        return re.sub(r"^\d+(\.\d+)*\.?\s*", "", "".join(self.rows[k][7] for k in self.under(n) if self.rows[k][5] == "#text").strip())
+        return strip_number("".join(self.rows[k][7] for k in self.under(n) if self.rows[k][5] == "#text").strip())
 
 
 def page_sections(html: str | None, url: str | None) -> list[tuple[int, int, str, str]]:

@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Bounds what is broadcast.
+MOST_RULES = 10_000
 FIELDS = ["font", "size", "bold", "italics", "underline", "strikethrough"]
 
 
 def classify(paras: DataFrame, rules: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
-    """paras(doc_id, ord, ...) with element and merge of the first rule (by rule_no) of which every field is null or equal. rules is a small table of settings, at most a few thousand rows."""
+    """paras(doc_id, ord, ...) with element and merge of the first rule (by rule_no) of which every field is null or equal. rules is a table of settings; more than MOST_RULES are refused."""
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} font rules")
     fits = F.lit(True)
     for f in fields:
         fits = fits & (F.col(f"r.{f}").isNull() | F.col(f"r.{f}").eqNullSafe(F.col(f"p.{f}")))
-    hit = paras.alias("p").join(F.broadcast(rules.limit(10_000)).alias("r"), fits, "left")
+    hit = paras.alias("p").join(F.broadcast(rules).alias("r"), fits, "left")
     best = hit.groupBy("p.doc_id", "p.ord").agg(F.min_by(F.struct("r.element", "r.merge"), F.col("r.rule_no")).alias("x"))
     return paras.join(best, ["doc_id", "ord"]).withColumn("element", F.coalesce("x.element", F.lit("para"))).withColumn("merge", F.coalesce("x.merge", F.lit(False))).drop("x")
 

@@ -33,7 +33,7 @@ def oracle_sql() -> dict:
 
 
 def _load() -> None:
-    from . import document_queries, relational_queries  # noqa: F401  registered on import
+    from . import book_queries, document_queries, relational_queries  # noqa: F401  registered on import
 
 
 def table(spark, sf_dir: str, name: str):
