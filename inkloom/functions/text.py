@@ -179,3 +179,42 @@ def xpath_round(x: Column) -> Column:
 
 def normalize_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\r ]+", " "))
+
+
+#: Links within a book, whole elements.
+LINKS = r'(?s)<xref\b[^>]*?\blinkend="[^"]*"[^>]*?(?:/>|>\s*</xref>)|<link\b[^>]*?\blinkend="[^"]*"[^>]*?(?:/>|>.*?</link>)'
+#: Elements of which the text is kept letter by letter.
+LITERAL = "userinput|computeroutput"
+
+
+def fold_xrefs(xml: Column, ids: Column) -> Column:
+    """Links to ids of an array become the placeholder that injections fold to; a null array counts as empty."""
+    known = F.coalesce(ids, F.array().cast("array<string>"))
+
+    def put(acc, piece):
+        own = F.regexp_extract(piece, r'\blinkend="([^"]*)"', 1)
+        return F.when(F.array_contains(known, own), F.replace(acc, piece, F.lit("<!-- InjectPlaceholder: 0 -->"))).otherwise(acc)
+
+    return F.aggregate(F.array_distinct(F.regexp_extract_all(xml, F.lit(LINKS), F.lit(0))), xml, put)
+
+
+def repair_comments(xml: Column) -> Column:
+    """Comments begun again within a comment lose their second beginning."""
+    broken = F.filter(F.array_distinct(F.regexp_extract_all(xml, F.lit("(?s)<!--.*?-->"), F.lit(0))), lambda c: F.contains(F.substring(c, 5, 1 << 30), F.lit("<!--")))
+    return F.aggregate(broken, xml, lambda acc, c: F.replace(acc, c, F.concat(F.lit("<!--"), F.replace(F.substring(c, 5, 1 << 30), F.lit("<!--"), F.lit("")))))
+
+
+def literal_text(xml: Column) -> Column:
+    """Text under literal elements as character data, entities decoded; what is character data already stays."""
+
+    def decode(t: Column) -> Column:
+        for name, c in {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "amp": "&"}.items():
+            t = F.replace(t, F.lit(f"&{name};"), F.lit(c))
+        return t
+
+    def wrap(piece: Column) -> Column:
+        runs = F.array_distinct(F.regexp_extract_all(piece, F.lit(r"(?s)(?<=>)[^<>]+(?=<)"), F.lit(0)))
+        return F.aggregate(runs, piece, lambda acc, r: F.replace(acc, F.concat(F.lit(">"), r, F.lit("<")), F.concat(F.lit("><![CDATA["), decode(r), F.lit("]]><"))))
+
+    pieces = F.filter(F.array_distinct(F.regexp_extract_all(xml, F.lit(rf"(?s)<({LITERAL})\b[^>]*>.*?</\1>"), F.lit(0))), lambda p: ~F.contains(p, F.lit("<![CDATA[")))
+    return F.aggregate(pieces, xml, lambda acc, p: F.replace(acc, p, wrap(p)))

@@ -114,3 +114,45 @@ def front_matter(df: DataFrame, key: str, xml: str) -> DataFrame:
 
     kind = df.schema[key].dataType.simpleString()
     return df.selectExpr(f"`{key}` AS k", f"`{xml}` AS x").mapInPandas(run, f"{key} {kind}, {_OUT}")
+
+
+#: What stands for a missing product and version.
+DEFAULTS = {"product": "Product", "version": "1"}
+_FIELDS = {"title": "title", "subtitle": "subtitle", "edition": "edition", "pubsnumber": "pubsnumber", "product": "productname", "version": "productnumber"}
+
+
+def _info(text: str | None) -> dict | None:
+    try:
+        book = _Book(ElementTree.fromstring(text or ""))
+    except (ElementTree.ParseError, ValueError):
+        return None
+
+    def inner(e, name: str) -> str | None:
+        t = None if e is None else e.find(name)
+        return None if t is None else re.sub(r"\s+", " ", re.sub(r"^<[^>]*/>$|^<[^>]*>|</[^>]*>$", "", book.show(t)))
+
+    first = lambda *names: next((e for n in names for e in book.root.iter(n)), None)
+    root, info = first("book", "article"), first("bookinfo", "articleinfo", "info")
+    out = {k: inner(root, k) for k in ("title", "subtitle")} | {"has_index": first("index") is not None}
+    for k, name in _FIELDS.items():
+        value = inner(info, name)
+        if value is not None and (k != "version" or value.strip()):
+            out[k] = value
+    return out if info is None else DEFAULTS | out
+
+
+def book_info(df: DataFrame, key: str, xml: str) -> DataFrame:
+    """(key, title, subtitle, edition, pubsnumber, product, version, has_index) of books.
+
+    An info element overrides the root's own title and subtitle; product and version have defaults where there is an info
+    element. Books that aren't well formed have a row of nulls.
+    """
+    columns = [key, *_FIELDS, "has_index"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [{key: k} | (_info(x) or {}) for k, x in zip(frame["k"], frame["x"], strict=True)]
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.selectExpr(f"`{key}` AS k", f"`{xml}` AS x").mapInPandas(run, f"{key} {kind}, {', '.join(f'{c} string' for c in _FIELDS)}, has_index boolean")

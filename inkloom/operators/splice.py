@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkloom.functions.text import LINKS, strict_key
+
 #: Fixed values.
 COMMON_CONTENT = re.compile(r"Common_Content")
 XINCLUDE = "http://www.w3.org/2001/XInclude"
@@ -205,15 +207,12 @@ def expand(files: DataFrame, roots: DataFrame, kind: str = "xml") -> DataFrame:
     return wanted.groupBy("source").cogroup(roots.select("source", "path").distinct().groupBy("source")).applyInPandas(run, "source string, path string, text string, error string")
 
 
-_LINKS = r'(?s)<xref\b[^>]*?\blinkend="[^"]*"[^>]*?(?:/>|>\s*</xref>)|<link\b[^>]*?\blinkend="[^"]*"[^>]*?(?:/>|>.*?</link>)'
-
-
 def inject(xml: Column, refs: Column) -> Column:
     """Links to known ids as injections. refs: map of linkend to a topic's id or a container's T<n>; others stay.
 
     A link to a topic keeps its own markup in a comment after the injection, so that its text isn't lost.
     """
-    found = F.array_distinct(F.regexp_extract_all(xml, F.lit(_LINKS), F.lit(0)))
+    found = F.array_distinct(F.regexp_extract_all(xml, F.lit(LINKS), F.lit(0)))
 
     def put(acc, piece):
         ref = F.element_at(refs, F.regexp_extract(piece, r'\blinkend="([^"]*)"', 1))
@@ -237,7 +236,5 @@ def inject_links(topics: DataFrame, refs: DataFrame) -> DataFrame:
 
 def changed(stored: Column, written: Column) -> Column:
     """Whether an update altered a topic, beyond layout; an unreadable side counts as altered."""
-    from inkloom.functions.text import strict_key
-
     return F.coalesce(strict_key(stored) != strict_key(written), F.lit(True))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkloom.functions import text as X
 from inkloom.functions import urls as U
 from inkloom.operators import frontmatter, office, splice
 from inkloom.plans.catalog import query, table
@@ -78,3 +79,17 @@ def host_forms(spark, sf_dir):
 def mime_types(spark, sf_dir):
     suffix = F.element_at(F.array(*map(F.lit, [".PNG", ".xml", ".html", ""])), (F.col("doc_id") % 4 + 1).cast("int"))
     return table(spark, sf_dir, "documents").select("doc_id", U.mime_type(F.concat(F.lit("images/"), F.col("doc_id").cast("string"), suffix)).alias("mime"))
+
+
+@query("book_metadata", "SELECT doc_id, source AS title, lang AS product, '1' AS version, doc_id % 2 = 0 AS has_index FROM documents")
+def book_metadata(spark, sf_dir):
+    index = F.when(F.col("doc_id") % 2 == 0, "<index/>").otherwise("")
+    book = F.concat(F.lit("<book><title>own</title><bookinfo><title>"), "source", F.lit("</title><productname>"), "lang", F.lit("</productname></bookinfo>"), index, F.lit("</book>"))
+    return frontmatter.book_info(table(spark, sf_dir, "documents").select("doc_id", book.alias("xml")), "doc_id", "xml").select("doc_id", "title", "product", "version", "has_index")
+
+
+@query("markup_repair", "SELECT doc_id, '<p><!-- a  ' || source || ' --><userinput><![CDATA[' || source || ' < 1]]></userinput>' || CASE WHEN doc_id % 2 = 0 THEN '<!-- InjectPlaceholder: 0 -->' ELSE '<xref linkend=\"d' || doc_id || '\"/>' END || '</p>' AS xml FROM documents")
+def markup_repair(spark, sf_dir):
+    xml = F.format_string('<p><!-- a <!-- %s --><userinput>%s &lt; 1</userinput><xref linkend="d%d"/></p>', "source", "source", "doc_id")
+    ids = F.array(F.concat(F.lit("d"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).otherwise(-1).cast("string")))
+    return table(spark, sf_dir, "documents").select("doc_id", X.fold_xrefs(X.literal_text(X.repair_comments(xml)), ids).alias("xml"))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from inkloom.functions import text as X
 from inkloom.functions import urls as U
 from inkloom.operators import frontmatter, office, rules, splice
 
@@ -109,3 +110,19 @@ def test_rules_have_a_bound(spark):
     many = spark.range(rules.MOST_RULES + 1).selectExpr("CAST(id AS int) AS rule_no", "'a' AS font", "'x' AS element", "true AS merge")
     with pytest.raises(ValueError):
         rules.classify(paras, many, ["font"])
+
+
+def test_repairs(spark):
+    assert one(spark, X.repair_comments, "<a><!-- b <!-- c --> d <!-- e --></a>") == "<a><!-- b  c --> d <!-- e --></a>"
+    ids = F.array(F.lit("a"))
+    assert one(spark, lambda x: X.fold_xrefs(x, ids), '<p><xref linkend="a"/><link linkend="a">t</link><xref linkend="b"/></p>') == '<p><!-- InjectPlaceholder: 0 --><!-- InjectPlaceholder: 0 --><xref linkend="b"/></p>'
+    assert one(spark, X.literal_text, "<p>x<userinput>a &lt; <b>c</b></userinput><userinput><![CDATA[<]]></userinput></p>") == "<p>x<userinput><![CDATA[a < ]]><b><![CDATA[c]]></b></userinput><userinput><![CDATA[<]]></userinput></p>"
+    assert one(spark, X.repair_comments, None) is None and one(spark, X.literal_text, None) is None
+
+
+def test_book_info(spark):
+    books = [(1, "<book><title>Own</title><bookinfo><title>A  <b>b</b></title><productnumber> </productnumber><edition>2</edition></bookinfo><index/></book>"), (2, "<article><title>T</title></article>"), (3, "<a"), (4, None)]
+    rows = frontmatter.book_info(spark.createDataFrame(books, "k int, x string"), "k", "x").orderBy("k").collect()
+    assert tuple(rows[0]) == (1, "A <b>b</b>", None, "2", None, "Product", "1", True)
+    assert tuple(rows[1]) == (2, "T", None, None, None, None, None, False)
+    assert tuple(rows[2])[1:] == (None,) * 7 == tuple(rows[3])[1:]
