@@ -8,9 +8,11 @@ differ, some segment agrees (is equal, or equal but for one token). The split be
 allocated by cost for each band. A segment of which nothing is left says nothing and is not indexed; the schemes have
 spare units for these, and a set that has used them up is indexed under another hash seed as well.
 
-Equal sets are one node. Signatures travel in packed blocks by hash, so no band or segment meets in one task.
-Signatures shared by few nodes give all their pairs; one shared by many gives a star around its least node and is kept
-aside. Candidates pass a bitmap of token parities (a lower bound of the difference) and are then verified on the
+Equal sets are one node. Signatures travel in packed blocks by hash, so no band or segment meets in one task. A
+signature that more than ``LOCAL`` nodes of one slice of texts share is combined before the shuffle: these nodes make a
+group, and only the group's name goes on, so the task that gets a hot signature holds ``LOCAL`` names for each slice at
+most. Signatures shared by few nodes give all their pairs; one shared by many nodes or by groups gives a star around its
+least node and is kept aside. Candidates pass a bitmap of token parities (a lower bound of the difference) and are then verified on the
 tokens. Verified links join nodes into components; after that only pairs of different components are looked at: the
 candidates left over and, tile by tile, those of the signatures kept aside. So a group of near copies costs about a
 star, and no link is lost. Tokens are 64-bit hashes of five lower-cased words.
@@ -38,6 +40,8 @@ WORDS = 5
 #: Similarity as a ratio of whole numbers.
 NUM, DEN = 3, 4
 FEW = 16  # nodes of a signature up to which all their pairs are candidates
+LOCAL = 8  # nodes of a signature in one slice of texts that are sent one by one
+ROWS_BYTES = 4 << 20
 TILE = 1024
 BLOCK_SIGNATURES = 4_000_000
 SEEDS = 3
@@ -164,6 +168,54 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n_shingles", "node", "bits"])
 
 
+def _fold_hot(sig: np.ndarray, who: np.ndarray, names: np.ndarray, bands_: np.ndarray) -> tuple:
+    """A slice's signatures with one entry for each that many of its nodes share.
+
+    who is twice a node's place, plus one for the scheme of the band below. Returns the signatures left, their who,
+    names and bands with those of the groups at the end, the groups' least nodes, and the places of their nodes by name.
+    """
+    order = np.argsort(sig, kind="stable")
+    key = sig[order]
+    first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
+    size = np.diff(np.append(first, len(key)))
+    keep, who, at, members = np.ones(len(sig), bool), who.copy(), {}, {}
+    new_names, new_bands, least = [], [], []
+    for lo, n in zip(first[size > LOCAL].tolist(), size[size > LOCAL].tolist(), strict=True):
+        places = order[lo : lo + n]
+        own, one = np.unique(who[places] >> 1), int(who[places[0]])
+        band = int(bands_[one >> 1]) - (one & 1)
+        content = own.astype(np.uint32).tobytes()
+        if (content, band) not in at:
+            at[content, band] = len(names) + len(at)
+            name = node_of(names[own].view(np.uint64))
+            members[name] = own
+            new_names.append(name)
+            new_bands.append(band)
+            least.append(int(names[own].min()))
+        keep[places[1:]] = False
+        who[places[0]] = 2 * at[content, band]
+    return sig[keep], who[keep], np.append(names, np.array(new_names, np.int64)), np.append(bands_, np.array(new_bands, np.uint8)), np.array(least, np.int64), members
+
+
+def _pack_groups(names: np.ndarray, members: dict[int, np.ndarray]) -> bytes:
+    used = np.unique(np.concatenate(list(members.values())))
+    kind = np.uint16 if len(used) < 1 << 16 else np.uint32
+    sizes = np.array([len(m) for m in members.values()], np.int32)
+    head = np.array([-1, len(used), len(members), kind().itemsize], np.int32)
+    places = np.searchsorted(used, np.concatenate(list(members.values()))).astype(kind)
+    return b"".join(x.tobytes() for x in (head, names[used], np.array(list(members), np.int64), sizes, places))
+
+
+def _unpack_groups(packed: bytes) -> list[tuple[int, np.ndarray]]:
+    """Names of groups and their nodes, sorted."""
+    _, used, n, width = np.frombuffer(packed, np.int32, 4).tolist()
+    nodes = np.frombuffer(packed, np.int64, used, 16)
+    names = np.frombuffer(packed, np.int64, n, 16 + 8 * used).tolist()
+    ends = np.cumsum(np.frombuffer(packed, np.int32, n, 16 + 8 * (used + n)))
+    places = np.frombuffer(packed, np.uint16 if width == 2 else np.uint32, -1, 16 + 8 * used + 12 * n)
+    return [(name, np.sort(nodes[p])) for name, p in zip(names, np.split(places, ends[:-1]), strict=True)]
+
+
 def _signed(blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array(bands())
@@ -183,79 +235,106 @@ def _signed(blocks: int):
                     counts += [len(own[0]), len(own[1]) if band else 0]
                 if not nodes:
                     continue
-                sig, who = np.concatenate(sigs), np.repeat(np.arange(len(counts)), counts)
+                found = np.concatenate(sigs), np.repeat(np.arange(len(counts)), counts)
+                sig, who, names, bands_, least, members = _fold_hot(*found, np.array(nodes, np.int64), np.array(band_of, np.uint8))
                 where = ((sig >> np.uint64(40)) % np.uint64(blocks)).astype(np.int64)
                 order = np.argsort(where, kind="stable")
                 cuts = np.searchsorted(where[order], np.arange(blocks + 1))
-                names, bands_ = np.array(nodes, np.int64), np.array(band_of, np.uint8)
-                rows = []
+                rows = [(nodes[0] % blocks, _pack_groups(names, members))] if members else []
                 for k in np.nonzero(np.diff(cuts))[0].tolist():
                     at = order[cuts[k] : cuts[k + 1]]
-                    each = np.bincount(who[at], minlength=len(counts)).reshape(-1, 2)  # of the own scheme and of the one below
+                    each = np.bincount(who[at], minlength=2 * len(names)).reshape(-1, 2)  # of the own scheme and of the one below
                     used = np.nonzero(each.sum(1))[0]
+                    groups = used[used >= len(nodes)] - len(nodes)
                     kind = np.uint8 if each.max() < 1 << 8 else np.uint32
-                    head = np.array([len(used), len(at), kind().itemsize], np.int32)
-                    rows.append((k, b"".join(x.tobytes() for x in (head, names[used], bands_[used], each[used].astype(kind), sig[at].astype(np.uint32)))))
+                    head = np.array([len(used), len(at), kind().itemsize, len(groups)], np.int32)
+                    rows.append((k, b"".join(x.tobytes() for x in (head, names[used], least[groups], bands_[used], each[used].astype(kind), sig[at[np.argsort(who[at], kind="stable")]].astype(np.uint32)))))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "packed"])
 
     return run
 
 
-def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    used, n, width = np.frombuffer(packed, np.int32, 3).tolist()
-    nodes = np.frombuffer(packed, np.int64, used, 12)
-    band = np.frombuffer(packed, np.uint8, used, 12 + 8 * used)
-    each = np.frombuffer(packed, np.uint8 if width == 1 else np.uint32, 2 * used, 12 + 9 * used)
-    sig = np.frombuffer(packed, np.uint32, n, 12 + (9 + 2 * width) * used)
+def _unpack(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, the names of their nodes or groups, and the nodes or the groups' least nodes."""
+    used, n, width, groups = np.frombuffer(packed, np.int32, 4).tolist()
+    names = np.frombuffer(packed, np.int64, used, 16)
+    least = np.concatenate([names[: used - groups], np.frombuffer(packed, np.int64, groups, 16 + 8 * used)])
+    at = 16 + 8 * (used + groups)
+    band = np.frombuffer(packed, np.uint8, used, at)
+    each = np.frombuffer(packed, np.uint8 if width == 1 else np.uint32, 2 * used, at + used)
+    sig = np.frombuffer(packed, np.uint32, n, at + (1 + 2 * width) * used)
     under = np.stack([band, band - np.minimum(band, 1)], 1).reshape(-1)
-    return sig.astype(np.uint64) | (np.repeat(under, each).astype(np.uint64) << np.uint64(32)), np.repeat(np.repeat(nodes, 2), each)
+    all_of = lambda x: np.repeat(np.repeat(x, 2), each)
+    return sig.astype(np.uint64) | (np.repeat(under, each).astype(np.uint64) << np.uint64(32)), all_of(names), all_of(least)
+
 
+def _star(nodes: np.ndarray) -> np.ndarray:
+    """Pairs of the least of sorted distinct nodes with each of the others."""
+    return np.stack([np.full(len(nodes) - 1, nodes[0]), nodes[1:]], 1)
 
-def _matches(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Pairs of nodes that share a signature (all pairs of a few, else a star), and the nodes of signatures that many share."""
+
+def _matches(key: np.ndarray, name: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Pairs of nodes that share a signature (all pairs of a few, else a star), and the names of signatures that many or groups share."""
     order = np.argsort(key, kind="stable")
-    key, node = key[order], node[order]
+    key, name, node = key[order], name[order], node[order]
     again = np.zeros(len(key), bool)
     again[1:] = key[1:] == key[:-1]
     shared = again.copy()
     shared[:-1] |= again[1:]
-    key, node = key[shared], node[shared]
-    order = np.lexsort((node, key))
-    key, node = key[order], node[order]
+    key, name, node = key[shared], name[shared], node[shared]
+    order = np.lexsort((name, key))
+    key, name, node = key[order], name[order], node[order]
     new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    key, node = key[new], node[new]
+    new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+    key, name, node = key[new], name[new], node[new]
     first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([first, [len(key)]]))
+    grouped = np.add.reduceat(name != node, first) > 0 if len(key) else np.zeros(0, bool)
     pairs, many = [np.zeros((0, 2), np.int64)], {}
-    for n in np.unique(size).tolist():
-        at = first[size == n]
-        if 2 <= n <= FEW:
-            i, j = np.triu_indices(n, 1)
-            pairs.append(np.stack([node[(at[:, None] + i).ravel()], node[(at[:, None] + j).ravel()]], 1))
-            pairs[-1] = np.unique(pairs[-1], axis=0)
-        elif n > FEW:
-            for a in at.tolist():
-                own = node[a : a + n]
-                many[own.tobytes()] = own
-    for own in many.values():
-        pairs.append(np.stack([np.full(len(own) - 1, own[0]), own[1:]], 1))
+    for n in range(2, FEW + 1):
+        at = first[(size == n) & ~grouped]
+        i, j = np.triu_indices(n, 1)
+        pairs.append(np.unique(np.stack([node[(at[:, None] + i).ravel()], node[(at[:, None] + j).ravel()]], 1), axis=0))
+    large = (size > FEW) | (grouped & (size > 1))
+    for a, n in zip(first[large].tolist(), size[large].tolist(), strict=True):
+        own = name[a : a + n]
+        if (content := own.tobytes()) not in many:
+            many[content] = own
+            pairs.append(_star(np.unique(node[a : a + n])))
     return np.unique(np.concatenate(pairs), axis=0), list(many.values())
 
 
+def _many_rows(many: list[tuple[int, np.ndarray]], upper: bool) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for k, (name, own) in enumerate(many):
+        held.append((name, len(own), own.tobytes()))
+        size += 8 * len(own)
+        if size > ROWS_BYTES or k == len(many) - 1:
+            yield pa.RecordBatch.from_arrays([pa.array([h[0] for h in held], pa.int64()), pa.array([h[1] for h in held], pa.int64()), pa.array([h[2] for h in held], pa.binary()), pa.array([upper] * len(held))], names=["a", "b", "many", "upper"])
+            held, size = [], 0
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, list[bytes]] = {}
+
+    def rows(pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(pairs), 100_000):
+            p = pairs[lo : lo + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.binary()), pa.nulls(len(p), pa.bool_())], names=["a", "b", "many", "upper"])
+
     for batch in batches:
         for block, packed in zip(batch.column("block").to_pylist(), batch.column("packed").to_pylist(), strict=True):
-            held.setdefault(block, []).append(packed)
+            if np.frombuffer(packed, np.int32, 1)[0] < 0:
+                groups = _unpack_groups(packed)
+                yield from rows(np.unique(np.concatenate([_star(own) for _, own in groups]), axis=0))
+                yield from _many_rows(groups, False)
+            else:
+                held.setdefault(block, []).append(packed)
     for block in list(held):
         got = [_unpack(x) for x in held.pop(block)]
-        pairs, many = _matches(np.concatenate([k for k, _ in got]), np.concatenate([n for _, n in got]))
-        for lo in range(0, len(pairs), 100_000):
-            p = pairs[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), pa.nulls(len(p), pa.binary())], names=["a", "b", "many"])
-        for own in many:
-            yield pa.RecordBatch.from_arrays([pa.array([node_of(own.view(np.uint64))], pa.int64()), pa.array([len(own)], pa.int64()), pa.array([own.tobytes()], pa.binary())], names=["a", "b", "many"])
+        pairs, many = _matches(*(np.concatenate(x) for x in zip(*got, strict=True)))
+        yield from rows(pairs)
+        yield from _many_rows([(node_of(own.view(np.uint64)), own) for own in many], True)
 
 
 def _near(bits_a: list[bytes], bits_b: list[bytes], n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -334,7 +413,7 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     tokens = nodes.agg(F.sum("n")).first()[0] or 0
     blocks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // BLOCK_SIGNATURES + 1)
     packed = docs.where("doc_id is not null").select("text").mapInArrow(_signed(blocks), "block int, packed binary")
-    found = cut(packed.repartition(blocks, "block").mapInArrow(_candidates, "a long, b long, many binary"), "found")
+    found = cut(packed.repartition(blocks, "block").mapInArrow(_candidates, "a long, b long, many binary, upper boolean"), "found")
     pairs = found.where("many is null").select("a", "b").distinct()
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     possible = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_possible, "a long, b long, doc_a long, doc_b long"), "possible")
@@ -346,13 +425,21 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     of = lambda x: part.select(F.col("id").alias(f"doc_{x}"), F.col("component").alias(f"component_{x}"))
     apart = F.coalesce("component_a", "doc_a") != F.coalesce("component_b", "doc_b")
     rest = possible.join(of("a"), "doc_a", "left").join(of("b"), "doc_b", "left").where(apart).select("a", "b", "doc_a", "doc_b")
-    members = found.where("many is not null").select(F.col("a").alias("bucket"), F.col("b").alias("size"), "many").dropDuplicates(["bucket"])
-    members = members.select("bucket", "size", F.explode(F.transform(F.sequence(F.lit(0), F.col("size").cast("int") - 1), lambda k: F.reverse(F.substring("many", 8 * k + 1, F.lit(8))))).alias("raw"))
-    members = members.select("bucket", "size", F.conv(F.hex("raw"), 16, -10).cast("long").alias("node")).join(nodes, "node").join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    members = cut(members.select("bucket", "size", "node", "doc_id", "n", F.coalesce("component", "doc_id").alias("component")), "members")
-    mixed = members.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("mixed")).where("mixed").select("bucket")
+    named = nodes.join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("node", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    place = F.explode(F.transform(F.sequence(F.lit(0), F.col("b").cast("int") - 1), lambda k: F.reverse(F.substring("many", 8 * k + 1, F.lit(8)))))
+    listed = lambda upper: found.where(f"upper = {upper}").dropDuplicates(["a"]).select(F.col("a").alias("bucket"), place.alias("raw")).select("bucket", F.conv(F.hex("raw"), 16, -10).cast("long").alias("name"))
+    groups = cut(listed("false").withColumnRenamed("name", "node").join(named, "node").select("bucket", "node", "component"), "groups")
+    # Only signatures with more than one component are laid out node by node; a group counts by its least and greatest component.
+    span = groups.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    entries = listed("true").join(span.withColumnRenamed("bucket", "name"), "name", "left").join(named.select(F.col("node").alias("name"), "component"), "name", "left")
+    entries = cut(entries.select("bucket", "name", F.coalesce("low", "component").alias("low"), F.coalesce("high", "component").alias("high"), F.col("low").isNotNull().alias("is_group")), "entries")
+    mixed = span.where("low <> high").select("bucket").union(entries.groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("bucket")).distinct()
+    apart_entries = entries.join(mixed, "bucket", "left_semi")
+    laid_out = apart_entries.where("is_group").select(F.col("bucket").alias("of"), F.col("name").alias("bucket")).join(groups, "bucket").select(F.col("of").alias("bucket"), "node")
+    members = cut(groups.join(mixed, "bucket", "left_semi").select("bucket", "node").union(laid_out).union(apart_entries.where("not is_group").select("bucket", F.col("name").alias("node"))).distinct(), "members")
+    sized = members.join(members.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
     tiles = F.ceil(F.col("size") / TILE).cast("int")
-    placed = members.join(mixed, "bucket", "left_semi").join(nodes.select("node", "bits"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
+    placed = sized.join(named, "node").join(nodes.select("node", "bits"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
     spread = placed.select("*", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
     spread = spread.select("bucket", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1).alias("side"), "node", "doc_id", "component", "n", "bits")
     tiled = spread.groupBy("bucket", "i", "j").applyInPandas(_tile_pairs, "a long, b long, doc_a long, doc_b long")

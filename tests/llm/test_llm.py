@@ -249,6 +249,26 @@ def test_jaccard_components(spark):
     assert jaccard_join.join_components(empty_docs(spark)).count() == 0
 
 
+@pytest.mark.parametrize("parts", [1, 6])
+def test_jaccard_shared_signatures(spark, parts):
+    """Families that share most signatures with one another but are linked only within, in one slice of texts and in several."""
+    random.seed(11)
+    base, docs = [f"w{i}" for i in range(400)], []
+    for family in range(60):
+        own = list(base)
+        for start in random.sample(range(0, 380, 20), 5 + family % 4):
+            own[start : start + 20] = [f"f{family}_{start + i}" for i in range(20)]
+        for copy in range(1 + family % 5):
+            t = list(own)
+            if copy:
+                t[random.randrange(400)] = f"c{copy}"
+            docs.append((len(docs), " ".join(t)))
+    random.shuffle(docs)
+    got = jaccard_join.join_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs)
+    assert 20 < len({r.component_id for r in got}) < len(docs)
+
+
 def test_signatures_meet():
     """Any two sets within the bound share a signature, whatever differs."""
     rng = np.random.default_rng(4)
