@@ -93,12 +93,23 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bytes that are hashed at a time, so that the tables of powers stay small.
+HASH_BYTES = 1 << 20
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of many spans of a byte buffer at once, from one running polynomial."""
-    prefix = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table("base", _BASE, len(data)), out=prefix[1:])
-    raw = (prefix[ends] - prefix[starts]) * _power_table("inverse", _INVERSE, len(data) + 1)[starts]
-    return mix(raw + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """64-bit hashes of many spans of a byte buffer, in order and apart from each other, from running polynomials."""
+    out, i = np.zeros(len(starts), np.uint64), 0
+    while i < len(starts):
+        lo = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, lo + HASH_BYTES, side="right")))
+        part, s, e = data[lo : int(ends[j - 1])], starts[i:j] - lo, ends[i:j] - lo
+        prefix = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * _power_table("base", _BASE, len(part)), out=prefix[1:])
+        raw = (prefix[e] - prefix[s]) * _power_table("inverse", _INVERSE, len(part) + 1)[s]
+        out[i:j] = mix(raw + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        i = j
+    return out
 
 
 _SPACE = np.zeros(256, bool)
