@@ -168,6 +168,13 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()), pa.array([bitmap(s) if len(s) else None for s in sets], pa.binary())], names=["doc_id", "n_shingles", "node", "bits"])
 
 
+def _run_names(names: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """A 64-bit name for each run of nodes, whatever their order."""
+    x = mix(names.view(np.uint64))
+    total, odd = np.add.reduceat(x, first), np.bitwise_xor.reduceat(x, first)
+    return mix(mix(total ^ size.astype(np.uint64)) + mix(odd) * np.uint64(3)).view(np.int64)
+
+
 def _fold_hot(sig: np.ndarray, who: np.ndarray, names: np.ndarray, bands_: np.ndarray) -> tuple:
     """A slice's signatures with one entry for each that many of its nodes share.
 
@@ -178,31 +185,29 @@ def _fold_hot(sig: np.ndarray, who: np.ndarray, names: np.ndarray, bands_: np.nd
     key = sig[order]
     first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0]
     size = np.diff(np.append(first, len(key)))
-    keep, who, at, members = np.ones(len(sig), bool), who.copy(), {}, {}
-    new_names, new_bands, least = [], [], []
-    for lo, n in zip(first[size > LOCAL].tolist(), size[size > LOCAL].tolist(), strict=True):
-        places = order[lo : lo + n]
-        own, one = np.unique(who[places] >> 1), int(who[places[0]])
-        band = int(bands_[one >> 1]) - (one & 1)
-        content = own.astype(np.uint32).tobytes()
-        if (content, band) not in at:
-            at[content, band] = len(names) + len(at)
-            name = node_of(names[own].view(np.uint64))
-            members[name] = own
-            new_names.append(name)
-            new_bands.append(band)
-            least.append(int(names[own].min()))
-        keep[places[1:]] = False
-        who[places[0]] = 2 * at[content, band]
-    return sig[keep], who[keep], np.append(names, np.array(new_names, np.int64)), np.append(bands_, np.array(new_bands, np.uint8)), np.array(least, np.int64), members
+    order, size = order[np.repeat(size > LOCAL, size)], size[size > LOCAL]
+    if not len(size):
+        return sig, who, names, bands_, np.zeros(0, np.int64), {}
+    first = np.cumsum(size) - size
+    of = who[order] >> 1
+    group = _run_names(names[of], first, size)
+    band = bands_[of[first]] - (who[order[first]] & 1).astype(np.uint8)
+    _, one, at = np.unique(mix(group.view(np.uint64) + band), return_index=True, return_inverse=True)
+    members = {int(group[k]): of[first[k] : first[k] + size[k]] for k in one.tolist()}
+    keep, who = np.ones(len(sig), bool), who.copy()
+    keep[order] = False
+    keep[order[first]] = True
+    who[order[first]] = 2 * (len(names) + at)
+    return sig[keep], who[keep], np.append(names, group[one]), np.append(bands_, band[one]), np.minimum.reduceat(names[of], first)[one], members
 
 
 def _pack_groups(names: np.ndarray, members: dict[int, np.ndarray]) -> bytes:
-    used = np.unique(np.concatenate(list(members.values())))
+    every = np.concatenate(list(members.values()))
+    used = np.unique(every)
     kind = np.uint16 if len(used) < 1 << 16 else np.uint32
     sizes = np.array([len(m) for m in members.values()], np.int32)
     head = np.array([-1, len(used), len(members), kind().itemsize], np.int32)
-    places = np.searchsorted(used, np.concatenate(list(members.values()))).astype(kind)
+    places = np.searchsorted(used, every).astype(kind)
     return b"".join(x.tobytes() for x in (head, names[used], np.array(list(members), np.int64), sizes, places))
 
 
@@ -273,8 +278,8 @@ def _star(nodes: np.ndarray) -> np.ndarray:
     return np.stack([np.full(len(nodes) - 1, nodes[0]), nodes[1:]], 1)
 
 
-def _matches(key: np.ndarray, name: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Pairs of nodes that share a signature (all pairs of a few, else a star), and the names of signatures that many or groups share."""
+def _matches(key: np.ndarray, name: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Pairs of nodes that share a signature (all pairs of a few, else a star), and, under names of their own, the names of signatures that many or groups share."""
     order = np.argsort(key, kind="stable")
     key, name, node = key[order], name[order], node[order]
     again = np.zeros(len(key), bool)
@@ -290,18 +295,18 @@ def _matches(key: np.ndarray, name: np.ndarray, node: np.ndarray) -> tuple[np.nd
     first = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.concatenate([first, [len(key)]]))
     grouped = np.add.reduceat(name != node, first) > 0 if len(key) else np.zeros(0, bool)
-    pairs, many = [np.zeros((0, 2), np.int64)], {}
+    pairs, many = [np.zeros((0, 2), np.int64)], []
     for n in range(2, FEW + 1):
         at = first[(size == n) & ~grouped]
         i, j = np.triu_indices(n, 1)
         pairs.append(np.unique(np.stack([node[(at[:, None] + i).ravel()], node[(at[:, None] + j).ravel()]], 1), axis=0))
     large = (size > FEW) | (grouped & (size > 1))
-    for a, n in zip(first[large].tolist(), size[large].tolist(), strict=True):
-        own = name[a : a + n]
-        if (content := own.tobytes()) not in many:
-            many[content] = own
+    if large.any():
+        runs, one = np.unique(_run_names(name, first, size)[large], return_index=True)
+        for run, a, n in zip(runs.tolist(), first[large][one].tolist(), size[large][one].tolist(), strict=True):
+            many.append((run, name[a : a + n]))
             pairs.append(_star(np.unique(node[a : a + n])))
-    return np.unique(np.concatenate(pairs), axis=0), list(many.values())
+    return np.unique(np.concatenate(pairs), axis=0), many
 
 
 def _many_rows(many: list[tuple[int, np.ndarray]], upper: bool) -> Iterator[pa.RecordBatch]:
@@ -334,7 +339,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [_unpack(x) for x in held.pop(block)]
         pairs, many = _matches(*(np.concatenate(x) for x in zip(*got, strict=True)))
         yield from rows(pairs)
-        yield from _many_rows([(node_of(own.view(np.uint64)), own) for own in many], True)
+        yield from _many_rows(many, True)
 
 
 def _near(bits_a: list[bytes], bits_b: list[bytes], n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
