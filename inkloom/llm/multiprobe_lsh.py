@@ -3,10 +3,12 @@
 Vectors are scaled to unit length in one more dimension, so that the largest inner product is the least distance.
 Each of ``TABLES`` tables hashes a vector by the slots of width ``WIDTH`` into which a few Gaussian projections fall.
 A query visits buckets in the order of the estimated chance that a neighbour lies there: given a query's projection z,
-that of a neighbour with cosine c is normal around c z with variance 1 - c^2. c is estimated from a bounded sample
-(``SAMPLE`` vectors by hash); buckets are visited until the tables together reach the chance ``RECALL``. Candidates of
-all tables are merged and ranked by their exact inner products in double precision. A query that finds fewer than it
-should visits all buckets. Every valid vector is indexed; no partners are capped.
+that of a neighbour with cosine c is normal around c z with variance 1 - c^2. Each query has a c of its own, in two
+passes. The first guesses it from the query's cosines with a bounded sample (``SAMPLE`` vectors by hash). The k-th best
+score it finds is no more than the true one, so the second pass takes that for c and visits what is still missing until
+the tables together reach the chance ``RECALL``. Candidates of all tables are merged and ranked by their exact inner
+products in double precision. A query that finds fewer than it should, or whose k-th best score isn't positive, visits
+all buckets. Every valid vector is indexed; no partners are capped.
 
 Equal vectors are one class and hashed once; of a class only the ``k + 1`` least ids can ever be among k nearest, so
 these alone travel on. Buckets over ``CHUNK`` classes are dealt in chunks, and so are the queries that visit them: a
@@ -46,11 +48,12 @@ def valid(v: Column) -> Column:
 class Tables:
     """The hash functions. Slots run from -SLOTS to SLOTS - 1; the outermost are open."""
 
-    def __init__(self, dim: int, functions: int, norm: float, cosine: float, recall: float = RECALL, tables: int = TABLES, seed: int = 7):
+    def __init__(self, sample: np.ndarray, functions: int, norm: float, nearest: float, recall: float = RECALL, tables: int = TABLES, seed: int = 7):
+        """nearest: the share of all vectors that are a query's nearest."""
         rng = np.random.default_rng(seed)
-        self.directions = rng.standard_normal((tables, dim + 1, functions))
+        self.directions = rng.standard_normal((tables, sample.shape[1] + 1, functions))
         self.shifts = rng.uniform(0, WIDTH, (tables, functions))
-        self.norm, self.cosine = norm, min(max(cosine, 0.0), 0.999)
+        self.norm, self.sample, self.nearest = norm, sample / norm, nearest
         self.share = 1 - (1 - recall) ** (1 / tables)
         self.combos = np.array(list(product(range(2 * SLOTS), repeat=functions)))
         self.codes = self.combos @ (2 * SLOTS) ** np.arange(functions)
@@ -66,21 +69,36 @@ class Tables:
         y, size = self.lift(x, False), (2 * SLOTS) ** np.arange(self.shifts.shape[1])
         return [(np.clip(np.floor((y @ d + s) / WIDTH), -SLOTS, SLOTS - 1).astype(np.int64) + SLOTS) @ size for d, s in zip(self.directions, self.shifts, strict=True)]
 
-    def probes(self, x: np.ndarray, everything: bool = False) -> list[list[np.ndarray]]:
-        """For each table and query the buckets to visit, the likeliest first."""
-        y, sd = self.lift(x, True), math.sqrt(1 - self.cosine**2)
-        edges = np.arange(-SLOTS + 1, SLOTS) * WIDTH
+    def guess(self, x: np.ndarray) -> np.ndarray:
+        """Each query's cosine with its farthest wanted neighbour, as far as the sample tells."""
+        return np.quantile(self.lift(x, True)[:, :-1] @ self.sample.T, 1 - self.nearest, axis=1)
+
+    def chances(self, y: np.ndarray, table: int, cosine: np.ndarray) -> np.ndarray:
+        """For each query the chance of each bucket to hold a neighbour with the query's cosine."""
+        c, s = np.clip(cosine, 0.0, 0.999)[:, None, None], self.shifts[table]
+        edges, z = np.arange(-SLOTS + 1, SLOTS) * WIDTH, y @ self.directions[table]
         normal = np.vectorize(lambda t: 0.5 * (1 + math.erf(t / math.sqrt(2))), otypes=[float])
-        out = []
-        for d, s in zip(self.directions, self.shifts, strict=True):
-            z = y @ d
-            below = normal((edges[None, None, :] - s[None, :, None] - self.cosine * z[:, :, None]) / sd)
-            chance = np.diff(np.concatenate([np.zeros((*z.shape, 1)), below, np.ones((*z.shape, 1))], 2), axis=2)
-            whole = np.prod([chance[:, f, self.combos[:, f]] for f in range(z.shape[1])], axis=0)
-            order = np.argsort(-whole, axis=1, kind="stable")
-            reached = np.cumsum(np.take_along_axis(whole, order, 1), axis=1)
-            visits = np.full(len(x), len(self.codes)) if everything else np.minimum((reached < self.share).sum(1) + 1, len(self.codes))
-            out.append([self.codes[order[i, : visits[i]]] for i in range(len(x))])
+        below = normal((edges[None, None, :] - s[None, :, None] - c * z[:, :, None]) / np.sqrt(1 - c**2))
+        chance = np.diff(np.concatenate([np.zeros((*z.shape, 1)), below, np.ones((*z.shape, 1))], 2), axis=2)
+        return np.prod([chance[:, f, self.combos[:, f]] for f in range(z.shape[1])], axis=0)
+
+    def visit(self, chance: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Which buckets to visit besides those seen, the likeliest first, until the share is reached."""
+        order = np.argsort(np.where(seen, np.inf, -chance), axis=1, kind="stable")
+        before = (chance * seen).sum(1, keepdims=True) + np.cumsum(np.take_along_axis(chance * ~seen, order, 1), axis=1) - np.take_along_axis(chance * ~seen, order, 1)
+        out = np.zeros_like(seen)
+        np.put_along_axis(out, order, before < self.share, axis=1)
+        return out & ~seen
+
+    def probes(self, x: np.ndarray, bound: np.ndarray | None = None) -> list[list[np.ndarray]]:
+        """For each table and query the buckets to visit. bound: the cosine that the first pass reached; gives the buckets of the second."""
+        y, guess, out = self.lift(x, True), self.guess(x), []
+        for t in range(len(self.directions)):
+            picked = self.visit(self.chances(y, t, guess), np.zeros((len(x), len(self.codes)), bool))
+            if bound is not None:
+                more = self.visit(self.chances(y, t, bound), picked)
+                picked = np.where((bound > 0)[:, None], more, ~picked)
+            out.append([self.codes[r] for r in picked])
         return out
 
 
@@ -94,14 +112,15 @@ def _bytes(x: np.ndarray) -> pa.Array:
     return pa.array([r.tobytes() for r in np.ascontiguousarray(x)], pa.binary())
 
 
-def _rows(tables, probing: bool, everything: bool):
+def _rows(tables, probing: bool, again: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 1024):
                 batch = whole.slice(lo, 1024)
                 x, ids = _matrix(batch.column("v")), batch.column("class").to_numpy()
                 packed = np.array([r.tobytes() for r in x], object)
-                per = tables.value.probes(x, everything) if probing else [[np.array([b]) for b in t] for t in tables.value.buckets(x)]
+                bound = batch.column("bound").to_numpy(zero_copy_only=False) if again else None
+                per = tables.value.probes(x, bound) if probing else [[np.array([b]) for b in t] for t in tables.value.buckets(x)]
                 for t, codes in enumerate(per):
                     who = np.repeat(np.arange(len(x)), [len(c) for c in codes])
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(who), t, np.int32)), pa.array(np.concatenate(codes)), pa.array(ids[who]), pa.array(packed[who].tolist(), pa.binary())], names=["t", "bucket", "class", "v"])
@@ -151,16 +170,13 @@ def nearest(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str
     n = classes.count()
     total = rows.select("id").distinct().count()
     sample = np.array([r["v"] for r in classes.select("v", "class").orderBy(F.xxhash64("class"), "class").limit(SAMPLE).collect()])
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    cosines = (unit @ (sample / dims["norm"]).T)[~np.eye(len(sample), dtype=bool)]
-    cosine = float(np.quantile(cosines, max(0.0, 1 - k / max(n, k + 1)))) if len(cosines) else 0.5
     functions = max(2, min(4, round(math.log2(max(n, 2)) / 8)))
-    tables = spark.sparkContext.broadcast(Tables(dims["dim"], functions, dims["norm"], cosine))
+    tables = spark.sparkContext.broadcast(Tables(sample, functions, dims["norm"], k / max(n, k + 1)))
     schema = "t int, bucket long, class long, v binary"
-    index = cut(classes.select("class", "v").mapInArrow(_rows(tables, False, False), schema), "index")
+    index = cut(classes.select("class", "v").mapInArrow(_rows(tables, False), schema), "index")
 
-    def search(queries: DataFrame, everything: bool) -> DataFrame:
-        probes = queries.mapInArrow(_rows(tables, True, everything), schema)
+    def search(queries: DataFrame, again: bool) -> DataFrame:
+        probes = queries.mapInArrow(_rows(tables, True, again), schema)
         # There are TABLES x (2 x SLOTS)^functions buckets at most: few enough to broadcast.
         held = index.groupBy("t", "bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
         probes = cut(probes.join(F.broadcast(held), ["t", "bucket"]), "probes")
@@ -175,9 +191,11 @@ def nearest(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str
         return cut(top.select("query", "vec_id", "score"), "found")
 
     found = search(wanted, False)
-    short = wanted.join(found.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= min(k + 1, total)).select(F.col("query").alias("class")), "class", "left_anti")
-    if short.limit(1).count():
-        found = found.join(short.select(F.col("class").alias("query")), "query", "left_anti").unionByName(search(cut(short, "short"), True))
+    reached = found.groupBy("query").agg(F.count("*").alias("n"), F.min("score").alias("score")).where(F.col("n") >= min(k + 1, total))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    bound = F.coalesce(F.col("score") / (length * dims["norm"]), F.lit(0.0))
+    missing = wanted.join(reached.select(F.col("query").alias("class"), "score"), "class", "left").select("class", "v", bound.alias("bound"))
+    found = found.unionByName(search(missing, True)).groupBy("query", "vec_id").agg(F.max("score").alias("score"))
     out = asked.join(found.withColumnRenamed("query", "class"), "class").where("vec_id <> query_id")
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

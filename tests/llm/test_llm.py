@@ -205,6 +205,23 @@ def test_neighbours(spark):
     assert multiprobe_lsh.nearest(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_neighbours_beside_a_group_of_near_copies(spark):
+    """A third of the vectors are near copies of one another; the others have to find their neighbours all the same."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 64))
+    x[::3] = rng.normal(size=64) + 0.01 * rng.normal(size=x[::3].shape)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in multiprobe_lsh.nearest(df, F.col("vec_id") % 20 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    share = {True: [], False: []}
+    for q in range(0, 4000, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        share[q % 3 == 0].append(len(set(np.argsort(-s)[:20].tolist()) & got[q]) / 20)
+    assert np.mean(share[True]) >= 0.9 and np.mean(share[False]) >= 0.9
+
+
 def brute_components(docs):
     parent = {}
 
