@@ -4,6 +4,7 @@ import io
 import random
 import zipfile
 
+from conftest import SF
 from pyspark.sql import functions as F
 
 from inkloom.functions import text as X
@@ -164,3 +165,11 @@ def test_stream(spark, tmp_path):
     q = ingest.ingest(ingest.follow(spark, str(tmp_path / "in"), df.schema), lambda b: matching.reuse(b, "doc_id", "text"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).where("status = 'REUSED'").count() == 1
+
+
+def test_all_orders_are_resolved(spark):
+    from inkloom.plans import catalog
+
+    got = catalog.queries()["graph_resolution"](spark, SF)
+    orders = spark.read.parquet(f"{SF}/orders.parquet")
+    assert got.count() == orders.count() and {r[0] for r in got.select("component").distinct().collect()} == {r[0] for r in orders.select("o_custkey").distinct().collect()}
