@@ -173,3 +173,30 @@ def test_all_orders_are_resolved(spark):
     got = catalog.queries()["graph_resolution"](spark, SF)
     orders = spark.read.parquet(f"{SF}/orders.parquet")
     assert got.count() == orders.count() and {r[0] for r in got.select("component").distinct().collect()} == {r[0] for r in orders.select("o_custkey").distinct().collect()}
+
+
+def test_closure_of_all_parts(spark):
+    from inkloom.plans import catalog
+
+    got = {(r.root, r.path): r.depth for r in catalog.queries()["include_closure"](spark, "/root/testdata/sf0.1").collect()}
+    keys = [r[0] for r in spark.read.parquet("/root/testdata/sf0.1/part.parquet").select("p_partkey").collect()]
+    assert got == {(k, k >> d): d for k in keys for d in range(1, k.bit_length())}
+
+
+def test_closure_equals_its_trails(spark):
+    """Random graphs with circles, and a chain of more than 64 files."""
+    random.seed(8)
+    for _ in range(3):
+        edges = {(random.randrange(9), random.randrange(9)) for _ in range(13)}
+        want, todo = {}, [(a, a, (a,)) for a in {a for a, _ in edges}]
+        while todo:
+            root, at, trail = todo.pop()
+            for a, b in edges:
+                if a == at:
+                    depth, met = want.get((root, b), (99, False))
+                    want[root, b] = (min(depth, len(trail)), met or b in trail)
+                    todo += [] if b in trail else [(root, b, (*trail, b))]
+        got = {(r.root, r.path): (r.depth, r.cyclic) for r in graph.include_closure(spark, spark.createDataFrame(sorted(edges), "path long, child long")).collect()}
+        assert got == want
+    chain = spark.createDataFrame([(i, i + 1) for i in range(70)], "path long, child long")
+    assert graph.include_closure(spark, chain.where("path >= 0")).where("root = 0").agg(F.max("depth")).first()[0] == 70
