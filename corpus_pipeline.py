@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their slot and shard."""
-    return sharding.place(docs, "doc_id", spread=["text"])
+    return sharding.place(docs, "doc_id", spread=["text"], split_hot=True)
 
 
 STAGES = [("quality", quality), ("deduplicate", deduplicate), ("decontaminate", decontaminate), ("mix", mix), ("shard", shard)]

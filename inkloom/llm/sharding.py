@@ -7,8 +7,8 @@ has a fixed size (``SLOTS``), so it is broadcast with a proven bound, and a row
 one lookup. No Python runs on the executors.
 
 A key that holds more than half a shard's fair share of the rows is hot; there are at most 2 x shards of them, a
-bound that lets their list be broadcast. Where ``spread`` names columns, the rows of hot keys are dealt over the
-table by these as well. Rows with a null key are placed by the spread columns (the text). Rows are kept one to one.
+bound that lets their list be broadcast. With ``split_hot`` and where ``spread`` names columns, the rows of hot keys are
+dealt over the table by these as well. Rows with a null key are placed by the spread columns (the text). Rows are kept one to one.
 """
 
 from __future__ import annotations
@@ -73,7 +73,7 @@ def write_shards(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> No
 
 
 def op7_sharding(spark, sf_dir: str) -> DataFrame:
-    return place(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", spread=["text"]).select("doc_id", "slot", "shard")
+    return place(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", spread=["text"], split_hot=True).select("doc_id", "slot", "shard")
 
 
 def op7_sql() -> str:

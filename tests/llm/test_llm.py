@@ -183,6 +183,15 @@ def test_sharding(spark, tmp_path):
     assert sharding.place(empty_docs(spark), "doc_id", spread=["text"]).count() == 0
 
 
+def test_hot_ids_are_dealt_out(spark, tmp_path):
+    """A third of the rows share an id; neither the query nor the pipeline's stage may place them in one shard."""
+    docs = spark.range(6400).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for out in (sharding.op7_sharding(spark, str(tmp_path)), corpus_pipeline.shard(spark, docs, str(tmp_path))):
+        counts = [r["count"] for r in out.groupBy("shard").count().collect()]
+        assert sum(counts) == 6400 and max(counts) < 200
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(2)
     base = rng.normal(size=(600, 16)) * rng.uniform(0.5, 2, size=(600, 1))
