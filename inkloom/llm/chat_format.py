@@ -1,16 +1,21 @@
 """Perspective rotation of multi-party dialogues, in DataFrame functions only.
 
-For every speaker of a conversation the dialogue is rendered with that speaker as the assistant, all others as named
-users, and the spans of the assistant's words marked for the loss. Instruction roles (``system``) are rendered as
-such and are nobody's perspective.
+For every participant of a conversation the whole dialogue is rendered with that participant as the assistant, all
+others as named users, and the spans of the assistant's words marked for the loss. Instruction roles (``system``) are
+rendered as such and are nobody's perspective.
 
-A dialogue is rendered in segments of ``window`` turns, so no task and no row ever holds an unbounded conversation;
-a conversation of ordinary length is one segment. A segment is rendered for the speakers who speak in it (elsewhere
-they would have nothing to learn), so each turn is a target once, and a segment makes at most ``window`` rows.
-Segments follow the turn numbers; rows that share a stretch of turn numbers beyond the window go on in further parts.
+A rendering is one row, however many turns it has, unless the dialogue comes to more than ``part_chars`` characters.
+Such a dialogue goes on in further rows (``part`` 0, 1, ...), cut between turns by size alone; every participant, silent
+ones too, gets every part, and the parts laid end to end are the whole rendering. So no row holds more than
+``part_chars`` and one turn. Turn numbers only order the turns.
+
+Most dialogues are held by one row: those are collected by conversation, at most ``part_chars`` each. Longer ones, even
+one that holds a third of all rows, are never gathered in a task: their turns are range-partitioned by (conversation,
+turn, role, digest of the text) and a turn's place is the sum of what comes before it, by partition, then within it.
 
 Exactly repeated rows count once. Rows with a null conversation id form no dialogue and are left out; null turns
-sort first, null roles are ``unknown``, null texts are empty. Marks of the template inside texts are broken up.
+sort first, null roles are ``unknown``, null texts are empty; turns that tie go by role, then by the text's MD5. Marks
+of the template inside texts are broken up. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,9 +23,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import table
+from ._common import cut, table
 
-WINDOW = 64
+#: Characters of texts, roles and marks that a row's dialogue may come to; MARKS stands for a turn's marks.
+PART_CHARS = 1 << 18
+MARKS = 32
 INSTRUCTIONS = ("system",)
 END = "<|end|>\n"
 
@@ -30,20 +37,35 @@ def _header(role: Column, speaker: Column, instructions: tuple[str, ...]) -> Col
     return F.when(role == speaker, F.lit("<|assistant|>\n")).when(role.isin(*instructions), F.concat(F.lit("<|"), name, F.lit("|>\n"))).otherwise(F.concat(F.lit("<|user name="), name, F.lit("|>\n")))
 
 
-def rotate(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", window: int = WINDOW, instructions: tuple[str, ...] = INSTRUCTIONS) -> DataFrame:
-    """One row for each (conversation, segment, part, perspective): ``rendered``, ``spans`` (start, end in characters, end exclusive), counts."""
-    rows = df.where(F.col(conv).isNotNull()).select(
-        F.col(conv).alias("conv_id"),
-        F.coalesce(F.floor(F.col(turn) / window), F.lit(0)).cast("long").alias("segment"),
-        F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("<|"), F.lit("< |")).alias("text")).alias("m"),
-    )
-    # A sort, not a collection: a stretch of turn numbers that many rows share is ranked without being held.
-    ranked = rows.withColumn("part", F.floor((F.dense_rank().over(Window.partitionBy("conv_id", "segment").orderBy("m.turn", "m.role", "m.text")) - 1) / window))
-    held = ranked.groupBy("conv_id", "segment", "part").agg(F.array_sort(F.collect_set("m")).alias("ms"))
-    seen = F.array_distinct(F.transform("ms", lambda m: m["role"]))
-    turned = held.select("*", F.explode(F.filter(seen, lambda r: ~r.isin(*instructions))).alias("perspective"))
+def _long_parts(rows: DataFrame, part_chars: int) -> DataFrame:
+    """(conv_id, part, m) of the distinct turns of long dialogues."""
+    ordered = rows.select("*", F.col("m.turn").alias("__turn"), F.col("m.role").alias("__role"), F.col("m.digest").alias("__digest"))
+    dealt = cut(ordered.repartitionByRange("conv_id", F.col("__turn").asc_nulls_first(), "__role", "__digest").dropDuplicates(["conv_id", "__turn", "__role", "__digest"]).withColumn("__range", F.spark_partition_id()), "turns")
+    sums = dealt.groupBy("conv_id", "__range").agg(F.sum("size").alias("__all"))
+    earlier = Window.partitionBy("conv_id").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    base = sums.select("conv_id", "__range", F.coalesce(F.sum("__all").over(earlier), F.lit(0)).alias("__base"))
+    before = Window.partitionBy("conv_id", "__range").orderBy("__turn", "__role", "__digest").rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("__before", F.coalesce(F.sum("size").over(before), F.lit(0))).join(base, ["conv_id", "__range"])
+    return placed.select("conv_id", F.floor((F.col("__base") + F.col("__before")) / part_chars).cast("long").alias("part"), "m")
+
+
+def rotate(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", part_chars: int = PART_CHARS, instructions: tuple[str, ...] = INSTRUCTIONS) -> DataFrame:
+    """One row for each (conversation, perspective, part): ``rendered``, ``spans`` (start, end in characters of the row, end exclusive), ``n_turns``."""
+    said = F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("<|"), F.lit("< |"))
+    rows = df.where(F.col(conv).isNotNull()).select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("unknown")).alias("role"), said.alias("text"))
+    rows = rows.withColumn("size", (F.length("text") + F.length("role") + MARKS).cast("long")).select("conv_id", "size", F.struct("turn", "role", F.md5("text").alias("digest"), "text").alias("m"))
+    long = cut(rows.groupBy("conv_id").agg(F.sum("size").alias("size")).where(F.col("size") > part_chars).select("conv_id"), "long")
+    part = lambda df: df.groupBy("conv_id", "part").agg(F.array_sort(F.collect_set("m")).alias("ms"))
+    speaks = ~F.col("perspective").isin(*instructions)
+    held = part(rows.join(long, "conv_id", "left_anti").withColumn("part", F.lit(0).cast("long")))
+    turned = held.select("*", F.explode(F.array_distinct(F.transform("ms", lambda m: m["role"]))).alias("perspective")).where(speaks)
+    if not long.isEmpty():
+        far = cut(_long_parts(rows.join(long, "conv_id", "left_semi"), part_chars), "parts")
+        voices = far.select("conv_id", F.col("m.role").alias("perspective")).where(speaks).distinct()
+        asked = voices.join(far.select("conv_id", "part").distinct(), "conv_id")
+        turned = turned.unionByName(part(far).join(asked, ["conv_id", "part"]))
     me = F.col("perspective")
-    said = turned.withColumn("ms", F.transform("ms", lambda m: F.struct((m["role"] == me).alias("own"), _header(m["role"], me, instructions).alias("head"), F.concat(m["text"], F.lit(END)).alias("body"))))
+    shown = turned.withColumn("ms", F.transform("ms", lambda m: F.struct((m["role"] == me).alias("own"), _header(m["role"], me, instructions).alias("head"), F.concat(m["text"], F.lit(END)).alias("body"))))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def walk(acc: Column, m: Column) -> Column:
@@ -52,8 +74,8 @@ def rotate(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
         span = F.struct(begin.alias("start"), stop.alias("end"))
         return F.struct(stop.alias("at"), F.when(m["own"], F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
 
-    return said.select(
-        "conv_id", "segment", "part", "perspective",
+    return shown.select(
+        "conv_id", "part", "perspective",
         F.array_join(F.transform("ms", lambda m: F.concat(m["head"], m["body"])), "").alias("rendered"),
         F.aggregate("ms", start, walk, lambda acc: acc["spans"]).alias("spans"),
         F.size("ms").alias("n_turns"),
@@ -63,7 +85,7 @@ def rotate(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str =
 def op3_chat_format(spark, sf_dir: str) -> DataFrame:
     out = rotate(table(spark, sf_dir, "conversations"))
     return out.select(
-        "conv_id", "segment", "part", "perspective", "n_turns",
+        "conv_id", "part", "perspective", "n_turns",
         F.size("spans").alias("n_targets"),
         F.length("rendered").alias("n_chars"),
         F.aggregate("spans", F.lit(0), lambda acc, s: acc + s["end"] - s["start"]).alias("target_chars"),
@@ -72,17 +94,18 @@ def op3_chat_format(spark, sf_dir: str) -> DataFrame:
     )
 
 
-OP3_SQL = f"""
-WITH m AS (SELECT DISTINCT conv_id, CAST(coalesce(turn // {WINDOW}, 0) AS BIGINT) AS segment, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text
-           FROM conversations WHERE conv_id IS NOT NULL),
-r AS (SELECT *, (dense_rank() OVER (PARTITION BY conv_id, segment ORDER BY turn NULLS FIRST, role, text) - 1) // {WINDOW} AS part FROM m),
-p AS (SELECT DISTINCT conv_id, segment, part, role AS perspective FROM r WHERE role <> 'system'),
+def op3_sql(part_chars: int = PART_CHARS) -> str:
+    order = "turn NULLS FIRST, role, md5(text)"
+    return f"""
+WITH m AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT *, coalesce(sum(length(text) + length(role) + {MARKS}) OVER (PARTITION BY conv_id ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT // {part_chars} AS part FROM m),
+p AS (SELECT DISTINCT conv_id, role AS perspective FROM m WHERE role <> 'system'),
 s AS (SELECT r.*, perspective, role = perspective AS own,
              CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user name=' || regexp_replace(role, '[^0-9A-Za-z_-]', '_', 'g') || '|>' END || chr(10) AS head,
-             text || '<|end|>' || chr(10) AS body FROM r JOIN p USING (conv_id, segment, part)),
-o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, segment, part, perspective ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS stop FROM s)
-SELECT conv_id, segment, CAST(part AS BIGINT) AS part, perspective, CAST(count(*) AS INTEGER) AS n_turns, CAST(count(*) FILTER (own) AS INTEGER) AS n_targets, CAST(max(stop) AS INTEGER) AS n_chars,
-       CAST(sum(length(body)) FILTER (own) AS INTEGER) AS target_chars, md5(string_agg(head || body, '' ORDER BY turn NULLS FIRST, role, text)) AS rendered_md5,
-       md5(string_agg(CAST(stop - length(body) AS BIGINT) || '-' || CAST(stop AS BIGINT), ',' ORDER BY turn NULLS FIRST, role, text) FILTER (own)) AS spans_md5
+             text || '<|end|>' || chr(10) AS body FROM r JOIN p USING (conv_id)),
+o AS (SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, part, perspective ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS stop FROM s)
+SELECT conv_id, part, perspective, CAST(count(*) AS INTEGER) AS n_turns, CAST(count(*) FILTER (own) AS INTEGER) AS n_targets, CAST(max(stop) AS INTEGER) AS n_chars,
+       CAST(coalesce(sum(length(body)) FILTER (own), 0) AS INTEGER) AS target_chars, md5(string_agg(head || body, '' ORDER BY {order})) AS rendered_md5,
+       md5(coalesce(string_agg(CAST(stop - length(body) AS BIGINT) || '-' || CAST(stop AS BIGINT), ',' ORDER BY {order}) FILTER (own), '')) AS spans_md5
 FROM o GROUP BY ALL
 """

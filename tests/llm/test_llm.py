@@ -112,10 +112,35 @@ def test_chat_rotation(spark):
     r = got["ann b"]
     assert r.rendered == "<|user name=unknown|>\nlate<|end|>\n<|system|>\nbe kind<|end|>\n<|assistant|>\nhi < |end|><|end|>\n<|user name=bob|>\n<|end|>\n"
     assert [r.rendered[s.start : s.end] for s in r.spans] == ["hi < |end|><|end|>\n"]
-    long = spark.createDataFrame([(1, i // 3, "ab"[i % 2], str(i)) for i in range(1000)], "conv_id long, turn long, role string, text string")
-    out = chat_format.rotate(long)
-    assert out.agg(F.sum(F.size("spans"))).first()[0] == 1000 and out.agg(F.max("n_turns")).first()[0] <= chat_format.WINDOW
-    assert chat_format.rotate(long.limit(0)).count() == 0
+    assert chat_format.rotate(df.limit(0)).count() == 0
+
+
+def test_chat_is_whole_for_every_participant(spark):
+    """Far turn numbers, a thousand turns, a silent participant: one row for each speaker; parts laid end to end are the whole."""
+    kind = "conv_id long, turn long, role string, text string"
+    data = [(1, t, r, r) for t, r in ((1, "a"), (65, "b"), (129, "c"))] + [(2, i, "ab"[i % 2], f"t{i}") for i in range(1000)] + [(2, 1001, "c", "once")]
+    data += [(3, i // 50, f"s{i % 3}", f"text {i} " * (1 + i % 9)) for i in range(700)] + [(3, 5, "s1", None), (3, None, "s0", "first"), (3, None, "quiet", "last")]
+    df = spark.createDataFrame(data + data[:300], kind)
+    whole = {(r.conv_id, r.perspective): r for r in chat_format.rotate(df).collect()}
+    assert {k: r.n_turns for k, r in whole.items()} == {**{(1, s): 3 for s in "abc"}, **{(2, s): 1001 for s in "abc"}, **{(3, s): 703 for s in ("s0", "s1", "s2", "quiet")}}
+    assert whole[1, "b"].rendered == "<|user name=a|>\na<|end|>\n<|assistant|>\nb<|end|>\n<|user name=c|>\nc<|end|>\n"
+    parts = defaultdict(dict)
+    for r in chat_format.rotate(df, part_chars=900).collect():
+        parts[r.conv_id, r.perspective][r.part] = r
+        assert len(r.rendered) < 2000 and all(r.rendered[s.start : s.end].endswith("<|end|>\n") for s in r.spans)
+    assert parts.keys() == whole.keys()
+    for key, rows_ in parts.items():
+        assert sorted(rows_) == list(range(len(rows_)))
+        assert "".join(rows_[k].rendered for k in sorted(rows_)) == whole[key].rendered
+        own = [rows_[k].rendered[s.start : s.end] for k in sorted(rows_) for s in rows_[k].spans]
+        assert own == [whole[key].rendered[s.start : s.end] for s in whole[key].spans]
+
+
+def test_chat_parts_match_sql(spark, duck):
+    got = chat_format.rotate(spark.read.parquet(f"{SF}/conversations.parquet"), part_chars=200)
+    got = got.select("conv_id", "part", "perspective", "n_turns", F.size("spans").alias("n_targets"), F.md5("rendered").alias("rendered_md5"))
+    want = duck.sql(f"SELECT conv_id, part, perspective, n_turns, n_targets, rendered_md5 FROM ({chat_format.op3_sql(200)})")
+    assert rows(got.toPandas()) == rows(want.df())
 
 
 def test_mix(spark):
