@@ -161,6 +161,65 @@ def test_licences(spark):
     assert license_scan.scan(spark.createDataFrame([], "path string, text string")).count() == 0
 
 
+WRAPPED = {
+    "MIT": """Copyright (c) 2020 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+""",
+    "BSD-3-Clause": """ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions
+ * are met:
+ *
+ * 1. Redistributions of source code must retain the above copyright notice.
+""",
+    "Apache-2.0": """                                 Apache License
+                           Version 2.0, January 2004
+                        http://www.apache.org/licenses/
+
+   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION
+""",
+    "GPL-3.0": """                    GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+""",
+    "LGPL-3.0": """                   GNU LESSER GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ This version of the GNU Lesser General Public License incorporates
+the terms and conditions of version 3 of the GNU General Public
+License, supplemented by the additional permissions listed below.
+""",
+    "MPL-2.0": """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+""",
+}
+
+
+def test_licences_in_real_layouts(spark):
+    """Wrapped notices amid thousands of other words, without a heading line, notices inside a line, SPDX tags."""
+    filler = "\n\n" + "Words that say nothing of the sort go on here for a while.\n" * 300
+    files = [(f"{n}/{name}", t + filler, n) for n, t in WRAPPED.items() for name in ("x.c", "COPYING")]
+    files += [("a", "// SPDX-License-Identifier: MIT", "MIT"), ("b", "# SPDX-License-Identifier: Apache-2.0", "Apache-2.0"), ("c", "SPDX-License-Identifier: Foo-1.0", None)]
+    files += [("d", filler + "Copyright (c) 2020 Jane Doe. Released under the MIT license. And more.", "MIT"), ("e", "Permission is hereby granted, free of charge, to any person obtaining a copy", "MIT"), ("f", "We limit the permit, mit license to roam the public domain of software.", None), ("g", "license " * 2000, None)]
+    got = {r.path: r.licence for r in license_scan.scan(spark.createDataFrame([f[:2] for f in files], "path string, text string")).collect()}
+    assert got == {f[0]: f[2] for f in files}
+
+
+def test_licence_anchors_lose_nothing():
+    """What is left of a template without its anchors can't reach the threshold."""
+    model = license_scan.Model()
+    assert all(sum(v * v for t, v in w.items() if t not in model.anchors) < model.threshold**2 for w in model.weights)
+    assert not set(model.anchors) & set(license_scan.COMMON)
+
+
 def test_urls(spark, tmp_path):
     urls = [None, "", "no scheme", "http://", "HTTP://A.Example.NET:80/en/x?y", "http://example.net/en/", "http://net", "http://net/", "http://xnet/", "http://a.org/fr/x#y", "ftp://b.example.com/de/../z", "http://x.net?/en/", "http://example.net/en/a://b.org/fr/"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls + urls)], "page_id long, url string").withColumn("host", F.lit("clash"))
