@@ -1,5 +1,6 @@
 """The pipeline operators against brute force, round trips and held-out accuracy, with the odd cases of each table."""
 
+import math
 import os
 import random
 import re
@@ -79,29 +80,79 @@ def test_decontamination(spark):
     clean = bm25_decontam.drop_leaks(df, bench)
     assert clean.columns == df.columns and clean.count() == df.count() - len({d for d, _ in got})
     assert bm25_decontam.hits(empty_docs(spark), bench).count() == 0
-    assert bm25_decontam.hits(df, bench.limit(0)).count() == 0
+    assert bm25_decontam.hits(df, bench.limit(0)).count() == 0 and bm25_decontam.drop_leaks(df, bench.limit(0)).count() == df.count()
 
 
-def test_block_max_search_loses_nothing():
+def plain_bm25(units, passage):
+    """Every unit's BM25 score for a passage over its score for itself, written out plainly."""
+    n, mean = len(units), sum(map(len, units)) / len(units)
+
+    def score(query, unit):
+        out = 0.0
+        for t in set(query) & set(unit):
+            df = sum(t in u for u in units)
+            tf = unit.count(t)
+            out += math.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(unit) / mean))
+        return out
+
+    return [score(passage, u) / score(u, u) for u in units]
+
+
+@pytest.mark.parametrize("cells", [1 << 20, 1])
+def test_block_max_search_loses_nothing(cells, monkeypatch):
+    monkeypatch.setattr(bm25_decontam, "CELLS", cells)
     random.seed(6)
-    units = [(i, [random.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(random.randint(1, 48))]) for i in range(100)]
-    df = defaultdict(int)
-    for _, w in units:
-        for t in set(w):
-            df[t] += 1
-    stats = bm25_decontam.Statistics(len(units), sum(len(w) for _, w in units) / len(units), df)
-    index = bm25_decontam.Index(units, stats)
-    words = [random.choice("abcdefghijklmnopqrstuvwxyz!") for _ in range(200)]
-    ids = np.array([index.lookup(w, index.unknown) for w in words], np.int32)
-    got = {(i, round(s, 4)) for _, i, s in index.search(ids, np.array([0, 200]), 0.6)}
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    units = [random.choices(letters, k=random.randint(1, 48)) for _ in range(100)]
+    index = bm25_decontam.Index(list(enumerate(units)), bm25_decontam.Statistics.of(units))
+    docs = [random.choices(letters + "!?", k=n) for n in (200, 1, 0, 64, 65, 97)]
+    bounds = np.cumsum([0, *map(len, docs)])
+    ids = np.array([letters.find(c) if c in letters else index.unknown for d in docs for c in d], np.int64)
     best = {}
-    for k in range(0, 200 - bm25_decontam.PASSAGE + bm25_decontam.STRIDE, bm25_decontam.STRIDE):
-        terms = np.unique(ids[k : k + bm25_decontam.PASSAGE])
-        scores = index.impact[terms].sum(0)
-        for j, s in enumerate(scores[: len(index.items)]):
-            if s >= 0.6:
-                best[int(index.items[j])] = max(best.get(int(index.items[j]), 0), float(s))
-    assert got == {(i, round(s, 4)) for i, s in best.items()}
+    for k, doc in enumerate(docs):
+        for at in range(0, max(1, len(doc) - bm25_decontam.PASSAGE + bm25_decontam.STRIDE), bm25_decontam.STRIDE) if doc else ():
+            for j, s in enumerate(plain_bm25(units, doc[at : at + bm25_decontam.PASSAGE])):
+                best[k, j] = max(best.get((k, j), 0.0), s)
+    got = {(d, i): s for d, i, s in index.search(ids, bounds, 0.6)}
+    assert got.keys() == {k for k, s in best.items() if s >= 0.6} and len(got) > 20
+    assert all(abs(s - best[k]) < 1e-5 for k, s in got.items())
+
+
+def test_every_word_of_an_item_is_indexed(spark):
+    """The tail of an item, items that share an id, items without one, several groups of items."""
+    for n in (1, 47, 48, 49, 60, 72, 96, 100, 145):
+        units = bm25_decontam.units_of(list(range(n)))
+        assert {w for u in units for w in u} == set(range(n)) and max(map(len, units)) <= 48
+    random.seed(8)
+    say = lambda n: " ".join("".join(random.choices("abcdefgh", k=random.randint(2, 7))) for _ in range(n))
+    # The whole is quoted from its second half on: enough of it to be verified, but its first unit isn't there.
+    long = [say(70) + "? " + say(20) + "." for _ in range(3)]
+    items = [(1, long[0]), (1, long[1]), (None, long[2]), (1, long[0])] + [(k, say(30) + ". " + say(9) + ".") for k in range(10, 40)]
+    docs = [(k, f"{say(100)} {' '.join(t.split()[30:])} {say(30)}", "en", "s", 0) for k, t in enumerate(long)] + [(10, say(300), "en", "s", 0)]
+    df, bench = spark.createDataFrame(docs, DOCS).withColumn("item_id", F.lit("clash")), spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit("clash"))
+    got = sorted(((r.doc_id, r.item_id) for r in bm25_decontam.hits(df, bench).collect()), key=str)
+    assert got == [(0, 1), (1, 1), (2, None)]
+    assert [r.doc_id for r in bm25_decontam.drop_leaks(df, bench).collect()] == [10]
+    few = list(bm25_decontam.checkers(bench, group_bytes=1500))
+    one = next(bm25_decontam.checkers(bench))
+    texts = [d[1] for d in docs]
+    assert len(few) > 2 and len(one.ids) == len(items) - 1
+    near = lambda found: sorted((d, str(i), round(s, 5), q, a) for d, i, s, q, a in found)
+    assert near(one.check(texts)) == near(f for c in few for f in c.check(texts))
+
+
+def test_overlap_counts_runs():
+    """Question and answer overlap against runs counted as tuples."""
+    random.seed(12)
+    texts = ["a b", "x", "one two three four? yes", *(" ".join(random.choices("abcde", k=40)) + ". " + " ".join(random.choices("abcde", k=5)) + "." for _ in range(20))]
+    checker = bm25_decontam.Checker(list(enumerate(texts)), bm25_decontam.Statistics.of([bm25_decontam.words(t) for t in texts]))
+    doc = random.choices("abcdexy", k=90) + ["one", "two", "three"]
+    ids = checker.numbers(doc)
+    runs = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    for (n, r), half in ((p, h) for k, t in enumerate(texts) for p, h in zip(checker.parts[k], bm25_decontam.question_and_answer(t), strict=True)):
+        w = bm25_decontam.words(half)
+        assert n == min(3, len(w)) and len(r) == (len(runs(w, n)) if n else 0)
+        assert int(np.isin(r, checker.runs(ids, n)).sum()) == (len(runs(w, n) & runs(doc, n)) if n else 0)
 
 
 def test_chat_rotation(spark):
