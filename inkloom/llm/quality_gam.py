@@ -7,7 +7,7 @@ features that best explain what is left get tables over coarse bins by the same
 values. Labels, language, source and id are no features.
 
 The model is fitted on at most ``MAX_FIT_ROWS`` labelled documents, chosen by a hash of their id, and has a fixed
-size. Scoring reads every text once and shuffles nothing. Null and empty texts have all-zero features and are
+size. Of rows that share an id the one with the least features counts. Scoring reads every text once and shuffles nothing. Null and empty texts have all-zero features and are
 scored like any other. Rows are kept one to one. Without any label the score is 0.5; with labels of one class alone
 it is that class's smoothed share.
 """
@@ -207,15 +207,17 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_FIT_ROWS) -> Gam
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
     # A document's labels that disagree count as the lower; the sample is bounded, so it may be broadcast.
     sample = known.groupBy("doc_id").agg(F.min("quality").alias("__label")).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", F.col("text").alias("__text")).join(F.broadcast(sample), "doc_id").select("__text", F.col("__label").cast("double").alias("label"))
+    rows = docs.select("doc_id", F.col("text").alias("__text")).join(F.broadcast(sample), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "__text", F.col("__label").cast("double").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "__text"):
                 x = features(part.column("__text"))
-                yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in x.T), part.column("label")], names=[*NAMES, "label"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c) for c in x.T), part.column("label")], names=["doc_id", *NAMES, "label"])
 
-    got = rows.mapInArrow(run, ", ".join(f"{c} double" for c in [*NAMES, "label"])).toPandas()
+    made = rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} double" for c in [*NAMES, "label"]))
+    # However many rows share an id, one of them counts: so max_rows rows come to the driver at most.
+    got = made.groupBy("doc_id").agg(F.min(F.struct(*NAMES, "label")).alias("x")).select("x.*").toPandas()
     return fit_arrays(got[NAMES].to_numpy(np.float64).reshape(-1, len(NAMES)), got["label"].to_numpy(np.float64))
 
 

@@ -11,14 +11,20 @@ buckets (a fixed number for each source) and a window within each bucket, and th
 ``TIME_BUCKETS`` buckets of the virtual time, of which only the one that holds the cut is ordered. Texts are read
 once to count their words and never shuffled.
 
-Null texts have size 0 and null sources form one source, last in order. Repeated rows queue as rows of their own.
-A source without words has target 0, and its documents take 0. An empty table gives an empty result.
+What a source takes is a stretch of its queue for each round, so :func:`take` applies a mix to the documents by the place
+where each source's stretch ends: one row for each source and round, joined by source, and no list of documents.
+
+Null texts have size 0 and null sources form one source, last in order. Repeated rows, rows that share an id and rows
+without one queue as rows of their own; :func:`take` tells them apart by file and row. A source without words has target
+0, and its documents take 0. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._common import cut, table
 
@@ -51,8 +57,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return levelled.withColumn("water", first["level"]).select("source", "source_size", F.least("cap", F.coalesce(F.col("water") * F.col("weight"), F.col("cap"))).alias("target"))
 
 
-def plan(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """(doc_id, source, size, place) to these with source_size, target and ``copies``; place: a hash of 60 bits that shuffles. slim is read several times."""
+def plan(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, ties: tuple[str, ...] = ("doc_id", "size")) -> DataFrame:
+    """(source, size, place, the columns ties) to these with source_size, target and ``copies``; place: a hash of 60 bits that shuffles, ties: what orders rows of one place. slim is read several times."""
     slim = slim.withColumn("bucket", F.shiftright("place", 60 - BUCKET_BITS))
     sums = slim.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, epochs)
@@ -60,11 +66,12 @@ def plan(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     base = sums.withColumn("base", F.coalesce(F.sum("words").over(so_far), F.lit(0))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "base")
     goal = goal.withColumnRenamed("source", "g")
     offsets = base.join(goal, F.col("s").eqNullSafe(F.col("g"))).drop("g")
-    within = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("source", "bucket").orderBy("place", *ties).rowsBetween(Window.unboundedPreceding, 0)
     queued = slim.withColumn("run", F.sum("size").over(within)).join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
     done = queued.withColumn("done", F.when(F.col("target") > 0, (F.col("base") + F.col("run")) / F.col("target")))
     lap = F.col("source_size") / F.col("target")
-    done = cut(done.select("doc_id", "source", "size", "source_size", "target", "done", lap.alias("lap")), "mix")
+    held = [c for c in dict.fromkeys([*ties, "source", "size"])]
+    done = cut(done.select("place", *held, "source_size", "target", "done", lap.alias("lap")), "mix")
     items = done.where("target > 0 and size > 0").select("size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(epochs - 1)), lambda e: F.col("done") + e * F.col("lap"))).alias("at"))
     items = items.withColumn("slice", F.least(F.floor(F.col("at") * (TIME_BUCKETS // 4)), F.lit(TIME_BUCKETS)))
     budget = goal.agg(F.sum("target").alias("budget"))
@@ -79,7 +86,7 @@ def plan(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     stop = edge.crossJoin(last).select("edge", "last")
     taken = lambda e: (F.col("edge").isNull() | (F.least(F.floor((F.col("done") + e * F.col("lap")) * (TIME_BUCKETS // 4)), F.lit(TIME_BUCKETS)) < F.col("edge")) | F.coalesce(F.col("done") + e * F.col("lap") <= F.col("last"), F.lit(False))).cast("int")
     copies = sum((taken(e) for e in range(1, epochs)), taken(0))
-    return done.crossJoin(F.broadcast(stop)).select("doc_id", "source", "size", "source_size", "target", F.when((F.col("target") > 0) & (F.col("size") > 0), copies).otherwise(0).alias("copies"))
+    return done.crossJoin(F.broadcast(stop)).select("place", *held, "source_size", "target", F.when((F.col("target") > 0) & (F.col("size") > 0), copies).otherwise(0).alias("copies"))
 
 
 def slim_of(docs: DataFrame) -> DataFrame:
@@ -87,6 +94,30 @@ def slim_of(docs: DataFrame) -> DataFrame:
     return cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long").alias("place")), "sizes")
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """docs as a table of files, each row with its file and its place there; written to the shared folder unless it is one."""
+    where = lambda df: df.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    try:
+        return where(docs)
+    except AnalysisException:  # not read from files
+        return where(cut(docs, "rows"))
+
+
+def take(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
+    """The rows of docs (source, text and any others), each as often as the mix takes it. Texts are neither shuffled nor written."""
+    plain = [f.name for f in docs.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    order = ("__place", "__file", "__row")
+    rows = _identified(docs).withColumn("__place", F.shiftright(F.xxhash64(*plain), 4).bitwiseAND(F.lit((1 << 60) - 1)))
+    slim = cut(rows.select("source", size_of(F.col("text")).alias("size"), F.col("__place").alias("place"), "__file", "__row"), "sizes")
+    planned = plan(slim, weights, share, epochs, ("__file", "__row")).withColumnRenamed("place", "__place").where("copies > 0")
+    last = [F.max(F.when(F.col("copies") > e, F.struct(*order))).alias(f"__last{e}") for e in range(epochs)]
+    ends = cut(planned.groupBy(F.col("source").alias("__source")).agg(*last), "ends")
+    both = rows.where(F.col("text").rlike(WORD)).join(ends, F.col("source").eqNullSafe(F.col("__source")))
+    copies = sum((F.coalesce(F.struct(*order) <= F.col(f"__last{e}"), F.lit(False)).cast("int") for e in range(epochs)), F.lit(0))
+    some = both.withColumn("__copies", copies).where("__copies > 0")
+    return some.select(*docs.columns, F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).select(*docs.columns)
+
+
 def op4_source_mix(spark, sf_dir: str) -> DataFrame:
     mixed = plan(slim_of(table(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "size", "source_size", F.col("target").cast("double").alias("target"), (F.col("size") * F.col("copies")).alias("taken"))

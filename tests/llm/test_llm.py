@@ -205,6 +205,47 @@ def test_mix(spark):
     assert source_mix.plan(source_mix.slim_of(empty_docs(spark))).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["even", "half null", "half one id", "one id", "one row"])
+def test_mix_counts_rows_not_ids(spark, ids):
+    """However ids repeat, the mix takes 1.5 times the words (all sources alike here), no row more than twice."""
+    name = {"even": "id % 700", "half null": "if(id % 2 = 0, NULL, id)", "half one id": "if(id % 2 = 0, 5, id)", "one id": "5", "one row": "5"}[ids]
+    text = "repeat('w ', 1 + cast(id % 5 AS INT))" if ids != "one row" else "'w w w'"
+    docs = spark.range(3000).selectExpr(f"CAST({name} AS LONG) AS doc_id", f"{text} AS text", "'en' AS lang", "concat('s', id % 2) AS source", "id AS n_chars" if ids != "one row" else "0L AS n_chars", "'clash' AS size", "'clash' AS target", "'clash' AS copies")
+    out = source_mix.take(docs)
+    assert out.columns == docs.columns
+    words = lambda df: {r.source: r.n for r in df.groupBy("source").agg(F.sum(source_mix.size_of(F.col("text"))).alias("n")).collect()}
+    have, got = words(docs), words(out)
+    total = sum(have.values())
+    assert abs(sum(got.values()) - 1.5 * total) <= 10
+    goal = {r.source: r.target for r in source_mix.targets(spark.createDataFrame(list(have.items()), "source string, source_size long")).collect()}
+    assert all(abs(got[s] - goal[s]) <= 0.02 * total for s in have)
+    if ids not in ("one row",):
+        assert out.groupBy("n_chars").count().agg(F.max("count")).first()[0] == 2
+
+
+def test_pipeline_stages_keep_odd_rows(spark):
+    """Null and repeated ids, repeated rows, null and empty texts, clashing columns, empty tables."""
+    say = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    a, b, c = say(1), say(2), say(3)
+    data = [(7, a), (7, a), (7, b), (3, a + " end"), (9, b), (None, a), (None, a), (4, ""), (4, None), (5, " "), (2, c), (2, c), (2, c + " tail")]
+    docs = spark.createDataFrame([(i, t, "en", "s0" if i else None, k) for k, (i, t) in enumerate(data)], DOCS).withColumn("component_id", F.lit("clash")).withColumn("node", F.lit("clash")).withColumn("slot", F.lit("clash"))
+    out = corpus_pipeline.deduplicate(spark, docs, SF)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    # a and a + end: the least id is 3; b under 7 and 9: 7 stays, as its text is another; c: one row of id 2 stays.
+    least_c = min((c, c + " tail"), key=lambda t: spark.range(1).select(F.xxhash64(F.lit(t))).first()[0])
+    assert got == sorted([(3, a + " end"), (7, b), (None, a), (None, a), (4, ""), (4, None), (5, " "), (2, least_c)], key=str)
+    empty = docs.limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "quality":
+            kept = stage(spark, docs, SF)
+            assert set(docs.columns) <= set(kept.columns) and stage(spark, empty, SF).count() == 0
+    assert corpus_pipeline.mix(spark, docs, SF).where("text is null or trim(text) = ''").count() == 0
+    assert {r.doc_id for r in corpus_pipeline.decontaminate(spark, docs, SF).collect()} == {i for i, _ in data}
+    labels_free = corpus_pipeline.quality(spark, docs.withColumn("doc_id", F.col("doc_id") + 10**9), SF)
+    assert labels_free.columns == docs.columns and labels_free.count() <= docs.count()
+
+
 def test_licences(spark):
     files = [("a/LICENSE", "Released under the MIT License."), ("a/b/x.txt", "text"), ("a/b/c/COPYING", "x " * 50), ("a/c/LICENSE", "Licensed under the Apache License, Version 2.0."), ("a/c/d/y.txt", None), ("z.txt", "hello\nThis work is licensed under the GNU General Public License, version 3.\n"), (None, "Released under the MIT License."), ("q/r.txt", "no licence here, permission slip"), ("a/b/x.txt", "text")]
     got = sorted(((r.path or ""), r.licence, r.via) for r in license_scan.scan(spark.createDataFrame(files, "path string, text string").withColumn("score", F.lit(1))).collect())
@@ -455,7 +496,7 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_quality(spark):
+def test_quality(spark, monkeypatch):
     got = quality_gam.op10_quality_gam(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").collect()
     held = [r for r in got if r.held_out]
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
@@ -465,6 +506,11 @@ def test_quality(spark):
     model = quality_gam.fit(docs, labels)
     out = quality_gam.score(docs, model).collect()
     assert len(out) == docs.count() and all(0 <= r.score <= 1 for r in out)
+    many = spark.createDataFrame([(i % 12, f"text {i} " * (1 + i % 12), "en", "s", 0) for i in range(600)], DOCS)
+    got, real = [], quality_gam.fit_arrays
+    monkeypatch.setattr(quality_gam, "fit_arrays", lambda x, y: got.append(len(x)) or real(x, y))
+    quality_gam.fit(many, labels, max_rows=5)
+    assert got and got[0] <= 5  # rows that share an id don't multiply
     none = quality_gam.score(docs, quality_gam.fit(docs, labels.limit(0)), keep=["doc_id"]).collect()
     assert {r.score for r in none} == {0.5}
     assert quality_gam.score(empty_docs(spark), model).count() == 0
