@@ -20,9 +20,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of linked ones. Rows without an id stay."""
-    parts = jaccard_join.join_components(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(parts, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of linked texts: that with the smallest id, then the least hash of its text. Rows without an id or without words stay.
+
+    Texts, not ids, are linked, so a row goes only for its own text, and of exactly repeated rows one stays. Rows are found
+    by the hash of their text in a list of texts that go or occur several times; it is broadcast if it is small.
+    """
+    digest = F.when(F.col("doc_id").isNotNull(), F.xxhash64("text"))
+    texts = jaccard_join.join_components(docs.select(digest.alias("__text_hash"), "text"), "__text_hash").where("n_shingles > 0 and doc_id is not null")
+    part = texts.select(F.col("doc_id").alias("__hash"), "component_id").distinct()
+    seen = docs.groupBy(digest.alias("__hash")).agg(F.min("doc_id").alias("__id"), F.count("*").alias("__n"))
+    placed = cut(seen.join(part, "__hash"), "texts")
+    kept = placed.groupBy("component_id").agg(F.min(F.struct("__id", "__hash")).alias("kept"))
+    found = placed.join(kept, "component_id").select("__hash", F.when(F.col("kept.__hash") == F.col("__hash"), F.col("kept.__id")).alias("__id"), "__n")
+    listed = cut(found.where("__id is null or __n > 1"), "listed")
+    marked = docs.withColumn("__hash", digest)
+    single = marked.join(listed.select("__hash"), "__hash", "left_anti")
+    several = listed.where("__id is not null").select("__hash", "__id")
+    first = marked.join(several, "__hash").where(F.col("doc_id") == F.col("__id")).dropDuplicates(["__hash"])
+    return single.select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +46,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it: not at all, once or twice."""
-    plan = source_mix.plan(source_mix.slim_of(docs)).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    taken = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"])).drop(plan["doc_id"])
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).select(*docs.columns)
+    """Each row as often as the mix takes it: not at all, once or twice."""
+    return source_mix.take(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
