@@ -4,13 +4,14 @@ A BPE encoding is the one token sequence in which every adjacent pair is stable
 pair back). So the last token of each prefix follows from the last tokens of the shorter prefixes that a vocabulary
 entry reaches back to, and a left-to-right machine can carry just those: its state is the set of live vocabulary
 prefixes, each with the token before it and the tokens counted since. Transitions carry the change of the token
-count; a merge may make it negative. States are determinised on demand, as regex engines do, and the table is
-dropped and begun anew at ``MAX_STATES``, so memory is bounded.
+count; a merge may make it negative. States are determinised on demand, as regex engines do. A slice of texts is run in
+blocks of ``BLOCK`` symbols; between two of them the table is dropped and begun anew once it holds ``MAX_STATES``, with
+the state reached carried over, so it never holds more than ``MAX_STATES + BLOCK`` states.
 
 Texts of a slice are laid end to end and cut into equal chunks, which run side by side in numpy. A chunk's state
 map is constant from its first synchronising symbol (a space, a text's start or a character that merges with
-nothing) and open before it; a prefix scan over the chunks' maps gives each chunk its incoming state, from which
-the open heads are then run.
+nothing). Chunks without one have maps that are evaluated where needed and composed by a parallel prefix scan; then the
+heads of the other chunks are run from the states found.
 
 Nulls and empty texts count no tokens. Rows are kept one to one, repeated and null ids too. The largest unit of
 work is one text, which a row holds anyway.
@@ -30,6 +31,7 @@ from ._common import slices, utf8_buffer
 
 SPACE = "▁"
 CHUNK = 512
+BLOCK = 1 << 20
 MAX_STATES = 150_000
 #: Up to so many vocabulary entries under a prefix, contexts that allow the same ones count as one.
 FEW = 32
@@ -206,8 +208,26 @@ class Machine:
 
     def gains(self, symbols: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
         """The change of the token count at each symbol; symbols[0] must be a text's start."""
-        if len(self.defs) > MAX_STATES:
-            self.clear()
+        gain, state = np.zeros(len(symbols), np.int8), self.start
+        block = max(1, BLOCK // chunk) * chunk
+        for lo in range(0, len(symbols), block):
+            if len(self.defs) > MAX_STATES:
+                key = self.defs[state]
+                self.clear()
+                state = self.state(key)
+            gain[lo : lo + block], state = self._block(symbols[lo : lo + block], chunk, state)
+        return gain
+
+    def _walk(self, grid: np.ndarray, gain: np.ndarray, lanes: np.ndarray, states: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """The states of chunks after their first ``stop`` symbols, begun in ``states``."""
+        states = states.copy()
+        for k in range(int(stop.max()) if len(lanes) else 0):
+            on = stop > k
+            states[on], gain[k, lanes[on]] = self.step(states[on], grid[k, lanes[on]])
+        return states
+
+    def _block(self, symbols: np.ndarray, chunk: int, state: int) -> tuple[np.ndarray, int]:
+        """Changes of the token count and the state at the end. Only the last block of a slice may end amid a chunk."""
         n = len(symbols)
         lanes = -(-n // chunk)
         grid = np.zeros(lanes * chunk, np.uint16)
@@ -217,31 +237,53 @@ class Machine:
         sync = grid <= 5
         synced = sync.any(0)
         first = np.where(synced, sync.argmax(0), chunk)
-        # Each chunk from its first synchronising symbol, where the state before doesn't matter.
-        state = np.full(lanes, self.start, np.int64)
+        # Each chunk from its first synchronising symbol, where the state before doesn't matter: there its map is constant.
+        end = np.full(lanes, self.start, np.int64)
         order = np.argsort(first, kind="stable")
         began = np.searchsorted(first[order], np.arange(chunk), side="right")
         for k in range(chunk):
             on = order[: began[k]]
             if len(on) == lanes:
-                state, gain[k] = self.step(state, grid[k])
+                end, gain[k] = self.step(end, grid[k])
             elif len(on):
-                state[on], gain[k, on] = self.step(state[on], grid[k, on])
-        # The scan: a chunk's incoming state is the end of the nearest synchronised chunk to its left, run through the open chunks between.
-        source = np.maximum.accumulate(np.where(synced, np.arange(lanes), -1))
-        behind = np.concatenate([[0], np.arange(lanes - 1) - source[:-1]])  # open chunks between
-        out = state
-        for depth in range(int(behind.max()) + 1 if lanes else 0):
-            todo = np.nonzero((behind == depth) & (first > 0))[0]
-            if not len(todo):
-                continue
-            now = out[todo - 1]
-            for k in range(int(first[todo].max())):
-                on = first[todo] > k
-                now[on], gain[k, todo[on]] = self.step(now[on], grid[k, todo[on]])
-            open_ = ~synced[todo]
-            out[todo[open_]] = now[open_]
-        return gain.T.reshape(-1)[:n]
+                end[on], gain[k, on] = self.step(end[on], grid[k, on])
+        self._open_chunks(grid, gain, end, np.nonzero(~synced)[0], state)
+        heads = np.nonzero(synced & (first > 0))[0]
+        self._walk(grid, gain, heads, np.where(heads > 0, end[heads - 1], state), first[heads])
+        return gain.T.reshape(-1)[:n], int(end[-1])
+
+    def _open_chunks(self, grid: np.ndarray, gain: np.ndarray, end: np.ndarray, lanes: np.ndarray, state: int) -> None:
+        """Chunks without a synchronising symbol; sets their states in ``end``.
+
+        A chunk's map is known where it was evaluated: at one state each, that which the chunk before reaches when it is
+        begun afresh. Neighbours compose where the one's result is the other's argument; a prefix scan, doubling its reach
+        at each step, tells for which chunks all maps up to them compose. The others are evaluated anew at the results
+        found to their left, until all compose; as machines forget, once is mostly enough.
+        """
+        if not len(lanes):
+            return
+        size = len(grid)
+        whole = np.full(len(lanes), size)
+        head = np.append(True, np.diff(lanes) > 1)  # what comes before is known
+        place = np.arange(len(lanes))
+        place -= np.maximum.accumulate(np.where(head, place, 0))
+        argument = np.where(lanes > 0, end[lanes - 1], state)
+        fresh = self._walk(grid, np.zeros_like(gain), lanes, np.full(len(lanes), self.start), whole)
+        argument[~head] = fresh[:-1][~head[1:]]
+        result, todo = np.zeros_like(argument), np.arange(len(lanes))
+        while len(todo):
+            result[todo] = self._walk(grid, gain, lanes[todo], argument[todo], whole[todo])
+            composes = head.copy()
+            composes[1:] |= result[:-1] == argument[1:]
+            span = 1
+            while span <= place.max():
+                further = place >= span
+                composes[further] &= composes[np.nonzero(further)[0] - span]
+                span *= 2
+            todo = np.nonzero(~composes)[0]
+            todo = todo[argument[todo] != result[todo - 1]]
+            argument[todo] = result[todo - 1]
+        end[lanes] = result
 
     def counts(self, column: pa.Array) -> np.ndarray:
         """Tokens of each text of an Arrow string column."""
