@@ -9,7 +9,8 @@ SPACE = r"[ \t\n\r\f\x0B]"
 ENTITY = r"&[^;]*?;"
 #: The role of boilerplate paragraphs, what counts as the same quotation mark, containers without a meaning of their own, names of languages.
 BOILERPLATE_ROLE = "RoleCreateBugPara"
-APOSTROPHES, QUOTES = r"'|’|&apos;", r"\"|“|”|&quot;"
+VERBATIM = ("date", "screen", "programlisting", "literallayout", "synopsis", "address", "computeroutput")
+UNCOMPARED = "xmlns|version|remap"
 IGNORED_CONTAINERS = ("partintro",)
 LISTING_LANGUAGES = {"ini": "INI Files", "json": "JavaScript"}
 
@@ -38,17 +39,9 @@ def unmask_entities(masked: Column, names: Column) -> Column:
     return F.aggregate(F.reverse(F.transform(names, lambda n, i: F.struct(n.alias("n"), i.alias("i")))), masked, lambda acc, e: F.replace(acc, _placeholder(e["i"]), e["n"]))
 
 
-def fold_characters(xml: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(xml, APOSTROPHES, "#apos#"), QUOTES, "#quot#")
-
-
-def squeeze_markup(xml: Column) -> Column:
-    """Whitespace that doesn't matter in markup: one tag or run of text to a line, trimmed, inner runs squeezed."""
-    x = F.regexp_replace(xml, r"[\n\r\t]+", " ")
-    x = F.regexp_replace(F.regexp_replace(x, ">", ">\n"), "<", "\n<")
-    x = F.regexp_replace(x, r" +", " ")
-    x = F.regexp_replace(x, r"( ?\n ?)+", "\n")
-    return F.trim(F.regexp_replace(x, r"^\n|\n$", ""))
+def fold_characters(text: Column) -> Column:
+    """Straight and curly quotation marks and their entities as one."""
+    return F.replace(F.replace(F.translate(text, "’“”", "'\"\""), F.lit("&apos;"), F.lit("'")), F.lit("&quot;"), F.lit('"'))
 
 
 def strip_comments(xml: Column, keep_injections: bool = True) -> Column:
@@ -89,17 +82,69 @@ def listing_language(name: Column) -> Column:
     return out.otherwise(name)
 
 
-def canonical(xml: Column) -> Column:
-    """What two formattings of the same content share: whitespace, quotation marks, comments and namespaces don't count."""
-    return squeeze_markup(fold_characters(fold_injections(strip_comments(drop_xmlns(xml)))))
+#: A comment, character data, a tag, or a run of text; a < that opens nothing stands alone.
+PIECE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[^<>]*>|[^<]+|<"
+_NAME = r"[A-Za-z_][\w.:-]*"
+_ATTRIBUTE = r"""\s([\w.:-]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'<>]+))?)"""
+
+
+def pieces(xml: Column) -> Column:
+    return F.regexp_extract_all(xml, F.lit(PIECE), F.lit(0))
+
+
+def order_attributes(tag: Column) -> Column:
+    """A start tag with its attributes in order of their names, double quotes around their values; those that don't count are dropped."""
+    value = lambda a: F.replace(F.regexp_extract(a, r"""(?s)=\s*["'](.*)["']$""", 1), F.lit('"'), F.lit("&quot;"))
+    shown = lambda a: F.when(a.rlike(r"""=\s*["']"""), F.concat(F.regexp_extract(a, r"^([\w.:-]+)", 1), F.lit('="'), value(a), F.lit('"'))).otherwise(a)
+    kept = F.filter(F.regexp_extract_all(tag, F.lit(_ATTRIBUTE), F.lit(1)), lambda a: ~a.rlike(f"^(?:{UNCOMPARED})"))
+    attrs = F.array_sort(F.transform(kept, shown))
+    return F.concat(F.regexp_extract(tag, f"^(<{_NAME})", 1), F.array_join(F.transform(attrs, lambda a: F.concat(F.lit(" "), a)), ""), F.when(tag.endswith("/>"), "/>").otherwise(">"))
+
+
+def _compared(piece: Column) -> Column:
+    start, end = piece.rlike(f"^<{_NAME}"), piece.startswith("</")
+    text = ~piece.startswith("<") | piece.startswith("<![CDATA[")
+    return F.when(text, fold_characters(piece)).when(start, order_attributes(piece)).when(end, F.regexp_replace(piece, r"\s+>$", ">")).otherwise(piece)
+
+
+def compared(xml: Column, strict: bool = False, root: Column | str | None = "section") -> Column:
+    """The pieces of a text as far as they count: without preamble and comments, attributes in order, quotation marks folded, empty elements closed at once, the root renamed.
+
+    Injections are one placeholder, unless strict. root: the name that all document elements get, None to leave them.
+    """
+    x = strip_comments(strip_preamble(xml))
+    x = x if strict else fold_injections(x)
+    x = F.regexp_replace(x, rf"<({_NAME})((?:\s[^<>]*)?)></{_NAME}\s*>", "<$1$2/>")
+    x = x if root is None else rename_root(x, F.lit(root) if isinstance(root, str) else root)
+    return F.transform(pieces(x), _compared)
+
+
+def squeeze(parts: Column) -> Column:
+    """Pieces one to a line, whitespace squeezed and trimmed; blank ones vanish."""
+    thin = F.transform(parts, lambda p: F.trim(F.regexp_replace(p, rf"{SPACE}+", " ")))
+    return F.array_join(F.filter(thin, lambda p: p != ""), "\n")
 
 
-def canonical_key(xml: Column) -> Column:
-    return F.sha2(canonical(xml), 256)
+def verbatim(parts: Column) -> Column:
+    """The elements of which the layout counts, letter by letter, by name."""
+    raw = F.array_join(parts, "")
+    return F.concat(*(F.regexp_extract_all(raw, F.lit(rf"(?s)<{n}(?:\s[^<>]*)?>.*?</{n}>"), F.lit(0)) for n in VERBATIM))
 
 
-def strict_key(xml: Column) -> Column:
-    return F.sha2(squeeze_markup(drop_xmlns(xml)), 256)
+def canonical(xml: Column, strict: bool = False, root: Column | str | None = "section") -> Column:
+    """What two formattings of the same content share; the layout of verbatim elements, which counts, stands behind it."""
+    parts = compared(xml, strict, root)
+    kept = F.when(xml.rlike(rf"<(?:{'|'.join(VERBATIM)})[\s>]"), F.concat(F.lit("\n\n"), F.array_join(verbatim(parts), "\n"))).otherwise("")
+    return F.concat(squeeze(parts), kept)
+
+
+def canonical_key(xml: Column, root: Column | str | None = "section") -> Column:
+    return F.sha2(canonical(xml, root=root), 256)
+
+
+def strict_key(xml: Column, root: Column | str | None = "section") -> Column:
+    """Like canonical_key, but injections must be the same."""
+    return F.sha2(canonical(xml, True, root), 256)
 
 
 def escape_title(title: Column) -> Column:
@@ -181,8 +226,26 @@ def normalize_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"[ \t\n\r ]+", " "))
 
 
+_LINKEND = r"""\blinkend=(?:"[^"]*"|'[^']*')"""
 #: Links within a book, whole elements.
-LINKS = r'(?s)<xref\b[^>]*?\blinkend="[^"]*"[^>]*?(?:/>|>\s*</xref>)|<link\b[^>]*?\blinkend="[^"]*"[^>]*?(?:/>|>.*?</link>)'
+LINKS = rf"(?s)<xref\b[^>]*?{_LINKEND}[^>]*?(?:/>|>\s*</xref>)|<link\b[^>]*?{_LINKEND}[^>]*?(?:/>|>.*?</link>)"
+
+
+def linkend(link: Column) -> Column:
+    """The id that a link names, in either kind of quotation marks."""
+    return F.regexp_extract(link, r"""\blinkend=["']([^"']*)["']""", 1)
+
+
+def linkends(xml: Column) -> Column:
+    """The ids that the links of a text name, in order."""
+    return F.transform(F.regexp_extract_all(xml, F.lit(LINKS), F.lit(0)), linkend)
+
+
+def injections(xml: Column) -> Column:
+    """The topics that injections name, in order: 12, T3."""
+    return F.regexp_extract_all(xml, F.lit(r"<!--\s*Inject\s*:\s*(T?\d+)\s*-->"), F.lit(1))
+
+
 #: Elements of which the text is kept letter by letter.
 LITERAL = "userinput|computeroutput"
 
@@ -192,8 +255,7 @@ def fold_xrefs(xml: Column, ids: Column) -> Column:
     known = F.coalesce(ids, F.array().cast("array<string>"))
 
     def put(acc, piece):
-        own = F.regexp_extract(piece, r'\blinkend="([^"]*)"', 1)
-        return F.when(F.array_contains(known, own), F.replace(acc, piece, F.lit("<!-- InjectPlaceholder: 0 -->"))).otherwise(acc)
+        return F.when(F.array_contains(known, linkend(piece)), F.replace(acc, piece, F.lit("<!-- InjectPlaceholder: 0 -->"))).otherwise(acc)
 
     return F.aggregate(F.array_distinct(F.regexp_extract_all(xml, F.lit(LINKS), F.lit(0))), xml, put)
 

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkloom.operators.scratch import held
+
 
 def resolve_targets(links: DataFrame, topics: DataFrame, containers: DataFrame) -> DataFrame:
     """links(doc_id, src, ord, linkend) with dst_kind and dst: topics before containers, within a kind the last wins.
@@ -30,29 +32,24 @@ def conflicts(constraints: DataFrame) -> DataFrame:
     return constraints.groupBy("topic_key", "store_id", "target_xml_id").agg(F.countDistinct("required_ref").alias("n")).where("n > 1").select("topic_key", "store_id").distinct()
 
 
-def _held(df: DataFrame) -> DataFrame:
-    """df computed once, without its lineage."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def _closure(edges: DataFrame) -> DataFrame:
     """(root, path, depth) for all that each path reaches, by joins of what the last step found that is new."""
-    new = _held(edges.select(F.col("path").alias("root"), F.col("child").alias("path"), F.lit(1).alias("depth")))
+    new = held(edges.select(F.col("path").alias("root"), F.col("child").alias("path"), F.lit(1).alias("depth")))
     found, depth = new, 1
     while not new.isEmpty():
         depth += 1
         step = new.select("root", "path").join(edges, "path").select("root", F.col("child").alias("path")).distinct()
-        new = _held(step.join(found, ["root", "path"], "left_anti").withColumn("depth", F.lit(depth)))
+        new = held(step.join(found, ["root", "path"], "left_anti").withColumn("depth", F.lit(depth)))
         found = found.unionByName(new)
-    return _held(found)
+    return held(found)
 
 
 def _met(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """(start, path) where a trail from a start meets a path that it already holds. Only for edges within groups that reach each other."""
-    trails = _held(starts.select("start", F.col("start").alias("path"), F.array("start").alias("trail")))
+    trails = held(starts.select("start", F.col("start").alias("path"), F.array("start").alias("trail")))
     met = trails.select("start", "path").limit(0)
     while not trails.isEmpty():
-        step = _held(trails.join(edges, "path").select("start", "child", "trail", F.array_contains("trail", F.col("child")).alias("meets")))
+        step = held(trails.join(edges, "path").select("start", "child", "trail", F.array_contains("trail", F.col("child")).alias("meets")))
         met = met.unionByName(step.where("meets").select("start", F.col("child").alias("path")).distinct())
         trails = step.where("NOT meets").select("start", F.col("child").alias("path"), F.array_append("trail", F.col("child")).alias("trail"))
     return met.distinct()
@@ -63,19 +60,19 @@ def include_closure(spark: SparkSession, includes: DataFrame) -> DataFrame:
 
     Depth has no bound. Trails are followed only inside groups of files that reach each other, since no circle leaves its group.
     """
-    edges = _held(includes.where("path IS NOT NULL").select("path", "child").distinct())
+    edges = held(includes.where("path IS NOT NULL").select("path", "child").distinct())
     found = _closure(edges)
     circles = found.where("root = path").select("path")
     if circles.isEmpty():
         return found.withColumn("cyclic", F.lit(False))
     back = found.select(F.col("root").alias("path"), F.col("path").alias("root"))
-    group = _held(found.select("root", "path").join(back, ["root", "path"]).groupBy("root").agg(F.min("path").alias("group")).withColumnRenamed("root", "node"))
+    group = held(found.select("root", "path").join(back, ["root", "path"]).groupBy("root").agg(F.min("path").alias("group")).withColumnRenamed("root", "node"))
     tied = edges.join(group.select(F.col("node").alias("path"), F.col("group").alias("from")), "path", "left").join(group.select(F.col("node").alias("child"), F.col("group").alias("to")), "child")
-    within = _held(tied.where("from = to").select("path", "child"))
+    within = held(tied.where("from = to").select("path", "child"))
     # Where a root enters a group: at itself, or by an edge from outside that it reaches.
     doors = tied.where("NOT from <=> to").select("path", F.col("child").alias("start"))
     reach = found.select("root", "path").unionByName(edges.select(F.col("path").alias("root"), "path").distinct())
-    enters = _held(reach.join(doors, "path").select("root", "start").unionByName(group.select(F.col("node").alias("root"), F.col("node").alias("start"))).distinct())
+    enters = held(reach.join(doors, "path").select("root", "start").unionByName(group.select(F.col("node").alias("root"), F.col("node").alias("start"))).distinct())
     met = enters.join(_met(within, enters.select("start").distinct()), "start").select("root", "path").distinct().withColumn("met", F.lit(True))
     return found.join(met, ["root", "path"], "left").select("root", "path", "depth", F.coalesce("met", F.lit(False)).alias("cyclic"))
 

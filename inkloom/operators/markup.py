@@ -6,15 +6,17 @@ import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from xml.etree import ElementTree
-from xml.sax.saxutils import escape, quoteattr
+from xml.sax.saxutils import escape, quoteattr, unescape
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkloom.operators.stack import flat
+
 #: Element names of the book dialect.
-CONTAINERS = ["part", "chapter", "appendix", "preface", "article", "section", "sect1", "sect2", "sect3", "sect4", "sect5", "simplesect"]
-INFOS = ["sectioninfo", "chapterinfo", "partinfo", "appendixinfo", "prefaceinfo", "bookinfo", "articleinfo", "info"]
+CONTAINERS = ["part", "chapter", "appendix", "preface", "section", "sect1", "sect2", "sect3", "sect4", "sect5", "simplesect"]
+INFOS = ["sectioninfo", "chapterinfo", "partinfo", "appendixinfo", "prefaceinfo", "setinfo", "bookinfo", "articleinfo", "info"]
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 NODES = "node_id int, parent_id int, post int, ord int, depth int, name string, attrs map<string,string>, text string"
 
@@ -163,25 +165,39 @@ def headings(df: DataFrame, key: str, html: str) -> DataFrame:
     return out.select(key, "place", F.col("h.levels").alias("level"), F.col("h.clamped").alias("clamped"), F.col("h.titles").alias("title"))
 
 
-def canonical_attributes(xml: str | None) -> str | None:
-    """Attributes in order of their names, without namespaces, versions and remaps; None if not well formed."""
-    try:
-        root = ElementTree.fromstring(xml or "")
-    except (ElementTree.ParseError, ValueError):
-        return None
+def serialise(rows: list[list]) -> str:
+    """The text of shredded rows: attributes in order, empty elements closed at once."""
+    out, open_ = [], []
+    for k, r in enumerate(rows):
+        while open_ and open_[-1][0] != r[1]:
+            out.append(f"</{open_.pop()[1]}>")
+        if r[5] == "#text":
+            out.append(escape(r[7]))
+        elif r[5] == "#comment":
+            out.append(f"<!--{r[7]}-->")
+        else:
+            inner = k + 1 < len(rows) and rows[k + 1][1] == r[0]
+            out.append(f"<{r[5]}{''.join(f' {n}={quoteattr(v)}' for n, v in sorted(r[6].items()))}{'' if inner else '/'}>")
+            if inner:
+                open_.append((r[0], r[5]))
+    return "".join(out) + "".join(f"</{name}>" for _, name in reversed(open_))
 
-    def show(e) -> str:
-        name = e.tag.rpartition("}")[2]
-        attrs = sorted((k.rpartition("}")[2], v) for k, v in e.attrib.items())
-        head = "".join(f" {k}={quoteattr(v)}" for k, v in attrs if not k.startswith(("xmlns", "version", "remap")))
-        body = escape(e.text or "") + "".join(show(c) + escape(c.tail or "") for c in e)
-        return f"<{name}{head}>{body}</{name}>"
 
-    return show(root)
+def parsed(df: DataFrame, key: str, xml: str, entities: bool = True) -> DataFrame:
+    """(key, xml) with each text parsed and written anew, null where it isn't well formed. entities: general entities are kept as they are."""
+    hide, show = (re.compile(r"&(?=[^;\s<&]*;)"), "\ue000") if entities else (re.compile("(?!)"), "\ue000")
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for t in frame["xml"]:
+                rows = shred_xml(hide.sub(show, t)) if t is not None else None
+                out.append(serialise(rows).replace(show, "&") if rows else None)
+            frame["xml"] = out
+            yield frame
 
-def canonical_markup(xml: Column) -> Column:
-    return F.pandas_udf(lambda s: s.map(canonical_attributes), "string")(xml)
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, F.col(xml).alias("xml")).mapInPandas(run, f"{key} {kind}, xml string")
 
 
 # HTML to sections.
@@ -192,6 +208,8 @@ def strip_number(title: str) -> str:
     return re.sub(r"^\d+(\.\d+)*\.?\s*", "", title)
 
 
+#: Kinds of ordered lists.
+NUMERATIONS = {"1": "arabic", "a": "loweralpha", "A": "upperalpha", "i": "lowerroman", "I": "upperroman"}
 _SKIP = {"script", "style", "head", "nav", "footer"}
 _MARKS = {"strong": "bold", "b": "bold", "em": "italic", "i": "italic", "u": "underline", "s": "strikethrough", "strike": "strikethrough"}
 
@@ -206,13 +224,13 @@ class _Page:
             if r[1] is not None:
                 self.kids.setdefault(r[1], []).append(r[0])
 
-    def inline(self, n: int) -> str:
+    def inline(self, n: int):
         _, _, _, _, _, name, attrs, text = self.rows[n]
         if name == "#text":
             return escape(re.sub(r"\s+", " ", text))
         if name in _SKIP or name == "#comment":
             return ""
-        body = "".join(self.inline(k) for k in self.kids.get(n, ()))
+        body = yield self.inlines(self.kids.get(n, ()))
         if name == "a":
             return f"<ulink url={quoteattr(self.absolute(attrs.get('href', '')))}>{body}</ulink>" if "<mediaobject>" not in body else body
         if name == "img":
@@ -221,31 +239,45 @@ class _Page:
             return "\n"
         return f'<emphasis role="{_MARKS[name]}">{body}</emphasis>' if name in _MARKS and body.strip() else body
 
+    def inlines(self, nodes):
+        out = []
+        for k in nodes:
+            out.append((yield self.inline(k)))
+        return "".join(out)
+
     def absolute(self, url: str) -> str:
         from urllib.parse import urljoin
 
         return urljoin(self.base, url)
 
-    def items(self, n: int) -> str:
+    def items(self, n: int):
         out = []
         for k in self.kids.get(n, ()):
             if self.rows[k][5] == "li":
                 inner = [c for c in self.kids.get(k, ()) if self.rows[c][5] in ("ul", "ol")]
-                text = "".join(self.inline(c) for c in self.kids.get(k, ()) if c not in inner)
-                out.append("<listitem>" + "".join(f"<para>{p.strip()}</para>" for p in text.split("\n") if p.strip()) + "".join(self.list(c) for c in inner) + "</listitem>")
+                text = yield self.inlines([c for c in self.kids.get(k, ()) if c not in inner])
+                out.append("<listitem>" + "".join(f"<para>{p.strip()}</para>" for p in text.split("\n") if p.strip()))
+                for c in inner:
+                    out.append((yield self.list(c)))
+                out.append("</listitem>")
         return "".join(out)
 
-    def list(self, n: int) -> str:
-        name = "orderedlist" if self.rows[n][5] == "ol" else "itemizedlist"
-        return f"<{name}>{self.items(n)}</{name}>"
+    def list(self, n: int):
+        name, kind = ("orderedlist", self.rows[n][6].get("type", "")) if self.rows[n][5] == "ol" else ("itemizedlist", "")
+        numeration = f' numeration="{NUMERATIONS[kind]}"' if kind in NUMERATIONS else ""
+        return f"<{name}{numeration}>{(yield self.items(n))}</{name}>"
 
     def find(self, n: int, name: str) -> list[int]:
-        out = []
-        for k in self.kids.get(n, ()):
-            out += [k] if self.rows[k][5] == name else [] if self.rows[k][5] == "table" else self.find(k, name)
+        out, todo = [], [*reversed(self.kids.get(n, ()))]
+        while todo:
+            k = todo.pop()
+            if self.rows[k][5] == name:
+                out.append(k)
+            elif self.rows[k][5] != "table":
+                todo += reversed(self.kids.get(k, ()))
         return out
 
-    def table(self, n: int, tag: str = "informaltable") -> str:
+    def table(self, n: int, tag: str = "informaltable"):
         rows = []
         for r in self.find(n, "tr"):
             cells = [c for c in self.kids.get(r, ()) if self.rows[c][5] in ("td", "th")]
@@ -269,7 +301,11 @@ class _Page:
                             w, h = span(c, "colspan"), span(c, "rowspan")
                             inner = self.find(c, "table")
                             attr = (f' namest="c{at}" nameend="c{at + w - 1}"' if w > 1 else "") + (f' morerows="{h - 1}"' if h > 1 else "")
-                            entries.append(self.table(inner[0], "entrytbl") if inner else f"<entry{attr}>{''.join(self.inline(k) for k in self.kids.get(c, ())).strip()}</entry>")
+                            if inner:
+                                entries.append((yield self.table(inner[0], "entrytbl")))
+                            else:
+                                text = yield self.inlines(self.kids.get(c, ()))
+                                entries.append(f"<entry{attr}>{text.strip()}</entry>")
                             at += w
                         entries += ["<entry/>"] * (width - at + 1 if kind == "thead" else 0)
                         lines.append(f"<row>{''.join(entries)}</row>")
@@ -278,8 +314,8 @@ class _Page:
             out.append(f'<entrytbl cols="{width}">{group}</entrytbl>' if tag == "entrytbl" else f'<{tag}><tgroup cols="{width}">{group}</tgroup></{tag}>')
         return "".join(out)
 
-    def blocks(self) -> Iterator[tuple[int, str]]:
-        """(heading level or 0, markup)."""
+    def blocks(self) -> Iterator[tuple[int, str | tuple[str, str]]]:
+        """(heading level, title and initial text) or (0, markup)."""
         seen: set[int] = set()
         for r in self.rows:
             n, parent, name = r[0], r[1], r[5]
@@ -289,15 +325,15 @@ class _Page:
             if re.fullmatch("h[1-6]", name):
                 yield int(name[1]), self.heading(n)
             elif name in ("ul", "ol"):
-                yield 0, self.list(n)
+                yield 0, flat(self.list(n))
             elif name == "table":
-                yield 0, self.table(n)
+                yield 0, flat(self.table(n))
             elif name == "pre":
                 text = escape("".join(self.rows[k][7] or "" for k in self.under(n)))
                 lang = r[6].get("class", "")
                 yield 0, f"<programlisting{f' language={quoteattr(lang)}' if lang else ''}>{text}</programlisting>" if r[6].get("name") == "code" else f"<screen>{text}</screen>"
             elif name == "p":
-                text = "".join(self.inline(k) for k in self.kids.get(n, ())).replace(" ", " ").strip()
+                text = flat(self.inlines(self.kids.get(n, ()))).replace(" ", " ").strip()
                 if text:
                     yield 0, f"<para>{text}</para>"
             else:
@@ -305,22 +341,49 @@ class _Page:
             seen.add(n)
 
     def under(self, n: int) -> Iterator[int]:
-        for k in self.kids.get(n, ()):
-            yield k
-            yield from self.under(k)
-
-    def heading(self, n: int) -> str:
-        return strip_number("".join(self.rows[k][7] for k in self.under(n) if self.rows[k][5] == "#text").strip())
+        todo = [*reversed(self.kids.get(n, ()))]
+        while todo:
+            yield (k := todo.pop())
+            todo += reversed(self.kids.get(k, ()))
+
+    def heading(self, n: int) -> tuple[str, str]:
+        """The title, and what of it stands from the first link or image on, as a paragraph of the section."""
+        title, rest, todo = [], [], [*reversed(self.kids.get(n, ()))]
+        while todo:
+            k = todo.pop()
+            name = self.rows[k][5]
+            if name in ("#text", "a", "img"):
+                piece = flat(self.inline(k))
+                (rest if rest or piece.startswith("<") else title).append(piece)
+            elif name not in _SKIP:
+                todo += reversed(self.kids.get(k, ()))
+        text = strip_number(unescape("".join(title)).strip()).strip()
+        return text or "Untitled", f"<para>{''.join(rest)}</para>" if rest else ""
 
 
 def page_sections(html: str | None, url: str | None) -> list[tuple[int, int, str, str]]:
-    """(place, level, title, body) of a page's sections; a level is at most one deeper than the one before."""
+    """(place, level, title, body) of a page's sections.
+
+    A level is at most one deeper than the one before. A heading without content is kept where a deeper one follows, as its
+    container; else it goes, and with it the containers that it leaves empty. What comes before the first heading has no section.
+    """
     out: list[tuple[int, str, list[str]]] = []
-    for level, markup in _Page(html, url or "").blocks():
+
+    def unwind(level: int) -> None:
+        while out and not out[-1][2] and level <= out[-1][0]:
+            out.pop()
+
+    before = 0
+    for level, part in _Page(html, url or "").blocks():
         if level:
-            out.append((min(level, (out[-1][0] if out else 0) + 1), markup, []))
+            level = min(level, before + 1)
+            unwind(level)
+            title, initial = part
+            out.append((level, title, [initial] if initial else []))
+            before = level
         elif out:
-            out[-1][2].append(markup)
+            out[-1][2].append(part)
+    unwind(0)
     return [(k, level, title, "".join(body)) for k, (level, title, body) in enumerate(out)]
 
 

@@ -7,13 +7,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions import text as X
+from inkloom.operators.scratch import held
 
 
-def reuse(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, survivor, status): equal canonical texts share their least key; the survivor is NEW, the others REUSED."""
-    hashed = df.select(key, X.canonical_key(F.coalesce(F.col(text), F.lit(""))).alias("canon"))
-    least = hashed.groupBy("canon").agg(F.min(key).alias("survivor"))
-    return hashed.join(least, "canon").select(key, "survivor", F.when(F.col(key) == F.col("survivor"), "NEW").otherwise("REUSED").alias("status"))
+def reuse(df: DataFrame, key: str, text: str, strict: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """(key, the columns keep, survivor, status): equal canonical texts share their least key; the survivor is NEW, the others REUSED.
+
+    Texts are read once, into hashes; only hashes that occur again are joined.
+    """
+    kind = X.strict_key if strict else X.canonical_key
+    hashed = held(df.select(key, *(keep or []), F.unhex(kind(F.coalesce(F.col(text), F.lit("")))).alias("__canon")), "hashes")
+    least = hashed.groupBy("__canon").agg(F.min(key).alias("survivor"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    survivor = F.coalesce("survivor", key)
+    return hashed.join(least, "__canon", "left").select(key, *(keep or []), survivor.alias("survivor"), F.when(F.col(key) == survivor, "NEW").otherwise("REUSED").alias("status"))
+
+
+def counters(found: DataFrame, by: str) -> DataFrame:
+    """(by, all_rows, new_rows, matched_rows): what an import created and what it reused."""
+    return found.groupBy(by).agg(F.count("*").alias("all_rows"), F.count_if(F.col("status") == "NEW").alias("new_rows"), F.count_if(F.col("status") != "NEW").alias("matched_rows"))
 
 
 def shingles(text: Column, words: int) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkloom.operators.markup import strip_number
+from inkloom.operators.stack import flat
 
 #: Number formats of lists and marks of characters.
 NUMERATION = {"a": "loweralpha", "A": "upperalpha", "i": "lowerroman", "I": "upperroman"}
@@ -76,9 +77,16 @@ class _Office:
         return None
 
     def plain(self, e) -> str:
-        out = [e.text or ""]
-        for k in e:
-            out += [" " * int(k.get("c", "1")) if k.tag == "s" else "\t" if k.tag == "tab" else "\n" if k.tag == "line-break" else "" if k.tag == "annotation" else self.plain(k), k.tail or ""]
+        out, todo = [], [e]
+        while todo:
+            k = todo.pop()
+            if isinstance(k, str):
+                out.append(k)
+            elif k.tag in ("s", "tab", "line-break"):
+                out.append(" " * int(k.get("c", "1")) if k.tag == "s" else "\t" if k.tag == "tab" else "\n")
+            elif k.tag != "annotation":
+                out.append(k.text or "")
+                todo += [x for c in reversed(k) for x in (c.tail or "", c)]
         return "".join(out)
 
     def marked(self, text: str | None, styles: list, emphasis: bool) -> str:
@@ -90,7 +98,7 @@ class _Office:
             return escape(text)
         return f"<emphasis{f' role={quoteattr(mark)}' if mark else ''}>{escape(text)}</emphasis>"
 
-    def inline(self, e, styles: list, emphasis: bool = True, anchor: str | None = None) -> str:
+    def inline(self, e, styles: list, emphasis: bool = True, anchor: str | None = None):
         styles = [e.get("style-name"), *styles] if e.get("style-name") else styles
         out = [self.marked(e.text, styles, emphasis)]
         for k in e:
@@ -109,17 +117,17 @@ class _Office:
                     name = "inlinemediaobject" if anchor == "as-char" else "mediaobject"
                     out.append(f"<{name}><imageobject><imagedata fileref={quoteattr(k.get('href').strip())}/></imageobject></{name}>")
             elif k.tag not in ("bookmark", "bookmark-start", "bookmark-end", "sequence-decls"):
-                out.append(self.inline(k, styles, emphasis, k.get("anchor-type", anchor)))
+                out.append((yield self.inline(k, styles, emphasis, k.get("anchor-type", anchor))))
             out.append(self.marked(k.tail, styles, emphasis))
         return "".join(out)
 
     def para(self, p) -> tuple[str, str, bool] | None:
         """(element, text, merges with a like neighbour), None if there is nothing."""
         rule = self.rule(p)
-        text = escape(self.plain(p)) if rule else self.inline(p, []).replace("\xa0", " ").strip()
+        text = escape(self.plain(p)) if rule else flat(self.inline(p, [])).replace("\xa0", " ").strip()
         return (rule["element"] if rule else "para", text, bool(rule and rule.get("merge"))) if text.strip() else None
 
-    def flow(self, children, depth: int = 0, style: str | None = None) -> str:
+    def flow(self, children, depth: int = 0, style: str | None = None):
         """Paragraphs, lists and tables in order; neighbours of one merging element are one, line by line."""
         out: list[list] = []
         for e in children:
@@ -129,18 +137,22 @@ class _Office:
                 else:
                     out.append([x[0] if x[2] else None, x[1] if x[2] else f"<{x[0]}>{x[1]}</{x[0]}>"])
             elif e.tag == "list":
-                out.append([None, self.list(e, depth + 1, style)])
+                out.append([None, (yield self.list(e, depth + 1, style))])
             elif e.tag == "table":
-                out.append([None, self.table(e)])
+                out.append([None, (yield self.table(e))])
         return "".join(t if name is None else f"<{name}>{t}</{name}>" for name, t in out)
 
-    def list(self, e, depth: int = 1, style: str | None = None) -> str:
+    def list(self, e, depth: int = 1, style: str | None = None):
         style = style or e.get("style-name")
         number = None
         if style in self.lists:
             number = next((n for n in self.lists[style].findall("list-level-style-number") if n.get("level") == str(depth)), None)
-        head = "".join(self.flow(h.findall("p")) for h in e.findall("list-header"))
-        items = [x for i in e.findall("list-item") if (x := self.flow([k for k in i if k.tag in ("p", "list")], depth, style))]
+        head, items = "", []
+        for h in e.findall("list-header"):
+            head += yield self.flow(h.findall("p"))
+        for i in e.findall("list-item"):
+            if x := (yield self.flow([k for k in i if k.tag in ("p", "list")], depth, style)):
+                items.append(x)
         if not e.findall("list-item"):
             return head  # a list of a header alone is but a paragraph
         if not head and not items:
@@ -149,7 +161,7 @@ class _Office:
         kind = "" if number is None else f' numeration="{NUMERATION.get(number.get("num-format"), "arabic")}"'
         return f"<{name}{kind}>{head}{''.join(f'<listitem>{x}</listitem>' for x in items)}</{name}>"
 
-    def table(self, e, tag: str = "informaltable") -> str:
+    def table(self, e, tag: str = "informaltable"):
         span = lambda c, k: max(1, int(c.get(k, "1")))
         heads = [r for h in e.findall("table-header-rows") for r in h.findall("table-row")]
         bodies = [r for k in e for r in ([k] if k.tag == "table-row" else k.findall("table-row") if k.tag in ("table-rows", "table-row-group") else [])]
@@ -169,7 +181,7 @@ class _Office:
                         h = span(c, "number-rows-spanned")
                         attr = (f' namest="c{at}" nameend="c{at + w - 1}"' if w > 1 else "") + (f' morerows="{h - 1}"' if h > 1 else "")
                         inner = c.find("table")
-                        cells.append(self.table(inner, "entrytbl") if inner is not None else f"<entry{attr}>{self.flow(c)}</entry>")
+                        cells.append((yield self.table(inner, "entrytbl")) if inner is not None else f"<entry{attr}>{(yield self.flow(c))}</entry>")
                         under, at = w - 1, at + w
                 lines.append(f"<row>{''.join(cells)}</row>")
             if lines:
@@ -182,11 +194,11 @@ class _Office:
         body = None if self.root is None else self.root.find(".//body/text")
         if body is None:
             return
-        todo, parts = list(body), []
+        todo, parts = [*reversed(body)], []
         while todo:
-            e = todo.pop(0)
+            e = todo.pop()
             if e.tag == "section":
-                todo = list(e) + todo
+                todo += reversed(e)
             elif e.tag == "h":
                 level = int(e.get("outline-level", "1"))
                 parts.append((level, strip_number(self.plain(e).strip()), []))
@@ -197,7 +209,7 @@ class _Office:
             if not title and not blocks:
                 continue
             before = min(level, before + 1)
-            yield before, title, self.flow(blocks)
+            yield before, title, flat(self.flow(blocks))
 
 
 def archives(files: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkloom.functions.text import LINKS, strict_key
+from inkloom.functions.text import LINKS, linkend, linkends, strict_key
+from inkloom.operators.stack import flat
 
 #: Fixed values.
 COMMON_CONTENT = re.compile(r"Common_Content")
@@ -23,8 +24,9 @@ _MARK = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<xi:include\b[^>]*>|</xi:inc
 _ATTR = re.compile(r"""([\w:.-]+)\s*=\s*(?:"([^"]*)"|'([^']*)')""")
 _PREAMBLE = re.compile(r"^\s*(?:<\?xml.*?\?>)?\s*(?:<!DOCTYPE[^\[>]*(?:\[.*?\]\s*)?>)?", re.S)
 _FILEREF = re.compile(r"""(fileref\s*=\s*)(["'])(.*?)\2""")
-_ADOC = re.compile(r"include::?(.*?)\[\]")
-_ADOC_ATTR = re.compile(r"^:(.*?):(.*?)$", re.M)
+#: The directives of the format.
+_ADOC = re.compile(r"include::?([^\n\[\]]*)\[\]")
+_ADOC_ATTR = re.compile(r"^:([^:\n]*):([^\n]*)$", re.M)
 
 
 class Circular(ValueError):
@@ -103,7 +105,7 @@ def expand_xml(files: dict[str, str | None], path: str) -> str:
 
         return _FILEREF.sub(put, text)
 
-    def include(tag: str, inner: str, at: str, base: str, trail: tuple) -> str:
+    def include(tag: str, inner: str, at: str, base: str, trail: dict):
         attrs = _attrs(tag)
         href = attrs.get("href")
         if href is None:
@@ -115,11 +117,13 @@ def expand_xml(files: dict[str, str | None], path: str) -> str:
         if found is None:
             fallback = re.search(r"<xi:fallback\b[^>]*>(.*)</xi:fallback\s*>", inner, re.S)
             first = next(_includes(fallback[1]), None) if fallback else None
-            return include(*first[:2], at, base, trail) if first else ""
+            return (yield include(*first[:2], at, base, trail)) if first else ""
         if found in trail:
             raise Circular(" > ".join((*trail, found)))
         text = files[found] or ""
-        text = walk(refs(text, found), found, _base(text), (*trail, found))
+        trail[found] = None
+        text = yield walk(refs(text, found), found, _base(text), trail)
+        del trail[found]
         tree = _tree(text)
         if attrs.get("parse") == "text":
             return escape(text if tree is None else _PREAMBLE.sub("", text, count=1))
@@ -127,16 +131,16 @@ def expand_xml(files: dict[str, str | None], path: str) -> str:
             return ""
         return _select(tree, attrs["xpointer"]) if "xpointer" in attrs else _PREAMBLE.sub("", text, count=1).strip()
 
-    def walk(text: str, at: str, base: str, trail: tuple) -> str:
+    def walk(text: str, at: str, base: str, trail: dict):
         out, last = [], 0
         for tag, inner, start, end in _includes(text):
-            out += [text[last:start], include(tag, inner, at, base, trail)]
+            out += [text[last:start], (yield include(tag, inner, at, base, trail))]
             last = end
         return "".join(out) + text[last:]
 
     own = store.find(path)
     text = files[own] or "" if own is not None else ""
-    return walk(text, own or path, _base(text), (own or path,))
+    return flat(walk(text, own or path, _base(text), {own or path: None}))
 
 
 def _includes(text: str):
@@ -159,29 +163,38 @@ def _includes(text: str):
 
 
 def expand_asciidoc(files: dict[str, str | None], path: str) -> tuple[str, dict[str, str]]:
-    """A file with its inclusions and the attributes defined on the way; those in comments are renamed, missing ones removed."""
+    """A file with its inclusions and the attributes defined on the way; those in comments are renamed, missing ones removed.
+
+    An inclusion is ``include::target[]`` anywhere in a line, an attribute ``:name: value`` on a line of its own. Commented is
+    what stands between two lines' worth of //// or behind // in its line. Attributes count from the file that defines them on.
+    """
     store, names = _Files(files), {}
 
-    def walk(text: str, at: str, trail: tuple) -> str:
+    def walk(at: str, trail: dict):
+        text, out, last, fenced = files[at] or "", [], 0, 0
         names.update(_ADOC_ATTR.findall(text))
-        while m := _ADOC.search(text):
-            before = text[: m.start()]
-            line = before.rpartition("\n")[2]
-            if before.count("////") % 2 or "//" in line:
-                new = re.sub("include(::?)", r"includecomment\1", m[0])
-            else:
-                href = m[1]
-                for k, v in names.items():
-                    href = href.replace("{" + k + "}", v.strip())
-                found = store.near(at, re.sub(r"^\./", "", href)) if href.strip() else None
-                if found in trail:
-                    raise Circular(" > ".join((*trail, found)))
-                new = walk(files[found] or "", found, (*trail, found)) if found is not None else ""
-            text = before + new + text[m.end() :]
-        return text
+        for m in _ADOC.finditer(text):
+            fenced += text.count("////", last, m.start())
+            line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
+            out.append(text[last : m.start()])
+            last = m.end()
+            if fenced % 2 or "//" in line:
+                out.append("includecomment" + m[0][len("include") :])
+                continue
+            target = m[1]
+            for name, value in names.items():
+                target = target.replace(f"{{{name}}}", value.strip())
+            found = store.near(at, target.removeprefix("./")) if target.strip() else None
+            if found in trail:
+                raise Circular(" > ".join((*trail, found)))
+            if found is not None:
+                trail[found] = None
+                out.append((yield walk(found, trail)))
+                del trail[found]
+        return "".join(out) + text[last:]
 
     own = store.find(path)
-    return walk(files[own] or "" if own is not None else "", own or path, (own or path,)), names
+    return flat(walk(own, {own: None})) if own is not None else "", names
 
 
 def expand(files: DataFrame, roots: DataFrame, kind: str = "xml") -> DataFrame:
@@ -215,7 +228,7 @@ def inject(xml: Column, refs: Column) -> Column:
     found = F.array_distinct(F.regexp_extract_all(xml, F.lit(LINKS), F.lit(0)))
 
     def put(acc, piece):
-        ref = F.element_at(refs, F.regexp_extract(piece, r'\blinkend="([^"]*)"', 1))
+        ref = F.try_element_at(refs, linkend(piece))
         kept = F.when(piece.startswith("<link") & ~ref.startswith("T"), F.concat(F.lit("<!--"), piece, F.lit("-->"))).otherwise("")
         return F.when(ref.isNull(), acc).otherwise(F.replace(acc, piece, F.concat(F.lit("<!--Inject: "), ref, F.lit("-->"), kept)))
 
@@ -227,7 +240,7 @@ def inject_links(topics: DataFrame, refs: DataFrame) -> DataFrame:
 
     Only the ids that a topic uses travel to it: links are joined on (doc_id, linkend), then folded into one map for each topic.
     """
-    used = topics.select("doc_id", "seq", F.explode(F.array_distinct(F.regexp_extract_all("xml", F.lit(r'\blinkend="([^"]*)"'), F.lit(1)))).alias("linkend"))
+    used = topics.select("doc_id", "seq", F.explode(F.array_distinct(linkends(F.col("xml")))).alias("linkend"))
     maps = used.join(refs.select("doc_id", "linkend", "ref").where("ref IS NOT NULL").dropDuplicates(["doc_id", "linkend"]), ["doc_id", "linkend"])
     maps = maps.groupBy("doc_id", "seq").agg(F.map_from_entries(F.collect_list(F.struct("linkend", "ref"))).alias("__refs"))
     empty = F.create_map().cast("map<string,string>")

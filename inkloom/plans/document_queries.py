@@ -10,43 +10,53 @@ from inkloom.operators import markup, matching
 from inkloom.plans.catalog import query, shared_sql, table
 from inkloom.sources import files
 
-#: DuckDB twins of the Column functions. Backslashes are SQL's own.
-def _sql_canonical(x: str) -> str:
-    x = f"""regexp_replace({x}, '\\s+xmlns=(?:"http://docbook\\.org/ns/docbook"|''http://docbook\\.org/ns/docbook'')', '', 'g')"""
-    # RE2 has no look-ahead: comments that stay are hidden first.
-    x = f"replace(regexp_replace(regexp_replace({x}, '<!--(\\s*Inject[A-Za-z]*\\s*:\\s*T?[0-9])', chr(1) || '\\1', 'g'), '(?s)<!--.*?-->', '', 'g'), chr(1), '<!--')"
-    x = f"regexp_replace({x}, '<!--\\s*Inject\\s*:\\s*T?[0-9]+\\s*-->', '<!-- InjectPlaceholder: 0 -->', 'g')"
-    x = f"regexp_replace(regexp_replace({x}, '''|’|&apos;', '#apos#', 'g'), '\"|“|”|&quot;', '#quot#', 'g')"
-    return _sql_squeeze(x)
-
+_NAME = r"[A-Za-z_][\w.:-]*"
 
-def _sql_squeeze(x: str) -> str:
-    x = f"regexp_replace({x}, '[\\n\\r\\t]+', ' ', 'g')"
-    x = f"replace(replace({x}, '>', '>' || chr(10)), '<', chr(10) || '<')"
-    x = f"regexp_replace(regexp_replace({x}, ' +', ' ', 'g'), '( ?\\n ?)+', chr(10), 'g')"
-    return f"trim(regexp_replace({x}, '^\\n|\\n$', '', 'g'), ' ')"
 
-
-@query("doc_reuse_report", f"""WITH c AS (SELECT doc_id, source, sha256({_sql_canonical("coalesce(text, '')")}) AS k FROM documents), s AS (SELECT *, min(doc_id) OVER (PARTITION BY k) AS survivor FROM c)
-    SELECT source, count(*) AS docs, count(*) FILTER (doc_id = survivor) AS new_docs, count(*) FILTER (doc_id <> survivor) AS reused_docs FROM s GROUP BY source""")
+def sql_canonical(source: str, key: str, text: str, strict: bool = False, root: str | None = "section") -> str:
+    """DuckDB's own way to the canonical form: pieces as rows. Gives (key, canon)."""
+    x = rf"regexp_replace(regexp_replace({text}, '(?s)^\s*<\?xml.*?\?>\s*', ''), '(?is)^\s*<!DOCTYPE[^\[>]*(?:\[.*?\]\s*)?>\s*', '')"
+    # RE2 has no look-ahead: comments that stay are hidden first.
+    x = rf"replace(regexp_replace(regexp_replace({x}, '<!--(\s*Inject[A-Za-z]*\s*:\s*T?[0-9])', chr(1) || '\1', 'g'), '(?s)<!--.*?-->', '', 'g'), chr(1), '<!--')"
+    if not strict:
+        x = rf"regexp_replace({x}, '<!--\s*Inject\s*:\s*T?[0-9]+\s*-->', '<!-- InjectPlaceholder: 0 -->', 'g')"
+    x = rf"regexp_replace({x}, '<({_NAME})((?:\s[^<>]*)?)></{_NAME}\s*>', '<\1\2/>', 'g')"
+    if root:
+        x = rf"regexp_replace(regexp_replace({x}, '^(\s*)<{_NAME}', '\1<{root}'), '</{_NAME}(\s*>\s*)$', '</{root}\1')"
+    piece = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<[^<>]*>|[^<]+|<"
+    attrs = r"""regexp_extract_all(p, '\s([\w.:-]+(?:\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''<>]+))?)', 1)"""
+    shown = r"""CASE WHEN regexp_matches(a, '=\s*["'']') THEN regexp_extract(a, '^([\w.:-]+)', 1) || '="' || replace(regexp_extract(a, '(?s)=\s*["''](.*)["'']$', 1), '"', '&quot;') || '"' ELSE a END"""
+    tag = f"""regexp_extract(p, '^(<{_NAME})', 1) || array_to_string(list_transform(list_sort(list_transform(list_filter({attrs}, lambda a: NOT regexp_matches(a, '^(?:{X.UNCOMPARED})')), lambda a: {shown})), lambda a: ' ' || a), '') || CASE WHEN ends_with(p, '/>') THEN '/>' ELSE '>' END"""
+    exact = " || ".join(rf"regexp_extract_all(raw, '(?s)<{n}(?:\s[^<>]*)?>.*?</{n}>')" for n in X.VERBATIM)
+    return rf"""SELECT key, coalesce(thin, '') || CASE WHEN regexp_matches(x, '<(?:{"|".join(X.VERBATIM)})[\s>]') THEN chr(10) || chr(10) || array_to_string({exact}, chr(10)) ELSE '' END AS canon
+    FROM (SELECT {key} AS key, {x} AS x FROM {source}) LEFT JOIN (
+      SELECT key, string_agg(p, '' ORDER BY i) AS raw, string_agg(t, chr(10) ORDER BY i) FILTER (t <> '') AS thin FROM (SELECT *, trim(regexp_replace(p, '[ \t\n\r\f\v]+', ' ', 'g'), ' ') AS t FROM (
+        SELECT key, i, CASE WHEN NOT starts_with(p, '<') OR starts_with(p, '<![CDATA[') THEN replace(replace(translate(p, '’“”', '''""'), '&apos;', ''''), '&quot;', '"')
+            WHEN regexp_matches(p, '^<{_NAME}') THEN {tag} WHEN starts_with(p, '</') THEN regexp_replace(p, '\s+>$', '>') ELSE p END AS p
+        FROM (SELECT key, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM (SELECT {key} AS key, regexp_extract_all({x}, '{piece}') AS l FROM {source})))) GROUP BY key) USING (key)"""
+
+
+_DOCS = "(SELECT doc_id, source, coalesce(text, '') AS text FROM documents)"
+
+
+@query("doc_reuse_report", f"""WITH c AS ({sql_canonical(_DOCS, "doc_id", "text")}), s AS (SELECT key, min(key) OVER (PARTITION BY canon) AS survivor FROM c)
+    SELECT source, count(*) AS docs, count(*) FILTER (key = survivor) AS new_docs, count(*) FILTER (key <> survivor) AS reused_docs FROM s JOIN documents ON key = doc_id GROUP BY source""")
 def doc_reuse_report(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    found = matching.reuse(docs, "doc_id", "text").join(docs.select("doc_id", "source"), "doc_id")
-    return found.groupBy("source").agg(F.count("*").alias("docs"), F.count_if(F.col("status") == "NEW").alias("new_docs"), F.count_if(F.col("status") == "REUSED").alias("reused_docs"))
+    found = matching.reuse(table(spark, sf_dir, "documents"), "doc_id", "text", keep=["source"])
+    return matching.counters(found, "source").withColumnsRenamed({"all_rows": "docs", "new_rows": "new_docs", "matched_rows": "reused_docs"})
 
 
-@query("doc_exact_equivalence", f"SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS survivor, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY k) THEN 'NEW' ELSE 'REUSED' END AS status FROM (SELECT doc_id, sha256({_sql_canonical("coalesce(text, '')")}) AS k FROM documents)")
+@query("doc_exact_equivalence", f"SELECT key AS doc_id, min(key) OVER (PARTITION BY canon) AS survivor, CASE WHEN key = min(key) OVER (PARTITION BY canon) THEN 'NEW' ELSE 'REUSED' END AS status FROM ({sql_canonical(_DOCS, "doc_id", "text")})")
 def doc_exact_equivalence(spark, sf_dir):
     return matching.reuse(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-@query("doc_strict_equivalence", f"SELECT doc_id, min(doc_id) OVER (PARTITION BY {_sql_squeeze('text')}) AS survivor FROM documents")
+@query("doc_strict_equivalence", f"SELECT key AS doc_id, min(key) OVER (PARTITION BY canon) AS survivor FROM ({sql_canonical(_DOCS, "doc_id", "text", True)})")
 def doc_strict_equivalence(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", X.strict_key(F.col("text")).alias("k"))
-    return d.join(d.groupBy("k").agg(F.min("doc_id").alias("survivor")), "k").select("doc_id", "survivor")
+    return matching.reuse(table(spark, sf_dir, "documents"), "doc_id", "text", strict=True).select("doc_id", "survivor")
 
 
-@query("page_canonical", f"SELECT page_id, md5({_sql_canonical('html')}) AS canon FROM pages")
+@query("page_canonical", f"SELECT key AS page_id, md5(canon) AS canon FROM ({sql_canonical('pages', 'page_id', 'html')})")
 def page_canonical(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(X.canonical(F.col("html"))).alias("canon"))
 
