@@ -280,3 +280,68 @@ def literal_text(xml: Column) -> Column:
 
     pieces = F.filter(F.array_distinct(F.regexp_extract_all(xml, F.lit(rf"(?s)<({LITERAL})\b[^>]*>.*?</\1>"), F.lit(0))), lambda p: ~F.contains(p, F.lit("<![CDATA[")))
     return F.aggregate(pieces, xml, lambda acc, p: F.replace(acc, p, wrap(p)))
+
+
+def strip_attributes(xml: Column, name: str | None = None, only: str | None = None) -> Column:
+    """The first start tag (of that name, if given) without its attributes, or without one of them."""
+    tag = F.regexp_extract(xml, rf"<{name or _NAME}(?=[\s/>])[^<>]*>", 0)
+    bare = F.regexp_replace(tag, r"\s+[\w.:-]+\s*=\s*(?:\"[^\"]*\"|'[^']*')" if only is None else rf"\s+{only}\s*=\s*(?:\"[^\"]*\"|'[^']*')", "")
+    at = F.instr(xml, tag)
+    return F.when(tag == "", xml).otherwise(F.concat(F.substring(xml, F.lit(1), at - 1), bare, F.substring(xml, at + F.length(tag), F.length(xml))))
+
+
+def xml_format(book_type: Column, option: Column) -> Column:
+    """The format of a book: that of its settings, else that of the kind of import."""
+    return F.when(book_type.isNotNull(), F.when(book_type == "5.0", "5.0").otherwise("4.5")).when(option == "5.0", "5.0").otherwise("4.5")
+
+
+def import_mode(spec_id: Column, reuse: Column) -> Column:
+    """Whether an import updates an outline, reuses topics, or creates all of them."""
+    return F.when(spec_id.isNotNull(), "updating").when(reuse, "reusing").otherwise("creating")
+
+
+def _box(container: Column) -> Column:
+    name = F.lower(container)
+    return F.when(name.isin("chapter", "section"), name).otherwise(F.raise_error(F.lit("a container can only be a chapter or a section")))
+
+
+def open_element(container: Column, title: Column, content: Column | None = None) -> Column:
+    """The beginning of a chapter or section: its title and, given as an array of lines, its first content. Any other name fails."""
+    lines = F.lit("") if content is None else F.concat(F.array_join(F.transform(content, lambda c: F.concat(c, F.lit("\n"))), ""), F.lit("\n"))
+    return F.concat(F.lit("<"), _box(container), F.lit(">\n<title>"), escape_title(title), F.lit("</title>\n"), lines)
+
+
+def close_element(container: Column) -> Column:
+    return F.concat(F.lit("</"), _box(container), F.lit(">"))
+
+
+def topic_element(title: Column, content: Column) -> Column:
+    """A section of its own."""
+    return F.concat(open_element(F.lit("section"), title, content), F.lit("</section>\n"))
+
+
+def long_timestamp(ts: Column) -> Column:
+    """Thursday, March 5th 2015, 4:07:09 pm."""
+    day = F.dayofmonth(ts)
+    suffix = F.when(day.between(11, 13), "th").otherwise(F.element_at(F.array(*(F.lit(x) for x in ("th", "st", "nd", "rd", "th", "th", "th", "th", "th", "th"))), day % 10 + 1))
+    half = F.when(F.hour(ts) < 12, "am").otherwise("pm")
+    return F.concat(F.date_format(ts, "EEEE, MMMM d"), suffix, F.date_format(ts, " yyyy, h:mm:ss "), half)
+
+
+def flatten_paras(parts: Column, name: str = "para") -> Column:
+    """An array of tags and texts inside a paragraph without paragraphs nested in it: the outer one ends before each and begins anew behind it."""
+    start, end = f"<{name}>", f"</{name}>"
+    opened = F.flatten(F.transform(parts, lambda p: F.when(p == start, F.array(F.lit(end), p)).when(p == end, F.array(p, F.lit(start))).otherwise(F.array(p))))
+    return strip_empty(F.concat(F.array(F.lit(start)), opened, F.array(F.lit(end))), name)
+
+
+def strip_empty(parts: Column, name: str = "para") -> Column:
+    """An array of tags and texts without elements of that name that hold nothing."""
+    start, end = f"<{name}>", f"</{name}>"
+    walk = F.aggregate(parts, F.array().cast("array<string>"), lambda acc, p: F.when((p == end) & (F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit("")) == start), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.array_append(acc, p)))
+    return walk
+
+
+def max_columns(rows: Column) -> Column:
+    """The widest of a table's rows, each a list of cells."""
+    return F.coalesce(F.array_max(F.transform(rows, F.size)), F.lit(0))

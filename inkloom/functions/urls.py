@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -50,14 +50,67 @@ def encode_component(text: Column) -> Column:
     return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
 
 
+def decode_component(text: Column) -> Column:
+    """The inverse of encode_component; a plus sign stays one."""
+    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
 def allowed(url: Column, patterns: list[str]) -> Column:
-    """Whether any pattern of an allow-list matches."""
-    ok = F.lit(False)
+    """Whether all patterns of an allow-list match."""
+    ok = F.lit(True)
     for p in patterns:
-        ok = ok | url.rlike(p)
+        ok = ok & url.rlike(p)
     return ok
 
 
+def disallowed_topics(links: DataFrame, patterns: list[str]) -> DataFrame:
+    """links(doc_id, topic_id, url) to (doc_id, topics): the topics with a link that isn't allowed, each once, joined by commas in order."""
+    bad = links.where(~allowed(F.coalesce("url", F.lit("")), patterns)).select("doc_id", "topic_id").distinct()
+    return bad.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("topic_id")), lambda t: t.cast("string")), ",").alias("topics"))
+
+
+#: What addresses, ids of outlines and names of files have to look like.
+VALID = {"page": r"^https://[^/]+/docs/DOC-(\d+)$", "spec": r"^\d+$", "archive": r"(?i)\.zip$", "xml": r"(?i)\.xml$", "office": r"(?i)\.odt$"}
+
+
+def is_valid(text: Column, kind: str) -> Column:
+    return F.coalesce(text.rlike(VALID[kind]), F.lit(False))
+
+
+def with_query(url: Column, pairs: Column) -> Column:
+    """A URL with an array of (key, value) as its query; a null value is a key alone, no pairs no query."""
+    shown = F.transform(pairs, lambda p: F.concat(encode_component(p["key"]), F.coalesce(F.concat(F.lit("="), encode_component(p["value"])), F.lit(""))))
+    query = F.when(F.size(shown) > 0, F.concat(F.lit("?"), F.array_join(shown, "&"))).otherwise("")
+    return F.concat(F.regexp_extract(url, "^([^?#]*)", 1), query, F.regexp_extract(url, "(#.*)$", 1))
+
+
+def add_query(url: Column, key: Column, value: Column) -> Column:
+    """The URL with one parameter more."""
+    return with_query(url, F.array_append(parameters(url), F.struct(key.alias("key"), value.alias("value"))))
+
+
+def remove_query(url: Column, key: Column) -> Column:
+    return with_query(url, F.filter(parameters(url), lambda p: p["key"] != key))
+
+
+def has_query(url: Column, key: Column) -> Column:
+    return F.exists(parameters(url), lambda p: p["key"] == key)
+
+
+def common_path(a: Column, b: Column) -> Column:
+    """The longest folder that two paths share, with its slash; '' if they share none."""
+    x, y = F.split(F.regexp_extract(a, "^(.*/)", 1), "(?<=/)"), F.split(F.regexp_extract(b, "^(.*/)", 1), "(?<=/)")
+    same = F.zip_with(x, y, lambda p, q: F.coalesce(p == q, F.lit(False)))
+    shared = F.coalesce(F.nullif(F.array_position(same, F.lit(False)), F.lit(0)), F.size(same).cast("long") + 1) - 1
+    return F.array_join(F.slice(x, F.lit(1), F.greatest(shared, F.lit(0)).cast("int")), "")
+
+
+def find_urls(text: Column) -> Column:
+    """The URLs in a text, in order, without the punctuation behind them."""
+    found = F.regexp_extract_all(text, F.lit(r"(?i)\b(?:https?|ftp)://[^\s<>\"']+"), F.lit(0))
+    return F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?)]+$", ""))
+
+
 def public_suffix(host: Column, second_levels: list[str]) -> Column:
     """The last two labels where they are on the list of second-level suffixes (like co.uk), else the last."""
     last, two = F.regexp_extract(host, r"([^.]+)$", 1), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1)

@@ -8,6 +8,7 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from inkloom.operators.markup import CONTAINERS, INFOS
 
@@ -156,3 +157,10 @@ def book_info(df: DataFrame, key: str, xml: str) -> DataFrame:
 
     kind = df.schema[key].dataType.simpleString()
     return df.selectExpr(f"`{key}` AS k", f"`{xml}` AS x").mapInPandas(run, f"{key} {kind}, {', '.join(f'{c} string' for c in _FIELDS)}, has_index boolean")
+
+
+def declared_entities(texts: DataFrame, ignored: DataFrame) -> DataFrame:
+    """(doc_id, name, declaration): the entities that the texts of a book declare, each declaration once, but those of ignored(name). texts(doc_id, text)."""
+    found = texts.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"""<!ENTITY\s+[^\s"']+\s+(?:"[^"\n]*"|'[^'\n]*')\s*>"""), F.lit(0))).alias("declaration")).distinct()
+    named = found.withColumn("name", F.regexp_extract("declaration", r"<!ENTITY\s+(\S+)", 1))
+    return named.join(ignored.select("name").distinct(), "name", "left_anti").select("doc_id", "name", "declaration")

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkloom.functions import text as X
 from inkloom.operators.scratch import held
 
 
@@ -27,6 +28,40 @@ def pair_by_place(left: DataFrame, right: DataFrame, key: str, order: str, left_
     return a.join(b, [key, "k"])
 
 
+def known_ids(topics: DataFrame) -> DataFrame:
+    """topics(doc_id, seq, kind, xml_ids) to (doc_id, linkend, place): each id once, those of topics before those of containers, in order."""
+    rows = topics.select("doc_id", F.when(F.col("kind") == "topic", 0).otherwise(1).alias("r"), "seq", F.posexplode("xml_ids").alias("pos", "linkend"))
+    first = rows.groupBy("doc_id", "linkend").agg(F.min(F.struct("r", "seq", "pos")).alias("at"))
+    return first.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("at"))).select("doc_id", "linkend", "place")
+
+
+def duplicate_ids(topics: DataFrame) -> DataFrame:
+    """(doc_id, linkend, n) of ids that several places have, which no outline may hold. topics(doc_id, xml_ids)."""
+    return topics.select("doc_id", F.explode("xml_ids").alias("linkend")).groupBy("doc_id", "linkend").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def edges_of(topics: DataFrame) -> DataFrame:
+    """topics(doc_id, src, xml) to (doc_id, src, ord, linkend): the links of each topic, in order."""
+    return topics.select("doc_id", "src", F.posexplode(X.linkends(F.col("xml"))).alias("ord", "linkend"))
+
+
+def edges_known(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges to ids(doc_id, linkend) that exist, with their place among these."""
+    there = edges.join(ids.select("doc_id", "linkend").distinct(), ["doc_id", "linkend"], "left_semi")
+    return there.withColumn("place", F.row_number().over(Window.partitionBy("doc_id", "src").orderBy("ord")) - 1)
+
+
+def stored_links(edges: DataFrame, stored: DataFrame) -> DataFrame:
+    """The k-th known link of a topic with the k-th injection of each stored text that it may be: (doc_id, src, store_id, linkend, required_ref, fits).
+
+    edges(doc_id, src, place, linkend), stored(doc_id, src, store_id, xml). fits is false, with a null linkend, where a stored text
+    has more injections than the topic has links.
+    """
+    held = stored.select("doc_id", "src", "store_id", F.posexplode(X.injections(F.col("xml"))).alias("place", "required_ref"))
+    both = held.join(edges.select("doc_id", "src", "place", "linkend"), ["doc_id", "src", "place"], "left")
+    return both.select("doc_id", "src", "store_id", "linkend", "required_ref", F.col("linkend").isNotNull().alias("fits"))
+
+
 def conflicts(constraints: DataFrame) -> DataFrame:
     """(topic_key, store_id) of candidates of which one target is required to be two things."""
     return constraints.groupBy("topic_key", "store_id", "target_xml_id").agg(F.countDistinct("required_ref").alias("n")).where("n > 1").select("topic_key", "store_id").distinct()

@@ -414,3 +414,62 @@ def shred_book(df: DataFrame, key: str, xml: str) -> DataFrame:
     boxed = joined.withColumn("is_box", F.coalesce("has_boxes", F.lit(False)) | F.col("name").isin("part", "chapter", "appendix", "preface") & F.col("has_text").isNull())
     number = F.sum(F.when(F.col("is_box") & xml_id.isNotNull(), 1).otherwise(0)).over(Window.partitionBy(key).orderBy("node_id"))
     return boxed.select(key, "node_id", F.when(F.col("is_box"), "container").otherwise("topic").alias("kind"), "name", F.coalesce("title", F.lit("Untitled")).alias("title"), "depth", xml_id.alias("xml_id"), F.when(F.col("is_box") & xml_id.isNotNull(), number).cast("int").alias("target_num"))
+
+
+def root_element(xml: Column) -> Column:
+    """The name of the document element, without its prefix; null without one."""
+    bare = F.regexp_replace(xml, r"(?s)^(?:\s|<\?.*?\?>|<!--.*?-->|<!DOCTYPE[^\[>]*(?:\[.*?\]\s*)?>)+", "")
+    return F.nullif(F.regexp_extract(bare, r"^<(?:[\w.-]+:)?([A-Za-z_][\w.-]*)", 1), F.lit(""))
+
+
+def empty_boxes(table: DataFrame, key: str) -> DataFrame:
+    """Containers of a node table that hold no text but that of their title and their revision history: (key, node_id, name)."""
+    boxes = table.where(F.col("name").isin(CONTAINERS)).select(key, "node_id", "post", "name")
+    aside = table.where(F.col("name").isin("title", "revhistory")).alias("l")
+    texts = table.where((F.col("name") == "#text") & (F.trim("text") != ""))
+    told = texts.alias("r").join(aside, axis(table, key, "descendant"), "left_anti")
+    return boxes.alias("l").join(told.alias("r"), axis(table, key, "descendant"), "left_anti").select(key, "node_id", "name")
+
+
+_STEP = re.compile(r"(/{0,2})(?:(?:[\w.-]+:)?(\*|[\w.-]+)(?:\[@([\w.-]+)(?:=(?:'([^']*)'|\"([^\"]*)\"))?\])?)")
+
+
+def _steps(path: str) -> list[tuple[str, str, str | None, str | None]]:
+    """(axis, name, attribute, its value) of the steps of a path; prefixes don't count."""
+    own, at, out = path.removeprefix("."), 0, []
+    while at < len(own):
+        m = _STEP.match(own, at)
+        if m is None or m.end() == at:
+            return []
+        out.append(("descendant" if m[1] == "//" else "child", m[2], m[3], m[4] if m[4] is not None else m[5]))
+        at = m.end()
+    return out
+
+
+def select_nodes(table: DataFrame, key: str, paths: dict[str, str]) -> DataFrame:
+    """(key, path, node_id, value) of the nodes that paths name, whatever their namespace; value: the text below.
+
+    A path is made of / and // steps with names, * and [@attribute] or [@attribute='value']; one that can't be read names nothing.
+    Each step is a join of the nodes found with the node table, by parent or by the interval of the descendants.
+    """
+    found = None
+    for name, path in paths.items():
+        at = None
+        for k, (kind, tag, attr, value) in enumerate(_steps(path)):
+            fit = table.where(~F.col("name").startswith("#"))
+            fit = fit if tag == "*" else fit.where(F.col("name") == tag)
+            if attr:
+                own = F.try_element_at("attrs", F.lit(attr))
+                fit = fit.where(own.isNotNull() if value is None else own == value)
+            if k == 0:
+                at = fit if kind == "descendant" else fit.where("parent_id IS NULL" if path.startswith("/") else "depth = 1")
+            else:
+                at = fit.alias("r").join(at.select(key, "node_id", "post").alias("l"), axis(table, key, kind), "left_semi")
+        if at is not None:
+            one = at.select(key, F.lit(name).alias("path"), "node_id", "post")
+            found = one if found is None else found.unionByName(one)
+    if found is None:
+        return table.select(key, F.lit("").alias("path"), "node_id", F.lit("").alias("value")).limit(0)
+    texts = found.alias("l").join(table.where("name = '#text'").alias("r"), axis(table, key, "descendant"), "left")
+    held = texts.groupBy(F.col(f"l.{key}").alias(key), "l.path", "l.node_id").agg(F.array_sort(F.collect_list(F.when(F.col("r.text").isNotNull(), F.struct("r.node_id", "r.text")))).alias("t"))
+    return held.select(key, "path", "node_id", F.array_join(F.transform("t", lambda x: x["text"]), "").alias("value"))

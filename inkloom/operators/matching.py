@@ -74,23 +74,65 @@ def lowest_candidate(candidates: DataFrame) -> DataFrame:
     return candidates.where("equivalent").groupBy("topic_key").agg(F.min("store_id").alias("store_id"))
 
 
+def verified(df: DataFrame, key: str, text: str, words: int = 5, threshold: float = 0.75) -> DataFrame:
+    """(a, b, jaccard, equivalent, strict): pairs of rows with similar texts, and whether their canonical forms are equal.
+
+    Rows of one class of equal word sets meet through their representative only; so do the pairs of two classes.
+    """
+    pairs, classes = similar(df, key, text, words, threshold)
+    own = classes.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("jaccard"))
+    forms = df.select(F.col(key).alias("id"), F.unhex(X.canonical_key(F.col(text))).alias("k"), F.unhex(X.strict_key(F.col(text))).alias("s"))
+    side = lambda x: forms.select(F.col("id").alias(x), F.col("k").alias(f"k_{x}"), F.col("s").alias(f"s_{x}"))
+    both = pairs.unionByName(own).join(side("a"), "a").join(side("b"), "b")
+    return both.select("a", "b", "jaccard", (F.col("k_a") == F.col("k_b")).alias("equivalent"), (F.col("s_a") == F.col("s_b")).alias("strict"))
+
+
 def greedy(candidates: DataFrame) -> DataFrame:
-    """(spec, topic_seq, store_id): one to one within a spec, exact matches first, then the most similar, in source order.
+    """(spec, topic_seq, status, store_id): one to one within a spec, in source order: exact matches, then the first of the others, then equal topics of the batch.
 
-    Each spec is one group; a spec is an outline, which a worker holds.
+    candidates(spec, topic_seq, place, store_id, equivalent, batch_key): place orders a topic's candidates; a topic without any
+    has one row with a null store_id. A topic that is left without an id takes that of the first topic with the same batch_key
+    that has one by then (MATCHED), else it is NEW. Each spec is one group; a spec is an outline, which a worker holds.
     """
 
     def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), {}
-        ordered = rows.sort_values(["topic_seq", "jaccard", "store_id"], ascending=[True, False, True])
-        for exact in (True, False):
-            for r in ordered[ordered["equivalent"]].itertuples() if exact else ordered.itertuples():
-                if r.topic_seq not in out and r.store_id not in used:
-                    out[r.topic_seq] = r.store_id
-                    used.add(r.store_id)
-        return pd.DataFrame([(rows["spec"].iloc[0], t, s) for t, s in sorted(out.items())], columns=["spec", "topic_seq", "store_id"])
-
-    return candidates.groupBy("spec").applyInPandas(assign, "spec long, topic_seq int, store_id long")
+        used, ids, status = set(), {}, {}
+        ordered = rows.sort_values(["topic_seq", "place", "store_id"], kind="stable")
+        real = ordered[ordered["store_id"].notna()]
+        keys = dict(zip(ordered["topic_seq"], ordered["batch_key"], strict=True))
+        for r in real[real["equivalent"].astype(bool)].itertuples():
+            if r.topic_seq not in ids and r.store_id not in used:
+                ids[r.topic_seq], status[r.topic_seq] = int(r.store_id), "EXACT"
+                used.add(r.store_id)
+        near: dict = {}
+        for r in real.itertuples():
+            near.setdefault(r.topic_seq, []).append(r.store_id)
+        for t in sorted(keys):
+            if t in ids:
+                continue
+            free = next((i for i in near.get(t, ()) if i not in used), None)
+            like = next((o for o in sorted(ids) if keys[t] is not None and keys[o] == keys[t]), None) if free is None else None
+            if free is not None:
+                ids[t], status[t] = int(free), "SIMILAR"
+                used.add(free)
+            elif like is not None:
+                ids[t], status[t] = ids[like], "MATCHED"
+            else:
+                status[t] = "NEW"
+        return pd.DataFrame([(rows["spec"].iloc[0], t, status[t], ids.get(t)) for t in sorted(keys)], columns=["spec", "topic_seq", "status", "store_id"]).astype({"store_id": "Int64"})
+
+    return candidates.groupBy("spec").applyInPandas(assign, "spec long, topic_seq int, status string, store_id long")
+
+
+def removed(members: DataFrame, reused: DataFrame) -> DataFrame:
+    """members(spec, store_id) that no topic of the spec reuses."""
+    return members.join(reused.select("spec", "store_id").where("store_id IS NOT NULL"), ["spec", "store_id"], "left_anti")
+
+
+def newest(candidates: DataFrame, n: int | None = None) -> DataFrame:
+    """candidates(topic_key, store_id) with ``place``, the largest id first; n: only so many."""
+    ranked = candidates.withColumn("place", F.row_number().over(Window.partitionBy("topic_key").orderBy(F.desc("store_id"))))
+    return ranked if n is None else ranked.where(F.col("place") <= n)
 
 
 def same_kind(candidates: DataFrame, xml_format: str, locale_id: int) -> DataFrame:

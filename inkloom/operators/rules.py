@@ -2,24 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds what is broadcast.
-MOST_RULES = 10_000
 FIELDS = ["font", "size", "bold", "italics", "underline", "strikethrough"]
 
 
 def classify(paras: DataFrame, rules: DataFrame, fields: list[str] = FIELDS) -> DataFrame:
-    """paras(doc_id, ord, ...) with element and merge of the first rule (by rule_no) of which every field is null or equal. rules is a table of settings; more than MOST_RULES are refused."""
-    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
-        raise ValueError(f"more than {MOST_RULES} font rules")
-    fits = F.lit(True)
-    for f in fields:
-        fits = fits & (F.col(f"r.{f}").isNull() | F.col(f"r.{f}").eqNullSafe(F.col(f"p.{f}")))
-    hit = paras.alias("p").join(F.broadcast(rules).alias("r"), fits, "left")
-    best = hit.groupBy("p.doc_id", "p.ord").agg(F.min_by(F.struct("r.element", "r.merge"), F.col("r.rule_no")).alias("x"))
-    return paras.join(best, ["doc_id", "ord"]).withColumn("element", F.coalesce("x.element", F.lit("para"))).withColumn("merge", F.coalesce("x.merge", F.lit(False))).drop("x")
+    """paras(doc_id, ord, ...) with element and merge of the first rule (by rule_no) of which every field is null or equal.
+
+    Rules that leave the same fields open are one join by the others, so any number of them may be given; there are 2^fields
+    kinds at most. A rule without any field fits all and is one row.
+    """
+    filled = F.concat_ws(",", *(F.when(F.col(f).isNotNull(), F.lit(f)) for f in fields))
+    first = rules.withColumn("__kind", filled)
+    hits = None
+    for (kind,) in sorted(first.select("__kind").distinct().collect()):
+        own = kind.split(",") if kind else []
+        best = first.where(F.col("__kind") == kind).groupBy(*own).agg(F.min_by(F.struct("rule_no", "element", "merge"), "rule_no").alias("x"))
+        hit = paras.join(best, own) if own else paras.crossJoin(F.broadcast(best))
+        one = hit.select("doc_id", "ord", "x")
+        hits = one if hits is None else hits.unionByName(one)
+    if hits is None:
+        return paras.withColumns({"element": F.lit("para"), "merge": F.lit(False)})
+    least = hits.groupBy("doc_id", "ord").agg(F.min("x").alias("__x"))
+    out = paras.join(least, ["doc_id", "ord"], "left")
+    return out.select(*(c for c in paras.columns if c not in ("element", "merge")), F.coalesce("__x.element", F.lit("para")).alias("element"), F.coalesce("__x.merge", F.lit(False)).alias("merge"))
+
+
+def sizes_and_fonts(paras: DataFrame) -> DataFrame:
+    """(doc_id, fonts, sizes): those that a text uses, each once, in the order of their letters."""
+    return paras.groupBy("doc_id").agg(F.array_sort(F.collect_set("font")).alias("fonts"), F.array_sort(F.collect_set(F.col("size").cast("string"))).alias("sizes"))
+
+
+def family_matches(families: Column, family: Column) -> Column:
+    """Whether a font's list of families names one; quotation marks and spaces around don't count. A font that isn't declared matches any, no font none."""
+    names = F.transform(F.split(families, ","), lambda x: F.trim(F.replace(x, F.lit("'"), F.lit(""))))
+    return F.when(family.isNull(), False).when(families.isNull(), True).otherwise(F.array_contains(names, F.trim(family)))
 
 
 def merge_runs(paras: DataFrame) -> DataFrame:

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder where the session says, else in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/inkloom-shared"
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
 def held(df: DataFrame, tag: str = "held") -> DataFrame:
-    """df computed once and read back: its lineage ends in files that outlive executors. Without a checkpoint folder the warehouse holds them."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/inkloom-shared"
-    path = f"{folder.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """df computed once and read back: its lineage ends in files that outlive executors."""
+    path = shared_folder(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 QUERIES: dict = {}
 SQL: dict = {}
 
@@ -33,18 +31,8 @@ def oracle_sql() -> dict:
 
 
 def _load() -> None:
-    from . import book_queries, document_queries, relational_queries  # noqa: F401  registered on import
+    from . import book_queries, collection_queries, document_queries, import_queries, relational_queries  # noqa: F401  registered on import
 
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_sql(name: str, text: str) -> None:
-    """A query whose text both engines read alike; tables stand in braces."""
-    names = sorted(set(re.findall(r"{(\w+)}", text)))
-
-    def run(spark, sf_dir):
-        return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
-
-    query(name, re.sub(r"{(\w+)}", r"\1", text))(run)

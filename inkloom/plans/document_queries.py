@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from inkloom.functions import collections
 from inkloom.functions import text as X
 from inkloom.functions import urls as U
-from inkloom.operators import markup, matching
-from inkloom.plans.catalog import query, shared_sql, table
+from inkloom.operators import markup, matching, order
+from inkloom.plans.catalog import query, table
 from inkloom.sources import files
 
 _NAME = r"[A-Za-z_][\w.:-]*"
@@ -141,7 +142,7 @@ def links_per_host(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(U.part(F.col("url"), "host").alias("host")).agg(F.count("*").alias("n"))
 
 
-@query("outgoing_links_not_allowed", r"SELECT DISTINCT page_id, url FROM pages WHERE NOT regexp_matches(url, '\.example\.org') AND NOT regexp_matches(url, '/en/')")
+@query("outgoing_links_not_allowed", r"SELECT DISTINCT page_id, url FROM pages WHERE NOT regexp_matches(url, '\.example\.org') OR NOT regexp_matches(url, '/en/')")
 def outgoing_links_not_allowed(spark, sf_dir):
     return table(spark, sf_dir, "pages").where(~U.allowed(F.col("url"), [r"\.example\.org", "/en/"])).select("page_id", "url").distinct()
 
@@ -153,9 +154,7 @@ def page_links(spark, sf_dir):
 
 @query("entry_listing", f"SELECT page_id, row_number() OVER (ORDER BY len(string_split(url, '/')), lower(url), url, page_id) AS place FROM pages")
 def entry_listing(spark, sf_dir):
-    from pyspark.sql import Window
-
-    return table(spark, sf_dir, "pages").select("page_id", F.row_number().over(Window.orderBy(files.depth(F.col("url")), F.lower("url"), "url", "page_id")).cast("long").alias("place"))
+    return order.numbered(table(spark, sf_dir, "pages").select("page_id", "url"), files.depth(F.col("url")), F.lower("url"), "url", "page_id").select("page_id", "place")
 
 
 @query("strip_root", "SELECT page_id, regexp_replace(url, '^[^/]+/', '') AS path, regexp_extract(url, '([^/]*)$', 1) NOT IN ('') AND NOT starts_with(regexp_extract(url, '([^/]*)$', 1), '.') AS is_file FROM pages")
@@ -173,13 +172,6 @@ def point_lookup(spark, sf_dir):
     return found.select(F.split("name", r"\|")[0].cast("long").alias("page_id"), F.regexp_replace("name", r"^[0-9]+\|", "").alias("name"), F.md5("content").alias("found"))
 
 
-@query("settings_scan", r"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r?\n')) AS line, generate_subscripts(string_split_regex(text, '\r?\n'), 1) AS n FROM documents),
-    k AS (SELECT doc_id, n, trim(regexp_replace(string_split(line, ':')[1], '["'']', '', 'g'), ' ') AS name, trim(regexp_replace(string_split(line, ':')[2], '["'']', '', 'g'), ' ') AS value FROM l WHERE len(string_split(line, ':')) = 2 AND NOT starts_with(line, '#'))
-    SELECT doc_id, name, arg_min(value, n) AS value FROM k GROUP BY doc_id, name""")
-def settings_scan(spark, sf_dir):
-    return files.settings(table(spark, sf_dir, "documents"), "text", "doc_id")
-
-
 # Structure.
 
 _HEADS = r"""SELECT page_id, unnest(regexp_extract_all(html, '(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>', 1)) AS level, unnest(regexp_extract_all(html, '(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>', 2)) AS t,
@@ -230,5 +222,20 @@ def doc_set_classes(spark, sf_dir):
     return matching.similar(table(spark, sf_dir, "documents"), "doc_id", "text")[1]
 
 
-shared_sql("conversation_duplicates", "SELECT conv_id, turn, min(conv_id) OVER (PARTITION BY role, text) AS first_conv FROM {conversations}")
-shared_sql("documents_per_language", "SELECT lang, source, count(*) AS n, max(n_chars) AS longest FROM {documents} GROUP BY lang, source")
+@query("verified_pairs", f"""WITH {_SETS}, o AS (SELECT s.*, c.n FROM s JOIN c USING (doc_id) WHERE doc_id = rep),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM o a JOIN o b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.75 UNION ALL SELECT rep, doc_id FROM c WHERE rep <> doc_id),
+    lenient AS ({sql_canonical(_DOCS, "doc_id", "text")}), exact AS ({sql_canonical(_DOCS, "doc_id", "text", True)}) SELECT a, b, x.canon = y.canon AS equivalent, u.canon = v.canon AS strict FROM p JOIN lenient x ON x.key = a JOIN lenient y ON y.key = b JOIN exact u ON u.key = a JOIN exact v ON v.key = b""")
+def verified_pairs(spark, sf_dir):
+    return matching.verified(table(spark, sf_dir, "documents"), "doc_id", "text").select("a", "b", "equivalent", "strict")
+
+
+@query("conversation_duplicates", "SELECT conv_id, turn, min(conv_id) OVER (PARTITION BY role, text) AS first_conv FROM conversations")
+def conversation_duplicates(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    first = order.first_of_kind(t, ["role", "text"], "conv_id", "conv_id").withColumnRenamed("conv_id", "first_conv")
+    return t.join(first, ["role", "text"]).select("conv_id", "turn", "first_conv")
+
+
+@query("documents_per_language", "SELECT lang, source, count(*) AS n FROM documents GROUP BY lang, source")
+def documents_per_language(spark, sf_dir):
+    return collections.count_by(table(spark, sf_dir, "documents"), "lang", "source")

@@ -1,4 +1,4 @@
-"""Joins, aggregates, order-dependent folds and collection operations over the star schema and the events."""
+"""Joins, graphs, strings and rules over the star schema and the events."""
 
 from __future__ import annotations
 
@@ -6,60 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkloom.functions import text as X
-from inkloom.operators import graph, matching, outline, rules
-from inkloom.plans.catalog import query, shared_sql, table
+from inkloom.operators import graph, outline, rules
+from inkloom.plans.catalog import query, table
 from inkloom.streaming import ingest
 
-# Lookups and matching.
-
-shared_sql("locale_lookup", "SELECT n.n_nationkey, n.n_name, r.r_name FROM {nation} n JOIN {region} r ON n.n_regionkey = r.r_regionkey")
-shared_sql("available_unique", "SELECT l_suppkey AS store_id FROM {lineitem} WHERE l_linenumber = 7 GROUP BY l_suppkey HAVING count(*) = 1")
-shared_sql("removed_topics_anti", "SELECT c_custkey, c_name FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)")
-shared_sql("topic_exists_semi", "SELECT c_custkey, c_nationkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderpriority = '1-URGENT')")
-shared_sql("store_format_filter", "SELECT o_custkey AS topic_key, min(o_orderkey) AS store_id, count(*) AS n_candidates FROM {orders} WHERE o_orderstatus = 'F' AND o_orderpriority LIKE '1%' GROUP BY o_custkey")
-shared_sql("constraint_conflicts", "SELECT DISTINCT l_partkey AS topic_key, l_suppkey AS store_id FROM (SELECT l_partkey, l_suppkey, l_linenumber FROM {lineitem} GROUP BY l_partkey, l_suppkey, l_linenumber HAVING count(DISTINCT l_returnflag) > 1) x")
-shared_sql("file_resolution", "SELECT p.p_partkey, coalesce(a.s_name, b.s_name) AS found, CASE WHEN a.s_name IS NOT NULL THEN 'with base' WHEN b.s_name IS NOT NULL THEN 'plain' ELSE 'missing' END AS how FROM {part} p LEFT JOIN {supplier} a ON a.s_suppkey = p.p_partkey * 7 % 900 LEFT JOIN {supplier} b ON b.s_suppkey = p.p_partkey * 3 % 700")
-shared_sql("image_rewrite", "SELECT p.p_partkey, concat('images/', CAST(i.id AS VARCHAR(20)), '.png') AS fileref FROM {part} p JOIN (SELECT p_brand, min(p_partkey) AS id FROM {part} GROUP BY p_brand) i ON p.p_brand = i.p_brand")
-shared_sql("duplicate_ids", "SELECT c_nationkey, c_mktsegment, count(*) AS n FROM {customer} GROUP BY c_nationkey, c_mktsegment HAVING count(*) > 1")
-shared_sql("xref_edges_known", "SELECT o.o_orderkey, o.o_custkey FROM {orders} o WHERE o.o_custkey IN (SELECT c_custkey FROM {customer} WHERE c_acctbal > 0)")
-
-# Aggregates, sets, order.
-
-shared_sql("import_counters", "SELECT l_returnflag AS kind, count(*) AS all_rows, sum(CASE WHEN l_linestatus = 'O' THEN 1 ELSE 0 END) AS new_rows, sum(CASE WHEN l_linestatus <> 'O' THEN 1 ELSE 0 END) AS matched_rows FROM {lineitem} GROUP BY l_returnflag")
-shared_sql("max_columns", "SELECT o_custkey, max(n) AS max_cols FROM (SELECT l_orderkey, count(*) AS n FROM {lineitem} GROUP BY l_orderkey) x JOIN {orders} ON l_orderkey = o_orderkey GROUP BY o_custkey")
-shared_sql("attribute_occurrences", "SELECT props, count(*) AS n FROM {events} GROUP BY props")
-shared_sql("first_of_kind", "SELECT user_id, event_type, min_by(event_id, event_id) AS first_event, min_by(value, event_id) AS first_value FROM {events} GROUP BY user_id, event_type")
-shared_sql("largest_first_wins", "SELECT o_custkey, max_by(o_orderkey, weight) AS pick FROM (SELECT o_custkey, o_orderkey, o_totalprice * 1000000 - o_orderkey AS weight FROM {orders}) x GROUP BY o_custkey")
-shared_sql("newest_candidates", "SELECT o_custkey, o_orderkey, rn FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS rn FROM {orders}) x WHERE rn <= 3")
-shared_sql("bag_union", "SELECT c_nationkey AS k, 'c' AS kind FROM {customer} UNION ALL SELECT s_nationkey AS k, 's' AS kind FROM {supplier}")
-shared_sql("union_distinct", "SELECT c_nationkey AS k FROM {customer} UNION SELECT s_nationkey AS k FROM {supplier}")
-shared_sql("intersection", "SELECT p_size AS k FROM {part} INTERSECT SELECT n_nationkey AS k FROM {nation}")
-shared_sql("difference", "SELECT p_size AS k FROM {part} EXCEPT SELECT n_nationkey AS k FROM {nation}")
-shared_sql("difference_all", "SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey AS k FROM {supplier}")
-shared_sql("count_by", "SELECT c_mktsegment, count(*) AS n FROM {customer} GROUP BY c_mktsegment")
-shared_sql("index_by_last", "SELECT p_brand, max_by(p_name, p_partkey) AS last_name, max(p_partkey) AS last_key FROM {part} GROUP BY p_brand")
-shared_sql("sort_by_rank", "SELECT s_suppkey, row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS place FROM {supplier}")
-shared_sql("partition_by_predicate", "SELECT p_partkey, p_size >= 25 AS large FROM {part}")
-shared_sql("group_bounds", "SELECT n_regionkey, min(n_name) || ',' || max(n_name) AS names FROM {nation} GROUP BY n_regionkey")
-shared_sql("every_some", "SELECT o_custkey, min(CASE WHEN o_totalprice > 1000 THEN 1 ELSE 0 END) = 1 AS all_large, max(CASE WHEN o_totalprice > 200000 THEN 1 ELSE 0 END) = 1 AS some_huge FROM {orders} GROUP BY o_custkey")
-shared_sql("each_slice", "SELECT CAST(floor((rn - 1) / 5.0) AS BIGINT) AS slice, count(*) AS n, min(s_suppkey) AS first_key FROM (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) AS rn FROM {supplier}) x GROUP BY CAST(floor((rn - 1) / 5.0) AS BIGINT)")
-shared_sql("each_cons", "SELECT o_custkey, o_orderkey, CAST(sum(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS BIGINT) AS window_sum, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS window_n FROM {orders}")
-shared_sql("minmax", "SELECT p_brand, min(p_retailprice) AS least, max(p_retailprice) AS most FROM {part} GROUP BY p_brand")
-shared_sql("first_last_per_group", "SELECT DISTINCT user_id, first_value(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS first_id, last_value(event_id) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_id FROM {events}")
-shared_sql("positions", "SELECT p_name, min(p_partkey) AS index_of, max(p_partkey) AS last_index_of FROM {part} GROUP BY p_name")
-shared_sql("reject_where", "SELECT p_partkey FROM {part} WHERE NOT (p_size < 10 OR p_brand = 'Brand#1')")
-
-# Order-dependent computations.
-
-shared_sql("target_counter", "SELECT o_custkey, o_orderkey, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS target_num FROM {orders}")
-shared_sql("consecutive_islands", "SELECT user_id, event_type, island, count(*) AS n, min(event_id) AS first_id FROM (SELECT user_id, event_type, event_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM (SELECT user_id, event_type, event_id, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) = event_type THEN 0 ELSE 1 END AS fresh FROM {events}) a) b GROUP BY user_id, event_type, island")
-shared_sql("neighbour_elements", "SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS after_type FROM {events}")
-shared_sql("name_counter", "SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN concat('config', CAST(row_number() OVER (PARTITION BY p_brand, p_size % 5 = 0 ORDER BY p_partkey) AS VARCHAR(20))) ELSE p_name END AS config_name FROM {part}")
-shared_sql("content_owner", "SELECT event_id, max(CASE WHEN event_type = 'view' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading_id FROM {events}")
-shared_sql("revision_dashes", "SELECT p_partkey, replace(concat(CAST(p_size AS VARCHAR(20)), '.', CAST(p_partkey % 10 AS VARCHAR(20))), '.', '-') AS revision FROM {part}")
-shared_sql("event_hours", "SELECT date_trunc('hour', ts) AS start_hour, event_type, count(*) AS n FROM {events} GROUP BY date_trunc('hour', ts), event_type")
-shared_sql("version_format", "SELECT p_partkey, CASE WHEN p_size >= 25 THEN '5.0' ELSE '4.5' END AS xml_format FROM {part}")
-
 
 @query("event_windows", "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def event_windows(spark, sf_dir):
@@ -93,16 +43,6 @@ def xpath_strings(spark, sf_dir):
     return p.select("p_partkey", X.xpath_substring(F.col("p_name"), F.lit(0), F.lit(3)).alias("from_zero"), X.xpath_substring(F.col("p_name"), F.lit(1.5), F.lit(2.6)).alias("inner_part"), X.xpath_round(F.col("p_retailprice") / 10).alias("rounded"), X.normalize_space(F.col("p_type")).alias("normal"), F.col("p_type").startswith("S").alias("starts"), F.translate("p_brand", "#", "-").alias("translated"))
 
 
-@query("entity_declarations", "SELECT n_name AS name, '<!ENTITY ' || n_name || ' \"' || n_nationkey || '\">' AS declaration FROM nation WHERE n_regionkey <> 0")
-def entity_declarations(spark, sf_dir):
-    n = table(spark, sf_dir, "nation")
-    text = n.select(F.concat(F.lit('<!ENTITY '), "n_name", F.lit(' "'), F.col("n_nationkey").cast("string"), F.lit('">')).alias("text"))
-    found = text.select(F.explode(F.regexp_extract_all("text", F.lit(r"""<!ENTITY\s+[^\s"']+\s+("[^"]*"|'[^']*')\s*>"""), F.lit(0))).alias("declaration")).dropDuplicates()
-    named = found.withColumn("name", F.regexp_extract("declaration", r"<!ENTITY\s+(\S+)", 1))
-    ignored = n.where("n_regionkey = 0").select(F.col("n_name").alias("name"))
-    return named.join(ignored, "name", "left_anti").select("name", "declaration")
-
-
 @query("attribute_fill", "SELECT n_nationkey, n_name || ' of ' || r_name || ' and {other}' AS text FROM nation JOIN region ON n_regionkey = r_regionkey")
 def attribute_fill(spark, sf_dir):
     n = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -110,16 +50,6 @@ def attribute_fill(spark, sf_dir):
     return n.select("n_nationkey", X.fill_attributes(F.lit("{nation} of {region} and {other}"), attributes).alias("text"))
 
 
-@query("map_merge", "SELECT p_partkey, 'brand=' || p_brand || ',size=' || CASE WHEN p_size > 25 THEN 'L' ELSE p_size::VARCHAR END AS merged FROM part")
-def map_merge(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    base = F.create_map(F.lit("size"), F.col("p_size").cast("string"), F.lit("brand"), F.col("p_brand"))
-    over = F.when(F.col("p_size") > 25, F.create_map(F.lit("size"), F.lit("L"))).otherwise(F.create_map().cast("map<string,string>"))
-    # The right side wins, without a setting of the session.
-    merged = F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(over, k)), over)
-    return p.select("p_partkey", F.array_join(F.transform(F.array_sort(F.map_keys(merged)), lambda k: F.concat(k, F.lit("="), merged[k])), ",").alias("merged"))
-
-
 @query("array_shapes", "SELECT l_orderkey, list_sort(list_distinct(list(l_returnflag)))[1] AS least_flag, len(list_distinct(list(l_returnflag)))::INTEGER AS n_flags, sum(l_linenumber)::BIGINT AS total, max(l_linenumber) AS last_line FROM lineitem GROUP BY l_orderkey")
 def array_shapes(spark, sf_dir):
     held = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("x"))
@@ -191,19 +121,6 @@ def outline_header(spark, sf_dir):
     return s.select("s_suppkey", F.array_join(lines, ";").alias("header"))
 
 
-@query("wrapped_list")
-def wrapped_list(spark, sf_dir):
-    held = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list("s_name")).alias("names"))
-    return held.select("s_nationkey", outline.wrap_list(F.col("names")).alias("text"))
-
-
-@query("greedy_assignment")
-def greedy_assignment(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem")
-    c = l.select(F.col("l_suppkey").alias("spec"), F.col("l_linenumber").alias("topic_seq"), F.col("l_partkey").alias("store_id"), F.col("l_discount").alias("jaccard"), (F.col("l_discount") >= 0.1).alias("equivalent"))
-    return matching.greedy(c.groupBy("spec", "topic_seq", "store_id").agg(F.max("jaccard").alias("jaccard"), F.bool_or("equivalent").alias("equivalent")))
-
-
 @query("graph_resolution")
 def graph_resolution(spark, sf_dir):
     o = table(spark, sf_dir, "orders")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Fixed values.
 SETTINGS_FILE = "publican.cfg"
-IMAGE_SUFFIXES = ("jpg", "jpeg", "png", "gif", "svg", "bmp")
+IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "gif", "svg")
 
 
 def read_folder(spark: SparkSession, path: str) -> DataFrame:
@@ -25,13 +25,18 @@ def read_folder(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """(source_id, path, content, crc32, error): the entries of ZIP archives. An archive that can't be read gives one row with its error."""
+    """(source_id, path, content, crc32, error): the entries of the ZIP archives below a path."""
+    return unpack(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def unpack(archives: DataFrame) -> DataFrame:
+    """archives(source, content) to (source_id, path, content, crc32, error). An archive that can't be read gives one row with its error."""
 
     def unzip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["source_id", "path", "content", "crc32", "error"]
         kinds = [pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string()]
         for batch in batches:
-            for place, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
+            for place, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     archive = zipfile.ZipFile(io.BytesIO(content))
                     entries = archive.infolist()
@@ -44,7 +49,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
                 except (zipfile.BadZipFile, ValueError, NotImplementedError) as e:
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((place, None, None, None, str(e)), kinds, strict=True)], names=names)
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(unzip, "source_id string, path string, content binary, crc32 long, error string")
+    return archives.mapInArrow(unzip, "source_id string, path string, content binary, crc32 long, error string")
 
 
 def strip_root(path: Column) -> Column:
@@ -102,3 +107,89 @@ def book_problems(files: DataFrame, locale: str) -> DataFrame:
     xml = F.bool_or(F.col("path").rlike(rf"^{locale}/.*\.xml$") & ~F.col("path").startswith("tmp/"))
     found = files.groupBy("source_id").agg(F.bool_or(F.col("path") == SETTINGS_FILE).alias("cfg"), xml.alias("xml"))
     return found.select("source_id", F.array_compact(F.array(F.when(~F.col("cfg"), "no settings"), F.when(~F.col("xml"), "no text"))).alias("problems"))
+
+
+def text_of(content: Column) -> Column:
+    """The text of an entry."""
+    return F.decode(content, "UTF-8")
+
+
+def source_name(path: Column) -> Column:
+    """A file's own name, or for paths of a folder the folder's: their first part."""
+    return F.split(path, "/")[0]
+
+
+def exists(files: DataFrame, wanted: DataFrame, ignore_case: bool = False) -> DataFrame:
+    """wanted(source_id, name) with ``found``: whether the source has an entry of that name."""
+    as_key = (lambda c: F.lower(c)) if ignore_case else F.col
+    known = files.select("source_id", as_key("path").alias("__key")).distinct().withColumn("found", F.lit(True))
+    return wanted.withColumn("__key", as_key("name")).join(known, ["source_id", "__key"], "left").select("source_id", "name", F.coalesce("found", F.lit(False)).alias("found"))
+
+
+def candidates(files: DataFrame, kind: str = "xml") -> DataFrame:
+    """Entries that may be a main file: XML files, or (asciidoc) all files that are no image."""
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    return files.where(is_file(F.col("path")) & (suffix == "xml" if kind == "xml" else ~suffix.isin(*IMAGE_SUFFIXES)))
+
+
+def main_file_of_book(files: DataFrame, locale: str) -> DataFrame:
+    """(source_id, main_file) by the settings' mainfile, else by the title of the book's info file, where such a file exists.
+
+    files(source_id, path, text). Settings name files of the locale's folder, with or without suffix; in titles spaces
+    stand for underscores.
+    """
+    cfg = settings(files.where(F.col("path") == SETTINGS_FILE), "text", "source_id").where("name = 'mainfile'")
+    named = cfg.select("source_id", F.concat(F.lit(f"{locale}/"), F.regexp_replace("value", r"\.xml$", ""), F.lit(".xml")).alias("path"), F.lit(0).alias("rank"))
+    infos = files.where(F.col("path").isin(*(f"{locale}/{k}_Info.xml" for k in ("Book", "Article"))))
+    first = infos.groupBy("source_id").agg(F.min_by(F.regexp_extract("text", "<title>(.*?)</title>", 1), F.struct(F.lower("path"), "path")).alias("title")).where("title <> ''")
+    titled = first.select("source_id", F.concat(F.lit(f"{locale}/"), F.replace(F.col("title"), F.lit(" "), F.lit("_")), F.lit(".xml")).alias("path"), F.lit(1).alias("rank"))
+    there = named.unionByName(titled).join(files.select("source_id", "path").distinct(), ["source_id", "path"])
+    return there.groupBy("source_id").agg(F.min_by("path", "rank").alias("main_file"))
+
+
+def config_names(files: DataFrame, prefix: str = "config") -> DataFrame:
+    """(source_id, path, config_name) of settings files: theirs where it fits, else one made of their name, else prefix and a running number."""
+    name = F.regexp_extract("path", "([^/]*)$", 1)
+    own = listing(files.where(F.col("path").endswith(".cfg"))).withColumn("file", name)
+    bare = F.replace(F.regexp_replace("file", r"\.cfg$", ""), F.lit(SETTINGS_FILE.removesuffix(".cfg")), F.lit(""))
+    fine = (F.col("file") == SETTINGS_FILE) | F.col("file").rlike(rf"^\S+-{re.escape(SETTINGS_FILE)}$")
+    kind = F.when(fine, 0).when(bare.rlike("^[A-Za-z]+[A-Za-z0-9]*$"), 1).otherwise(2)
+    ranked = own.withColumn("kind", kind).withColumn("k", F.row_number().over(Window.partitionBy("source_id", "kind").orderBy("place")))
+    made = F.when(F.col("kind") == 0, F.col("file")).when(F.col("kind") == 1, F.concat(bare, F.lit(f"-{SETTINGS_FILE}"))).otherwise(F.concat(F.lit(prefix), F.col("k").cast("string"), F.lit(f"-{SETTINGS_FILE}")))
+    return ranked.select("source_id", "path", made.alias("config_name"))
+
+
+def config_lines(files: DataFrame, ignored: list[str]) -> DataFrame:
+    """(path, lines) of settings files without blank lines and ignored names. files(path, text)."""
+    lines = F.filter(F.split("text", "\n"), lambda l: (F.trim(l) != "") & ~F.trim(F.split(l, ":")[0]).isin(*ignored))
+    return files.select("path", lines.alias("lines"))
+
+
+def pack(files: DataFrame) -> DataFrame:
+    """(source_id, content): one ZIP archive for each source. files(source_id, path, content); an archive is one value, so its entries meet in a row."""
+
+    def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, entries in zip(batch.column("source_id").to_pylist(), batch.column("entries").to_pylist(), strict=True):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+                    for e in entries:
+                        archive.writestr(zipfile.ZipInfo(e["path"]), e["content"] or b"")
+                yield pa.RecordBatch.from_arrays([pa.array([source], pa.string()), pa.array([out.getvalue()], pa.binary())], names=["source_id", "content"])
+
+    held = files.groupBy(F.col("source_id").cast("string").alias("source_id")).agg(F.array_sort(F.collect_list(F.struct("path", F.col("content").cast("binary").alias("content")))).alias("entries"))
+    return held.mapInArrow(zipped, "source_id string, content binary")
+
+
+def in_files_folder(path: Column, locale: str, ignored: tuple[str, ...] = (".gitignore",)) -> Column:
+    """Whether an entry lies in the locale's folder of additional files."""
+    name = F.regexp_extract(path, "([^/]*)$", 1)
+    return path.startswith(f"{locale}/files/") & is_file(path) & ~name.isin(*ignored)
+
+
+def first_found(files: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """wanted(key, names) with what files(path, ...) holds under the first of the names that exists; nulls if none does."""
+    named = wanted.select(key, F.posexplode("names").alias("pos", "path")).join(files, "path")
+    values = [c for c in files.columns if c != "path"]
+    best = named.groupBy(key).agg(F.min_by(F.struct("path", *values), "pos").alias("__x"))
+    return wanted.join(best, key, "left").select(key, F.col("__x.path").alias("path"), *(F.col(f"__x.{v}").alias(v) for v in values))

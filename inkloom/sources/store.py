@@ -43,3 +43,103 @@ def sparse_update(store: DataFrame, changes: DataFrame, columns: list[str]) -> D
     c = changes.select("store_id", F.lit(True).alias("__hit"), *(F.col(x).alias(f"__{x}") for x in columns))
     joined = store.join(c, "store_id", "left")
     return joined.select(*(F.when(F.col("__hit"), F.col(f"__{x}")).otherwise(F.col(x)).alias(x) if x in columns else F.col(x) for x in store.columns))
+
+
+SETTINGS = "struct<locales:struct<items:array<struct<item:struct<id:int,value:string,translationValue:string,buildValue:string>>>>,defaultLocale:struct<id:int,value:string>,entities:map<string,string>>"
+FORMATS = {"4.5": "DOCBOOK_45", "5.0": "DOCBOOK_50"}
+#: Calls to the store are tried so often again.
+RETRIES = 5
+
+
+def locales(df: DataFrame, column: str = "json") -> DataFrame:
+    """(locale_id, value, translation, build, is_default) of a settings envelope."""
+    s = F.from_json(column, SETTINGS)
+    rows = df.select(F.explode(s["locales"]["items"]).alias("x"), s["defaultLocale"]["id"].alias("d"))
+    return rows.select(F.col("x.item.id").alias("locale_id"), F.col("x.item.value").alias("value"), F.col("x.item.translationValue").alias("translation"), F.col("x.item.buildValue").alias("build"), (F.col("x.item.id") == F.col("d")).alias("is_default"))
+
+
+def with_locale(df: DataFrame, dimension: DataFrame, by: str = "value") -> DataFrame:
+    """df(locale, ...) with the locale's id and value, found by id or by value; of several the least id. The dimension is a table of settings."""
+    name = "locale_id" if by == "id" else "value"
+    one = dimension.groupBy(F.col(name).cast("string").alias("locale")).agg(F.min_by(F.struct("locale_id", "value"), "locale_id").alias("x"))
+    return df.withColumn("locale", F.col("locale").cast("string")).join(one, "locale", "left").select(*df.columns, F.col("x.locale_id").alias("locale_id"), F.col("x.value").alias("locale_value"))
+
+
+def servers(df: DataFrame, own_host: str, column: str = "json") -> DataFrame:
+    """(name, host) of a list of servers; without a readable one the own host."""
+    from inkloom.functions.urls import part
+
+    listed = F.filter(F.from_json(column, "array<struct<serverName:string,restUrl:string>>"), lambda s: s["restUrl"].isNotNull())
+    fallback = F.array(F.struct(F.lit(f"Default ({own_host})").alias("serverName"), F.lit(f"http://{own_host}/").alias("restUrl")))
+    rows = df.select(F.explode(F.when(F.size(listed) > 0, listed).otherwise(fallback)).alias("s"))
+    return rows.select(F.col("s.serverName").alias("name"), part(F.col("s.restUrl"), "host").alias("host"))
+
+
+def in_spec(topics: DataFrame, members: DataFrame, spec: int | None = None) -> DataFrame:
+    """The topics of a spec (of any, with its id, if spec is None), with ``n_specs``: how many specs use them. members(spec, store_id)."""
+    uses = members.distinct().groupBy("store_id").agg(F.count("*").alias("n_specs"))
+    own = members.distinct() if spec is None else members.where(F.col("spec") == spec).distinct()
+    return own.join(uses, "store_id").join(topics, "store_id")
+
+
+def topic_rows(new: DataFrame) -> DataFrame:
+    """What a topic is written with: (xml, title, description, tags, locale_id, xml_format) from new(xml, title, tags, locale_id, version).
+
+    A title is the description too, tags are added (state 1), and only known versions give a format.
+    """
+    title = F.when(F.col("title") != "", F.col("title"))
+    known = F.create_map(*(F.lit(x) for kv in FORMATS.items() for x in kv))
+    tags = F.transform(F.coalesce("tags", F.array().cast("array<int>")), lambda t: F.struct(t.alias("id"), F.lit(1).alias("state")))
+    return new.withColumns({"title": title, "description": title, "tags": tags, "xml_format": F.try_element_at(known, F.col("version").cast("string"))})
+
+
+def create_topics(new: DataFrame, store: DataFrame, match: bool = True) -> DataFrame:
+    """new(key, xml, title, tags, locale_id, version) to (key, store_id, matched): equal texts of one locale and format share an id.
+
+    With match, texts that the store(store_id, xml, xml_format, locale_id) holds get its id.
+    """
+    same = lambda df: df.withColumn("content", F.to_json(F.struct("xml", F.coalesce("xml_format", F.lit("")).alias("f"), F.coalesce("locale_id", F.lit(-1)).alias("l"))))
+    rows = same(topic_rows(new))
+    known = same(store)
+    ids = create_or_match(rows, known if match else known.withColumn("content", F.concat(F.lit("\x00"), "content")))
+    return rows.select("key", F.sha2(F.col("content").cast("binary"), 256).alias("sha")).join(ids, "sha").select("key", "store_id", "matched")
+
+
+def spec_text(text: Column, spec_id: Column) -> Column:
+    """What an outline is written with: one that exists names its id first."""
+    return F.when(spec_id.isNull(), text).otherwise(F.concat(F.lit("ID = "), spec_id.cast("string"), F.lit("\n"), text))
+
+
+def write_specs(specs: DataFrame, store: DataFrame) -> DataFrame:
+    """specs(spec_id, text) written over store(spec_id, text): ids stay, specs without one get those after the largest."""
+    top = store.agg(F.coalesce(F.max("spec_id"), F.lit(0)).alias("top"))
+    fresh = specs.where("spec_id IS NULL").select(F.sha2("text", 256).alias("sha"), "text").distinct()
+    counts = fresh.groupBy(F.substring("sha", 1, 3).alias("range")).agg(F.count("*").alias("n"))
+    base = counts.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    made = fresh.withColumn("range", F.substring("sha", 1, 3)).withColumn("k", F.row_number().over(Window.partitionBy("range").orderBy("sha"))).join(F.broadcast(base), "range").crossJoin(F.broadcast(top))
+    known = specs.where("spec_id IS NOT NULL")
+    old = store.join(known.select("spec_id"), "spec_id", "left_anti")
+    return old.select("spec_id", "text").unionByName(known.select("spec_id", spec_text(F.col("text"), F.col("spec_id")).alias("text"))).unionByName(made.select((F.col("top") + F.col("base") + F.col("k")).alias("spec_id"), "text"))
+
+
+def image_names(uploaded: DataFrame) -> DataFrame:
+    """uploaded(source, fileref, store_id) with ``name``: where the image is found from now on."""
+    return uploaded.withColumn("name", F.concat(F.lit("images/"), F.col("store_id").cast("string"), F.regexp_extract("fileref", r"(\.[^.]*)$", 1)))
+
+
+def rewrite_images(topics: DataFrame, uploaded: DataFrame) -> DataFrame:
+    """topics(source, key, xml) with the image references that were uploaded rewritten; only names that a topic uses travel to it."""
+    used = topics.select("source", "key", F.explode(F.array_distinct(F.regexp_extract_all("xml", F.lit(r'fileref="([^"]*)"'), F.lit(1)))).alias("fileref"))
+    found = used.join(image_names(uploaded), ["source", "fileref"]).groupBy("source", "key").agg(F.array_sort(F.collect_list(F.struct("fileref", "name"))).alias("__names"))
+    put = F.aggregate(F.coalesce("__names", F.array().cast("array<struct<fileref:string,name:string>>")), F.col("xml"), lambda x, n: F.replace(x, F.concat(F.lit('fileref="'), n["fileref"], F.lit('"')), F.concat(F.lit('fileref="'), n["name"], F.lit('"'))))
+    return topics.join(found, ["source", "key"], "left").withColumn("xml", put).drop("__names")
+
+
+def retrying(call, *args, retries: int = RETRIES):
+    """call(*args), tried again at once after failures, ``retries`` times at most; the last failure is raised."""
+    for left in range(retries, -1, -1):
+        try:
+            return call(*args)
+        except Exception:  # whatever the store answers with
+            if not left:
+                raise

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from inkloom.operators.scratch import shared_folder
+
 
 def follow(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -27,3 +29,12 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     marked = events.withWatermark("ts", late) if events.isStreaming else events
     out = marked.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def taken_up(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """(key, n) of a table that comes as a stream of files: they are taken up batch by batch, the counts written, and added up from what was written."""
+    folder = shared_folder(spark, "taken")
+    spark.read.parquet(path).repartition(4).write.parquet(f"{folder}/in")
+    stream = follow(spark, f"{folder}/in", spark.read.parquet(path).schema, files_per_trigger=2)
+    ingest(stream, lambda batch: batch.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("n")), f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema("key string, n long").parquet(f"{folder}/out").groupBy("key").agg(F.sum("n").alias("n"))
