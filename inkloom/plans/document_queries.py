@@ -191,7 +191,13 @@ def page_nodes(spark, sf_dir):
     return n.groupBy("page_id", "name").agg(F.count("*").alias("n"), F.max("depth").alias("max_depth"))
 
 
-@query("page_list_items_under_nav")
+@query("page_elements", r"SELECT page_id, name, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)(<script>|<style>).*?(</script>|</style>)', '\1\2', 'g'), '<([a-z][a-z0-9]*)', 1)) AS name FROM pages) GROUP BY ALL")
+def page_elements(spark, sf_dir):
+    n = markup.nodes(table(spark, sf_dir, "pages"), "page_id", "html").where(~F.col("name").startswith("#"))
+    return collections.count_by(n, "page_id", "name")
+
+
+@query("page_list_items_under_nav", "SELECT page_id, sum(len(regexp_extract_all(nav, '<li>')))::BIGINT AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<nav>.*?</nav>')) AS nav FROM pages) GROUP BY page_id HAVING n > 0")
 def page_list_items_under_nav(spark, sf_dir):
     n = markup.nodes(table(spark, sf_dir, "pages"), "page_id", "html")
     l, r = n.where("name = 'nav'").alias("l"), n.where("name = 'li'").alias("r")
@@ -203,6 +209,31 @@ def page_sections(spark, sf_dir):
     return markup.sections(table(spark, sf_dir, "pages"), "page_id", "html", "url")
 
 
+_TABLE = '<informaltable><tgroup cols="2"><colspec colname="c1"/><colspec colname="c2"/><thead><row><entry>H</entry><entry>I</entry></row></thead><tbody><row><entry namest="c1" nameend="c2">\' || o_orderstatus || \'</entry></row></tbody></tgroup></informaltable>'
+_LIST = '<orderedlist numeration="loweralpha"><listitem><para>p</para><para>q</para><itemizedlist><listitem><para>r</para></listitem></itemizedlist></listitem></orderedlist>'
+
+
+@query("made_sections", f"""WITH RECURSIVE h AS (SELECT o_custkey AS doc_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n, o_orderkey AS k, (o_orderkey % 4 + 1)::INTEGER AS level,
+      CASE WHEN o_orderkey % 11 = 0 THEN '<para><ulink url="http://h/x">l</ulink> m</para>' ELSE '' END || CASE WHEN o_orderkey % 3 = 0 THEN '<para>x <emphasis role="bold">' || o_orderpriority || '</emphasis></para>' ELSE '' END || CASE WHEN o_orderkey % 5 = 0 THEN '<screen>a  &lt;' || chr(10) || 'b</screen>' ELSE '' END
+      || CASE WHEN o_orderkey % 7 = 0 THEN '{_TABLE}' ELSE '' END || CASE WHEN o_orderkey % 13 = 0 THEN '{_LIST}' ELSE '' END AS body FROM orders),
+    c(doc_id, n, level) AS (SELECT doc_id, n, 1 FROM h WHERE n = 1 UNION ALL SELECT h.doc_id, h.n, least(h.level, c.level + 1) FROM c JOIN h ON h.doc_id = c.doc_id AND h.n = c.n + 1),
+    x AS (SELECT h.doc_id, h.n, h.k, c.level, h.body FROM h JOIN c USING (doc_id, n)),
+    e AS (SELECT x.*, coalesce((SELECT min(y.n) FROM x y WHERE y.doc_id = x.doc_id AND y.n > x.n AND y.level <= x.level), 1000000) AS stop FROM x),
+    kept AS (SELECT * FROM e WHERE body <> '' OR EXISTS (SELECT 1 FROM x y WHERE y.doc_id = e.doc_id AND y.n > e.n AND y.n < e.stop AND y.body <> ''))
+    SELECT doc_id, (row_number() OVER w - 1)::INTEGER AS place, level, CASE WHEN body = '' AND coalesce(lead(level) OVER w > level, FALSE) THEN 'container' ELSE 'topic' END AS kind, 'T' || k AS title, body FROM kept WINDOW w AS (PARTITION BY doc_id ORDER BY n)""")
+def made_sections(spark, sf_dir):
+    """Each customer's orders as headings of a page, some with paragraphs, listings, tables and lists, many empty."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    level = (k % 4 + 1).cast("string")
+    part = F.concat(
+        F.lit("<h"), level, F.lit("><span>3.1 T"), k.cast("string"), F.lit("</span>"), F.when(k % 11 == 0, " <a href='/x'>l</a> <i></i>m").otherwise(""), F.lit("</h"), level, F.lit(">\n"),
+        F.when(k % 3 == 0, F.concat(F.lit("<p>x <b>"), "o_orderpriority", F.lit("</b></p><p> &nbsp; </p>"))).otherwise(""), F.when(k % 5 == 0, "<pre>a  &lt;\nb</pre>").otherwise(""),
+        F.when(k % 7 == 0, F.concat(F.lit("<table><tr><th>H</th><th>I</th></tr><tr><td colspan='2'>"), "o_orderstatus", F.lit("</td></tr></table>"))).otherwise(""), F.when(k % 13 == 0, "<div><ol type='a'><li>p<br>q<ul><li>r</li></ul></li></ol></div><ul class='a toc'><li>no</li></ul>").otherwise(""),
+    )
+    pages = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", part.alias("x")))), lambda s: s["x"]), "").alias("html"))
+    return markup.sections(pages.withColumn("url", F.lit("http://h/")), "doc_id", "html", "url").select("doc_id", "place", "level", "kind", "title", "body")
+
+
 # Near duplicates.
 
 _SETS = r"""w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[ \t\n\r\f\v]+'), lambda x: x <> '') AS w FROM documents),

@@ -121,11 +121,14 @@ def outline_header(spark, sf_dir):
     return s.select("s_suppkey", F.array_join(lines, ";").alias("header"))
 
 
-@query("graph_resolution")
+@query("graph_resolution", """SELECT o_custkey AS component, k::INTEGER AS topic_seq, CASE WHEN o_custkey % 3 = 0 AND k < n THEN 'NEW' ELSE 'REUSED' END AS status, CASE WHEN o_custkey % 3 = 0 AND k < n THEN NULL ELSE o_orderkey END AS store_id
+    FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders)""")
 def graph_resolution(spark, sf_dir):
+    """Each topic links to the next; in every third component the last link wants another topic than there is, so none before it can be reused."""
     o = table(spark, sf_dir, "orders")
     topic = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    t = o.select(F.col("o_custkey").alias("component"), topic.alias("topic_seq"), F.col("o_orderkey").alias("store_id"))
-    after = t.select("component", (F.col("topic_seq") - 1).alias("topic_seq"), F.col("topic_seq").cast("long").alias("dst"), F.col("store_id").cast("string").alias("required_ref"))
+    t = o.select(F.col("o_custkey").alias("component"), topic.alias("topic_seq"), F.col("o_orderkey").alias("store_id"), F.count("*").over(Window.partitionBy("o_custkey")).alias("n"))
+    wrong = (F.col("component") % 3 == 0) & (F.col("topic_seq") == F.col("n"))
+    after = t.select("component", (F.col("topic_seq") - 1).alias("topic_seq"), F.col("topic_seq").cast("long").alias("dst"), (F.col("store_id") + wrong.cast("int")).cast("string").alias("required_ref"))
     linked = t.join(after, ["component", "topic_seq"], "left")
     return graph.resolve(linked.select("component", "topic_seq", "store_id", F.when(F.col("dst").isNotNull(), "topic").alias("dst_kind"), "dst", F.lit(None).cast("int").alias("dst_target"), "required_ref"))

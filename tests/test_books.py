@@ -105,13 +105,6 @@ def test_rarer_url_functions(spark):
         assert one(spark, lambda x: U.expand_template(x, values), template) == want
 
 
-def test_rules_have_a_bound(spark):
-    paras = spark.createDataFrame([(1, 1, "a")], "doc_id int, ord int, font string")
-    many = spark.range(rules.MOST_RULES + 1).selectExpr("CAST(id AS int) AS rule_no", "'a' AS font", "'x' AS element", "true AS merge")
-    with pytest.raises(ValueError):
-        rules.classify(paras, many, ["font"])
-
-
 def test_repairs(spark):
     assert one(spark, X.repair_comments, "<a><!-- b <!-- c --> d <!-- e --></a>") == "<a><!-- b  c --> d <!-- e --></a>"
     ids = F.array(F.lit("a"))

@@ -25,7 +25,9 @@ def test_canonical_forms(spark):
     b = "<section><title>It&apos;s</title></section>"
     ka, kb = (one(spark, X.canonical_key(F.col("x")), x=x) for x in (a, b))
     assert ka == kb
-    assert one(spark, X.strict_key(F.col("x")), x=a) != one(spark, X.strict_key(F.col("x")), x=b)
+    inject = "<section><!-- Inject: %d --></section>"
+    assert one(spark, X.canonical_key(F.col("x")), x=inject % 1) == one(spark, X.canonical_key(F.col("x")), x=inject % 2)
+    assert one(spark, X.strict_key(F.col("x")), x=inject % 1) != one(spark, X.strict_key(F.col("x")), x=inject % 2)
     assert one(spark, X.canonical(X.canonical(F.col("x"))), x=a) == one(spark, X.canonical(F.col("x")), x=a)
 
 
@@ -147,8 +149,10 @@ def test_similar_against_brute_force(spark):
 
 
 def test_greedy(spark):
-    c = spark.createDataFrame([(1, 1, 5, 0.9, False), (1, 2, 5, 1.0, True), (1, 1, 6, 0.7, False), (1, 3, 6, 0.8, False)], "spec long, topic_seq int, store_id long, jaccard double, equivalent boolean")
-    assert {(r.topic_seq, r.store_id) for r in matching.greedy(c).collect()} == {(2, 5), (1, 6)}
+    """Exact matches first, then the first candidate left, then an equal topic of the batch, else new."""
+    c = [(1, 1, 0, 5, False, "a"), (1, 2, 0, 5, True, "b"), (1, 1, 2, 6, False, "a"), (1, 1, 1, 7, False, "a"), (1, 3, 0, 7, False, "b"), (1, 4, 0, None, False, "x"), (1, 5, 0, None, False, "a"), (2, 1, 0, 5, False, None), (2, 2, 0, 5, False, None)]
+    got = {(r.spec, r.topic_seq): (r.status, r.store_id) for r in matching.greedy(spark.createDataFrame(c, "spec long, topic_seq int, place int, store_id long, equivalent boolean, batch_key string")).collect()}
+    assert got == {(1, 1): ("SIMILAR", 7), (1, 2): ("EXACT", 5), (1, 3): ("MATCHED", 5), (1, 4): ("NEW", None), (1, 5): ("MATCHED", 7), (2, 1): ("SIMILAR", 5), (2, 2): ("NEW", None)}
 
 
 def test_rules_and_targets(spark):
@@ -200,3 +204,91 @@ def test_closure_equals_its_trails(spark):
         assert got == want
     chain = spark.createDataFrame([(i, i + 1) for i in range(70)], "path long, child long")
     assert graph.include_closure(spark, chain.where("path >= 0")).where("root = 0").agg(F.max("depth")).first()[0] == 70
+
+
+def test_nothing_nests_too_deep():
+    """Ten thousand levels of markup, lists and inclusions don't exhaust a stack."""
+    from inkloom.operators import office, splice
+
+    n = 10_000
+    assert len(markup.page_sections("<h1>a</h1><p>" + "<b>" * n + "x", None)) == 1
+    assert markup.page_sections("<h1>a</h1>" + "<ul><li>" * n + "x", None)[0][3].count("<listitem>") == n
+    assert markup.page_sections("<h1>a</h1>" + "<table><tr><td>" * 500 + "x", None)[0][3].count("<entrytbl") == 499
+    xml = "<a>" * n + "x" + "</a>" * n
+    assert markup.serialise(markup.shred_xml(xml)) == xml
+    chain = {f"f{i}": f'<a><xi:include href="f{i + 1}"/></a>' for i in range(2000)} | {"f2000": "<z/>"}
+    assert splice.expand_xml(chain, "f0").count("<a>") == 2000
+    adoc = {f"f{i}": f"a\ninclude::f{i + 1}[]" for i in range(2000)} | {"f2000": "z"}
+    assert splice.expand_asciidoc(adoc, "f0")[0].endswith("a\nz")
+    spans = "<t:span>" * 3000 + "x" + "</t:span>" * 3000
+    content = f'<d xmlns:o="o" xmlns:t="t"><o:body><o:text><t:h>h</t:h><t:p>{spans}</t:p>{"<t:list><t:list-item>" * 1000}<t:p>y</t:p>{"</t:list-item></t:list>" * 1000}</o:text></o:body></d>'
+    (section,) = office._Office(content, "", []).sections()
+    assert section[2].startswith("<para>x</para>") and section[2].count("<listitem>") == 1000
+
+
+def test_headings_unwind():
+    got = markup.page_sections("<h1>A</h1><h2>B</h2><h3>C</h3><h2>D</h2><p>x</p><h3>E</h3><h1>F <img src='i'> g</h1>", "http://h/")
+    assert [(level, title) for _, level, title, _ in got] == [(1, "A"), (2, "D"), (1, "F")]
+    assert got[-1][3] == '<para><mediaobject><imageobject><imagedata fileref="http://h/i"/></imageobject></mediaobject> g</para>'
+    assert markup.page_sections("<h2></h2><p>x</p><h1>none</h1>", None) == [(0, 1, "Untitled", "<para>x</para>")]
+
+
+def test_asciidoc_inclusions():
+    from inkloom.operators import splice
+
+    files = {"m": ":dir: sub\ninclude::{dir}/a[]\n// include::x[]\n////\ninclude::y[]\n////\ninclude::none[]end", "sub/a": "A include::b[]", "sub/b": "B"}
+    text, names = splice.expand_asciidoc(files, "m")
+    assert text == ":dir: sub\nA B\n// includecomment::x[]\n////\nincludecomment::y[]\n////\nend" and names == {"dir": " sub"}
+
+
+def test_rules_of_any_number(spark):
+    paras = spark.range(50).selectExpr("1 AS doc_id", "id AS ord", "concat('f', id) AS font", "id % 2 = 0 AS bold")
+    many = spark.range(20_000).selectExpr("id + 2 AS rule_no", "concat('f', id) AS font", "CAST(NULL AS BOOLEAN) AS bold", "concat('e', id) AS element", "false AS merge")
+    first = spark.sql("SELECT 1L AS rule_no, CAST(NULL AS STRING) AS font, true AS bold, 'strong' AS element, true AS merge")
+    got = {r.ord: (r.element, r.merge) for r in rules.classify(paras, many.unionByName(first), ["font", "bold"]).collect()}
+    assert got == {k: ("strong", True) if k % 2 == 0 else (f"e{k}", False) for k in range(50)}
+    assert {r.element for r in rules.classify(paras, many.limit(0), ["font", "bold"]).collect()} == {"para"}
+    all_ = spark.sql("SELECT 0L AS rule_no, CAST(NULL AS STRING) AS font, CAST(NULL AS BOOLEAN) AS bold, 'any' AS element, false AS merge")
+    assert {r.element for r in rules.classify(paras, many.unionByName(all_), ["font", "bold"]).collect()} == {"any"}
+
+
+def test_retries():
+    calls = []
+
+    def fails(n):
+        calls.append(n)
+        if len(calls) < n:
+            raise OSError("again")
+        return len(calls)
+
+    assert store.retrying(fails, 6) == 6
+    calls.clear()
+    try:
+        store.retrying(fails, 7)
+        raise AssertionError
+    except OSError:
+        assert len(calls) == 6
+
+
+def test_builders_refuse_other_names(spark):
+    import pytest
+
+    with pytest.raises(Exception, match="chapter or a section"):
+        one(spark, X.open_element(F.lit("part"), F.lit("t")))
+
+
+def test_numbered(spark):
+    from inkloom.operators import order
+
+    df = spark.range(5000).selectExpr("id", "id % 3 AS k")
+    got = [r.id for r in order.numbered(df, "k", F.desc("id")).orderBy("place").collect()]
+    assert got == sorted(range(5000), key=lambda i: (i % 3, -i)) and order.numbered(df.limit(0), "k").count() == 0
+
+
+def test_comparison_of_variants(spark):
+    """What counts, and what doesn't, between two formattings."""
+    same = [('<title a="1" b="2"/>', "<title b='2' a='1'></title>"), ("<section><p>x</p></section>", "<chapter>\n <p> x\t</p>\n</chapter>"), ('<?xml version="1.0"?><!DOCTYPE a [<!ENTITY b "c">]><a x="1" version="5">t</a>', '<a remap="q" x="1">t</a>'), ("<a>&nbsp;a<!-- c -->b</a>", "<a>&nbsp;ab</a>")]
+    other = [("<p><screen>a  b</screen></p>", "<p><screen>a b</screen></p>"), ("<p x='a'/>", "<p x='b'/>"), ("<p>&nbsp;</p>", "<p>&mdash;</p>"), ("<p><date>1 </date></p>", "<p><date>1</date></p>")]
+    df = spark.createDataFrame([(a, b, True) for a, b in same] + [(a, b, False) for a, b in other], "a string, b string, want boolean")
+    bad = df.where((X.canonical_key(F.col("a")) == X.canonical_key(F.col("b"))) != F.col("want")).collect()
+    assert not bad
