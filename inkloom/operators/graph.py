@@ -112,12 +112,12 @@ def include_closure(spark: SparkSession, includes: DataFrame) -> DataFrame:
     return found.join(met, ["root", "path"], "left").select("root", "path", "depth", F.coalesce("met", F.lit(False)).alias("cyclic"))
 
 
-def _network(start, edges, fixed, targets):
+def _network(start, edges, targets):
     """What must hold if ``start`` = (topic, id) holds: a dict topic -> id, or None if that can't be."""
     net, todo = {}, [start]
     while todo:
         topic, store = todo.pop()
-        if net.get(topic, store) != store or fixed.get(topic, store) != store:
+        if net.get(topic, store) != store:
             return None
         if topic in net:
             continue
@@ -148,20 +148,16 @@ def choose(rows: pd.DataFrame) -> pd.DataFrame:
     topics = sorted({t for t, _ in edges})
     roots = {t for (t, _), e in edges.items() if e}
     fixed: dict = {}
-    while True:
-        best = None
-        for t in topics:
-            if t in roots and t not in fixed:
-                for s in sorted(s for x, s in edges if x == t):
-                    net = _network((t, s), edges, fixed, targets)
-                    if net and (best is None or len(net) > len(best)):
-                        best = net
-        if best is None:
-            break
-        fixed |= best
+    # Each candidate's network is followed once; what has been committed only rules networks out.
+    open_ = [(t, net) for t, s in sorted(edges) if t in roots and (net := _network((t, s), edges, targets))]
+    while open_ := [(t, net) for t, net in open_ if t not in fixed and all(fixed.get(k, v) == v for k, v in net.items())]:
+        fixed |= max(open_, key=lambda x: len(x[1]))[1]
+    least: dict = {}
+    for t, s in edges:
+        least[t] = min(s, least.get(t, s))
     for t in topics:
         if t not in fixed:
-            fixed[t] = min(s for x, s in edges if x == t) if t not in roots else None
+            fixed[t] = least[t] if t not in roots else None
     return pd.DataFrame([(rows["component"].iloc[0], t, "NEW" if fixed[t] is None else "REUSED", fixed[t]) for t in topics], columns=["component", "topic_seq", "status", "store_id"]).astype({"store_id": "Int64"})
 
 

@@ -527,3 +527,36 @@ def url_edits(spark, sf_dir):
 def ingested_events(spark, sf_dir):
     """The events as a stream, taken up once and counted."""
     return ingest.taken_up(spark, f"{sf_dir}/events.parquet", "event_type")
+
+
+@query("binary_text", "SELECT p_partkey, string_agg(printf('%02X', unicode(c) & 255), '' ORDER BY i) AS content FROM (SELECT p_partkey, unnest(string_split(t, '')) AS c, generate_subscripts(string_split(t, ''), 1) AS i FROM (SELECT p_partkey, p_name || 'ÿĀ☃' || p_brand AS t FROM part)) GROUP BY p_partkey")
+def binary_text(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", F.hex(files.bytes_of(F.concat("p_name", F.lit("ÿĀ☃"), "p_brand"))).alias("content"))
+
+
+def _texts(df, source, named: dict[str, Column]):
+    return df.select(source.cast("string").alias("source"), F.explode(F.array(*(F.struct(F.lit(p).alias("path"), t.alias("text")) for p, t in named.items()))).alias("f")).select("source", "f.path", "f.text")
+
+
+@query("asciidoc_splice", """SELECT s_suppkey, ':dir: parts' || chr(10) || 'A ' || s_name || ' B' || chr(10) || '// includecomment::x[]' || chr(10) || CASE WHEN s_suppkey % 2 = 0 THEN 'C' ELSE '' END || chr(10) || 'end' AS text FROM supplier""")
+def asciidoc_splice(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    named = {"main.adoc": F.lit(":dir: parts\ninclude::{dir}/a.adoc[]\n// include::x[]\ninclude::c.adoc[]\nend"), "parts/a.adoc": F.lit("A include::b.adoc[] B"), "parts/b.adoc": F.col("s_name")}
+    entries = _texts(s, F.col("s_suppkey"), named).unionByName(_texts(s.where("s_suppkey % 2 = 0"), F.col("s_suppkey"), {"c.adoc": F.lit("C")}))
+    got = splice.expand(entries, s.select(F.col("s_suppkey").cast("string").alias("source"), F.lit("main.adoc").alias("path")), "asciidoc")
+    return got.select(F.col("source").cast("long").alias("s_suppkey"), "text")
+
+
+@query("image_paths", """SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE '<book xmlns:xi="http://www.w3.org/2001/XInclude"><xi:include href="Common_Content/x.xml"/><section xml:base="sub"><imagedata fileref="ch/images/i.png"/><imagedata fileref="none.png"/>' || s_name || '</section></book>' END AS text,
+    CASE WHEN s_suppkey % 3 = 0 THEN 'book.xml > ch/one.xml > book.xml' END AS error FROM supplier""")
+def image_paths(spark, sf_dir):
+    """References of an included file become paths of the book; common content stays; a circle is reported."""
+    s = table(spark, sf_dir, "supplier")
+    circle = F.when(F.col("s_suppkey") % 3 == 0, "<xi:include href='../book.xml'/>").otherwise("")
+    named = {
+        "book.xml": F.lit('<book xmlns:xi="http://www.w3.org/2001/XInclude"><xi:include href="Common_Content/x.xml"/><xi:include href="ch/one.xml"/></book>'),
+        "ch/one.xml": F.concat(F.lit('<section xml:base="sub"><imagedata fileref="./images/i.png"/><imagedata fileref="none.png"/>'), "s_name", circle, F.lit("</section>")),
+        "ch/images/i.png": F.lit(""),
+    }
+    got = splice.expand(_texts(s, F.col("s_suppkey"), named), s.select(F.col("s_suppkey").cast("string").alias("source"), F.lit("book.xml").alias("path")))
+    return got.select(F.col("source").cast("long").alias("s_suppkey"), "text", "error")

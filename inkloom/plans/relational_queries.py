@@ -79,7 +79,7 @@ def xref_resolution(spark, sf_dir):
     return graph.resolve_targets(links, ids("customer", "c_custkey", 1000), ids("supplier", "s_suppkey", 1300)).drop("doc_id")
 
 
-@query("include_closure", """WITH RECURSIVE i AS (SELECT p_partkey AS path, p_partkey // 2 AS child FROM part WHERE p_partkey BETWEEN 1 AND 2000 AND p_partkey // 2 > 0),
+@query("include_closure", """WITH RECURSIVE i AS (SELECT p_partkey AS path, p_partkey // 2 AS child FROM part WHERE p_partkey // 2 > 0),
     r(root, path, depth) AS (SELECT path, path, 0 FROM i UNION ALL SELECT root, child, depth + 1 FROM r JOIN i USING (path)) SELECT root, path, min(depth)::INTEGER AS depth, FALSE AS cyclic FROM r WHERE depth > 0 GROUP BY root, path""")
 def include_closure(spark, sf_dir):
     p = table(spark, sf_dir, "part").where("p_partkey div 2 > 0").select(F.col("p_partkey").alias("path"), F.expr("p_partkey div 2").alias("child"))

@@ -193,3 +193,9 @@ def first_found(files: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     values = [c for c in files.columns if c != "path"]
     best = named.groupBy(key).agg(F.min_by(F.struct("path", *values), "pos").alias("__x"))
     return wanted.join(best, key, "left").select(key, F.col("__x.path").alias("path"), *(F.col(f"__x.{v}").alias(v) for v in values))
+
+
+def bytes_of(text: Column) -> Column:
+    """The bytes of binary content that came as text: of each character the low eight bits of its code."""
+    codes = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.lpad(F.hex(F.ascii(c).bitwiseAND(255)), 2, "0"))
+    return F.unhex(F.array_join(codes, ""))
