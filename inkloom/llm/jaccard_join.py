@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, mix, slices, span_hashes, table, utf8_buffer, word_spans
+from ._common import cut, drop_cut, mix, slices, span_hashes, table, utf8_buffer, word_spans
 from .components import components
 
 WORDS = 5
@@ -42,6 +42,7 @@ NUM, DEN = 3, 4
 FEW = 16  # nodes of a signature up to which all their pairs are candidates
 LOCAL = 8  # nodes of a signature in one slice of texts that are sent one by one
 ROWS_BYTES = 4 << 20
+SIGNED_BYTES = 4 << 20  # of text whose signatures are combined before the shuffle
 TILE = 1024
 BLOCK_SIGNATURES = 4_000_000
 SEEDS = 3
@@ -225,7 +226,7 @@ def _signed(blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = np.array(bands())
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text", SIGNED_BYTES):
                 nodes, band_of, sigs, counts = [], [], [], []
                 seen: set[int] = set()
                 for s in shingle_sets(part.column("text")):
@@ -401,12 +402,12 @@ def _tile_pairs(rows: pd.DataFrame) -> pd.DataFrame:
 def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Pairs (a, b, doc_a, doc_b) that are linked, as (doc_a, doc_b). Only the texts that they name are read into sets."""
     ids = cut(pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select("doc_b")).distinct(), "ids")
-    if ids.count() <= MAX_BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    wanted = docs.join(ids, "doc_id", "left_semi")
+    wanted = docs.join(F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids, "doc_id", "left_semi")
     sets = cut(wanted.select("text").mapInArrow(_set_rows, "node long, tokens binary").dropDuplicates(["node"]), "sets")
     rows = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tokens_b")), "b").join(sets.select(F.col("node").alias("a"), F.col("tokens").alias("tokens_a")), "a")
-    return cut(rows.select("doc_a", "doc_b", "tokens_a", "tokens_b").mapInArrow(_verified, "doc_a long, doc_b long").distinct(), "verified")
+    out = cut(rows.select("doc_a", "doc_b", "tokens_a", "tokens_b").mapInArrow(_verified, "doc_a long, doc_b long").distinct(), "verified")
+    drop_cut(ids, sets)
+    return out
 
 
 def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -424,7 +425,8 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     possible = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_possible, "a long, b long, doc_a long, doc_b long"), "possible")
     # First one edge for each node, to the least node that it may be linked with.
     least = possible.groupBy("b").agg(F.min_by(F.struct("a", "doc_a", "doc_b"), "a").alias("x")).select("x.a", "b", "x.doc_a", "x.doc_b")
-    links = _verify(docs, cut(least, "least"))
+    first = cut(least, "least")
+    links = _verify(docs, first)
     part = components(links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
     # Then whatever else might join different components.
     of = lambda x: part.select(F.col("id").alias(f"doc_{x}"), F.col("component").alias(f"component_{x}"))
@@ -452,6 +454,7 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     if rest.limit(1).count():
         links = links.unionByName(_verify(docs, rest))
         part = components(links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
+    drop_cut(found, possible, first, groups, entries, members, rest)  # nothing below reads them
     named = nodes.select("node", "doc_id").join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("component"))
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
