@@ -12,12 +12,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkloom.operators.scratch import held
 from inkloom.operators.stack import flat
 
 #: Element names of the book dialect.
 CONTAINERS = ["part", "chapter", "appendix", "preface", "section", "sect1", "sect2", "sect3", "sect4", "sect5", "simplesect"]
 INFOS = ["sectioninfo", "chapterinfo", "partinfo", "appendixinfo", "prefaceinfo", "setinfo", "bookinfo", "articleinfo", "info"]
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+#: Rows that a worker gathers before it hands them on; a document is never split.
+ROWS = 20_000
 NODES = "node_id int, parent_id int, post int, ord int, depth int, name string, attrs map<string,string>, text string"
 
 
@@ -115,14 +118,23 @@ def shred_xml(text: str | None) -> list[list] | None:
 def nodes(df: DataFrame, key: str, text: str, xml: bool = False) -> DataFrame:
     """(key, node_id, parent_id, post, ord, depth, name, attrs, text): node_id is the preorder, post the postorder place."""
 
+    columns = [key, "node_id", "parent_id", "post", "ord", "depth", "name", "attrs", "text"]
+
+    def shown(rows: list[list]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=columns)
+        out["parent_id"] = out["parent_id"].astype("Int32")
+        return out
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [key, "node_id", "parent_id", "post", "ord", "depth", "name", "attrs", "text"]
         for frame in frames:
-            for k, t in zip(frame[key], frame["__text"], strict=True):  # one document at a time
-                rows = (shred_xml if xml else shred_html)(t) or []
-                out = pd.DataFrame([[k, *r] for r in rows], columns=columns)
-                out["parent_id"] = out["parent_id"].astype("Int32")
-                yield out
+            rows = []
+            for k, t in zip(frame[key], frame["__text"], strict=True):
+                rows += [[k, *r] for r in (shred_xml if xml else shred_html)(t) or []]
+                if len(rows) > ROWS:
+                    yield shown(rows)
+                    rows = []
+            if rows:
+                yield shown(rows)
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(F.col(key), F.col(text).alias("__text")).mapInPandas(run, f"{key} {kind}, {NODES}")
@@ -392,8 +404,13 @@ def sections(df: DataFrame, key: str, html: str, url: str) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            out = []
             for k, h, u in zip(frame["k"], frame["h"], frame["u"], strict=True):
-                yield pd.DataFrame([[k, *s] for s in page_sections(h, u)], columns=[key, "place", "level", "title", "body"])
+                out += [[k, *s] for s in page_sections(h, u)]
+                if len(out) > ROWS:
+                    yield pd.DataFrame(out, columns=[key, "place", "level", "title", "body"])
+                    out = []
+            yield pd.DataFrame(out, columns=[key, "place", "level", "title", "body"])
 
     kind = df.schema[key].dataType.simpleString()
     rows = df.select(F.col(key).alias("k"), F.col(html).alias("h"), F.col(url).alias("u")).mapInPandas(run, f"{key} {kind}, place int, level int, title string, body string")
@@ -403,7 +420,7 @@ def sections(df: DataFrame, key: str, html: str, url: str) -> DataFrame:
 
 def shred_book(df: DataFrame, key: str, xml: str) -> DataFrame:
     """Topics and containers of books: (key, node_id, kind, name, title, depth, xml_id, target_num), in order of node_id."""
-    table = nodes(df, key, xml, xml=True)
+    table = held(nodes(df, key, xml, xml=True), "nodes")  # read four times
     boxes = table.where(F.col("name").isin(CONTAINERS))
     texts = table.where("name = '#text'").select(key, F.col("parent_id").alias("p"), "text", "ord")
     heads = table.where("name = 'title'").select(key, F.col("node_id").alias("p"), F.col("parent_id").alias("box")).join(texts, [key, "p"]).groupBy(key, "box").agg(F.min_by("text", "ord").alias("title"))
@@ -424,6 +441,7 @@ def root_element(xml: Column) -> Column:
 
 def empty_boxes(table: DataFrame, key: str) -> DataFrame:
     """Containers of a node table that hold no text but that of their title and their revision history: (key, node_id, name)."""
+    table = held(table, "nodes")
     boxes = table.where(F.col("name").isin(CONTAINERS)).select(key, "node_id", "post", "name")
     aside = table.where(F.col("name").isin("title", "revhistory")).alias("l")
     texts = table.where((F.col("name") == "#text") & (F.trim("text") != ""))
@@ -452,7 +470,7 @@ def select_nodes(table: DataFrame, key: str, paths: dict[str, str]) -> DataFrame
     A path is made of / and // steps with names, * and [@attribute] or [@attribute='value']; one that can't be read names nothing.
     Each step is a join of the nodes found with the node table, by parent or by the interval of the descendants.
     """
-    found = None
+    found, table = None, held(table, "nodes")
     for name, path in paths.items():
         at = None
         for k, (kind, tag, attr, value) in enumerate(_steps(path)):
@@ -471,5 +489,5 @@ def select_nodes(table: DataFrame, key: str, paths: dict[str, str]) -> DataFrame
     if found is None:
         return table.select(key, F.lit("").alias("path"), "node_id", F.lit("").alias("value")).limit(0)
     texts = found.alias("l").join(table.where("name = '#text'").alias("r"), axis(table, key, "descendant"), "left")
-    held = texts.groupBy(F.col(f"l.{key}").alias(key), "l.path", "l.node_id").agg(F.array_sort(F.collect_list(F.when(F.col("r.text").isNotNull(), F.struct("r.node_id", "r.text")))).alias("t"))
-    return held.select(key, "path", "node_id", F.array_join(F.transform("t", lambda x: x["text"]), "").alias("value"))
+    gathered = texts.groupBy(F.col(f"l.{key}").alias(key), "l.path", "l.node_id").agg(F.array_sort(F.collect_list(F.when(F.col("r.text").isNotNull(), F.struct("r.node_id", "r.text")))).alias("t"))
+    return gathered.select(key, "path", "node_id", F.array_join(F.transform("t", lambda x: x["text"]), "").alias("value"))
