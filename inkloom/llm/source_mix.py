@@ -7,7 +7,7 @@ stop at ``epochs`` times their source, and what is left over is shared anew: the
 over the sources sorted by their cap over their weight.
 
 No source is ever sorted by one task: a source's running totals come from sums by hash bucket, prefix sums over the
-buckets (a fixed number for each source) and a window within each bucket, and the global cut alike from
+buckets (their number grows with the rows) and a window within each bucket, and the global cut alike from
 ``TIME_BUCKETS`` buckets of the virtual time, of which only the one that holds the cut is ordered. Texts are read
 once to count their words and never shuffled.
 
@@ -21,6 +21,8 @@ without one queue as rows of their own; :func:`take` tells them apart by file an
 
 from __future__ import annotations
 
+import math
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,7 +34,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 EPOCHS = 2
-BUCKET_BITS = 10
+#: A source's hash buckets: 2^10 at least, and as many as hold so many rows each if it holds all.
+BUCKET_BITS, BUCKET_ROWS = 10, 1 << 16
 TIME_BUCKETS = 65536
 
 
@@ -59,7 +62,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 def plan(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, ties: tuple[str, ...] = ("doc_id", "size")) -> DataFrame:
     """(source, size, place, the columns ties) to these with source_size, target and ``copies``; place: a hash of 60 bits that shuffles, ties: what orders rows of one place. slim is read several times."""
-    slim = slim.withColumn("bucket", F.shiftright("place", 60 - BUCKET_BITS))
+    bits = max(BUCKET_BITS, math.ceil(math.log2((slim.count() + 1) / BUCKET_ROWS)))
+    slim = slim.withColumn("bucket", F.shiftright("place", 60 - bits))
     sums = slim.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, epochs)
     so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
