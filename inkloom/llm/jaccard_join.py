@@ -449,7 +449,9 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     placed = sized.join(named, "node").join(nodes.select("node", "bits"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
     spread = placed.select("*", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
     spread = spread.select("bucket", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1).alias("side"), "node", "doc_id", "component", "n", "bits")
-    tiled = spread.groupBy("bucket", "i", "j").applyInPandas(_tile_pairs, "a long, b long, doc_a long, doc_b long")
+    # By number, as bytes say little about a tile's work.
+    dealt = spread.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j")
+    tiled = dealt.groupBy("bucket", "i", "j").applyInPandas(_tile_pairs, "a long, b long, doc_a long, doc_b long")
     rest = cut(rest.unionByName(tiled).distinct(), "rest")
     if rest.limit(1).count():
         links = links.unionByName(_verify(docs, rest))
