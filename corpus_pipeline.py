@@ -30,8 +30,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     part = texts.select(F.col("doc_id").alias("__hash"), "component_id").distinct()
     seen = docs.groupBy(digest.alias("__hash")).agg(F.min("doc_id").alias("__id"), F.count("*").alias("__n"))
     placed = cut(seen.join(part, "__hash"), "texts")
-    kept = placed.groupBy("component_id").agg(F.min(F.struct("__id", "__hash")).alias("kept"))
-    found = placed.join(kept, "component_id").select("__hash", F.when(F.col("kept.__hash") == F.col("__hash"), F.col("kept.__id")).alias("__id"), "__n")
+    # Joined by the hash of the text, so the texts of a large component don't meet in one task.
+    kept = placed.groupBy("component_id").agg(F.min(F.struct("__id", "__hash")).alias("kept")).select("kept.__hash", "kept.__id")
+    found = placed.select("__hash", "__n").join(kept, "__hash", "left")
     listed = cut(found.where("__id is null or __n > 1"), "listed")
     marked = docs.withColumn("__hash", digest)
     single = marked.join(listed.select("__hash"), "__hash", "left_anti")
