@@ -1,14 +1,16 @@
 """Nearest neighbours by inner product with multiprobe p-stable hashing.
 
 Vectors are scaled to unit length in one more dimension, so that the largest inner product is the least distance.
-Each of ``TABLES`` tables hashes a vector by the slots of width ``WIDTH`` into which a few Gaussian projections fall.
-A query visits buckets in the order of the estimated chance that a neighbour lies there: given a query's projection z,
-that of a neighbour with cosine c is normal around c z with variance 1 - c^2. Each query has a c of its own, in two
-passes. The first guesses it from the query's cosines with a bounded sample (``SAMPLE`` vectors by hash). The k-th best
-score it finds is no more than the true one, so the second pass takes that for c and visits what is still missing until
-the tables together reach the chance ``RECALL``. Candidates of all tables are merged and ranked by their exact inner
-products in double precision. A query that finds fewer than it should, or whose k-th best score isn't positive, visits
-all buckets. Every valid vector is indexed; no partners are capped.
+Each of ``TABLES`` tables hashes a vector by the slots of width ``WIDTH`` into which a few Gaussian projections fall; the
+number of projections grows with the number of vectors. A query visits the buckets that hold vectors in the order of
+estimated success, the chance that a neighbour lies there: given a query's projection z, that of a neighbour with cosine c
+is normal around c z with variance 1 - c^2. (The chance for each vector held would look at fewer vectors, but in more
+buckets, and costs more.) Each query has a c of its own, in two passes. The first guesses it from the query's cosines with a bounded sample (``SAMPLE`` vectors by hash). The k-th best
+score it finds is no more than the true one, so the second pass takes that for c and visits what is still missing until the
+tables together reach the share of the chance at which, within the sample, neighbours of that rank are found with
+``RECALL``. Candidates of all tables are merged and ranked by their exact inner products in double precision. A query that
+finds fewer than it should, or whose k-th best score isn't positive, visits all buckets. Every valid vector is indexed; no
+partners are capped.
 
 Equal vectors are one class and hashed once; of a class only the ``k + 1`` least ids can ever be among k nearest, so
 these alone travel on. Buckets over ``CHUNK`` classes are dealt in chunks, and so are the queries that visit them: a
@@ -33,8 +35,11 @@ from pyspark.sql import functions as F
 from ._common import cut, table
 
 TABLES, WIDTH, SLOTS = 2, 1.0, 4
-RECALL = 0.975
+RECALL = 0.95
 SAMPLE = 2000
+#: Queries of the sample that the share is fitted on, and the shares of the estimated chance that are tried.
+CALIBRATE = 400
+SHARES = (0.8, 0.85, 0.9, 0.925, 0.95, 0.965, 0.975, 0.985, 0.995, 0.999)
 CHUNK = 4096
 K = 20
 QUERY_EVERY = 20
@@ -57,6 +62,35 @@ class Tables:
         self.share = 1 - (1 - recall) ** (1 / tables)
         self.combos = np.array(list(product(range(2 * SLOTS), repeat=functions)))
         self.codes = self.combos @ (2 * SLOTS) ** np.arange(functions)
+        self.held = np.ones((tables, len(self.codes)))
+
+    def count(self, rows: list[tuple[int, int, int]]) -> None:
+        """Take in how many vectors the buckets hold: (table, bucket, n)."""
+        self.held[:] = 0
+        place = np.argsort(self.codes)
+        for t, bucket, n in rows:
+            self.held[t, place[bucket]] = n
+
+    def calibrate(self, recall: float) -> None:
+        """Take the least share of the estimated chance at which the sample's own neighbours, of the rank that is asked for, are found often enough."""
+        own = self.sample[:CALIBRATE]
+        rank = max(1, round(self.nearest * len(self.sample)))
+        if len(self.sample) <= rank:
+            return
+        cosines = self.lift(own * self.norm, True)[:, :-1] @ self.sample.T
+        cosines[np.arange(len(own)), np.arange(len(own))] = -np.inf
+        near = np.argsort(-cosines, axis=1)[:, rank - 1]
+        bound = np.take_along_axis(cosines, near[:, None], 1)[:, 0]
+        y, place = self.lift(own * self.norm, True), np.argsort(self.codes)
+        at = [place[b] for b in self.buckets(self.sample[near] * self.norm)]
+        chances = [self.chances(y, t, bound) for t in range(len(self.directions))]
+        for goal in SHARES:
+            self.share = 1 - (1 - goal) ** (1 / len(self.directions))
+            found = np.zeros(len(own), bool)
+            for t, chance in enumerate(chances):
+                found |= self.visit(chance, np.zeros(chance.shape, bool), t)[np.arange(len(own)), at[t]]
+            if found[bound <= np.median(bound)].mean() >= recall:  # those whose neighbours are farther
+                return
 
     def lift(self, x: np.ndarray, query: bool) -> np.ndarray:
         if query:
@@ -80,24 +114,26 @@ class Tables:
         normal = np.vectorize(lambda t: 0.5 * (1 + math.erf(t / math.sqrt(2))), otypes=[float])
         below = normal((edges[None, None, :] - s[None, :, None] - c * z[:, :, None]) / np.sqrt(1 - c**2))
         chance = np.diff(np.concatenate([np.zeros((*z.shape, 1)), below, np.ones((*z.shape, 1))], 2), axis=2)
-        return np.prod([chance[:, f, self.combos[:, f]] for f in range(z.shape[1])], axis=0)
+        each = np.prod([chance[:, f, self.combos[:, f]] for f in range(z.shape[1])], axis=0) * (self.held[table] > 0)
+        return each / np.maximum(each.sum(1, keepdims=True), 1e-300)
 
-    def visit(self, chance: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        """Which buckets to visit besides those seen, the likeliest first, until the share is reached."""
-        order = np.argsort(np.where(seen, np.inf, -chance), axis=1, kind="stable")
+    def visit(self, chance: np.ndarray, seen: np.ndarray, table: int) -> np.ndarray:
+        """Which buckets to visit besides those seen, the likeliest first, until the share is reached; empty ones never."""
+        full = self.held[table] > 0
+        order = np.argsort(np.where(seen | ~full, np.inf, -chance), axis=1, kind="stable")
         before = (chance * seen).sum(1, keepdims=True) + np.cumsum(np.take_along_axis(chance * ~seen, order, 1), axis=1) - np.take_along_axis(chance * ~seen, order, 1)
         out = np.zeros_like(seen)
         np.put_along_axis(out, order, before < self.share, axis=1)
-        return out & ~seen
+        return out & ~seen & full
 
     def probes(self, x: np.ndarray, bound: np.ndarray | None = None) -> list[list[np.ndarray]]:
         """For each table and query the buckets to visit. bound: the cosine that the first pass reached; gives the buckets of the second."""
         y, guess, out = self.lift(x, True), self.guess(x), []
         for t in range(len(self.directions)):
-            picked = self.visit(self.chances(y, t, guess), np.zeros((len(x), len(self.codes)), bool))
+            picked = self.visit(self.chances(y, t, guess), np.zeros((len(x), len(self.codes)), bool), t)
             if bound is not None:
-                more = self.visit(self.chances(y, t, bound), picked)
-                picked = np.where((bound > 0)[:, None], more, ~picked)
+                more = self.visit(self.chances(y, t, bound), picked, t)
+                picked = np.where((bound > 0)[:, None], more, ~picked & (self.held[t] > 0))
             out.append([self.codes[r] for r in picked])
         return out
 
@@ -171,13 +207,16 @@ def nearest(df: DataFrame, is_query: Column, vec_id: str = "vec_id", vector: str
     total = rows.select("id").distinct().count()
     sample = np.array([r["v"] for r in classes.select("v", "class").orderBy(F.xxhash64("class"), "class").limit(SAMPLE).collect()])
     functions = max(2, min(4, round(math.log2(max(n, 2)) / 8)))
-    tables = spark.sparkContext.broadcast(Tables(sample, functions, dims["norm"], k / max(n, k + 1)))
+    made = Tables(sample, functions, dims["norm"], k / max(n, k + 1))
     schema = "t int, bucket long, class long, v binary"
-    index = cut(classes.select("class", "v").mapInArrow(_rows(tables, False), schema), "index")
+    index = cut(classes.select("class", "v").mapInArrow(_rows(spark.sparkContext.broadcast(made), False), schema), "index")
+    # There are TABLES x (2 x SLOTS)^functions buckets at most: few enough to collect and to broadcast.
+    made.count([tuple(r) for r in index.groupBy("t", "bucket").count().collect()])
+    made.calibrate(RECALL)
+    tables = spark.sparkContext.broadcast(made)
 
     def search(queries: DataFrame, again: bool) -> DataFrame:
         probes = queries.mapInArrow(_rows(tables, True, again), schema)
-        # There are TABLES x (2 x SLOTS)^functions buckets at most: few enough to broadcast.
         held = index.groupBy("t", "bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
         probes = cut(probes.join(F.broadcast(held), ["t", "bucket"]), "probes")
         visits = probes.groupBy("t", "bucket").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
