@@ -125,3 +125,9 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     last[inner - 1] = solid[inner - 1]
     starts, ends = np.nonzero(first)[0], np.nonzero(last)[0] + 1
     return starts, ends, np.searchsorted(starts, offsets)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an ASCII string expression; a null stays null."""
+    step = "list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, (v & 1) * 3988292384::BIGINT), xor(c, b))"
+    return f"xor(list_reduce([ord(x) for x in string_split({text}, '')], lambda c, b: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
