@@ -15,13 +15,14 @@ from .license_scan import op5_license_scan, op5_sql
 from .multiprobe_lsh import op8_multiprobe_lsh
 from .quality_gam import op10_quality_gam
 from .sharding import op7_sharding, op7_sql
+from .span_crf import op11_pii_spans
 from .source_mix import OP4_SQL, op4_source_mix
 from .turn_repair import op13_sql, op13_turn_repair
 from .url_filter import OP6_SQL, op6_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_token_counts, op2_bm25_decontam, op3_chat_format, op4_source_mix, op5_license_scan, op6_url_filter, op7_sharding, op8_multiprobe_lsh, op9_jaccard_join, op10_quality_gam, op12_dominance, op13_turn_repair)
+    ops = (op1_token_counts, op2_bm25_decontam, op3_chat_format, op4_source_mix, op5_license_scan, op6_url_filter, op7_sharding, op8_multiprobe_lsh, op9_jaccard_join, op10_quality_gam, op11_pii_spans, op12_dominance, op13_turn_repair)
     return {f.__name__: f for f in ops}
 
 

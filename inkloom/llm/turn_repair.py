@@ -265,12 +265,12 @@ def op13_sql() -> str:
 WITH RECURSIVE d AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS what FROM conversations),
 e AS (SELECT conv_id, turn, CASE WHEN what = 4 THEN 'user' ELSE role END AS role, CASE what WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
       FROM d, (VALUES (1), (2)) AS copies(k) WHERE what <> 0 AND (k = 1 OR what = 3)),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), md5(text)) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
-             row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen, left(role, 1) AS letter FROM e),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, left(text, 64), md5(text)) AS i, count(*) OVER (PARTITION BY conv_id) AS n, left(role, 1) AS letter FROM e),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS seen FROM o),
 f AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
 ]') THEN 1 WHEN seen > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][ 	-
 ]*\z') THEN 3 ELSE 0 END AS fault,
-             i > 1 AND lag(letter) OVER (PARTITION BY conv_id ORDER BY i) || letter NOT IN ('su', 'ua', 'au') AS illegal FROM o),
+             i > 1 AND lag(letter) OVER (PARTITION BY conv_id ORDER BY i) || letter NOT IN ('su', 'ua', 'au') AS illegal FROM p),
 b AS (SELECT conv_id, n + 1 AS i, {nothing} AS b0, {insert("x", "user").replace("x.", "y.")} AS b1, y AS b2, {nothing} AS b3
       FROM (SELECT DISTINCT conv_id, n, {insert("z", "assistant").replace("z.c", "0::BIGINT").replace("z.a", "''").replace("z.t", "[]::VARCHAR[]")} AS y FROM f)
       UNION ALL
