@@ -34,8 +34,8 @@ def duck():
 
     con = duckdb.connect()
     con.sql("SET timezone = 'UTC'")
-    for t in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    for file in os.listdir(SF):
+        con.sql(f"CREATE VIEW {file.removesuffix('.parquet')} AS SELECT * FROM '{SF}/{file}'")
     return con
 
 
