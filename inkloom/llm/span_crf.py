@@ -95,10 +95,12 @@ _TOKEN = re.compile(r"[0-9]+|[A-Za-z]+|\s+|.", re.S)
 #: Clusters of digits with at most three other characters between them.
 _CLUSTER = re.compile(r"[0-9](?:[^0-9A-Za-z]{0,3}[0-9])*+")
 _SIGN = re.compile(r"@|[\[({] ?at ?[\])}]|(?<![A-Za-z])dot(?![A-Za-z])", re.I)
-_AT = r"(?: ?(?:@|[\[({] ?(?:at|@) ?[\])}]) ?| at )"
-_DOT = r"(?: ?(?:\.|[\[({] ?(?:dot|\.) ?[\])}]) ?| dot )"
+_AT = r"(?: ?(?:@|[\[({] ?(?:at|@) ?[\])}]) ?)"
+_SPELLED = r"(?: ?[\[({] ?(?:dot|\.) ?[\])}] ?| dot )"
+_DOT = rf"(?:\.|{_SPELLED})"
 _OUTLINE = (
-    re.compile(rf"[A-Za-z0-9._%+-]+({_AT})[A-Za-z0-9-]+((?:{_DOT}[A-Za-z0-9-]+)+)", re.I),
+    # Prose is full of "at" and full stops, so a spelled at sign asks for spelled dots.
+    re.compile(rf"[A-Za-z0-9._%+-]+(?:({_AT})[A-Za-z0-9-]+((?:{_DOT}[A-Za-z0-9-]+)+)|( at )[A-Za-z0-9-]+((?:{_SPELLED}[A-Za-z0-9-]+)+))", re.I),
     re.compile(r"[0-9]{1,4}(?:[ \[({]{0,2}\.[ \])}]{0,2}[0-9]{1,4}){3}"),
     re.compile(r"[0-9]{12,19}|[0-9]{3,6}(?:[ .\-]{1,3}[0-9]{3,7}){2,5}"),
     re.compile(r"\+?\(?[0-9]{1,5}(?:[ ().\-/]{1,3}[0-9]{2,5}){1,4}|\+[0-9]{7,15}"),
@@ -154,8 +156,9 @@ def features(kind: int, span: str, before: str, after: str, m: re.Match) -> list
     out = ["", f"L{_near(before)}", f"R{_near(after[:1])}", f"first {_near(span[0])}"]
     if kind == 0:
         out.append(f"more {_MORE.match(after) is not None}")
-        spelled = {_form(x) for x in re.findall(_DOT, m[2], re.I)}
-        out += [f"at {_form(m[1])}", *(f"dot {x}" for x in sorted(spelled)), f"last {'letters' if span[-2:].isalpha() else 'else'}", f"plain {'@' in m[1] and spelled == {'.'}}"]
+        sign, domain = m[1] or m[3], m[2] or m[4]
+        spelled = {_form(x) for x in re.findall(_DOT, domain, re.I)}
+        out += [f"at {_form(sign)}", *(f"dot {x}" for x in sorted(spelled)), f"last {'letters' if span[-2:].isalpha() else 'else'}", f"plain {'@' in sign and spelled == {'.'}}"]
     else:
         seps = _SEPARATORS.findall(span)
         kinds = "".join(sorted({c for s in seps for c in s}))
@@ -458,5 +461,5 @@ def op11_pii_spans(spark, sf_dir: str) -> DataFrame:
     found = find(docs, fit(docs), keep=["doc_id"])
     own = F.filter("spans", lambda s: s["base"])
     said = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter(own, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(said(own), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+    count = lambda kind: F.size(F.filter(own, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, KINDS), F.sha2(said(own), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
