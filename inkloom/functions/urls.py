@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+_PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 #: Fixed values.
 DEFAULT_PORTS = {"http": "80", "https": "443", "ftp": "21", "gopher": "70", "ws": "80", "wss": "443"}
 
@@ -51,8 +53,8 @@ def encode_component(text: Column) -> Column:
 
 
 def decode_component(text: Column) -> Column:
-    """The inverse of encode_component; a plus sign stays one."""
-    return F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    """The inverse of encode_component; a plus sign stays one. Null where an escape is broken."""
+    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
 
 
 def allowed(url: Column, patterns: list[str]) -> Column:
@@ -217,3 +219,86 @@ def expand_template(template: Column, values: Column) -> Column:
         return pd.Series([None if a is None else _expand(a, dict(b if b is not None else {})) for a, b in zip(t, v, strict=True)], dtype=object)
 
     return F.pandas_udf(run, "string")(template, values)
+
+
+# References (RFC 3986, section 5).
+
+_PLAIN = re.compile(_PARTS, re.S)
+
+
+def _without_dots(path: str) -> str:
+    out: list[str] = []
+    steps = path.split("/")
+    for k, step in enumerate(steps):
+        last = k == len(steps) - 1
+        if step == "..":
+            if out and out != [""]:
+                out.pop()
+            out += [""] if last else []
+        elif step == ".":
+            out += [""] if last else []
+        else:
+            out.append(step)
+    return "/" if out == [""] and path.startswith("/") else "/".join(out)
+
+
+def absolute(base: str, url: str) -> str:
+    """What a reference in a page means; any two strings do. The same as :func:`absolute_to`, for code that parses markup."""
+    b, r = _PLAIN.match(base), _PLAIN.match(url)
+    if b is None or r is None or b[1] is None:
+        return url
+    if r[1] is not None or url.startswith("//"):
+        authority, path, query = r[2], _without_dots(r[3]), r[4]
+    elif r[3]:
+        authority, query = b[2], r[4]
+        folder = b[3][: b[3].rfind("/") + 1] or ("/" if b[2] is not None else "")
+        path = _without_dots(r[3] if r[3].startswith("/") else folder + r[3])
+    else:
+        authority, path, query = b[2], b[3], r[4] if r[4] is not None else b[4]
+    scheme = r[1] if r[1] is not None else b[1]
+    tail = ("" if query is None else f"?{query}") + ("" if r[5] is None else f"#{r[5]}")
+    return f"{scheme}:{'' if authority is None else f'//{authority}'}{path}{tail}"
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its . and .. steps, as a fold over the steps; those above the root are dropped."""
+    steps = F.split(path, "/")
+    nothing = F.array().cast("array<string>")
+    end = F.element_at(steps, -1)
+
+    def step(acc: Column, s: Column) -> Column:
+        kept = F.when((F.size(acc) == 0) | ((F.size(acc) == 1) & (F.get(acc, F.lit(0)) == "")), acc).otherwise(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+        return F.when(s == "..", kept).when(s == ".", acc).otherwise(F.array_append(acc, s))
+
+    folded = F.aggregate(steps, nothing, step)
+    out = F.array_join(F.when(end.isin(".", ".."), F.array_append(folded, F.lit(""))).otherwise(folded), "/")
+    return F.when((out == "") & path.startswith("/"), "/").otherwise(out)
+
+
+def absolute_to(url: Column, base: Column) -> Column:
+    """A reference resolved against the URL it stands in; a base without a scheme leaves it as it is. Never fails."""
+    has = lambda c, name: {"protocol": c.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), "authority": c.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"), "query": c.rlike(r"^[^?#]*\?"), "fragment": F.contains(c, F.lit("#"))}[name]
+    own, path = has(url, "protocol") | has(url, "authority"), part(url, "path")
+    folder = F.regexp_extract(part(base, "path"), "(?s)^(.*/)", 1)
+    folder = F.when((folder == "") & has(base, "authority"), "/").otherwise(folder)
+    merged = F.when(own | path.startswith("/"), path).otherwise(F.concat(folder, path))
+    stays = ~own & (path == "")
+    query = F.when(has(url, "query"), F.concat(F.lit("?"), part(url, "query"))).when(stays & has(base, "query"), F.concat(F.lit("?"), part(base, "query"))).otherwise("")
+    scheme = F.when(has(url, "protocol"), part(url, "protocol")).otherwise(part(base, "protocol"))
+    side = F.when(own, F.when(has(url, "authority"), F.concat(F.lit("//"), part(url, "authority"))).otherwise("")).when(has(base, "authority"), F.concat(F.lit("//"), part(base, "authority"))).otherwise("")
+    fragment = F.when(has(url, "fragment"), F.concat(F.lit("#"), F.regexp_extract(url, "(?s)#(.*)$", 1))).otherwise("")
+    return F.when(has(base, "protocol"), F.concat(scheme, F.lit(":"), side, F.when(stays, part(base, "path")).otherwise(without_dots(merged)), query, fragment)).otherwise(url)
+
+
+def relative_to(url: Column, base: Column) -> Column:
+    """The shortest reference by folders that means a URL in another one; the URL itself where scheme or authority differ."""
+    same = (part(url, "protocol") == part(base, "protocol")) & (part(url, "authority") == part(base, "authority")) & part(url, "path").startswith("/") & part(base, "path").startswith("/")
+    folders = lambda c: F.split(F.regexp_extract(part(c, "path"), "(?s)^/(.*/)?[^/]*$", 1), "(?<=/)")
+    mine, theirs = folders(url), folders(base)
+    equal = F.zip_with(mine, theirs, lambda a, b: F.coalesce((a == b) & (a != ""), F.lit(False)))
+    shared = F.coalesce(F.nullif(F.array_position(equal, F.lit(False)), F.lit(0)), F.size(equal).cast("long") + 1) - 1
+    up = F.repeat(F.lit("../"), F.greatest(F.size(F.filter(theirs, lambda x: x != "")) - shared, F.lit(0)).cast("int"))
+    rest = F.concat(F.array_join(F.slice(mine, (shared + 1).cast("int"), F.size(mine)), ""), F.regexp_extract(part(url, "path"), "(?s)([^/]*)$", 1))
+    path = F.concat(up, rest)
+    safe = F.when((path == "") | path.rlike("^[^/]*:") | path.startswith("/"), F.concat(F.lit("./"), path)).otherwise(path)
+    return F.when(same, F.concat(safe, F.regexp_extract(url, "(?s)^[^?#]*(.*)$", 1))).otherwise(url)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkloom.functions.urls import absolute
 from inkloom.operators.scratch import held
 from inkloom.operators.stack import flat
 
@@ -70,10 +71,21 @@ class _Shredder(HTMLParser):
         self.open.append(self.add("#comment", None, data))
         self.leave()
 
+    def parse_marked_section(self, i, report=1):
+        """Sections that the parser doesn't know are comments up to the next >, as browsers take them; it would raise."""
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
+
+#: References beyond the last character; Python refuses to read very long numbers.
+_FAR_REFERENCE = re.compile(r"&#[0-9]{8,}")
+
 
 def shred_html(text: str | None) -> list[list]:
     s = _Shredder()
-    s.feed(text or "")
+    s.feed(_FAR_REFERENCE.sub("&#1114112", text or ""))
     s.close()
     while s.open:
         s.leave()
@@ -226,6 +238,17 @@ _SKIP = {"script", "style", "head", "nav", "footer"}
 _MARKS = {"strong": "bold", "b": "bold", "em": "italic", "i": "italic", "u": "underline", "s": "strikethrough", "strike": "strikethrough"}
 
 
+#: browsers' bounds of column and row spans.
+MAX_SPAN, MAX_ROWS = 1000, 65534
+
+
+def whole(value: str | None, most: int) -> int:
+    """A number of an attribute: 1 where it is none, never under 1 or over ``most``."""
+    if not value or not (value := value.strip()).isascii() or not value.isdigit():
+        return 1
+    return min(most, max(1, int(value))) if len(value) < 10 else most
+
+
 class _Page:
     """Blocks of a page in order, made from its shredded rows."""
 
@@ -258,9 +281,7 @@ class _Page:
         return "".join(out)
 
     def absolute(self, url: str) -> str:
-        from urllib.parse import urljoin
-
-        return urljoin(self.base, url)
+        return absolute(self.base, url)
 
     def items(self, n: int):
         out = []
@@ -289,39 +310,54 @@ class _Page:
                 todo += reversed(self.kids.get(k, ()))
         return out
 
+    def placed(self, rows: list[list[int]]) -> list[tuple[list[tuple[int, int, int, int]], int]]:
+        """For each row of a group its cells as (column, width, height, node), and how many columns it fills, with those that cells above hold open."""
+        out, held = [], {}
+        for k, cells in enumerate(rows):
+            at, line, filled, fresh = 1, [], set(held), {}
+            for c in cells:
+                while at in held:
+                    at += 1
+                attrs = self.rows[c][6]
+                w, h = whole(attrs.get("colspan"), MAX_SPAN), min(whole(attrs.get("rowspan"), MAX_ROWS), len(rows) - k)
+                line.append((at, w, h, c))
+                own = range(at, at + w)
+                filled.update(own)
+                fresh |= dict.fromkeys(own, h)
+                at += w
+            out.append((line, len(filled)))
+            held = {c: h - 1 for c, h in (held | fresh).items() if h > 1}
+        return out
+
     def table(self, n: int, tag: str = "informaltable"):
-        rows = []
-        for r in self.find(n, "tr"):
-            cells = [c for c in self.kids.get(r, ()) if self.rows[c][5] in ("td", "th")]
-            rows.append((bool(cells) and all(self.rows[c][5] == "th" for c in cells), cells))
-        span = lambda c, name: max(1, int(v) if (v := self.rows[c][6].get(name, "1")).isdigit() else 1)
-        width = max((sum(span(c, "colspan") for c in cells) for _, cells in rows), default=0)
+        """A table as its grid: cells stand beside those that row spans hold open; a row span ends with its group of rows."""
         parts: list[tuple[list, list]] = []
-        for head, cells in rows:  # a header row among the others begins a new table
+        for r in self.find(n, "tr"):  # a header row among the others begins a new table
+            cells = [c for c in self.kids.get(r, ()) if self.rows[c][5] in ("td", "th")]
+            head = bool(cells) and all(self.rows[c][5] == "th" for c in cells)
             if not parts or head and parts[-1][1]:
                 parts.append(([], []))
             parts[-1][0 if head else 1].append(cells)
+        grids = [[(kind, self.placed(some)) for kind, some in zip(("thead", "tbody"), part, strict=True) if some] for part in parts]
+        width = max((at + w - 1 for grid in grids for _, lines in grid for line, _ in lines for at, w, _, _ in line), default=0)
         out = []
-        for head, body in parts:
+        for grid in grids:
             shown = []
-            for kind, some in (("thead", head), ("tbody", body)):
-                if some:
-                    lines = []
-                    for cells in some:
-                        at, entries = 1, []
-                        for c in cells:
-                            w, h = span(c, "colspan"), span(c, "rowspan")
-                            inner = self.find(c, "table")
-                            attr = (f' namest="c{at}" nameend="c{at + w - 1}"' if w > 1 else "") + (f' morerows="{h - 1}"' if h > 1 else "")
-                            if inner:
-                                entries.append((yield self.table(inner[0], "entrytbl")))
-                            else:
-                                text = yield self.inlines(self.kids.get(c, ()))
-                                entries.append(f"<entry{attr}>{text.strip()}</entry>")
-                            at += w
-                        entries += ["<entry/>"] * (width - at + 1 if kind == "thead" else 0)
-                        lines.append(f"<row>{''.join(entries)}</row>")
-                    shown.append(f"<{kind}>{''.join(lines)}</{kind}>")
+            for kind, lines in grid:
+                made = []
+                for line, filled in lines:
+                    entries = []
+                    for at, w, h, c in line:
+                        attr = (f' namest="c{at}" nameend="c{at + w - 1}"' if w > 1 else "") + (f' morerows="{h - 1}"' if h > 1 else "")
+                        inner = self.find(c, "table")
+                        if inner:
+                            entries.append((yield self.table(inner[0], "entrytbl")))
+                        else:
+                            text = yield self.inlines(self.kids.get(c, ()))
+                            entries.append(f"<entry{attr}>{text.strip()}</entry>")
+                    entries += ["<entry/>"] * (width - filled if kind == "thead" else 0)
+                    made.append(f"<row>{''.join(entries)}</row>")
+                shown.append(f"<{kind}>{''.join(made)}</{kind}>")
             group = "".join(f'<colspec colname="c{k}"/>' for k in range(1, width + 1)) + "".join(shown)
             out.append(f'<entrytbl cols="{width}">{group}</entrytbl>' if tag == "entrytbl" else f'<{tag}><tgroup cols="{width}">{group}</tgroup></{tag}>')
         return "".join(out)

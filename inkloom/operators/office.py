@@ -10,12 +10,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkloom.operators.markup import strip_number
+from inkloom.operators.markup import MAX_ROWS, MAX_SPAN, strip_number, whole
 from inkloom.operators.stack import flat
 
 #: Number formats of lists and marks of characters.
 NUMERATION = {"a": "loweralpha", "A": "upperalpha", "i": "lowerroman", "I": "upperroman"}
 MARKS = ["bold", "underline", "strikethrough"]
+#: A run of spaces and a heading's level are no greater.
+MAX_SPACES, MAX_LEVEL = 10_000, 100
 _OUT = "place int, level int, title string, body string"
 
 
@@ -83,7 +85,7 @@ class _Office:
             if isinstance(k, str):
                 out.append(k)
             elif k.tag in ("s", "tab", "line-break"):
-                out.append(" " * int(k.get("c", "1")) if k.tag == "s" else "\t" if k.tag == "tab" else "\n")
+                out.append(" " * whole(k.get("c"), MAX_SPACES) if k.tag == "s" else "\t" if k.tag == "tab" else "\n")
             elif k.tag != "annotation":
                 out.append(k.text or "")
                 todo += [x for c in reversed(k) for x in (c.tail or "", c)]
@@ -103,7 +105,7 @@ class _Office:
         out = [self.marked(e.text, styles, emphasis)]
         for k in e:
             if k.tag == "s":
-                out.append(" " * int(k.get("c", "1")))
+                out.append(" " * whole(k.get("c"), MAX_SPACES))
             elif k.tag in ("tab", "line-break"):
                 out.append("\t" if k.tag == "tab" else "\n")
             elif k.tag == "annotation":
@@ -162,7 +164,7 @@ class _Office:
         return f"<{name}{kind}>{head}{''.join(f'<listitem>{x}</listitem>' for x in items)}</{name}>"
 
     def table(self, e, tag: str = "informaltable"):
-        span = lambda c, k: max(1, int(c.get(k, "1")))
+        span = lambda c, k: whole(c.get(k), MAX_ROWS if "rows" in k else MAX_SPAN)
         heads = [r for h in e.findall("table-header-rows") for r in h.findall("table-row")]
         bodies = [r for k in e for r in ([k] if k.tag == "table-row" else k.findall("table-row") if k.tag in ("table-rows", "table-row-group") else [])]
         width = max((sum(span(c, "number-columns-spanned") for c in r.findall("table-cell")) for r in heads + bodies), default=0)
@@ -200,7 +202,7 @@ class _Office:
             if e.tag == "section":
                 todo += reversed(e)
             elif e.tag == "h":
-                level = int(e.get("outline-level", "1"))
+                level = whole(e.get("outline-level"), MAX_LEVEL)
                 parts.append((level, strip_number(self.plain(e).strip()), []))
             elif parts:
                 parts[-1][2].append(e)

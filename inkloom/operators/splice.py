@@ -72,26 +72,54 @@ def _tree(text: str):
         return None
 
 
-def _select(root, pointer: str) -> str:
-    """Elements that an xpointer names. Paths are those of ElementTree, from the root; namespaces don't count."""
-    found = re.search(r"xpointer\((.*)\)", pointer, re.S)
-    path = found[1] if found else pointer
+_POINTER = re.compile(r"\s*(?:(xpointer|element)\((.*)\)|([A-Za-z_][\w.-]*))\s*", re.S)
+_SEQUENCE = re.compile(r"([A-Za-z_][\w.-]*)?((?:/[0-9]{1,9})*)")
+
+
+def _named(root, name: str):
+    return next((e for e in root.iter() if name in (e.get("id"), e.get("{http://www.w3.org/XML/1998/namespace}id"))), None)
+
+
+def _pointed(root, pointer: str) -> list | None:
+    """The elements that a pointer names, None if it can't be read: an id, element() with an id or steps by number, xpointer() with a path as ElementTree has them."""
+    m = _POINTER.fullmatch(pointer)
+    if m is None:
+        return None
+    if m[3] and (e := _named(root, m[3])) is not None:
+        return [e]
+    holder = ElementTree.Element("holder")
+    holder.append(root)
+    if m[1] == "element":
+        steps = _SEQUENCE.fullmatch(m[2].strip())
+        if steps is None or not m[2].strip():
+            return None
+        at = _named(root, steps[1]) if steps[1] else holder
+        for k in map(int, steps[2].split("/")[1:]):
+            at = at[k - 1] if at is not None and 0 < k <= len(at) else None
+        return [] if at is None or at is holder else [at]
+    path = re.sub(r"\[\s*position\(\)\s*=\s*([0-9]+)\s*\]", r"[\1]", m[3] or m[2].strip())
+    try:
+        return holder.findall("." + path if path.startswith("/") else ".//" + path)
+    except (SyntaxError, KeyError, ValueError, TypeError, IndexError):
+        return None
+
+
+def _select(root, pointer: str) -> str | None:
+    """The text of the elements that a pointer names, whatever their namespaces; None if it can't be read."""
     for e in root.iter():
         if isinstance(e.tag, str):
             e.tag = e.tag.rpartition("}")[2]
-    holder = ElementTree.Element("holder")
-    holder.append(root)
-    parts = holder.findall("." + path if path.startswith("/") else ".//" + path)
-    for e in parts:
+    parts = _pointed(root, pointer)
+    for e in parts or ():
         e.tail = None
-    return "".join(ElementTree.tostring(e, encoding="unicode") for e in parts).replace(_HIDDEN, "&")
+    return None if parts is None else "".join(ElementTree.tostring(e, encoding="unicode") for e in parts).replace(_HIDDEN, "&")
 
 
-def expand_xml(files: dict[str, str | None], path: str) -> str:
+def expand_xml(files: dict[str, str | None], path: str, unread: list[str] | None = None) -> str:
     """A file with everything that it includes, at any depth.
 
     Missing files give way to an inclusion in their fallback, else vanish, as do inclusions without href; common content
-    stays as it is; parse="text" is escaped; xpointer selects; fileref of included files become paths of the source.
+    stays as it is; parse="text" is escaped; xpointer selects, one that can't be read nothing (it goes to ``unread``); fileref of included files become paths of the source.
     """
     store = _Files(files)
 
@@ -129,7 +157,12 @@ def expand_xml(files: dict[str, str | None], path: str) -> str:
             return escape(text if tree is None else _PREAMBLE.sub("", text, count=1))
         if tree is None:
             return ""
-        return _select(tree, attrs["xpointer"]) if "xpointer" in attrs else _PREAMBLE.sub("", text, count=1).strip()
+        if "xpointer" not in attrs:
+            return _PREAMBLE.sub("", text, count=1).strip()
+        picked = _select(tree, attrs["xpointer"])
+        if picked is None and unread is not None:
+            unread.append(attrs["xpointer"])
+        return picked or ""
 
     def walk(text: str, at: str, base: str, trail: dict):
         out, last = [], 0
@@ -198,7 +231,7 @@ def expand_asciidoc(files: dict[str, str | None], path: str) -> tuple[str, dict[
 
 
 def expand(files: DataFrame, roots: DataFrame, kind: str = "xml") -> DataFrame:
-    """(source, path, text, error) of every root: its text with all inclusions, or the circle that prevents it.
+    """(source, path, text, error) of every root: its text with all inclusions, or the circle that prevents it; also pointers that couldn't be read.
 
     files(source, path, text), roots(source, path). A source is one book: its files meet in one task because its text is
     one row anyway. Files without a root in their source aren't shuffled. A null text counts as empty.
@@ -211,7 +244,9 @@ def expand(files: DataFrame, roots: DataFrame, kind: str = "xml") -> DataFrame:
         out = []
         for p in starts["path"]:
             try:
-                out.append([key[0], p, expand_xml(known, p) if kind == "xml" else expand_asciidoc(known, p)[0], None])
+                unread: list[str] = []
+                text = expand_xml(known, p, unread) if kind == "xml" else expand_asciidoc(known, p)[0]
+                out.append([key[0], p, text, "unread pointers: " + ", ".join(dict.fromkeys(unread)) if unread else None])
             except Circular as e:
                 out.append([key[0], p, None, str(e)])
         return pd.DataFrame(out, columns=["source", "path", "text", "error"])

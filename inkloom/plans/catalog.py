@@ -31,7 +31,7 @@ def oracle_sql() -> dict:
 
 
 def _load() -> None:
-    from . import book_queries, collection_queries, document_queries, import_queries, relational_queries  # noqa: F401  registered on import
+    from . import book_queries, collection_queries, document_queries, import_queries, markup_queries, relational_queries  # noqa: F401  registered on import
 
 
 def table(spark, sf_dir: str, name: str):

@@ -72,12 +72,13 @@ def listing(files: DataFrame) -> DataFrame:
 
 
 def lookup(files: DataFrame, wanted: DataFrame, ignore_case: bool = False) -> DataFrame:
-    """wanted(source_id, name) with the content of that entry: the exact name wins, else the last that differs in case alone."""
+    """wanted(source_id, name) with the content of that entry: the exact name wins, else the last that differs in case alone. Of entries with one path the greatest content counts."""
     if not ignore_case:
-        return wanted.join(files.select("source_id", F.col("path").alias("name"), "content"), ["source_id", "name"], "left")
+        only = files.groupBy("source_id", F.col("path").alias("name")).agg(F.max("content").alias("content"))
+        return wanted.join(only, ["source_id", "name"], "left")
     named = files.select("source_id", F.lower("path").alias("low"), "path", "content")
     both = wanted.withColumn("low", F.lower("name")).join(named, ["source_id", "low"], "left")
-    best = both.groupBy("source_id", "name").agg(F.max_by("content", F.struct(F.col("path") == F.col("name"), F.col("path"))).alias("content"))
+    best = both.groupBy("source_id", "name").agg(F.max_by("content", F.struct(F.col("path") == F.col("name"), F.col("path"), F.col("content"))).alias("content"))
     return wanted.join(best, ["source_id", "name"], "left")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ENVELOPE = "struct<size:int,items:array<struct<item:struct<id:bigint,xml:string,xmlFormat:string,locale:struct<id:int>>>>>"
@@ -38,17 +38,18 @@ def create_or_match(new: DataFrame, store: DataFrame, content: str = "content")
     return both.where("store_id is not null").select("sha", "store_id", F.lit(True).alias("matched")).unionByName(made)
 
 
-def sparse_update(store: DataFrame, changes: DataFrame, columns: list[str]) -> DataFrame:
-    """Overwrite the listed columns of the topics named in changes; the rest stays."""
-    c = changes.select("store_id", F.lit(True).alias("__hit"), *(F.col(x).alias(f"__{x}") for x in columns))
+def sparse_update(store: DataFrame, changes: DataFrame, columns: list[str], order: str | None = None) -> DataFrame:
+    """Overwrite the listed columns of the topics named in changes; the rest stays. Of several changes of one topic the last by ``order`` wins, then the greatest."""
+    values = F.struct(*columns)
+    rank = F.struct(*([F.col(order)] if order else []), values)
+    last = changes.groupBy("store_id").agg(F.max_by(values, rank).alias("__v"))
+    c = last.select("store_id", F.lit(True).alias("__hit"), *(F.col("__v")[x].alias(f"__{x}") for x in columns))
     joined = store.join(c, "store_id", "left")
     return joined.select(*(F.when(F.col("__hit"), F.col(f"__{x}")).otherwise(F.col(x)).alias(x) if x in columns else F.col(x) for x in store.columns))
 
 
 SETTINGS = "struct<locales:struct<items:array<struct<item:struct<id:int,value:string,translationValue:string,buildValue:string>>>>,defaultLocale:struct<id:int,value:string>,entities:map<string,string>>"
 FORMATS = {"4.5": "DOCBOOK_45", "5.0": "DOCBOOK_50"}
-#: Calls to the store are tried so often again.
-RETRIES = 5
 
 
 def locales(df: DataFrame, column: str = "json") -> DataFrame:
@@ -111,13 +112,13 @@ def spec_text(text: Column, spec_id: Column) -> Column:
 
 
 def write_specs(specs: DataFrame, store: DataFrame) -> DataFrame:
-    """specs(spec_id, text) written over store(spec_id, text): ids stay, specs without one get those after the largest."""
+    """specs(spec_id, text) written over store(spec_id, text): ids stay, specs without one get those after the largest. Of several texts for one id the greatest counts."""
     top = store.agg(F.coalesce(F.max("spec_id"), F.lit(0)).alias("top"))
     fresh = specs.where("spec_id IS NULL").select(F.sha2("text", 256).alias("sha"), "text").distinct()
     counts = fresh.groupBy(F.substring("sha", 1, 3).alias("range")).agg(F.count("*").alias("n"))
     base = counts.select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     made = fresh.withColumn("range", F.substring("sha", 1, 3)).withColumn("k", F.row_number().over(Window.partitionBy("range").orderBy("sha"))).join(F.broadcast(base), "range").crossJoin(F.broadcast(top))
-    known = specs.where("spec_id IS NOT NULL")
+    known = specs.where("spec_id IS NOT NULL").groupBy("spec_id").agg(F.max("text").alias("text"))
     old = store.join(known.select("spec_id"), "spec_id", "left_anti")
     return old.select("spec_id", "text").unionByName(known.select("spec_id", spec_text(F.col("text"), F.col("spec_id")).alias("text"))).unionByName(made.select((F.col("top") + F.col("base") + F.col("k")).alias("spec_id"), "text"))
 
@@ -127,19 +128,23 @@ def image_names(uploaded: DataFrame) -> DataFrame:
     return uploaded.withColumn("name", F.concat(F.lit("images/"), F.col("store_id").cast("string"), F.regexp_extract("fileref", r"(\.[^.]*)$", 1)))
 
 
+#: A reference to an image, its quotation mark and its name.
+FILEREF = r"""fileref\s*=\s*(["'])(.*?)\1"""
+
+
+def image_refs(xml: Column) -> Column:
+    """The image references of a text, in order, whatever their quotation marks."""
+    return F.regexp_extract_all(xml, F.lit(FILEREF), F.lit(2))
+
+
 def rewrite_images(topics: DataFrame, uploaded: DataFrame) -> DataFrame:
     """topics(source, key, xml) with the image references that were uploaded rewritten; only names that a topic uses travel to it."""
-    used = topics.select("source", "key", F.explode(F.array_distinct(F.regexp_extract_all("xml", F.lit(r'fileref="([^"]*)"'), F.lit(1)))).alias("fileref"))
-    found = used.join(image_names(uploaded), ["source", "fileref"]).groupBy("source", "key").agg(F.array_sort(F.collect_list(F.struct("fileref", "name"))).alias("__names"))
-    put = F.aggregate(F.coalesce("__names", F.array().cast("array<struct<fileref:string,name:string>>")), F.col("xml"), lambda x, n: F.replace(x, F.concat(F.lit('fileref="'), n["fileref"], F.lit('"')), F.concat(F.lit('fileref="'), n["name"], F.lit('"'))))
-    return topics.join(found, ["source", "key"], "left").withColumn("xml", put).drop("__names")
-
-
-def retrying(call, *args, retries: int = RETRIES):
-    """call(*args), tried again at once after failures, ``retries`` times at most; the last failure is raised."""
-    for left in range(retries, -1, -1):
-        try:
-            return call(*args)
-        except Exception:  # whatever the store answers with
-            if not left:
-                raise
+    used = topics.select("source", "key", F.explode(F.array_distinct(image_refs(F.col("xml")))).alias("fileref"))
+    found = used.join(image_names(uploaded), ["source", "fileref"]).groupBy("source", "key").agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("fileref", "name")))).alias("__names"))
+    # Texts are cut at their references, so a name that a rewriting made is not rewritten again.
+    refs = F.regexp_extract_all("xml", F.lit(FILEREF), F.lit(0))
+    name = lambda r: F.try_element_at("__names", F.regexp_extract(r, FILEREF, 2))
+    new = F.transform(refs, lambda r: F.when(name(r).isNull(), r).otherwise(F.concat(F.regexp_extract(r, r"^(fileref\s*=\s*[\"'])", 1), name(r), F.substring(r, -1, 1))))
+    between = F.split("xml", FILEREF, -1)
+    put = F.array_join(F.zip_with(between, new, lambda b, r: F.concat(b, F.coalesce(r, F.lit("")))), "")
+    return topics.join(found, ["source", "key"], "left").withColumn("xml", F.when(F.col("__names").isNull(), F.col("xml")).otherwise(put)).drop("__names")
