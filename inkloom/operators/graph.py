@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkloom.functions import text as X
-from inkloom.operators.scratch import held
+from inkloom.operators.scratch import drop_held, held
 
 
 def resolve_targets(links: DataFrame, topics: DataFrame, containers: DataFrame) -> DataFrame:
@@ -112,7 +114,13 @@ def include_closure(spark: SparkSession, includes: DataFrame) -> DataFrame:
     return found.join(met, ["root", "path"], "left").select("root", "path", "depth", F.coalesce("met", F.lit(False)).alias("cyclic"))
 
 
-def _network(start, edges, targets):
+# Consistent reuse. A candidate is a topic with an id that it might take; it may require ids of other topics.
+
+#: Books of more rows than this are cut into connected parts, and parts of more rows are resolved by joins.
+SMALL = 2000
+
+
+def _network(start, edges):
     """What must hold if ``start`` = (topic, id) holds: a dict topic -> id, or None if that can't be."""
     net, todo = {}, [start]
     while todo:
@@ -121,50 +129,226 @@ def _network(start, edges, targets):
             return None
         if topic in net:
             continue
-        if (topic, store) not in edges:
+        if (own := edges.get((topic, store))) is None:
             return None
         net[topic] = store
-        for kind, dst, ref in edges[topic, store]:
-            if kind == "container":
-                if ref != f"T{targets.get(dst)}":
-                    return None
-            elif kind != "topic" or not ref.isdigit():
-                return None
-            else:
-                todo.append((dst, int(ref)))
+        todo += own
     return net
 
 
-def choose(rows: pd.DataFrame) -> pd.DataFrame:
-    """One component: commit the largest consistent network, again and again; ties go to the lowest topic, then id."""
+def choose(rows: list[tuple[int, int, int | None, int | None, bool]]) -> list[tuple[int, int | None]]:
+    """One part's (topic, id or None) from rows (topic, id, required topic, required id, met): commit the largest consistent network, again and again; ties go to the lowest topic, then id.
+
+    met is false where a requirement can't be met by any topic, true where there is none or it holds already.
+    """
     edges: dict = {}
-    targets = {}
-    for r in rows.itertuples():
-        own = edges.setdefault((r.topic_seq, r.store_id), [])
-        if r.dst_kind is not None and r.dst_kind == r.dst_kind:
-            own.append((r.dst_kind, int(r.dst), r.required_ref))
-            if r.dst_kind == "container":
-                targets[int(r.dst)] = None if pd.isna(r.dst_target) else int(r.dst_target)
-    topics = sorted({t for t, _ in edges})
-    roots = {t for (t, _), e in edges.items() if e}
+    topics, wanting, broken, least = set(), set(), set(), {}
+    for topic, store, dst, ref, met in rows:
+        own = edges.setdefault((topic, store), [])
+        topics.add(topic)
+        least[topic] = min(store, least.get(topic, store))
+        if not met:
+            broken.add((topic, store))
+            wanting.add(topic)
+        elif dst is not None:
+            wanting.add(topic)
+            if dst >= 0:
+                own.append((dst, ref))
+    for c in broken:
+        del edges[c]
     fixed: dict = {}
     # Each candidate's network is followed once; what has been committed only rules networks out.
-    open_ = [(t, net) for t, s in sorted(edges) if t in roots and (net := _network((t, s), edges, targets))]
+    open_ = [(c[0], net) for c in sorted(edges) if c[0] in wanting and (net := _network(c, edges))]
     while open_ := [(t, net) for t, net in open_ if t not in fixed and all(fixed.get(k, v) == v for k, v in net.items())]:
         fixed |= max(open_, key=lambda x: len(x[1]))[1]
-    least: dict = {}
-    for t, s in edges:
-        least[t] = min(s, least.get(t, s))
-    for t in topics:
-        if t not in fixed:
-            fixed[t] = least[t] if t not in roots else None
-    return pd.DataFrame([(rows["component"].iloc[0], t, "NEW" if fixed[t] is None else "REUSED", fixed[t]) for t in topics], columns=["component", "topic_seq", "status", "store_id"]).astype({"store_id": "Int64"})
+    return [(t, fixed[t] if t in fixed else None if t in wanting else least[t]) for t in sorted(topics)]
+
+
+_CHOSEN = "component long, topic_seq long, store_id long"
+
+
+def _choose_many(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Part after part of rows that come sorted by component and part."""
+    now, rows, out = None, [], []
+
+    def done():
+        if rows:
+            out.extend((now[0], t, s) for t, s in choose(rows))
+
+    for frame in frames:
+        columns = [frame[c].astype(object).where(frame[c].notna(), None) for c in ("component", "part", "topic_seq", "store_id", "dst", "ref", "met")]
+        for component, part, *row in zip(*columns, strict=True):
+            if (component, part) != now:
+                done()
+                now, rows = (component, part), []
+            rows.append(tuple(row))
+        if len(out) > 10_000:
+            yield pd.DataFrame(out, columns=["component", "topic_seq", "store_id"]).astype({"store_id": "Int64"})
+            out = []
+    done()
+    yield pd.DataFrame(out, columns=["component", "topic_seq", "store_id"]).astype({"store_id": "Int64"})
 
 
-def resolve(candidates: DataFrame) -> DataFrame:
+def connected(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """nodes(component, node) with ``part``: the least node that edges(component, a, b) join it with, in rounds.
+
+    Labels fall to the least around, then to their label's own label, so long chains take about the logarithm of their length.
+    """
+    both = held(edges.select("component", "a", "b").unionByName(edges.select("component", F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "links")
+    labels = held(nodes.select("component", "node", F.col("node").alias("part")).distinct(), "labels")
+    while True:
+        near = both.join(labels.select("component", F.col("node").alias("b"), F.col("part").alias("p")), ["component", "b"]).groupBy("component", F.col("a").alias("node")).agg(F.min("p").alias("near"))
+        low = labels.join(near, ["component", "node"], "left").select("component", "node", F.least("part", F.coalesce("near", "part")).alias("low"), F.col("part").alias("was"))
+        jump = labels.select("component", F.col("node").alias("low"), F.col("part").alias("further"))
+        new = held(low.join(jump, ["component", "low"]).select("component", "node", F.least("low", "further").alias("part"), (F.least("low", "further") != F.col("was")).alias("moved")), "labels")
+        moved = not new.where("moved").isEmpty()
+        drop_held(labels)
+        labels = new.select("component", "node", "part")
+        if not moved:
+            drop_held(both)
+            return labels
+
+
+_CAND = ["component", "t", "s"]
+
+
+def _as_target(df: DataFrame) -> DataFrame:
+    return df.select("component", F.col("t").alias("dt"), F.col("s").alias("ds")).distinct()
+
+
+def _prune(cand: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The candidates left when all go that require one that is not there, however far away, and the edges between them: what goes in one round is looked for in the next only."""
+    gone = edges.join(_as_target(cand), ["component", "dt", "ds"], "left_anti").select(*_CAND).distinct()
+    while True:
+        gone = held(gone, "gone")
+        if gone.isEmpty():
+            drop_held(gone)
+            return cand, edges
+        fewer = held(cand.join(gone, _CAND, "left_anti"), "cand")
+        rest = held(edges.join(gone, _CAND, "left_anti"), "edges")
+        new = held(rest.join(_as_target(gone), ["component", "dt", "ds"], "left_semi").select(*_CAND).distinct(), "gone")
+        drop_held(gone, cand, edges)
+        cand, edges, gone = fewer, rest, new
+
+
+def _roots(cand: DataFrame, edges: DataFrame, count: int) -> DataFrame:
+    """Candidates from whose networks those of all others are parts: those that none requires, and one of each circle.
+
+    Every other points to the least that requires it. Pointers are doubled until they have passed all; what they point to then
+    are the starts and the circles, and each has gathered the least of its circle on the way.
+    """
+    me = F.struct("t", "s")
+    over = edges.groupBy("component", F.col("dt").alias("t"), F.col("ds").alias("s")).agg(F.min(F.struct(F.col("t"), F.col("s"))).alias("p"))
+    at = held(cand.join(over, _CAND, "left").select(*_CAND, F.coalesce(F.col("p.t"), "t").alias("ut"), F.coalesce(F.col("p.s"), "s").alias("us"), F.coalesce(F.least(F.col("p"), me), me).alias("low")), "pointers")
+    span = 1
+    while span <= count:
+        far = at.select("component", F.col("t").alias("ut"), F.col("s").alias("us"), F.col("ut").alias("vt"), F.col("us").alias("vs"), F.col("low").alias("far"))
+        new = held(at.join(far, ["component", "ut", "us"]).select(*_CAND, F.col("vt").alias("ut"), F.col("vs").alias("us"), F.least("low", "far").alias("low")), "pointers")
+        drop_held(at)
+        at, span = new, span * 2
+    ends = at.select("component", F.col("ut").alias("t"), F.col("us").alias("s")).distinct()
+    starts = cand.join(over.select(*_CAND), _CAND, "left_anti").select(*_CAND)
+    circles = at.join(ends, _CAND, "left_semi").join(starts, _CAND, "left_anti").select("component", F.col("low.t").alias("t"), F.col("low.s").alias("s"))
+    found = held(starts.unionByName(circles).distinct(), "roots")
+    drop_held(at)
+    return found
+
+
+def _networks(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """(component, rt, rs, t, s): all that each root requires, itself included; each round follows what the last one found."""
+    new = held(roots.select("component", F.col("t").alias("rt"), F.col("s").alias("rs"), "t", "s"), "nets")
+    found, parts = new, [new]
+    while not new.isEmpty():
+        step = new.join(edges, _CAND).select("component", "rt", "rs", F.col("dt").alias("t"), F.col("ds").alias("s")).distinct()
+        new = held(step.join(found, ["component", "rt", "rs", "t", "s"], "left_anti"), "nets")
+        found = found.unionByName(new)
+        parts.append(new)
+    out = held(found, "nets")
+    drop_held(*parts)
+    return out
+
+
+def _undisputed(nets: DataFrame) -> DataFrame:
+    """(component, rt, rs) of the networks before all others that want a topic of theirs as something else or hold their root. nets(component, rt, rs, t, s, rank)."""
+    by_id = nets.groupBy("component", "t", "s").agg(F.max("rank").alias("best"))
+    ranked = by_id.withColumn("k", F.row_number().over(Window.partitionBy("component", "t").orderBy(F.desc("best"))))
+    top = ranked.groupBy("component", "t").agg(F.max(F.when(F.col("k") == 1, F.struct("s", "best"))).alias("one"), F.max(F.when(F.col("k") == 2, F.col("best"))).alias("two"))
+    rival = F.when(F.col("one.s") == F.col("s"), F.col("two")).otherwise(F.col("one.best"))
+    met = nets.join(top, ["component", "t"]).join(by_id, ["component", "t", "s"])
+    free = (rival.isNull() | (F.col("rank") > rival)) & ((F.col("t") != F.col("rt")) | (F.col("rank") >= F.col("best")))
+    return met.groupBy("component", "rt", "rs").agg(F.bool_and(free).alias("free")).where("free").select("component", "rt", "rs")
+
+
+def _resolve_large(rows: DataFrame) -> DataFrame:
+    """What :func:`choose` does, for parts of any size, by joins.
+
+    Networks are found for the roots only. While some contradict themselves their roots go. Then every network that none before
+    it disputes is committed at once: that of the others which come first would be committed later changes nothing about them.
+    """
+    cand = held(rows.groupBy("component", F.col("topic_seq").alias("t"), F.col("store_id").alias("s")).agg(F.bool_and("met").alias("met"), F.bool_or(F.col("dst").isNotNull() | ~F.col("met")).alias("wants")), "all")
+    topics = held(cand.groupBy("component", "t").agg(F.bool_or("wants").alias("wanting"), F.min("s").alias("least")), "topics")
+    edges = held(rows.where("met AND dst >= 0").select("component", F.col("topic_seq").alias("t"), F.col("store_id").alias("s"), F.col("dst").alias("dt"), F.col("ref").alias("ds")).distinct().join(cand.where("met").select(*_CAND), _CAND, "left_semi"), "edges")
+    alive = held(cand.where("met").select(*_CAND), "cand")
+    fixed = held(alive.limit(0), "fixed")
+    while True:
+        alive, edges = _prune(alive, edges)
+        free = held(alive.join(topics.where("wanting"), ["component", "t"], "left_semi").join(fixed.select("component", "t"), ["component", "t"], "left_anti"), "free")
+        count = free.count()
+        if not count:
+            break
+        roots = _roots(free, edges.join(free, _CAND, "left_semi").join(_as_target(free), ["component", "dt", "ds"], "left_semi"), count)
+        nets = _networks(roots, edges)
+        torn = held(nets.groupBy("component", "rt", "rs", "t").agg((F.min("s") != F.max("s")).alias("torn")).where("torn").select("component", F.col("rt").alias("t"), F.col("rs").alias("s")).distinct(), "torn")
+        if torn.isEmpty():
+            sized = nets.join(nets.groupBy("component", "rt", "rs").agg(F.count("*").alias("n")), ["component", "rt", "rs"]).withColumn("rank", F.struct("n", (-F.col("rt")).alias("a"), (-F.col("rs")).alias("b")))
+            first = _undisputed(sized)
+            more = held(fixed.unionByName(nets.join(first, ["component", "rt", "rs"], "left_semi").select(*_CAND)).distinct(), "fixed")
+            drop_held(fixed)
+            fixed = more
+            other = alive.join(fixed.select("component", "t", F.col("s").alias("taken")), ["component", "t"], "left").where("taken IS NULL OR taken = s").select(*_CAND)
+        else:
+            other = alive.join(torn, _CAND, "left_anti")
+        fewer = held(other, "cand")
+        rest = held(edges.join(fewer, _CAND, "left_semi"), "edges")
+        drop_held(alive, edges, free, roots, nets, torn)
+        alive, edges = fewer, rest
+    chosen = topics.join(fixed, ["component", "t"], "left")
+    out = held(chosen.select("component", F.col("t").alias("topic_seq"), F.coalesce("s", F.when(~F.col("wanting"), F.col("least"))).alias("store_id")), "resolved")
+    drop_held(cand, topics, alive, edges, free, fixed)
+    return out
+
+
+def resolve(candidates: DataFrame, small: int = SMALL) -> DataFrame:
     """(component, topic_seq, status, store_id) from candidates with their requirements.
 
     candidates: (component, topic_seq, store_id, dst_kind, dst, dst_target, required_ref), one row for each requirement
-    of a candidate, nulls for one without any. component: topics that links join, such as one book.
+    of a candidate, nulls for one without any. A requirement names a topic of the component and the id that it must take, or a
+    container and T with its target. One without a reference, with another kind or with a reference that is no number can't be met.
+
+    Books of up to ``small`` rows are resolved as they are, many to a batch. Larger ones are first cut into the parts that
+    requirements join; parts that are still larger are resolved by joins in rounds. Rows without a topic or an id are left out.
     """
-    return candidates.groupBy("component").applyInPandas(choose, "component long, topic_seq int, status string, store_id long")
+    number = F.when(F.col("required_ref").rlike("^[0-9]{1,18}$"), F.col("required_ref").cast("long"))
+    none = F.col("dst_kind").isNull()
+    container = F.coalesce((F.col("dst_kind") == "container") & (F.col("required_ref") == F.concat(F.lit("T"), F.col("dst_target").cast("string"))), F.lit(False))
+    topic = F.coalesce((F.col("dst_kind") == "topic") & F.col("dst").isNotNull() & number.isNotNull(), F.lit(False))
+    rows = candidates.where("topic_seq IS NOT NULL AND store_id IS NOT NULL").select(
+        F.col("component").cast("long").alias("component"), F.col("topic_seq").cast("long").alias("topic_seq"), F.col("store_id").cast("long").alias("store_id"),
+        F.when(topic, F.col("dst").cast("long")).when(~none, F.lit(-1).cast("long")).alias("dst"), F.when(topic, number).alias("ref"), (none | container | topic).alias("met"),
+    )
+    rows = held(rows, "candidates")
+    sizes = rows.groupBy("component").agg(F.count("*").alias("n"))
+    wide = held(sizes.where(F.col("n") > small).select("component"), "wide")
+    many = rows.join(wide, "component", "left_anti").withColumn("part", F.lit(0).cast("long"))
+    large = None
+    if not wide.isEmpty():
+        big = held(rows.join(wide, "component", "left_semi"), "big")
+        parts = connected(big.where("dst >= 0").select("component", F.col("topic_seq").alias("a"), F.col("dst").alias("b")), big.select("component", F.col("topic_seq").alias("node")).unionByName(big.where("dst >= 0").select("component", F.col("dst").alias("node"))))
+        told = held(big.join(parts.withColumnRenamed("node", "topic_seq"), ["component", "topic_seq"]), "parts")
+        giants = held(told.groupBy("component", "part").agg(F.count("*").alias("n")).where(F.col("n") > small).select("component", "part"), "giants")
+        many = many.unionByName(told.join(giants, ["component", "part"], "left_anti").select(*many.columns))
+        if not giants.isEmpty():
+            large = _resolve_large(told.join(giants, ["component", "part"], "left_semi"))
+    found = many.repartition("component", "part").sortWithinPartitions("component", "part").select("component", "part", "topic_seq", "store_id", "dst", "ref", "met").mapInPandas(_choose_many, _CHOSEN)
+    found = found if large is None else found.unionByName(large)
+    return found.select("component", F.col("topic_seq").cast("int").alias("topic_seq"), F.when(F.col("store_id").isNull(), "NEW").otherwise("REUSED").alias("status"), "store_id")

@@ -18,3 +18,12 @@ def held(df: DataFrame, tag: str = "held") -> DataFrame:
     path = shared_folder(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_held(*tables: DataFrame) -> None:
+    """Delete the files of tables made by held() once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -132,3 +132,25 @@ def graph_resolution(spark, sf_dir):
     after = t.select("component", (F.col("topic_seq") - 1).alias("topic_seq"), F.col("topic_seq").cast("long").alias("dst"), (F.col("store_id") + wrong.cast("int")).cast("string").alias("required_ref"))
     linked = t.join(after, ["component", "topic_seq"], "left")
     return graph.resolve(linked.select("component", "topic_seq", "store_id", F.when(F.col("dst").isNotNull(), "topic").alias("dst_kind"), "dst", F.lit(None).cast("int").alias("dst_target"), "required_ref"))
+
+
+@query("giant_resolution", """WITH o AS (SELECT o_orderkey AS k, 7 + (o_orderkey % 3 = 0)::INTEGER AS hub, o_orderkey % 5 = 0 AS spare FROM orders), h AS (SELECT arg_min(hub, k) AS hub FROM o),
+    l AS (SELECT 2 * o_orderkey AS a, 2 * o_orderkey + 1 AS b, o_custkey + 1 AS c, o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 AS dead FROM orders)
+    SELECT 0::BIGINT AS component, 0 AS topic_seq, 'REUSED' AS status, hub::BIGINT AS store_id FROM h UNION ALL SELECT 0, (k + 1)::INTEGER, CASE WHEN o.hub = h.hub OR spare THEN 'REUSED' ELSE 'NEW' END, CASE WHEN o.hub = h.hub THEN k WHEN spare THEN k + 1000000000 END FROM o, h
+    UNION ALL SELECT c, a::INTEGER, CASE WHEN dead THEN 'NEW' ELSE 'REUSED' END, CASE WHEN NOT dead THEN a END FROM l UNION ALL SELECT c, b::INTEGER, CASE WHEN dead THEN 'NEW' ELSE 'REUSED' END, CASE WHEN NOT dead THEN b END FROM l""")
+def giant_resolution(spark, sf_dir):
+    """One book in which every order wants the same topic, as 7 or as 8, so that the first one decides for all; some may fall back on an id without wishes.
+
+    And a book for each customer of circles of two topics; some want another container than there is, some one topic as two things.
+    """
+    k = F.col("o_orderkey")
+    orders = table(spark, sf_dir, "orders")
+    row = lambda component, topic, store, kind=None, dst=None, target=None, ref=None: F.struct(F.lit(component).cast("long").alias("component") if isinstance(component, int) else component.cast("long").alias("component"), topic.cast("int").alias("topic_seq"), store.cast("long").alias("store_id"), F.lit(kind).alias("dst_kind"), (F.lit(None) if dst is None else dst).cast("long").alias("dst"), F.lit(target).cast("int").alias("dst_target"), (F.lit(None) if ref is None else ref).cast("string").alias("required_ref"))
+    hub = orders.select(F.explode(F.array_compact(F.array(row(0, k + 1, k, "topic", F.lit(0), ref=7 + (k % 3 == 0).cast("int")), F.when(k % 5 == 0, row(0, k + 1, k + 1000000000)), row(0, F.lit(0), F.lit(7)), row(0, F.lit(0), F.lit(8))))).alias("r"))
+    c, a, b = F.col("o_custkey") + 1, 2 * k, 2 * k + 1
+    loops = orders.select(F.explode(F.array_compact(F.array(
+        row(c, a, a, "topic", b, ref=b), row(c, b, b, "topic", a, ref=a), row(c, a, a, "container", F.lit(1), 5, F.when(k % 7 == 0, "T6").otherwise("T5")),
+        F.when(k % 11 == 0, row(c, a, a, "topic", b, ref=b + 1000000000)), F.when(k % 11 == 0, row(c, b, b + 1000000000)),
+    ))).alias("r"))
+    made = hub.select("r.*").distinct().unionByName(loops.select("r.*"))
+    return graph.resolve(made)
