@@ -248,6 +248,14 @@ def doc_similar_pairs(spark, sf_dir):
     return pairs.withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query("doc_hashed_pairs", f"""WITH {_SETS}, o AS (SELECT s.*, c.n FROM s JOIN c USING (doc_id) WHERE doc_id = rep),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS jaccard FROM o a JOIN o b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL) SELECT a, b, round(jaccard, 6) AS jaccard FROM p WHERE jaccard >= 0.6""")
+def doc_hashed_pairs(spark, sf_dir):
+    """The similarity that the store is asked for, at its threshold: signatures, bands, exact verification."""
+    pairs, _ = matching.similar_by_hash(table(spark, sf_dir, "documents"), "doc_id", "text", threshold=0.6)
+    return pairs.withColumn("jaccard", F.round("jaccard", 6))
+
+
 @query("doc_set_classes", f"WITH {_SETS} SELECT doc_id AS id, rep FROM c")
 def doc_set_classes(spark, sf_dir):
     return matching.similar(table(spark, sf_dir, "documents"), "doc_id", "text")[1]

@@ -135,9 +135,9 @@ def graph_resolution(spark, sf_dir):
 
 
 @query("giant_resolution", """WITH o AS (SELECT o_orderkey AS k, 7 + (o_orderkey % 3 = 0)::INTEGER AS hub, o_orderkey % 5 = 0 AS spare FROM orders), h AS (SELECT arg_min(hub, k) AS hub FROM o),
-    l AS (SELECT 2 * o_orderkey AS a, 2 * o_orderkey + 1 AS b, o_custkey + 1 AS c, o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 AS dead FROM orders)
+    l AS (SELECT 2 * o_orderkey AS a, 2 * o_orderkey + 1 AS b, o_custkey + 1 AS c, o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 AS dead, o_orderkey % 11 = 0 AS twice FROM orders)
     SELECT 0::BIGINT AS component, 0 AS topic_seq, 'REUSED' AS status, hub::BIGINT AS store_id FROM h UNION ALL SELECT 0, (k + 1)::INTEGER, CASE WHEN o.hub = h.hub OR spare THEN 'REUSED' ELSE 'NEW' END, CASE WHEN o.hub = h.hub THEN k WHEN spare THEN k + 1000000000 END FROM o, h
-    UNION ALL SELECT c, a::INTEGER, CASE WHEN dead THEN 'NEW' ELSE 'REUSED' END, CASE WHEN NOT dead THEN a END FROM l UNION ALL SELECT c, b::INTEGER, CASE WHEN dead THEN 'NEW' ELSE 'REUSED' END, CASE WHEN NOT dead THEN b END FROM l""")
+    UNION ALL SELECT c, a::INTEGER, CASE WHEN dead THEN 'NEW' ELSE 'REUSED' END, CASE WHEN NOT dead THEN a END FROM l UNION ALL SELECT c, b::INTEGER, CASE WHEN dead AND NOT twice THEN 'NEW' ELSE 'REUSED' END, CASE WHEN twice THEN b + 1000000000 WHEN NOT dead THEN b END FROM l""")
 def giant_resolution(spark, sf_dir):
     """One book in which every order wants the same topic, as 7 or as 8, so that the first one decides for all; some may fall back on an id without wishes.
 
