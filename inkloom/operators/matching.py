@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,10 +43,51 @@ def shingles(text: Column, words: int) -> Column:
     return F.when(n > 0, F.array_distinct(F.slice(runs, 1, F.greatest(n - (words - 1), F.lit(1))))).otherwise(F.array().cast("array<string>"))
 
 
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads their bits."""
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def shingle_hashes(hashes: pa.ListArray, words: int) -> pa.ListArray:
+    """The sorted distinct shingles of each list of word hashes, as hashes; a shorter list is one shingle, an empty one none."""
+    size = hashes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = _mixed(hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64))
+    starts = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(size)), size)
+    left = np.repeat(starts + size, size) - np.arange(len(flat))  # words from here to the list's end
+    short = size[row] < words
+    runs = np.zeros(len(flat), np.uint64)
+    for k in range(words):
+        there = left > k
+        ahead = np.zeros(len(flat), np.uint64)
+        ahead[there] = flat[np.flatnonzero(there) + k]
+        runs = np.where(there, _mixed(runs * _STEP + ahead), runs)
+    keep = (left >= words) | short & (left == size[row])
+    runs, row = runs[keep].view(np.int64), row[keep]
+    order = np.lexsort((runs, row))
+    runs, row = runs[order], row[order]
+    new = np.append(True, (runs[1:] != runs[:-1]) | (row[1:] != row[:-1]))[: len(runs)]
+    ends = np.cumsum(np.bincount(row[new], minlength=len(size)))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(runs[new]))
+
+
 def _sets(df: DataFrame, key: str, text: str, words: int) -> tuple[DataFrame, DataFrame]:
     """(id, n, s) of one row for each class of equal shingle sets, the least id, and (id, rep) of all rows with words; texts are read once."""
-    sets = df.select(F.col(key).alias("id"), F.sort_array(F.transform(shingles(F.col(text), words), lambda s: F.xxhash64(s))).alias("s")).where(F.size("s") > 0)
-    member = held(sets.select("id", F.unhex(F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ","), 256)).alias("k"), "s"), "sets")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = shingle_hashes(batch.column("w"), words)
+            k = pa.array([hashlib.sha256(x.values.to_numpy().tobytes()).digest() for x in s], pa.binary())
+            out = pa.RecordBatch.from_arrays([batch.column("id"), k, s], names=["id", "k", "s"])
+            yield out.filter(pc.greater(pc.list_value_length(s), 0))
+
+    hashed = F.transform(F.split(F.lower(F.col(text)), r"[ \t\n\r\f\x0B]+"), lambda w: F.when(w != "", F.xxhash64(w)))
+    rows = df.select(F.col(key).alias("id"), F.array_compact(hashed).alias("w"))
+    member = held(rows.mapInArrow(run, f"id {df.schema[key].dataType.simpleString()}, k binary, s array<long>"), "sets")
     rep = member.groupBy("k").agg(F.min("id").alias("rep"))
     classes = held(member.select("id", "k").join(rep, "k").select("id", "rep"), "classes")
     first = classes.where("id = rep").select("id").distinct()
@@ -102,11 +145,8 @@ def signatures(own: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFram
             values = s.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             out = np.zeros((batch.num_rows, bands), np.uint64)
             for k, (a, b) in enumerate(_seeds(bands * rows)):
-                x = values * np.uint64(a) + np.uint64(b)
-                x ^= x >> np.uint64(29)
-                x *= np.uint64(0xBF58476D1CE4E5B9)
-                x ^= x >> np.uint64(32)
-                out[:, k // rows] = out[:, k // rows] * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x, starts)
+                least = np.minimum.reduceat(_mixed(values * np.uint64(a) + np.uint64(b)), starts)
+                out[:, k // rows] = out[:, k // rows] * _STEP + least
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n"), pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1).view(np.int64)), bands).cast(pa.list_(pa.int64()))], names=["id", "n", "h"])
 
     signed = own.select("id", "n", "s").mapInArrow(run, f"id {own.schema['id'].dataType.simpleString()}, n int, h array<long>")
