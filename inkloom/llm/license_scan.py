@@ -2,9 +2,10 @@
 inheritance from the nearest ancestor directory.
 
 A licence has several templates: its SPDX tag, headings, standard notices and first clauses. The units that are scored
-are the lines, the blocks (stretches without an empty line) and the sentences of the blocks of a whole text, those of up
-to ``UNIT_CHARS`` characters, so neither wrapped lines nor words beside a notice dilute it; a licence file, which its name
-gives away, is a unit as a whole too, of any length. The best unit at or above the threshold gives a text its licence. A file that has no notice of its own takes
+are the lines, the blocks (stretches without an empty line) and the sentences of the blocks of a whole text, of any length,
+so neither wrapped lines nor words beside a notice dilute it; a licence file, which its name gives away, is a unit as a
+whole too. A template that names its licence's version needs it in the unit, and a unit that denies a licence ("is not
+released under") is no notice. The best unit at or above the threshold gives a text its licence. A file that has no notice of its own takes
 the licence of the nearest directory above it that has a licence file; only the distinct directories, not the files, are
 joined with their ancestors' paths.
 
@@ -30,30 +31,68 @@ from pyspark.sql import functions as F
 
 from ._common import cut, table
 
-_NOTICE = "redistribute it and or modify it under the terms of the gnu {}general public license as published by the free software foundation either version {} of the license"
+#: Names, versions and dates of the GNU licences, by SPDX name.
+GNU = {
+    "AGPL-3.0": ("agpl", "affero general", "3", "19 november 2007"),
+    "GPL-2.0": ("gpl", "general", "2", "june 1991"),
+    "GPL-3.0": ("gpl", "general", "3", "29 june 2007"),
+    "LGPL-2.0": ("lgpl", "library general", "2", "june 1991"),
+    "LGPL-2.1": ("lgpl", "lesser general", "2.1", "february 1999"),
+    "LGPL-3.0": ("lgpl", "lesser general", "3", "29 june 2007"),
+}
+#: The Creative Commons licences' names by their codes, and what their versions are called.
+COMMONS = {"by": "attribution", "by sa": "attribution sharealike", "by nd": "attribution noderivatives", "by nc": "attribution noncommercial", "by nc sa": "attribution noncommercial sharealike", "by nc nd": "attribution noncommercial noderivatives"}
+COMMONS_VERSIONS = {"3.0": "unported", "4.0": "international"}
 _GRANT = "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"
-#: Headings, notices and first clauses by SPDX name, in the words of the licences. SPDX tags are added to each.
-TEMPLATES = {
+#: Headings, notices and first clauses by SPDX name, in the words of the licences.
+OTHERS = {
+    "0BSD": ["bsd zero clause license", "zero clause bsd"],
+    "Apache-1.1": ["apache software license version 1.1", "licensed under the apache software license version 1.1"],
     "Apache-2.0": ["licensed under the apache license version 2.0", "apache license version 2.0 january 2004", "apache license version 2.0 january 2004 http www.apache.org licenses", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license"],
-    "BSD-3-Clause": ["released under the bsd license", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "CC-BY-4.0": ["licensed under cc by 4.0", "licensed under a creative commons attribution 4.0 international license", "creative commons attribution 4.0 international"],
-    "CC-BY-NC-4.0": ["licensed under cc by nc 4.0", "licensed under a creative commons attribution noncommercial 4.0 international license", "creative commons attribution noncommercial 4.0 international"],
+    "Artistic-2.0": ["the artistic license 2.0", "licensed under the artistic license 2.0"],
+    "BSD-2-Clause": ["bsd 2 clause license", "simplified bsd license", "released under the simplified bsd license", "bsd 2 clause simplified license"],
+    "BSD-3-Clause": ["released under the bsd license", "bsd 3 clause license", "bsd 3 clause new or revised license", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "BSL-1.0": ["boost software license version 1.0", "distributed under the boost software license version 1.0"],
     "CC0-1.0": ["dedicated to the public domain under cc0 1.0 universal", "creative commons cc0 1.0 universal", "cc0 1.0 universal public domain dedication", "released into the public domain under cc0"],
-    "GPL-2.0": ["this work is licensed under the gnu general public license version 2", "gnu general public license version 2 june 1991", _NOTICE.format("", "2")],
-    "GPL-3.0": ["this work is licensed under the gnu general public license version 3", "gnu general public license version 3 29 june 2007", _NOTICE.format("", "3")],
+    "CDDL-1.0": ["common development and distribution license version 1.0", "common development and distribution license cddl version 1.0"],
+    "EPL-1.0": ["eclipse public license v 1.0", "eclipse public license version 1.0"],
+    "EPL-2.0": ["eclipse public license v 2.0", "eclipse public license version 2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2.0"],
+    "EUPL-1.2": ["european union public licence v 1.2", "licensed under the eupl version 1.2"],
     "ISC": ["isc license", "released under the isc license", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
-    "LGPL-3.0": ["this library is licensed under the gnu lesser general public license version 3", "gnu lesser general public license version 3 29 june 2007", _NOTICE.format("lesser ", "3")],
     "MIT": ["released under the mit license", "the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy", _GRANT],
+    "MPL-1.1": ["mozilla public license version 1.1", "the contents of this file are subject to the mozilla public license version 1.1"],
     "MPL-2.0": ["mozilla public license version 2.0", "this source code form is subject to the terms of the mozilla public license v 2.0"],
+    "MS-PL": ["microsoft public license ms pl"],
+    "OFL-1.1": ["sil open font license version 1.1", "this font software is licensed under the sil open font license version 1.1"],
+    "PostgreSQL": ["the postgresql license", "released under the postgresql license"],
+    "Python-2.0": ["python software foundation license version 2"],
     "Unlicense": ["this is free and unencumbered software released into the public domain", "released into the public domain under the unlicense"],
+    "WTFPL": ["do what the fuck you want to public license"],
+    "Zlib": ["zlib license", "released under the zlib license", "in no event will the authors be held liable for any damages arising from the use of this software"],
 }
+
+
+def templates() -> dict[str, list[str]]:
+    """All templates by SPDX name; those of families follow from their names and versions. Tags are added to each."""
+    out = {k: list(v) for k, v in OTHERS.items()}
+    for name, (short, long, version, date) in GNU.items():
+        full = f"gnu {long} public license"
+        notice = f"redistribute it and or modify it under the terms of the {full} as published by the free software foundation either version {version} of the license"
+        out[name] = [f"this work is licensed under the {full} version {version}", f"{full} version {version}", f"{full} version {version} {date}", f"gnu {short} version {version}", f"gnu {short} v {version}", f"gnu {long.replace('general', 'gpl')} version {version}", notice]
+    for code, long in COMMONS.items():
+        for version, called in COMMONS_VERSIONS.items():
+            said = f"creative commons {long} {version} {called}"
+            out[f"CC-{code.upper().replace(' ', '-')}-{version}"] = [f"licensed under cc {code} {version}", f"licensed under a {said} license", said]
+    return out
+
+
 THRESHOLD = 0.7
 #: Function words. They count as terms of every text, so they weigh least, and none is an anchor.
 COMMON = "a all also an and any are as at be been but by can do for from has have he if in into is it its may no nor not of on one or other our out she so such than that the their there these they this those to under was we were which will with you your".split()
 TERM = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
 GROUPS = 61
-#: A unit other than a whole licence file has so many characters at most: many times a template. What is longer is looked at by its parts.
-UNIT_CHARS = 1000
+#: A unit that says so is no notice.
+DENIED = r"\bnot\s+(?:(?:be|been)\s+)?(?:(?:released|licen[cs]ed|distributed|available|covered|published)\s+)?under\b"
 #: What parts blocks from each other, and the sentences of a block; both engines read these alike.
 BLOCK, SENTENCE = r"\n[ \t\r\n]*\n", r"[.;!?][ \t\r\n]+"
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)[^/]*$"
@@ -62,11 +101,13 @@ LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)[^/]*$"
 class Model:
     """Weights of the templates' terms, and the anchors."""
 
-    def __init__(self, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD):
+    def __init__(self, given: dict[str, list[str]] | None = None, threshold: float = THRESHOLD):
         self.threshold = threshold
         #: (name, text) of every template; the place in this list is what ties go by.
-        self.passages = sorted({(n, t.lower()) for n, ts in templates.items() for t in [*ts, f"spdx license identifier {n}"]})
+        self.passages = sorted({(n, t.lower()) for n, ts in (given or templates()).items() for t in [*ts, f"spdx license identifier {n}"]})
         counts = [Counter(re.findall(TERM, t)) for _, t in self.passages]
+        #: The version that a template names, by its licence's name: a unit that doesn't hold it is no notice of this version.
+        self.musts = [self._version(n, c) for (n, _), c in zip(self.passages, counts, strict=True)]
         df = Counter(t for c in counts for t in c)
         n = len(counts)
         self.idf = {t: 1.0 if t in COMMON else math.log((1 + n) / (1 + df[t])) + 1 for t in sorted({*df, *COMMON})}
@@ -75,6 +116,12 @@ class Model:
         self.weights = [{t: v / math.sqrt(sum(x * x for x in w.values())) for t, v in w.items()} for w in raw]
         self.anchors = self._anchors()
 
+    @staticmethod
+    def _version(name: str, terms: Counter) -> str | None:
+        """The term of a template that tells its licence's version."""
+        m = re.search(r"-([0-9]+(?:\.[0-9]+)?)(?:-Clause)?$", name)
+        return next((v for v in (m[1], m[1].removesuffix(".0")) if v in terms), None) if m else None
+
     def _anchors(self) -> list[str]:
         """Terms without which no template is reached, found greedily: those that cover most of what is left uncovered."""
         chosen: set[str] = set()
@@ -115,7 +162,8 @@ class Model:
             norm = F.sqrt(acc["square"])
             hits = F.filter(terms, lambda x: x["hit"].isNotNull())
             dots = F.aggregate(hits, F.array(*(F.lit(0.0) for _ in self.weights)), lambda sums, x: F.zip_with(sums, x["hit"]["dots"], lambda a, b: a + b))
-            pairs = F.zip_with(dots, F.array(*(F.lit(n) for n, _ in self.passages)), lambda d, n: F.struct((-F.round(d / norm, 9)).alias("minus"), n.alias("name")))
+            asked = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(v).cast("string").alias("must")) for (n, _), v in zip(self.passages, self.musts, strict=True)))
+            pairs = F.zip_with(dots, asked, lambda d, n: F.when(n["must"].isNull() | F.array_contains(words, n["must"]), F.struct((-F.round(d / norm, 9)).alias("minus"), n["name"].alias("name"))))
             return F.when(acc["known"] >= acc["square"] * (self.threshold**2 * (1 - 1e-6)), F.array_min(pairs))
 
         return F.aggregate(terms, start, add, best)
@@ -125,8 +173,8 @@ def units(lower: Column, whole: Column, model: Model) -> Column:
     """The distinct units of a lower-cased text that hold an anchor."""
     blocks = F.split(lower, BLOCK)
     sentences = F.flatten(F.transform(blocks, lambda b: F.split(b, SENTENCE)))
-    parts = F.filter(F.concat(F.split(lower, "\n"), blocks, sentences), lambda u: F.length(u) <= UNIT_CHARS)
-    return F.array_distinct(F.filter(F.concat(parts, F.when(whole, F.array(lower)).otherwise(F.array().cast("array<string>"))), model.has_anchor))
+    parts = F.filter(F.concat(F.split(lower, "\n"), blocks, sentences), lambda u: model.has_anchor(u) & ~u.rlike(DENIED))
+    return F.array_distinct(F.concat(parts, F.filter(F.when(whole, F.array(lower)).otherwise(F.array().cast("array<string>")), model.has_anchor)))
 
 
 def notices(lower: Column, whole: Column, model: Model) -> Column:
@@ -176,18 +224,18 @@ def op5_sql() -> str:
     """Scores all units, without anchors."""
     m = Model()
     text = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = ", ".join(f"({k}, {text(n)}, {text(t)}, {v!r}::DOUBLE)" for k, ((n, _), w) in enumerate(zip(m.passages, m.weights, strict=True)) for t, v in sorted(w.items()))
+    rows = ", ".join(f"({k}, {text(n)}, {text(must) if must else 'NULL'}, {text(t)}, {v!r}::DOUBLE)" for k, ((n, _), must, w) in enumerate(zip(m.passages, m.musts, m.weights, strict=True)) for t, v in sorted(w.items()))
     idf = ", ".join(f"('{t}', {v!r}::DOUBLE)" for t, v in m.idf.items())
     return rf"""
-WITH tpl(p, name, term, weight) AS (VALUES {rows}), idf(term, idf) AS (VALUES {idf}),
+WITH tpl(p, name, must, term, weight) AS (VALUES {rows}), idf(term, idf) AS (VALUES {idf}),
 f AS (SELECT row_number() OVER () AS k, doc_id, lower(text) AS text, doc_id % 10 = 0 AS is_file,
        source || '/' || doc_id // 1000 || CASE WHEN doc_id % 1000 = 0 THEN '' ELSE '/' || doc_id // 100 || CASE WHEN doc_id % 100 = 0 THEN '' ELSE '/' || doc_id // 10 END END AS dir FROM documents),
 b AS (SELECT k, unnest(string_split_regex(text, '{BLOCK}')) AS unit FROM f),
 u AS (SELECT k, unit, row_number() OVER () AS i FROM (SELECT k, unit FROM (SELECT k, unnest(string_split(text, chr(10))) AS unit FROM f UNION ALL SELECT k, unit FROM b
-      UNION ALL SELECT k, unnest(string_split_regex(unit, '{SENTENCE}')) FROM b) WHERE length(unit) <= {UNIT_CHARS} UNION SELECT k, text FROM f WHERE is_file)),
+      UNION ALL SELECT k, unnest(string_split_regex(unit, '{SENTENCE}')) FROM b) WHERE NOT regexp_matches(unit, '{DENIED}') UNION SELECT k, text FROM f WHERE is_file)),
 w AS (SELECT k, i, term, count(*)::DOUBLE AS tf FROM (SELECT k, i, unnest(regexp_extract_all(unit, '[a-z]+|[0-9]+(?:\.[0-9]+)*')) AS term FROM u) GROUP BY ALL),
 n AS (SELECT k, i, sqrt(sum((tf * coalesce(idf, {m.unseen!r}::DOUBLE)) ** 2)) AS norm FROM w LEFT JOIN idf USING (term) GROUP BY ALL),
-c AS (SELECT k, i, p, name, round(sum(tf * idf * weight) / any_value(norm), 9) AS cos FROM w JOIN n USING (k, i) JOIN idf USING (term) JOIN tpl USING (term) GROUP BY ALL),
+c AS (SELECT k, i, p, name, round(sum(tf * idf * weight) / any_value(norm), 9) AS cos FROM w JOIN n USING (k, i) JOIN idf USING (term) JOIN tpl USING (term) GROUP BY k, i, p, name HAVING any_value(must) IS NULL OR bool_or(term = must)),
 own AS (SELECT k, cos, name FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY cos DESC, name) AS r FROM c WHERE cos >= {m.threshold}) WHERE r = 1),
 given AS (SELECT dir AS above, cos, name FROM (SELECT dir, cos, name, row_number() OVER (PARTITION BY dir ORDER BY cos DESC, name) AS r FROM f JOIN own USING (k) WHERE is_file) WHERE r = 1),
 inh AS (SELECT k, g.cos, g.name FROM (SELECT f.k, g.cos, g.name, row_number() OVER (PARTITION BY f.k ORDER BY length(above) DESC) AS r FROM f JOIN given g ON f.dir = above OR starts_with(f.dir, above || '/')) g WHERE r = 1)

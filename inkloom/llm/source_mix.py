@@ -61,17 +61,25 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
 
 
 def plan(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, ties: tuple[str, ...] = ("doc_id", "size")) -> DataFrame:
-    """(source, size, place, the columns ties) to these with source_size, target and ``copies``; place: a hash of 60 bits that shuffles, ties: what orders rows of one place. slim is read several times."""
+    """(source, size, place, the columns ties) to these with source_size, target and ``copies``; place: a hash of 60 bits that shuffles, ties: what orders rows of one place. slim is read several times.
+
+    With a column ``times`` a row stands for so many equal ones, which come out one by one.
+    """
+    times = F.col("times") if "times" in slim.columns else F.lit(1).cast("long")
+    slim = slim.withColumn("times", times)
+    many = not slim.where("times > 1").isEmpty()
     bits = max(BUCKET_BITS, math.ceil(math.log2((slim.count() + 1) / BUCKET_ROWS)))
     slim = slim.withColumn("bucket", F.shiftright("place", 60 - bits))
-    sums = slim.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
+    sums = slim.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("times")).alias("words"))
     goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, epochs)
     so_far = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     base = sums.withColumn("base", F.coalesce(F.sum("words").over(so_far), F.lit(0))).select(F.col("source").alias("s"), F.col("bucket").alias("b"), "base")
     goal = goal.withColumnRenamed("source", "g")
     offsets = base.join(goal, F.col("s").eqNullSafe(F.col("g"))).drop("g")
     within = Window.partitionBy("source", "bucket").orderBy("place", *ties).rowsBetween(Window.unboundedPreceding, 0)
-    queued = slim.withColumn("run", F.sum("size").over(within)).join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
+    queued = slim.withColumn("run", F.sum(F.col("size") * F.col("times")).over(within)).join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
+    if many:
+        queued = _each(queued)
     done = queued.withColumn("done", F.when(F.col("target") > 0, (F.col("base") + F.col("run")) / F.col("target")))
     lap = F.col("source_size") / F.col("target")
     held = [c for c in dict.fromkeys([*ties, "source", "size"])]
@@ -93,9 +101,22 @@ def plan(slim: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = S
     return done.crossJoin(F.broadcast(stop)).select("place", *held, "source_size", "target", F.when((F.col("target") > 0) & (F.col("size") > 0), copies).otherwise(0).alias("copies"))
 
 
+#: Equal rows that a task unfolds at a time.
+UNFOLD = 1 << 14
+
+
+def _each(queued: DataFrame) -> DataFrame:
+    """Each row as many times as it stands for, its running sum less by the size of those behind it. Many equal rows are dealt out before they are unfolded."""
+    begun = queued.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(UNFOLD).cast("long"))).alias("__from"))
+    dealt = begun.repartition("source", "place", "size", "__from")
+    each = dealt.select("*", F.explode(F.sequence("__from", F.least(F.col("__from") + UNFOLD, F.col("times")) - 1)).alias("__behind"))
+    return each.withColumn("run", F.col("run") - F.col("size") * F.col("__behind")).drop("__from", "__behind")
+
+
 def slim_of(docs: DataFrame) -> DataFrame:
-    """What the queue needs of each document, read from the texts once."""
-    return cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long").alias("place")), "sizes")
+    """What the queue needs of each document, read from the texts once; documents alike in it (such as those without an id) are one row with their number."""
+    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long").alias("place"))
+    return cut(rows.groupBy("doc_id", "source", "size", "place").agg(F.count("*").alias("times")), "sizes")
 
 
 def _identified(docs: DataFrame) -> DataFrame:

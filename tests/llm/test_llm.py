@@ -192,19 +192,19 @@ def test_chat_is_whole_for_every_participant(spark):
     parts = defaultdict(dict)
     for r in chat_format.rotate(df, part_chars=900).collect():
         parts[r.conv_id, r.perspective][r.part] = r
-        assert len(r.rendered) < 2000 and all(r.rendered[s.start : s.end].endswith("<|end|>\n") for s in r.spans)
+        assert len(r.rendered) < 2000 and all(r.rendered[s.start - r.start : s.end - r.start].endswith("<|end|>\n") for s in r.spans)
     assert parts.keys() == whole.keys()
     for key, rows_ in parts.items():
         assert sorted(rows_) == list(range(len(rows_)))
         assert "".join(rows_[k].rendered for k in sorted(rows_)) == whole[key].rendered
-        own = [rows_[k].rendered[s.start : s.end] for k in sorted(rows_) for s in rows_[k].spans]
-        assert own == [whole[key].rendered[s.start : s.end] for s in whole[key].spans]
+        assert [rows_[k].start for k in sorted(rows_)] == [sum(len(rows_[j].rendered) for j in range(k)) for k in sorted(rows_)]
+        assert [s for k in sorted(rows_) for s in rows_[k].spans] == whole[key].spans
 
 
 def test_chat_parts_match_sql(spark, duck):
     got = chat_format.rotate(spark.read.parquet(f"{SF}/conversations.parquet"), part_chars=200)
-    got = got.select("conv_id", "part", "perspective", "n_turns", F.size("spans").alias("n_targets"), F.md5("rendered").alias("rendered_md5"))
-    want = duck.sql(f"SELECT conv_id, part, perspective, n_turns, n_targets, rendered_md5 FROM ({chat_format.op3_sql(200)})")
+    got = got.select("conv_id", "part", "perspective", "start", "n_turns", F.size("spans").alias("n_targets"), F.md5("rendered").alias("rendered_md5"))
+    want = duck.sql(f"SELECT conv_id, part, perspective, start, n_turns, n_targets, rendered_md5 FROM ({chat_format.op3_sql(200)})")
     assert rows(got.toPandas()) == rows(want.df())
 
 
@@ -237,6 +237,19 @@ def test_mix_counts_rows_not_ids(spark, ids):
         assert out.groupBy("n_chars").count().agg(F.max("count")).first()[0] == 2
 
 
+@pytest.mark.parametrize("ids", ["half null", "one row"])
+def test_mix_query_deals_equal_rows_out(spark, ids, monkeypatch):
+    """Rows without an id, and rows alike in all, are one row until the mix unfolds them; what is taken is as much as ever."""
+    monkeypatch.setattr(source_mix, "UNFOLD", 100)
+    name = "if(id % 2 = 0, NULL, id)" if ids == "half null" else "7"
+    text = "repeat('w ', 1 + cast(id % 5 AS INT))" if ids == "half null" else "'w w w'"
+    docs = spark.range(3000).selectExpr(f"CAST({name} AS LONG) AS doc_id", f"{text} AS text", "'en' AS lang", "concat('s', id % 2) AS source", "0L AS n_chars")
+    slim = source_mix.slim_of(docs)
+    assert slim.count() <= (1500 + 5 if ids == "half null" else 2)
+    got = source_mix.plan(slim).groupBy("source").agg(F.count("*").alias("rows"), F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("target").alias("target"), F.max("copies").alias("most")).collect()
+    assert len(got) == 2 and all(r.rows == 1500 and abs(r.taken - r.target) <= 10 and r.most <= 2 for r in got)
+
+
 def test_pipeline_stages_keep_odd_rows(spark):
     """Null and repeated ids, repeated rows, null and empty texts, clashing columns, empty tables."""
     say = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
@@ -319,6 +332,43 @@ def test_licences_in_real_layouts(spark):
     assert got == {f[0]: f[2] for f in files}
 
 
+GNU_NOTICE = "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU {} General Public License as published by\nthe Free Software Foundation, either version {} of the License, or\n(at your option) any later version.\n"
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("released under the mit license " * 40, "MIT"),
+        ("SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"),
+        ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"),
+        ("SPDX-License-Identifier: BSD-4-Clause", None),
+        ("SPDX-License-Identifier: GPL-1.0", None),
+        ("SPDX-License-Identifier: LGPL-2.1", "LGPL-2.1"),
+        ("Licensed under CC BY 4.0.", "CC-BY-4.0"),
+        ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+        ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+        ("Licensed under CC BY-NC-SA 3.0.", "CC-BY-NC-SA-3.0"),
+        ("Licensed under CC BY 2.5.", None),
+        (GNU_NOTICE.format("Affero", 3), "AGPL-3.0"),
+        (GNU_NOTICE.format("Lesser", 2.1), "LGPL-2.1"),
+        (GNU_NOTICE.format("", 3), "GPL-3.0"),
+        ("GNU Library GPL version 2", "LGPL-2.0"),
+        ("GNU LESSER GENERAL PUBLIC LICENSE\n    Version 2.1, February 1999", "LGPL-2.1"),
+        ("GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007", "AGPL-3.0"),
+        ("This is not released under the MIT license.", None),
+        ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ],
+)
+def test_confusable_licences(scanned, text, want):
+    assert scanned[text] == want
+
+
+@pytest.fixture(scope="module")
+def scanned(spark):
+    texts = [m.args[1][k][0] for m in test_confusable_licences.pytestmark for k in range(len(m.args[1]))]
+    return {texts[int(r.path)]: r.licence for r in license_scan.scan(spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "path string, text string")).collect()}
+
+
 def test_licence_anchors_lose_nothing():
     """What is left of a template without its anchors can't reach the threshold."""
     model = license_scan.Model()
