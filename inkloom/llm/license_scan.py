@@ -95,6 +95,8 @@ GROUPS = 61
 DENIED = r"\bnot\s+(?:(?:be|been)\s+)?(?:(?:released|licen[cs]ed|distributed|available|covered|published)\s+)?under\b"
 #: What parts blocks from each other, and the sentences of a block; both engines read these alike.
 BLOCK, SENTENCE = r"\n[ \t\r\n]*\n", r"[.;!?][ \t\r\n]+"
+#: "v. 2.0" is no end of a sentence.
+SHORT = r"\bv\. *([0-9])"
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|unlicense)[^/]*$"
 
 
@@ -193,7 +195,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", model: Model
     """Add ``licence`` (null: none), ``via`` (notice, directory, none) and ``score`` to the path and the columns ``keep``."""
     model = model or Model()
     keep = [c for c in keep or [] if c not in ("path", "licence", "via", "score")]
-    low = files.select(*keep, F.col(path).alias("path"), F.lower(F.col(text)).alias("__low"))
+    low = files.select(*keep, F.col(path).alias("path"), F.regexp_replace(F.lower(F.col(text)), SHORT, "v $1").alias("__low"))
     named = F.coalesce(F.col("path").rlike(LICENCE_FILE), F.lit(False))
     own = low.select(*keep, "path", notices(F.col("__low"), named, model).alias("own"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("dir"))
     own = cut(own, "notices")  # without the texts; it is read three times
@@ -228,7 +230,7 @@ def op5_sql() -> str:
     idf = ", ".join(f"('{t}', {v!r}::DOUBLE)" for t, v in m.idf.items())
     return rf"""
 WITH tpl(p, name, must, term, weight) AS (VALUES {rows}), idf(term, idf) AS (VALUES {idf}),
-f AS (SELECT row_number() OVER () AS k, doc_id, lower(text) AS text, doc_id % 10 = 0 AS is_file,
+f AS (SELECT row_number() OVER () AS k, doc_id, regexp_replace(lower(text), '{SHORT}', 'v \1', 'g') AS text, doc_id % 10 = 0 AS is_file,
        source || '/' || doc_id // 1000 || CASE WHEN doc_id % 1000 = 0 THEN '' ELSE '/' || doc_id // 100 || CASE WHEN doc_id % 100 = 0 THEN '' ELSE '/' || doc_id // 10 END END AS dir FROM documents),
 b AS (SELECT k, unnest(string_split_regex(text, '{BLOCK}')) AS unit FROM f),
 u AS (SELECT k, unit, row_number() OVER () AS i FROM (SELECT k, unit FROM (SELECT k, unnest(string_split(text, chr(10))) AS unit FROM f UNION ALL SELECT k, unit FROM b
