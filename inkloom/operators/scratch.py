@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, tag: str) -> str:
-    """A new folder where the session says, else in the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/inkloom-shared"
+    """A new folder where the session says, else in the warehouse; on a cluster a warehouse on local disks is refused, since executors don't share it."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/inkloom-shared"
+        if not spark.sparkContext.master.startswith("local") and (base.startswith("file:") or base.startswith("/")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 

@@ -8,8 +8,10 @@ from inkloom.functions import collections
 from inkloom.functions import text as X
 from inkloom.functions import urls as U
 from inkloom.operators import markup, matching, order
+from inkloom.operators.scratch import shared_folder
 from inkloom.plans.catalog import query, table
 from inkloom.sources import files
+from inkloom.streaming import ingest
 
 _NAME = r"[A-Za-z_][\w.:-]*"
 
@@ -52,6 +54,13 @@ def doc_exact_equivalence(spark, sf_dir):
     return matching.reuse(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+@query("stream_reuse", f"SELECT key AS doc_id, min(key) OVER (PARTITION BY canon) AS survivor, CASE WHEN key = min(key) OVER (PARTITION BY canon) THEN 'NEW' ELSE 'REUSED' END AS status FROM ({sql_canonical(_DOCS, "doc_id", "text")})")
+def stream_reuse(spark, sf_dir):
+    """The same as a stream of files with state: where the table is one file, and so one batch, what it finds is what the batch query finds."""
+    out = shared_folder(spark, "stream")
+    return ingest.reused(spark, ingest.as_glob(f"{sf_dir}/documents.parquet"), "doc_id", "text", f"{out}/out", f"{out}/state")
+
+
 @query("doc_strict_equivalence", f"SELECT key AS doc_id, min(key) OVER (PARTITION BY canon) AS survivor FROM ({sql_canonical(_DOCS, "doc_id", "text", True)})")
 def doc_strict_equivalence(spark, sf_dir):
     return matching.reuse(table(spark, sf_dir, "documents"), "doc_id", "text", strict=True).select("doc_id", "survivor")

@@ -5,9 +5,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +54,88 @@ def unpack(archives: DataFrame) -> DataFrame:
     return archives.mapInArrow(unzip, "source_id string, path string, content binary, crc32 long, error string")
 
 
+# Archives of any size: entries are listed from the central directories, then read by range, many tasks to an archive.
+
+_ENTRY = "source_id string, path string, offset long, packed long, size long, crc32 long, method int, error string"
+#: Entries of so many bytes of an archive are read by one task.
+STRETCH = 128 << 20
+#: More than this doesn't fit into one value.
+LARGEST = (1 << 31) - 64
+
+
+def _open(path: str):
+    """A file that tasks can open by themselves: local ones, and what pyarrow has a file system for."""
+    if path.startswith("/") or path.startswith("file:"):
+        return open(re.sub("^file:/*", "/", path), "rb")
+    fs, name = pa.fs.FileSystem.from_uri(path)
+    return fs.open_input_file(name)
+
+
+def entries(archives: DataFrame) -> DataFrame:
+    """archives(source_id: a path) to their entries (source_id, path, offset, packed, size, crc32, method, error); nothing but the directories is read.
+
+    An archive that can't be read gives one row with its error, an entry that can't be (encrypted, of an unknown method, too large) one with its own.
+    """
+    names = [c.split()[0] for c in _ENTRY.split(", ")]
+
+    def listed(place: str) -> Iterator[tuple]:
+        with _open(place) as file:
+            for e in zipfile.ZipFile(file).infolist():
+                if not e.is_dir():
+                    wrong = "encrypted" if e.flag_bits & 1 else f"method {e.compress_type}" if e.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED) else "too large" if max(e.file_size, e.compress_size) > LARGEST else None
+                    yield place, e.filename, e.header_offset, e.compress_size, e.file_size, e.CRC, e.compress_type, wrong
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+        for batch in batches:
+            for place in batch.column(0).to_pylist():
+                try:
+                    rows = [*listed(place)]
+                except (zipfile.BadZipFile, OSError, ValueError, NotImplementedError) as e:
+                    rows = [(place, None, None, None, None, None, None, str(e))]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    return archives.select("source_id").mapInArrow(run, _ENTRY)
+
+
+def read_entries(listed: DataFrame) -> DataFrame:
+    """(source_id, path, content, crc32, error) of entries; those of one stretch of an archive are read together, in order."""
+
+    def content(file, offset: int, packed: int, method: int) -> bytes:
+        file.seek(offset)
+        head = file.read(30)
+        file.seek(offset + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little"))
+        data = file.read(packed)
+        return data if method == zipfile.ZIP_STORED else zlib.decompress(data, -zlib.MAX_WBITS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, file = None, None
+        for batch in batches:
+            for place, path, offset, packed, size, crc, method, error in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+                data = None
+                if error is None:
+                    try:
+                        if place != now:
+                            now, file = place, _open(place)
+                        data = content(file, offset, packed, method)
+                        if len(data) != size or zlib.crc32(data) != crc:
+                            data, error = None, "damaged"
+                    except (OSError, zlib.error) as e:
+                        error = str(e)
+                row = [(place, pa.string()), (path, pa.string()), (data, pa.binary()), (crc, pa.int64()), (error, pa.string())]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in row], names=["source_id", "path", "content", "crc32", "error"])
+
+    dealt = listed.repartition("source_id", F.floor(F.col("offset") / STRETCH)).sortWithinPartitions("source_id", "offset")
+    return dealt.select(*(c.split()[0] for c in _ENTRY.split(", "))).mapInArrow(run, "source_id string, path string, content binary, crc32 long, error string")
+
+
+def read_large_archives(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`read_archives`, for archives of any size and number of entries, in stores that tasks can open."""
+    places = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source_id"))
+    return read_entries(entries(places.repartition(spark.sparkContext.defaultParallelism, "source_id")))
+
+
 def strip_root(path: Column) -> Column:
     return F.regexp_replace(path, "^[^/]+/", "")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 ENVELOPE = "struct<size:int,items:array<struct<item:struct<id:bigint,xml:string,xmlFormat:string,locale:struct<id:int>>>>>"
@@ -48,6 +48,40 @@ def sparse_update(store: DataFrame, changes: DataFrame, columns: list[str], orde
     return joined.select(*(F.when(F.col("__hit"), F.col(f"__{x}")).otherwise(F.col(x)).alias(x) if x in columns else F.col(x) for x in store.columns))
 
 
+# A store that is kept: a folder for each batch, the whole table after it.
+
+
+def batches(spark: SparkSession, path: str) -> list[int]:
+    """The batches that were written to the end, in order."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [(f.getPath(), f.getPath().getName()) for f in fs.listStatus(root)]
+    done = [(p, n) for p, n in names if n.startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(n.removeprefix("batch=")) for _, n in done)
+
+
+def load(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """The table after its last batch, or after the last one before a number; empty if there is none."""
+    done = [n for n in batches(spark, path) if before is None or n < before]
+    return spark.read.schema(schema).parquet(f"{path}/batch={done[-1]}") if done else spark.createDataFrame([], schema)
+
+
+def save(rows: DataFrame, path: str, schema: str, batch: int, key: str = "store_id") -> None:
+    """Put rows over the table by key; of rows with one key the greatest counts.
+
+    Batches come in the order of their numbers. One that is run again starts from the table before it and replaces its own folder,
+    so it changes nothing; one that broke off left no mark of success and isn't read. Old folders stay until they are cleared.
+    """
+    spark = rows.sparkSession
+    names = [f.name for f in spark.createDataFrame([], schema).schema.fields]
+    rest = [n for n in names if n != key]
+    last = rows.groupBy(key).agg(F.max(F.struct(*rest)).alias("__x")).select(key, *(F.col(f"__x.{n}").alias(n) for n in rest))
+    old = load(spark, path, schema, before=batch)
+    old.join(last.select(key), key, "left_anti").select(*names).unionByName(last.select(*names)).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+
 SETTINGS = "struct<locales:struct<items:array<struct<item:struct<id:int,value:string,translationValue:string,buildValue:string>>>>,defaultLocale:struct<id:int,value:string>,entities:map<string,string>>"
 FORMATS = {"4.5": "DOCBOOK_45", "5.0": "DOCBOOK_50"}
 

@@ -252,24 +252,6 @@ def test_rules_of_any_number(spark):
     assert {r.element for r in rules.classify(paras, many.unionByName(all_), ["font", "bold"]).collect()} == {"any"}
 
 
-def test_retries():
-    calls = []
-
-    def fails(n):
-        calls.append(n)
-        if len(calls) < n:
-            raise OSError("again")
-        return len(calls)
-
-    assert store.retrying(fails, 6) == 6
-    calls.clear()
-    try:
-        store.retrying(fails, 7)
-        raise AssertionError
-    except OSError:
-        assert len(calls) == 6
-
-
 def test_builders_refuse_other_names(spark):
     import pytest
 
