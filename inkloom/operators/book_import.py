@@ -47,13 +47,15 @@ def shred(books: DataFrame) -> DataFrame:
 def candidates(topics: DataFrame, links: DataFrame, stored: DataFrame) -> DataFrame:
     """(doc_id, src, store_id, xml): stored topics that are equal to a topic, its known links taken for injections.
 
-    A topic without links asks nothing of an id, so the least one stands for all.
+    A topic that neither links nor is linked to asks nothing of an id, so the least one stands for all.
     """
+    aims = graph.resolve_targets(links, topics.select("doc_id", F.col("node_id").alias("seq"), F.col("ids").alias("xml_ids")), topics.limit(0).select("doc_id", F.col("node_id").alias("seq"), F.col("ids").alias("xml_ids")))
+    tied = aims.where("dst IS NOT NULL").select("doc_id", F.col("dst").alias("node_id")).unionByName(links.select("doc_id", F.col("src").alias("node_id"))).distinct().withColumn("tied", F.lit(True))
     known = links.groupBy("doc_id", F.col("src").alias("node_id")).agg(F.collect_set("linkend").alias("known"))
-    keyed = topics.join(known, ["doc_id", "node_id"], "left").select("doc_id", "node_id", F.col("known").isNotNull().alias("linked"), F.unhex(X.canonical_key(X.fold_xrefs(F.col("xml"), F.col("known")))).alias("canon"))
+    keyed = topics.join(known, ["doc_id", "node_id"], "left").join(tied, ["doc_id", "node_id"], "left").select("doc_id", "node_id", F.coalesce("tied", F.lit(False)).alias("tied"), F.unhex(X.canonical_key(X.fold_xrefs(F.col("xml"), F.col("known")))).alias("canon"))
     there = held(stored.select("store_id", "xml", F.unhex(X.canonical_key(F.col("xml"))).alias("canon")), "stored")
     least = there.groupBy("canon").agg(F.min(F.struct("store_id", "xml")).alias("x")).select("canon", "x.store_id", "x.xml")
-    found = keyed.where("linked").join(there, "canon").unionByName(keyed.where("NOT linked").join(least, "canon"))
+    found = keyed.where("tied").join(there, "canon").unionByName(keyed.where("NOT tied").join(least, "canon"))
     return found.select("doc_id", F.col("node_id").alias("src"), "store_id", "xml")
 
 
@@ -79,7 +81,7 @@ def import_books(books: DataFrame, stored: DataFrame, title: str = "title") -> t
     topics, boxes = every.where("kind = 'topic'"), every.where("kind = 'container'")
     # A topic's own id counts; so does a container's.
     named = lambda df: df.withColumn("ids", F.array_distinct(F.array_compact(F.concat(F.col("ids"), F.array("xml_id")))))
-    topics, boxes = named(topics), named(boxes)
+    topics, boxes = named(topics.withColumn("xml", X.rename_root(F.col("xml"), F.lit("section")))), named(boxes)
     ids = graph.known_ids(every.select("doc_id", F.col("node_id").alias("seq"), "kind", F.col("ids").alias("xml_ids")))
     links = held(graph.edges_known(graph.edges_of(topics.select("doc_id", F.col("node_id").alias("src"), "xml")), ids), "links")
     found = held(candidates(topics, links, stored), "found")

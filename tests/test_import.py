@@ -41,7 +41,7 @@ def test_odd_office_numbers(spark):
 @pytest.mark.parametrize(
     "pointer, want",
     [
-        ("xpointer(//x[position()=1])", "<x>1</x>"),
+        ("xpointer(//x[position()=1])", "<x>1</x><x>3</x>"),
         ("element(/1/2)", "<x>2</x>"),
         ("element(b/1)", "<x>3</x>"),
         ("element(/1/9)", ""),
@@ -56,7 +56,7 @@ def test_odd_office_numbers(spark):
 def test_pointers(spark, pointer, want):
     files_ = [("s", "a.xml", f'<r xmlns:xi="http://www.w3.org/2001/XInclude"><xi:include href="b.xml" xpointer="{pointer}"/></r>'), ("s", "b.xml", '<q><x>1</x><x>2</x><y id="b"><x>3</x></y></q>')]
     df = spark.createDataFrame(files_, "source string, path string, text string")
-    (got,) = splice.expand(df, df.where("path = 'a.xml'").select("source", "path")).collect()
+    (got,) = splice.expand(df, spark.createDataFrame([("s", "a.xml")], "source string, path string")).collect()
     assert got.text == f'<r xmlns:xi="http://www.w3.org/2001/XInclude">{want or ""}</r>'
     assert (got.error is None) == (want is not None)
 
@@ -124,7 +124,7 @@ def test_archives_by_range(spark, tmp_path, monkeypatch):
     raw = bytearray((tmp_path / "a.zip").read_bytes())
     raw[40] ^= 255  # in the first entry's data or name
     (tmp_path / "b.zip").write_bytes(raw[:2000])
-    (tmp_path / "c.zip").write_bytes(b"")
+    (tmp_path / "c.zip").write_bytes(b"no archive")
     found = files.read_large_archives(spark, str(tmp_path)).cache()
     good = {r.path: bytes(r.content) for r in found.where("source_id LIKE '%a.zip' AND error IS NULL").collect()}
     with zipfile.ZipFile(tmp_path / "a.zip") as z:
