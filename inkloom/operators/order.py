@@ -56,3 +56,19 @@ def windows_of(df: DataFrame, by: list[str], order: str, value: str, size: int)
     """df with ``cons``: the values of the last ``size`` rows of the group up to and with each."""
     w = Window.partitionBy(*by).orderBy(order).rowsBetween(1 - size, 0)
     return df.withColumn("cons", F.collect_list(value).over(w))
+
+
+def draw(seed: int, *keys: Column | str) -> Column:
+    """A row's place in the lot: the digest of a seed and its keys, the same in every run and on any cluster."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *(F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("")) for k in keys)))
+
+
+def sampled(df: DataFrame, by: list[str], key: str, k: int, seed: int = 0) -> DataFrame:
+    """k rows of each group (all of smaller ones), drawn by the least digests of seed and key. Each task keeps k of its own first, so a large group isn't gathered."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(draw(seed, key), key))
+    return df.withColumn("__k", place).where(F.col("__k") <= k).drop("__k")
+
+
+def shuffled(df: DataFrame, key: str, seed: int = 0, name: str = "place") -> DataFrame:
+    """df with each row's place, from 1, in a shuffle of all rows; ranges of digests are ordered apart."""
+    return numbered(df.withColumn("__lot", draw(seed, key)), "__lot", key, name=name).drop("__lot")

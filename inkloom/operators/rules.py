@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkloom.operators.scratch import drop_held, held
+
 FIELDS = ["font", "size", "bold", "italics", "underline", "strikethrough"]
 
 
@@ -47,3 +49,21 @@ def merge_runs(paras: DataFrame) -> DataFrame:
     change = F.when(F.col("merge") & F.lag("merge").over(w) & (F.lag("element").over(w) == F.col("element")), 0).otherwise(1)
     runs = paras.withColumn("change", change).withColumn("run", F.sum("change").over(w))
     return runs.groupBy("doc_id", "run").agg(F.first("element").alias("element"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "\n").alias("text"))
+
+
+def inherited(styles: DataFrame, by: str, properties: list[str]) -> DataFrame:
+    """styles(by, name, parent, properties) with each property's first value along the style's parents, its own before theirs.
+
+    Pointers are doubled: each round joins a style with the one its pointer has come to, so chains of any length take the
+    logarithm of it in rounds. A parent that there isn't ends a chain; a circle has given all it has once it is passed. Of styles
+    of one name the last by parent counts.
+    """
+    one = styles.groupBy(by, "name").agg(F.max(F.struct("parent", *properties)).alias("x")).select(by, "name", "x.*")
+    at = held(one.withColumn("__up", F.col("parent")), "styles")
+    most, passed = one.groupBy(by).count().agg(F.max("count")).first()[0] or 0, 1
+    while passed <= most and not at.where("__up IS NOT NULL").isEmpty():
+        over = at.select(by, F.col("name").alias("__up"), F.col("__up").alias("__next"), *(F.col(p).alias(f"__{p}") for p in properties))
+        new = held(at.join(over, [by, "__up"], "left").select(by, "name", "parent", *(F.coalesce(p, f"__{p}").alias(p) for p in properties), F.col("__next").alias("__up")), "styles")
+        drop_held(at)
+        at, passed = new, passed * 2
+    return at.drop("__up")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from inkloom.functions import text as X
-from inkloom.operators import graph, outline, rules
+from inkloom.operators import graph, order, outline, rules
 from inkloom.plans.catalog import query, table
 from inkloom.streaming import ingest
 
@@ -154,3 +154,24 @@ def giant_resolution(spark, sf_dir):
     ))).alias("r"))
     made = hub.select("r.*").distinct().unionByName(loops.select("r.*"))
     return graph.resolve(made)
+
+
+@query("sampled_events", "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY md5('7:' || event_id), event_id) AS k FROM events) WHERE k <= 3")
+def sampled_events(spark, sf_dir):
+    return order.sampled(table(spark, sf_dir, "events"), ["user_id"], "event_id", 3, seed=7).select("user_id", "event_id")
+
+
+@query("shuffled_orders", "SELECT o_orderkey, row_number() OVER (ORDER BY md5('1:' || o_orderkey), o_orderkey) AS place FROM orders")
+def shuffled_orders(spark, sf_dir):
+    return order.shuffled(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", seed=1)
+
+
+@query("inherited_styles", """WITH RECURSIVE s AS (SELECT p_partkey AS name, CASE WHEN p_partkey = 1 THEN 3 WHEN p_partkey % 50 = 0 THEN -1 ELSE p_partkey // 2 END AS parent, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS font, CASE WHEN p_partkey % 7 = 0 THEN p_size END AS size FROM part),
+    r AS (SELECT name AS style, 0 AS depth, parent, font, size FROM s UNION ALL SELECT r.style, depth + 1, s.parent, s.font, s.size FROM r JOIN s ON s.name = r.parent WHERE depth < 25)
+    SELECT style AS name, arg_min(font, depth) FILTER (font IS NOT NULL) AS font, arg_min(size, depth) FILTER (size IS NOT NULL) AS size FROM r GROUP BY style""")
+def inherited_styles(spark, sf_dir):
+    """Parts as styles, each with half its number as parent; two are each other's, some have none."""
+    k = F.col("p_partkey")
+    parent = F.when(k == 1, 3).when(k % 50 == 0, -1).otherwise(F.floor(k / 2))
+    styles = table(spark, sf_dir, "part").select(F.lit(1).alias("doc"), k.alias("name"), parent.cast("long").alias("parent"), F.when(k % 3 == 0, F.col("p_type")).alias("font"), F.when(k % 7 == 0, F.col("p_size")).alias("size"))
+    return rules.inherited(styles, "doc", ["font", "size"]).select("name", "font", "size")
