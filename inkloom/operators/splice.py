@@ -115,13 +115,14 @@ def _select(root, pointer: str) -> str | None:
     return None if parts is None else "".join(ElementTree.tostring(e, encoding="unicode") for e in parts).replace(_HIDDEN, "&")
 
 
-def expand_xml(files: dict[str, str | None], path: str, unread: list[str] | None = None) -> str:
+def expand_xml(files: dict[str, str | None], path: str, unread: list[str] | None = None, done: dict[str, tuple[str, bool]] | None = None) -> str:
     """A file with everything that it includes, at any depth.
 
     Missing files give way to an inclusion in their fallback, else vanish, as do inclusions without href; common content
-    stays as it is; parse="text" is escaped; xpointer selects, one that can't be read nothing (it goes to ``unread``); fileref of included files become paths of the source.
+    stays as it is; parse="text" is escaped; xpointer selects, one that can't be read nothing (it goes to ``unread``); fileref of included files become paths of the source. Each file is expanded once, however many include it; ``done`` keeps
+    that from one root of a source to the next.
     """
-    store = _Files(files)
+    store, done = _Files(files), {} if done is None else done
 
     def refs(text: str, at: str) -> str:
         base = _base(text)
@@ -148,18 +149,20 @@ def expand_xml(files: dict[str, str | None], path: str, unread: list[str] | None
             return (yield include(*first[:2], at, base, trail)) if first else ""
         if found in trail:
             raise Circular(" > ".join((*trail, found)))
-        text = files[found] or ""
-        trail[found] = None
-        text = yield walk(refs(text, found), found, _base(text), trail)
-        del trail[found]
-        tree = _tree(text)
+        if found not in done:
+            trail[found] = None
+            text = files[found] or ""
+            text = yield walk(refs(text, found), found, _base(text), trail)
+            del trail[found]
+            done[found] = text, _tree(text) is not None
+        text, whole = done[found]
         if attrs.get("parse") == "text":
-            return escape(text if tree is None else _PREAMBLE.sub("", text, count=1))
-        if tree is None:
+            return escape(_PREAMBLE.sub("", text, count=1) if whole else text)
+        if not whole:
             return ""
         if "xpointer" not in attrs:
             return _PREAMBLE.sub("", text, count=1).strip()
-        picked = _select(tree, attrs["xpointer"])
+        picked = _select(_tree(text), attrs["xpointer"])
         if picked is None and unread is not None:
             unread.append(attrs["xpointer"])
         return picked or ""
@@ -241,11 +244,11 @@ def expand(files: DataFrame, roots: DataFrame, kind: str = "xml") -> DataFrame:
 
     def run(key, mine: pd.DataFrame, starts: pd.DataFrame) -> pd.DataFrame:
         known = dict(zip(mine["path"], mine["text"], strict=True))
-        out = []
+        out, done = [], {}
         for p in starts["path"]:
             try:
                 unread: list[str] = []
-                text = expand_xml(known, p, unread) if kind == "xml" else expand_asciidoc(known, p)[0]
+                text = expand_xml(known, p, unread, done) if kind == "xml" else expand_asciidoc(known, p)[0]
                 out.append([key[0], p, text, "unread pointers: " + ", ".join(dict.fromkeys(unread)) if unread else None])
             except Circular as e:
                 out.append([key[0], p, None, str(e)])

@@ -61,6 +61,22 @@ def test_pointers(spark, pointer, want):
     assert (got.error is None) == (want is not None)
 
 
+def test_shared_files_are_expanded_once(monkeypatch):
+    """A part that 500 files include, each of them twice, is walked once; circles are found all the same."""
+    head = '<r xmlns:xi="http://www.w3.org/2001/XInclude">{}</r>'
+    inc = '<xi:include href="{}"/>'
+    made = {"part.xml": "<p>shared</p>", "book.xml": head.format("".join(inc.format(f"f{k}.xml") for k in range(500)))}
+    made |= {f"f{k}.xml": head.format(2 * inc.format("part.xml")) for k in range(500)}
+    seen, tree = [], splice._tree
+    monkeypatch.setattr(splice, "_tree", lambda text: seen.append(text) or tree(text))
+    done: dict = {}
+    text = splice.expand_xml(made, "book.xml", done=done)
+    assert text.count("shared") == 1000 and len(seen) == 501 and splice.expand_xml(made, "f3.xml", done=done).count("shared") == 2 and len(seen) == 501
+    made["part.xml"] = head.format(inc.format("f7.xml"))
+    with pytest.raises(splice.Circular):
+        splice.expand_xml(made, "book.xml")
+
+
 def test_broken_escapes(spark):
     df = spark.createDataFrame([("a%ZZ",), ("%",), ("a%20b+c",), (None,)], "t string")
     assert [r[0] for r in df.select(U.decode_component(F.col("t"))).collect()] == [None, None, "a b+c", None]
