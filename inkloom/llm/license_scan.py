@@ -133,7 +133,7 @@ class Model:
             for w in open_:
                 for t, v in w.items():
                     if t not in chosen:
-                        gain[t] += v * v * (1e-6 if t in COMMON else 1 if t.isalpha() else 1e-3)
+                        gain[t] += v * v * (1e-6 if t in COMMON else 1e-4 if t.isalpha() and len(t) < 3 else 1 if t.isalpha() else 1e-3)
             chosen.add(max(sorted(gain), key=gain.__getitem__))
         return sorted(chosen)
 
@@ -141,15 +141,21 @@ class Model:
         """Whether a lower-cased text holds an anchor; of 2.0 the 2 is looked for."""
         return F.arrays_overlap(F.split(lower, "[^a-z0-9]+"), F.array(*map(F.lit, sorted({a.partition(".")[0] for a in self.anchors}))))
 
-    def scores(self, words: Column) -> Column:
-        """(minus the score, name) of the best template for the terms of a unit; null where it can't reach the threshold."""
-        # Terms in small groups, as a map is searched one by one.
+    def _look(self):
+        """The hit of a term, null if no template holds it. Terms are in small groups, as a map is searched one by one."""
         groups = [{} for _ in range(GROUPS)]
         for t, idf in self.idf.items():
             groups[(ord(t[0]) * 7 + len(t)) % GROUPS][t] = {"idf": idf, "dots": [idf * w.get(t, 0.0) for w in self.weights]}
         known = F.from_json(F.lit(json.dumps(groups)), F.lit("array<map<string,struct<idf:double,dots:array<double>>>>"))  # folds to one literal
-        look = lambda t: F.get(known, (F.ascii(t) * 7 + F.length(t)) % GROUPS)[t]
-        terms = F.transform(F.sort_array(words), lambda t: F.struct(t.alias("term"), look(t).alias("hit")))
+        return lambda t: F.get(known, (F.ascii(t) * 7 + F.length(t)) % GROUPS)[t]
+
+    def terms(self, words: Column) -> Column:
+        """A unit's terms in order, each with its hit."""
+        look = self._look()
+        return F.transform(F.sort_array(words), lambda t: F.struct(t.alias("term"), look(t).alias("hit")))
+
+    def scores(self, words: Column, terms: Column) -> Column:
+        """(minus the score, name) of the best template for a unit's words and its terms; null where it can't reach the threshold."""
         # Sorted terms: a term's k-th occurrence adds k^2 - (k - 1)^2 to the square of its frequency. Those of templates are kept, with their numbers.
         start = F.struct(F.lit("").alias("term"), F.lit(0.0).alias("run"), F.lit(0.0).alias("square"), F.lit(0.0).alias("known"))
 
@@ -181,7 +187,10 @@ def units(lower: Column, whole: Column, model: Model) -> Column:
 
 def notices(lower: Column, whole: Column, model: Model) -> Column:
     """The best notice of a lower-cased text that reaches the threshold, as (minus, name), else null. Most texts end at the first test."""
-    found = F.transform(units(lower, whole, model), lambda u: model.scores(F.regexp_extract_all(u, F.lit(TERM), F.lit(0))))
+    # One transformation after the other, so that what a lambda names is there and isn't made anew at each use.
+    words = F.transform(units(lower, whole, model), lambda u: F.regexp_extract_all(u, F.lit(TERM), F.lit(0)))
+    both = F.transform(words, lambda w: F.struct(w.alias("words"), model.terms(w).alias("terms")))
+    found = F.transform(both, lambda u: model.scores(u["words"], u["terms"]))
     return F.when(model.has_anchor(lower), F.array_min(F.filter(found, lambda x: x["minus"] <= -model.threshold)))
 
 

@@ -693,6 +693,12 @@ def plain_gam(x, y, m):
     return x, [1 / (1 + math.exp(-v)) for v in z], pairs
 
 
+def test_quality_stage_on_an_empty_table(spark):
+    docs = empty_docs(spark)
+    out = corpus_pipeline.quality(spark, docs, SF)
+    assert out.columns == docs.columns and out.count() == 0
+
+
 def test_boosting_equals_plain_loops(monkeypatch):
     for name, value in {"ROUNDS": 6, "PAIR_ROUNDS": 4, "PAIRS": 2, "BINS": 8, "PAIR_BINS": 4}.items():
         monkeypatch.setattr(quality_gam, name, value)
