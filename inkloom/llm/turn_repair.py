@@ -4,7 +4,7 @@ A conversation is a path through (row, state) nodes, where states say what the r
 Arcs keep, rerole or delete a row, or insert one. Minimum costs backward from the end and forward from the start say for
 every arc whether it lies on a cheapest path (it is tight); a walk with the set of nodes that the letters so far can
 reach takes the least letter of all tight arcs at each step, so the letters are the least among all cheapest edits.
-Costs are kept relative to their least. Such vectors are few, so both passes are table lookups, and a row needs two bytes.
+Costs are kept relative to their least. Such vectors are few, so both passes are table lookups, and a row needs two bytes (seven with its code, letter and role).
 
 Texts are shuffled once. What the edits depend on (a row's role, its fault) is found on rows without their texts:
 equal rows are summed before they are shuffled, and repeats are found by a join on the digest of role and text, which
@@ -121,14 +121,14 @@ class Repair:
             cost += more
             back.append(vector)
         cost += self.vectors[vector][0]
-        nodes, forward, letters, roles = 1, self.first, [], bytearray()
+        nodes, forward, letters, roles = 1, self.first, bytearray(), bytearray()
         for i, code in enumerate(codes):
             said, new, nodes = self.move(forward, back[-1 - i], back[-2 - i], code, nodes)
-            letters.append(said)
+            letters += said.encode()
             roles += bytes(new)
             forward, _ = self.step(forward, code, False)
         said, new, nodes = self.move(forward, back[0], back[0], -1, nodes)
-        return cost, "".join([*letters, said]), bytes(roles) + bytes(new)
+        return cost, letters.decode() + said, bytes(roles) + bytes(new)
 
 
 #: Neighbours su, ua and au.
