@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from inkloom.operators.scratch import shared_folder
+
 #: Bytes of text that a vectorised kernel works on at a time; a longer text makes a slice of its own.
 SLICE_BYTES = 1 << 20
 
@@ -18,9 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: the one the session names, else a folder in the warehouse, which they share too."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/inkloom-shared"
-    return path.rstrip("/")
+    """The folder that the driver and all executors share: the one the session names, else one in the warehouse, if that isn't a local disk of a cluster's."""
+    return shared_folder(spark, "x").rpartition("/")[0]
 
 
 def cut(df: DataFrame, tag: str) -> DataFrame:
