@@ -215,7 +215,7 @@ def envelope_topics(spark, sf_dir):
 
 
 def _variants(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part").select("p_partkey").repartition("p_partkey")  # keys are few bytes a row, and comparing is much work
     k = F.col("p_partkey").cast("string")
     a = F.concat(F.lit('<section b="1" a="'), k, F.lit('"><title>It\'s "x"</title><para>one two</para><screen>a  b</screen><!-- Inject: 5 --></section>'))
     swaps = {
