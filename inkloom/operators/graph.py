@@ -231,26 +231,25 @@ def _prune(cand: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         cand, edges, gone = fewer, rest, new
 
 
-def _roots(cand: DataFrame, edges: DataFrame, count: int) -> DataFrame:
+def _roots(cand: DataFrame, edges: DataFrame) -> DataFrame:
     """Candidates from whose networks those of all others are parts: those that none requires, and one of each circle.
 
-    Every other points to the least that requires it. Pointers are doubled until they have passed all; what they point to then
-    are the starts and the circles, and each has gathered the least of its circle on the way.
+    Every other points to the least that requires it. Pointers are doubled; who points to one that none requires, or to one that
+    did, is followed no further, so that what stays are circles and what they require, each with the least of its circle.
     """
-    me = F.struct("t", "s")
-    over = edges.groupBy("component", F.col("dt").alias("t"), F.col("ds").alias("s")).agg(F.min(F.struct(F.col("t"), F.col("s"))).alias("p"))
-    at = held(cand.join(over, _CAND, "left").select(*_CAND, F.coalesce(F.col("p.t"), "t").alias("ut"), F.coalesce(F.col("p.s"), "s").alias("us"), F.coalesce(F.least(F.col("p"), me), me).alias("low")), "pointers")
+    over = held(edges.groupBy("component", F.col("dt").alias("t"), F.col("ds").alias("s")).agg(F.min(F.struct(F.col("t"), F.col("s"))).alias("p")), "required")
+    starts = cand.join(over, _CAND, "left_anti").select(*_CAND)
+    at = held(cand.join(over, _CAND).select(*_CAND, F.col("p.t").alias("ut"), F.col("p.s").alias("us"), F.least(F.col("p"), F.struct("t", "s")).alias("low")), "pointers")
     span = 1
-    while span <= count:
+    while span <= at.count():
         far = at.select("component", F.col("t").alias("ut"), F.col("s").alias("us"), F.col("ut").alias("vt"), F.col("us").alias("vs"), F.col("low").alias("far"))
         new = held(at.join(far, ["component", "ut", "us"]).select(*_CAND, F.col("vt").alias("ut"), F.col("vs").alias("us"), F.least("low", "far").alias("low")), "pointers")
         drop_held(at)
         at, span = new, span * 2
     ends = at.select("component", F.col("ut").alias("t"), F.col("us").alias("s")).distinct()
-    starts = cand.join(over.select(*_CAND), _CAND, "left_anti").select(*_CAND)
-    circles = at.join(ends, _CAND, "left_semi").join(starts, _CAND, "left_anti").select("component", F.col("low.t").alias("t"), F.col("low.s").alias("s"))
+    circles = at.join(ends, _CAND, "left_semi").select("component", F.col("low.t").alias("t"), F.col("low.s").alias("s"))
     found = held(starts.unionByName(circles).distinct(), "roots")
-    drop_held(at)
+    drop_held(at, over)
     return found
 
 
@@ -293,10 +292,9 @@ def _resolve_large(rows: DataFrame) -> DataFrame:
     while True:
         alive, edges = _prune(alive, edges)
         free = held(alive.join(topics.where("wanting"), ["component", "t"], "left_semi").join(fixed.select("component", "t"), ["component", "t"], "left_anti"), "free")
-        count = free.count()
-        if not count:
+        if free.isEmpty():
             break
-        roots = _roots(free, edges.join(free, _CAND, "left_semi").join(_as_target(free), ["component", "dt", "ds"], "left_semi"), count)
+        roots = _roots(free, edges.join(free, _CAND, "left_semi").join(_as_target(free), ["component", "dt", "ds"], "left_semi"))
         nets = _networks(roots, edges)
         torn = held(nets.groupBy("component", "rt", "rs", "t").agg((F.min("s") != F.max("s")).alias("torn")).where("torn").select("component", F.col("rt").alias("t"), F.col("rs").alias("s")).distinct(), "torn")
         if torn.isEmpty():

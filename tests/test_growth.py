@@ -20,3 +20,29 @@ def test_comparison_is_spread_over_tasks(spark):
     from inkloom.plans import import_queries
 
     assert "RepartitionByExpression" in plan(import_queries._variants(spark, "/root/testdata/sf0.001"))
+
+
+def watch(monkeypatch, module):
+    """(tag, columns, rows) of all that a module writes from now on."""
+    kept, seen = module.held, []
+
+    def held(df, tag="held"):
+        out = kept(df, tag)
+        seen.append((tag, out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(module, "held", held)
+    return seen
+
+
+def test_roots_follow_circles_only(spark, monkeypatch):
+    from inkloom.operators import graph
+
+    # 0 is required by all of 1 to 200; 300 to 304 are a circle that requires 400, 400 requires 401.
+    wants = [(k, 0) for k in range(1, 201)] + [(300 + k, 300 + (k + 1) % 5) for k in range(5)] + [(302, 400), (400, 401), (500, 600)]
+    nodes = sorted({x for w in wants for x in w})
+    cand = spark.createDataFrame([(1, t, t) for t in nodes], "component long, t long, s long")
+    edges = spark.createDataFrame([(1, a, a, b, b) for a, b in wants], "component long, t long, s long, dt long, ds long")
+    seen = watch(monkeypatch, graph)
+    assert sorted(r.t for r in graph._roots(cand, edges).collect()) == [*range(1, 201), 300, 500]
+    assert sum(n for tag, _, n in seen if tag == "pointers") < 60
