@@ -46,3 +46,14 @@ def test_roots_follow_circles_only(spark, monkeypatch):
     seen = watch(monkeypatch, graph)
     assert sorted(r.t for r in graph._roots(cand, edges).collect()) == [*range(1, 201), 300, 500]
     assert sum(n for tag, _, n in seen if tag == "pointers") < 60
+
+
+def test_sources_stream_through_their_task(spark):
+    from inkloom.operators import splice
+
+    files = spark.createDataFrame([(s, p, t) for s in ("a", "b", "c") for p, t in (("m.xml", '<m xmlns:xi="http://www.w3.org/2001/XInclude"><xi:include href="t.txt" parse="text"/></m>'), ("t.txt", s), ("n.xml", None))], "source string, path string, text string")
+    roots = spark.createDataFrame([("a", "m.xml"), ("b", "m.xml"), ("b", "n.xml"), ("b", "m.xml"), ("d", "m.xml")], "source string, path string")
+    got = splice.expand(files, roots)
+    assert "CoGroup" not in plan(got)
+    head = '<m xmlns:xi="http://www.w3.org/2001/XInclude">'
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "m.xml", f"{head}a</m>", None), ("b", "m.xml", f"{head}b</m>", None), ("b", "n.xml", "", None), ("d", "m.xml", "", None)]
