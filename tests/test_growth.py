@@ -57,3 +57,12 @@ def test_sources_stream_through_their_task(spark):
     assert "CoGroup" not in plan(got)
     head = '<m xmlns:xi="http://www.w3.org/2001/XInclude">'
     assert sorted(tuple(r) for r in got.collect()) == [("a", "m.xml", f"{head}a</m>", None), ("b", "m.xml", f"{head}b</m>", None), ("b", "n.xml", "", None), ("d", "m.xml", "", None)]
+
+
+def test_classes_move_digests_only(spark, monkeypatch):
+    from inkloom.operators import matching
+
+    seen = watch(monkeypatch, matching)
+    df = spark.createDataFrame([(3, "a b c d e f"), (2, "A b c d e  f"), (1, "a b"), (4, " "), (5, None)], "id long, t string")
+    assert sorted(tuple(r) for r in matching.set_classes(df, "id", "t").collect()) == [(1, 1), (2, 2), (3, 2)]
+    assert [c for _, c, _ in seen] == [["id", "k"]]
