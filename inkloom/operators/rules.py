@@ -54,16 +54,30 @@ def merge_runs(paras: DataFrame) -> DataFrame:
 def inherited(styles: DataFrame, by: str, properties: list[str]) -> DataFrame:
     """styles(by, name, parent, properties) with each property's first value along the style's parents, its own before theirs.
 
-    Pointers are doubled: each round joins a style with the one its pointer has come to, so chains of any length take the
-    logarithm of it in rounds. A parent that there isn't ends a chain; a circle has given all it has once it is passed. Of styles
-    of one name the last by parent counts.
+    Pointers are doubled: each round joins the styles that lack something yet with those their pointers have come to, so chains of
+    any length take the logarithm of it in rounds. A parent that there isn't ends a chain. Once no style has gained anything in a
+    round none will: what lies twice as far has been asked by what lies between, so circles need no bound. Of styles of one
+    name the last by parent counts.
     """
     one = styles.groupBy(by, "name").agg(F.max(F.struct("parent", *properties)).alias("x")).select(by, "name", "x.*")
+    lacks = F.lit(False)
+    for p in properties:
+        lacks = lacks | F.col(p).isNull()
+    open_ = F.col("__up").isNotNull() & lacks
     at = held(one.withColumn("__up", F.col("parent")), "styles")
-    most, passed = one.groupBy(by).count().agg(F.max("count")).first()[0] or 0, 1
-    while passed <= most and not at.where("__up IS NOT NULL").isEmpty():
-        over = at.select(by, F.col("name").alias("__up"), F.col("__up").alias("__next"), *(F.col(p).alias(f"__{p}") for p in properties))
-        new = held(at.join(over, [by, "__up"], "left").select(by, "name", "parent", *(F.coalesce(p, f"__{p}").alias(p) for p in properties), F.col("__next").alias("__up")), "styles")
-        drop_held(at)
-        at, passed = new, passed * 2
-    return at.drop("__up")
+    closed, parts = at.where(~open_), [at]
+    while True:
+        every = closed.unionByName(at.where(open_))
+        over = every.select(by, F.col("name").alias("__up"), F.col("__up").alias("__next"), *(F.col(p).alias(f"__{p}") for p in properties))
+        gained = F.lit(False)
+        for p in properties:
+            gained = gained | F.col(p).isNull() & F.col(f"__{p}").isNotNull()
+        far = at.where(open_).join(over.hint("merge"), [by, "__up"], "left")  # as large as the table: never sent to the driver
+        new = held(far.select(by, "name", "parent", *(F.coalesce(p, f"__{p}").alias(p) for p in properties), F.col("__next").alias("__up"), gained.alias("__gained")), "styles")
+        if new.where("__gained").isEmpty():
+            out = held(every.drop("__up"), "inherited")
+            drop_held(new, *parts)
+            return out
+        at = new.drop("__gained")
+        closed = closed.unionByName(at.where(~open_))
+        parts.append(new)

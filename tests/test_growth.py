@@ -66,3 +66,15 @@ def test_classes_move_digests_only(spark, monkeypatch):
     df = spark.createDataFrame([(3, "a b c d e f"), (2, "A b c d e  f"), (1, "a b"), (4, " "), (5, None)], "id long, t string")
     assert sorted(tuple(r) for r in matching.set_classes(df, "id", "t").collect()) == [(1, 1), (2, 2), (3, 2)]
     assert [c for _, c, _ in seen] == [["id", "k"]]
+
+
+def test_styles_that_lack_nothing_are_not_joined_again(spark, monkeypatch):
+    from inkloom.operators import rules
+
+    n = 512  # a line of parents whose end are two that are each other's parent; only every 100th has a size, none a colour
+    styles = spark.createDataFrame([(1, k, k - 1 if k else 1, "f" if k % 2 else None, k if k % 100 == 7 else None, None) for k in range(n)], "doc long, name long, parent long, font string, size long, colour string")
+    seen = watch(monkeypatch, rules)
+    got = {r.name: (r.font, r.size, r.colour) for r in rules.inherited(styles, "doc", ["font", "size", "colour"]).collect()}
+    size = lambda k: (k - 7) // 100 * 100 + 7 if k >= 7 else None
+    assert got == {k: ("f", size(k), None) for k in range(n)}
+    assert sum(tag == "styles" for tag, _, _ in seen) < 10
