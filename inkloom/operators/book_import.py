@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,34 +11,9 @@ from inkloom.operators.scratch import held
 from inkloom.sources import store as contents
 
 
-def topic_texts(df: DataFrame, key: str, xml: str) -> DataFrame:
-    """(key, node_id, xml, ids) of every box of well-formed books: its markup without boxes inside it and without its own id, and the ids in it."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for k, t in zip(frame["k"], frame["t"], strict=True):
-                rows = markup.shred_xml(t) or []
-                box: list[int | None] = []
-                parts: dict[int, list] = {}
-                for r in rows:  # parents come before their children
-                    own = r[0] if r[5] in markup.CONTAINERS else box[r[1]] if r[1] is not None else None
-                    box.append(own)
-                    if own is not None:
-                        parts.setdefault(own, []).append(r)
-                for n, some in parts.items():
-                    ids = [v for r in some if (v := (r[6] or {}).get("id"))]
-                    root = [*some[0][:6], {a: v for a, v in some[0][6].items() if a != "id"}, some[0][7]]
-                    out.append([k, n, markup.serialise([root, *some[1:]]), ids])
-            yield pd.DataFrame(out, columns=[key, "node_id", "xml", "ids"])
-
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("k"), F.col(xml).alias("t")).mapInPandas(run, f"{key} {kind}, node_id int, xml string, ids array<string>")
-
-
 def shred(books: DataFrame) -> DataFrame:
     """books(doc_id, xml) to the boxes of markup.shred_book with their xml and the ids inside them."""
-    return markup.shred_book(books, "doc_id", "xml").join(topic_texts(books, "doc_id", "xml"), ["doc_id", "node_id"])
+    return markup.shred_book(books, "doc_id", "xml", texts=True)
 
 
 def candidates(topics: DataFrame, links: DataFrame, stored: DataFrame) -> DataFrame:

@@ -78,3 +78,16 @@ def test_styles_that_lack_nothing_are_not_joined_again(spark, monkeypatch):
     size = lambda k: (k - 7) // 100 * 100 + 7 if k >= 7 else None
     assert got == {k: ("f", size(k), None) for k in range(n)}
     assert sum(tag == "styles" for tag, _, _ in seen) < 10
+
+
+def test_books_are_parsed_once(spark):
+    from inkloom.operators import book_import
+
+    xml = "<book><chapter id='c'><title>C</title><section id='s'><title/><para>x<emphasis id='e'/></para></section></chapter><appendix/></book>"
+    got = book_import.shred(spark.createDataFrame([(1, xml), (2, "<broken")], "doc_id long, xml string"))
+    assert plan(got).count("MapInPandas") == 1 and "Join" not in plan(got)
+    assert sorted(tuple(r) for r in got.collect()) == [
+        (1, 1, "container", "chapter", "C", 1, "c", 1, "<chapter><title>C</title></chapter>", ["c"]),
+        (1, 4, "topic", "section", "Untitled", 2, "s", None, "<section><title/><para>x<emphasis id=\"e\"/></para></section>", ["s", "e"]),
+        (1, 9, "container", "appendix", "Untitled", 1, None, None, "<appendix/>", []),
+    ]
