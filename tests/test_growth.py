@@ -91,3 +91,55 @@ def test_books_are_parsed_once(spark):
         (1, 4, "topic", "section", "Untitled", 2, "s", None, "<section><title/><para>x<emphasis id=\"e\"/></para></section>", ["s", "e"]),
         (1, 9, "container", "appendix", "Untitled", 1, None, None, "<appendix/>", []),
     ]
+
+
+def near_texts(n):
+    """Texts of which many are near copies or copies of others, all with some lines in common."""
+    import random
+
+    r = random.Random(7)
+    own = [[f"w{r.randrange(3000)}" for _ in range(r.randrange(3, 60))] for _ in range(n)]
+    common = [f"c{k}" for k in range(12)]
+    for k in range(1, n):
+        if k % 3 == 0:
+            own[k] = [w if r.random() > 0.02 else "x" for w in own[k - 1]]
+        elif k % 7 == 0:
+            own[k] = list(own[k // 2])
+    return [(k, " ".join(w + common)) for k, w in enumerate(own)] + [(n, None), (n + 1, " "), (n + 2, "two words"), (n + 3, "Two  words")]
+
+
+def near_pairs(docs, threshold):
+    """Pairs of different sets of five-word shingles, by comparing all, and the least id of each set."""
+    sets, rep = {}, {}
+    for k, t in docs:
+        if w := (t or "").lower().split():
+            sets[k] = frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+            rep.setdefault(sets[k], k)
+    first = sorted(rep.values())
+    found = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in first for b in first if a < b}
+    return {p: round(j, 9) for p, j in found.items() if j >= threshold}, {k: rep[s] for k, s in sets.items()}
+
+
+def test_sets_are_written_once(spark, monkeypatch):
+    from inkloom.operators import matching
+
+    docs = near_texts(300)
+    df = spark.createDataFrame(docs, "id long, t string").repartition(5)
+    for by, threshold in ((matching.similar, 0.75), (matching.similar, 0.7), (matching.similar_by_hash, 0.6)):
+        with monkeypatch.context() as m:
+            seen = watch(m, matching)
+            pairs, classes = by(df, "id", "t", threshold=threshold)
+            want, reps = near_pairs(docs, threshold)
+            assert {(r.a, r.b): round(r.jaccard, 9) for r in pairs.collect()} == want and len(want) > 20
+            assert {r.id: r.rep for r in classes.collect()} == reps
+        assert sum("s" in columns for _, columns, _ in seen) == 1
+
+
+def test_keys_too_many_to_send_are_joined(spark, monkeypatch):
+    from inkloom.operators import matching
+
+    docs = near_texts(60)
+    df = spark.createDataFrame(docs, "id long, t string")
+    monkeypatch.setattr(matching, "MOST_KEYS", 0)
+    pairs, _ = matching.similar(df, "id", "t")
+    assert {(r.a, r.b) for r in pairs.collect()} == set(near_pairs(docs, 0.75)[0])
