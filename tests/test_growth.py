@@ -143,3 +143,20 @@ def test_keys_too_many_to_send_are_joined(spark, monkeypatch):
     monkeypatch.setattr(matching, "MOST_KEYS", 0)
     pairs, _ = matching.similar(df, "id", "t")
     assert {(r.a, r.b) for r in pairs.collect()} == set(near_pairs(docs, 0.75)[0])
+
+
+def test_texts_leave_a_batch_one_at_a_time(spark):
+    from inkloom.operators import markup
+
+    long = "<h1>A</h1><p>" + "x " * (markup.TEXT // 3) + "</p>"
+    df = spark.createDataFrame([("a", long), ("b", None), ("c", "<h2 id='i'>B<br></h2>y<!--z-->"), ("d", long), ("e", ""), ("f", "<h1>C</h1>")], "id string, t string").withColumn("u", F.lit("http://h/")).coalesce(1)
+    nodes, found = markup.nodes(df, "id", "t"), markup.sections(df, "id", "t", "u")
+    for made in (nodes, found):
+        assert "MapInArrow" in plan(made) and "MapInPandas" not in plan(made)
+    assert sorted((r.id, r.node_id, r.parent_id, r.post, r.ord, r.depth, r.name, r.attrs, r.text) for r in nodes.where("id IN ('c', 'f')").collect()) == [
+        ("c", 0, None, 2, 1, 0, "h2", {"id": "i"}, None), ("c", 1, 0, 0, 1, 1, "#text", None, "B"), ("c", 2, 0, 1, 2, 1, "br", {}, None), ("c", 3, None, 3, 2, 0, "#text", None, "y"), ("c", 4, None, 4, 3, 0, "#comment", None, "z"),
+        ("f", 0, None, 1, 1, 0, "h1", {}, None), ("f", 1, 0, 0, 1, 1, "#text", None, "C"),
+    ]
+    assert {r.id: r.n for r in nodes.groupBy("id").agg(F.count("*").alias("n")).collect()} == {"a": 4, "c": 5, "d": 4, "f": 2}
+    assert sorted((r.id, r.place, r.level, r.title, r.body) for r in found.collect()) == sorted((r.id, *x) for r in df.collect() for x in markup.page_sections(r.t, r.u))
+    assert markup.nodes(df.where("id = 'b'"), "id", "t").count() == 0
