@@ -160,3 +160,25 @@ def test_texts_leave_a_batch_one_at_a_time(spark):
     assert {r.id: r.n for r in nodes.groupBy("id").agg(F.count("*").alias("n")).collect()} == {"a": 4, "c": 5, "d": 4, "f": 2}
     assert sorted((r.id, r.place, r.level, r.title, r.body) for r in found.collect()) == sorted((r.id, *x) for r in df.collect() for x in markup.page_sections(r.t, r.u))
     assert markup.nodes(df.where("id = 'b'"), "id", "t").count() == 0
+
+
+def test_closure_doubles_its_lengths(spark, monkeypatch):
+    import random
+
+    from inkloom.operators import graph
+
+    r = random.Random(3)
+    line = [(k, k + 1) for k in range(60)]
+    edges = [*line, *((100 + a, 100 + b) for a, b in ((r.randrange(25), r.randrange(25)) for _ in range(40))), (200, 200), (201, 202), (202, 201), (203, None)]
+    want, ahead = {}, {}
+    for a, b in set(edges):
+        ahead.setdefault(a, []).append(b)
+    for root in ahead:
+        at, depth = ahead[root], 1
+        while at := [p for p in set(at) if (root, p) not in want]:
+            want |= {(root, p): depth for p in at}
+            at, depth = [c for p in at for c in ahead.get(p, ())], depth + 1
+    seen = watch(monkeypatch, graph)
+    got = graph._closure(spark.createDataFrame(edges, "path long, child long").distinct())
+    assert {(x.root, x.path): x.depth for x in got.collect()} == want and got.count() == len(want)
+    assert len(seen) < 10
