@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from inkloom.functions import urls as U
 from inkloom.operators import axes, markup
 from inkloom.operators.axes import LAST, Step
-from inkloom.operators.scratch import held
 from inkloom.plans.catalog import query, table
 
 # Paths. Each customer is a book of orders; every third order holds another section.
@@ -44,14 +43,10 @@ def axis_steps(spark, sf_dir):
     sect = F.concat(F.lit('<sect id="'), k, F.lit('" st="'), "o_orderstatus", F.lit('"><p>'), "o_orderpriority", F.lit("</p>"), inner, F.lit("</sect>"))
     books = o.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", sect.alias("x")))).alias("s"))
     xml = books.select("doc_id", F.concat(F.lit("<book>"), F.array_join(F.transform("s", lambda x: x["x"]), ""), F.lit("</book>")).alias("xml"))
-    nodes = held(markup.nodes(xml, "doc_id", "xml", xml=True), "nodes")
-    found = [axes.union(*(axes.walk(nodes, "doc_id", steps) for steps in several), key="doc_id").select("doc_id", F.lit(name).alias("path"), "node_id", "post", "depth", F.col("attrs")["id"].alias("id")) for name, several in paths().items()]
-    every = found[0]
-    for more in found[1:]:
-        every = every.unionByName(more)
-    every = held(every, "found")
-    values = axes.string_values(nodes, "doc_id", every)
-    return every.join(values, ["doc_id", "node_id"]).select("doc_id", "path", "id", "value")
+    nodes = markup.nodes(xml, "doc_id", "xml", xml=True).withColumn("id", F.col("attrs")["id"])
+    found = axes.reached(nodes, "doc_id", paths())
+    values = axes.with_values(found, "doc_id", F.size("paths") > 0, "id", "paths")
+    return values.select("doc_id", F.explode("paths").alias("path"), "id", "value")
 
 
 # Grids. Each supplier is a page with a table of one of four shapes.

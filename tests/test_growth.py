@@ -182,3 +182,18 @@ def test_closure_doubles_its_lengths(spark, monkeypatch):
     got = graph._closure(spark.createDataFrame(edges, "path long, child long").distinct())
     assert {(x.root, x.path): x.depth for x in got.collect()} == want and got.count() == len(want)
     assert len(seen) < 10
+
+
+def test_paths_shuffle_a_node_table_once(spark):
+    from inkloom.operators import axes, markup
+    from inkloom.operators.axes import LAST, Step
+    from inkloom.plans import markup_queries
+
+    docs = [(1, "<b><s i='1'>x<s i='2'>y</s></s><s i='3'/>z</b>"), (2, "<b/>"), (3, None), (4, "<s i='4'><t/>w</s>")]
+    nodes = markup.nodes(spark.createDataFrame(docs, "doc long, xml string"), "doc", "xml", xml=True).withColumn("i", F.col("attrs")["i"])
+    paths = {"any": [[Step("descendant", "s")]], "end": [[Step("child"), Step("descendant", "s", place=LAST)], [Step("descendant", "t"), Step("parent")]], "none": [[Step("child", "u")]], "up": [[Step("descendant", "s", lacking=((Step("child", "t"),),)), Step("ancestor", "s", place=1)]]}
+    got = axes.with_values(axes.reached(nodes, "doc", paths), "doc", F.size("paths") > 0, "i", "paths")
+    assert sorted((r.doc, r.i, r.paths, r.value) for r in got.collect()) == [(1, "1", ["any", "up"], "xy"), (1, "2", ["any"], "y"), (1, "3", ["any", "end"], ""), (4, "4", ["any", "end"], "w")]
+    for df, shuffles in ((got, 1), (axes.walk(nodes, "doc", paths["up"][0]), 1), (markup_queries.axis_steps(spark, "/root/testdata/sf0.001"), 2)):
+        shown = df.select("*")._jdf.queryExecution().executedPlan().toString()
+        assert shown.count("Exchange ") == shuffles and "Join" not in shown
