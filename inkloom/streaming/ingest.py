@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -39,20 +38,30 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     return out.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
+#: Leading hexadecimal digits of a canonical hash that share one group of the stream, and so one call of Python a batch.
+DIGITS = 3
+
+
 def _first(kind: str) -> StatefulProcessor:
-    """Of each group the key that came first; state is one key a group. A local class, so that it travels whole to where the state is kept."""
+    """Of each canonical hash the key that came first; state is one key a hash. A local class, so that it travels whole to where the state is kept."""
 
     class First(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.first = handle.getValueState("first", f"first {kind}")
+            self.first = handle.getMapState("first", "canon string", f"first {kind}")
 
         def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  names of the interface
-            keys = pd.concat([f.iloc[:, -1] for f in rows]).sort_values(ignore_index=True)  # keys alone
-            seen = self.first.exists()
-            first = self.first.get()[0] if seen else keys.iloc[0].item() if hasattr(keys.iloc[0], "item") else keys.iloc[0]
-            if not seen:
-                self.first.update((first,))
-            yield pd.DataFrame({"key": keys, "survivor": first, "status": ["REUSED" if seen or k else "NEW" for k in range(len(keys))]})
+            taken = {}
+            for row in rows:
+                taken.setdefault(row["__canon"], []).append(row["__key"])
+            any_known = self.first.exists()
+            for canon, keys in taken.items():
+                keys.sort(key=lambda k: (k is None, k))
+                seen = self.first.getValue((canon,)) if any_known else None
+                if seen is None:
+                    self.first.updateValue((canon,), (keys[0],))
+                first = keys[0] if seen is None else seen[0]
+                for n, k in enumerate(keys):
+                    yield Row(key=k, survivor=first, status="NEW" if seen is None and n == 0 else "REUSED")
 
         def close(self) -> None:
             pass
@@ -64,12 +73,13 @@ def reuse(stream: DataFrame, key: str, text: str, strict: bool = False) -> DataF
     """(key, survivor, status) of a stream as it comes: the first of equal canonical texts is NEW, in a batch that with the least key; all others are REUSED.
 
     The first keys are kept as state by canonical hash, so a query that is started again on its checkpoint goes on where it
-    stopped. Texts are hashed before the shuffle. Needs the RocksDB state store (:func:`keep_state`).
+    stopped. Texts are hashed before the shuffle; hashes that begin alike are taken up together, and only those of a batch are
+    looked up. Needs the RocksDB state store (:func:`keep_state`).
     """
     kind = X.strict_key if strict else X.canonical_key
     hashed = stream.select(kind(F.coalesce(F.col(text), F.lit(""))).alias("__canon"), F.col(key).alias("__key"))
     of = stream.schema[key].dataType.simpleString()
-    out = hashed.groupBy("__canon").transformWithStateInPandas(_first(of), f"key {of}, survivor {of}, status string", "Append", "None")
+    out = hashed.withColumn("__begin", F.substring("__canon", 1, DIGITS)).groupBy("__begin").transformWithState(_first(of), f"key {of}, survivor {of}, status string", "Append", "None")
     return out.withColumnRenamed("key", key)
 
 

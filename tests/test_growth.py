@@ -197,3 +197,33 @@ def test_paths_shuffle_a_node_table_once(spark):
     for df, shuffles in ((got, 1), (axes.walk(nodes, "doc", paths["up"][0]), 1), (markup_queries.axis_steps(spark, "/root/testdata/sf0.001"), 2)):
         shown = df.select("*")._jdf.queryExecution().executedPlan().toString()
         assert shown.count("Exchange ") == shuffles and "Join" not in shown
+
+
+def test_hashes_that_begin_alike_are_one_call(spark, tmp_path):
+    from pyspark.sql import Row
+
+    from inkloom.operators import matching
+    from inkloom.streaming import ingest
+
+    class Kept(dict):
+        asked = 0
+        exists = lambda self: bool(self)
+        updateValue = dict.__setitem__  # noqa: N815
+
+        def getValue(self, key):  # noqa: N802
+            self.asked += 1
+            return self.get(key)
+
+    kept = Kept()
+    first = ingest._first("bigint")
+    first.init(type("Handle", (), {"getMapState": lambda self, *names: kept})())
+    take = lambda *rows: sorted((r.key is None, r.key, r.survivor, r.status) for r in first.handleInputRows(("a",), iter([Row(__canon=c, __key=k) for c, k in rows]), None))
+    assert take(("a1", 7), ("a2", 6), ("a1", 5), ("a2", None)) == [(False, 5, 5, "NEW"), (False, 6, 6, "NEW"), (False, 7, 5, "REUSED"), (True, None, 6, "REUSED")]
+    assert kept == {("a1",): (5,), ("a2",): (6,)} and kept.asked == 0
+    assert take(("a3", 1), ("a1", 2)) == [(False, 1, 1, "NEW"), (False, 2, 5, "REUSED")] and kept.asked == 2
+
+    big = 2**53 + 1
+    docs = spark.createDataFrame([(big, "x"), (None, "x"), (big + 2, "x"), *((k, f"t{k % 300}") for k in range(900))], "id long, t string")
+    docs.coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = ingest.reused(spark, str(tmp_path / "in"), "id", "t", str(tmp_path / "out"), str(tmp_path / "cp")).collect()
+    assert {(r.id, r.survivor, r.status) for r in got} == {(r.id, r.survivor, r.status) for r in matching.reuse(docs, "id", "t").collect()} and len(got) == 903
