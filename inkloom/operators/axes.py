@@ -60,7 +60,8 @@ class _Sheet:
             tests.setdefault((step.test, id(step.where)), test)
         names = {of: f"__test{k}" for k, of in enumerate(tests)}
         self.tests = {of: F.col(name) for of, name in names.items()}
-        self.df = table.withColumns({names[of]: F.coalesce(test, F.lit(False)) for of, test in tests.items()}).repartition(F.col(key))
+        tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # told, so that none are joined: sorted rows take far more than shuffled ones
+        self.df = table.withColumns({names[of]: F.coalesce(test, F.lit(False)) for of, test in tests.items()}).repartition(tasks, key)
         self.key, self.made = key, 0
 
     def add(self, value: Column) -> Column:

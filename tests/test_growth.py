@@ -196,7 +196,7 @@ def test_paths_shuffle_a_node_table_once(spark):
     assert sorted((r.doc, r.i, r.paths, r.value) for r in got.collect()) == [(1, "1", ["any", "up"], "xy"), (1, "2", ["any"], "y"), (1, "3", ["any", "end"], ""), (4, "4", ["any", "end"], "w")]
     for df, shuffles in ((got, 1), (axes.walk(nodes, "doc", paths["up"][0]), 1), (markup_queries.axis_steps(spark, "/root/testdata/sf0.001"), 2)):
         shown = df.select("*")._jdf.queryExecution().executedPlan().toString()
-        assert shown.count("Exchange ") == shuffles and "Join" not in shown
+        assert shown.count("Exchange ") == shuffles and "Join" not in shown and "REPARTITION_BY_NUM" in shown
 
 
 def test_hashes_that_begin_alike_are_one_call(spark, tmp_path):
