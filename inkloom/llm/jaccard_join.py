@@ -14,8 +14,9 @@ group, and only the group's name goes on, so the task that gets a hot signature
 most. Signatures shared by few nodes give all their pairs; one shared by many nodes or by groups gives a star around its
 least node and is kept aside. Candidates pass a bitmap of token parities (a lower bound of the difference) and are then verified on the
 tokens. Verified links join nodes into components; after that only pairs of different components are looked at: the
-candidates left over and, tile by tile, those of the signatures kept aside. So a group of near copies costs about a
-star, and no link is lost. Tokens are 64-bit hashes of five lower-cased words.
+candidates left over and, tile by tile, those of the signatures kept aside: of each the nodes that are not of its largest
+component with all others, the likeliest pair of two components first. So a group of near copies costs about a star, and no
+link is lost. Tokens are 64-bit hashes of five lower-cased words.
 
 Defined results: a text with fewer than five words is one shingle, one without words has none, size 0 and no links;
 null ids have no component; rows that share an id are one vertex; an empty table gives an empty result.
@@ -44,6 +45,7 @@ LOCAL = 8  # nodes of a signature in one slice of texts that are sent one by one
 ROWS_BYTES = 4 << 20
 SIGNED_BYTES = 4 << 20  # of text whose signatures are combined before the shuffle
 TILE = 1024
+PAIRS = 500_000  # of tiles that a task holds
 BLOCK_SIGNATURES = 4_000_000
 SEEDS = 3
 MAX_BROADCAST_IDS = 1_000_000
@@ -320,6 +322,14 @@ def _many_rows(many: list[tuple[int, np.ndarray]], upper: bool) -> Iterator[pa.R
             held, size = [], 0
 
 
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What _many_rows packed, a row for each name."""
+    for batch in batches:
+        for part in slices(batch, "many"):
+            names = np.frombuffer(b"".join(part.column("many").to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("a").to_numpy(), part.column("b").to_numpy())), pa.array(names)], names=["bucket", "name"])
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[int, list[bytes]] = {}
 
@@ -343,21 +353,22 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _many_rows(many, True)
 
 
-def _near(bits_a: list[bytes], bits_b: list[bytes], n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Which pairs the sizes and the parities of their tokens leave possible."""
-    ok = (np.minimum(n_a, n_b) * DEN >= np.maximum(n_a, n_b) * NUM)
+def _near(bits_a: list[bytes], bits_b: list[bytes], n_a: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs the sizes and the parities of their tokens leave possible, and in how many of these they differ."""
+    ok, gap = np.minimum(n_a, n_b) * DEN >= np.maximum(n_a, n_b) * NUM, np.zeros(len(n_a), np.int64)
     most = (n_a + n_b) * (DEN - NUM) // (DEN + NUM)
     for i in np.nonzero(ok)[0].tolist():
         a, b = np.frombuffer(bits_a[i], np.uint64), np.frombuffer(bits_b[i], np.uint64)
         w = min(len(a), len(b))
-        ok[i] = np.bitwise_count(fold(a, w) ^ fold(b, w)).sum() <= most[i]
-    return ok
+        gap[i] = np.bitwise_count(fold(a, w) ^ fold(b, w)).sum()
+        ok[i] = gap[i] <= most[i]
+    return ok, gap
 
 
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ok = _near(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
-        yield batch.select(["a", "b", "doc_a", "doc_b"]).filter(pa.array(ok))
+        ok, gap = _near(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())
+        yield batch.select(["a", "b", "doc_a", "doc_b"]).append_column("gap", pa.array(gap)).filter(pa.array(ok))
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,24 +390,52 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["doc_a", "doc_b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _tile_pairs(rows: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one tile with another (or with itself) that are of different components and possible."""
-    left, right = rows[rows.side != 1], rows[rows.side != 0]
-    words = max(1, min(map(len, rows.bits)) // 8)
-    fit = lambda part: np.stack([fold(np.frombuffer(x, np.uint64), words) for x in part.bits]) if len(part) else np.zeros((0, words), np.uint64)
-    x, y, out = fit(left), fit(right), [np.zeros((0, 4), np.int64)]
-    la, ra = (part[["node", "doc_id", "component", "n"]].to_numpy(np.int64) for part in (left, right))
-    for i in range(len(la)):
-        n = la[i, 3]
-        ok = (ra[:, 2] != la[i, 2]) & (ra[:, 0] != la[i, 0]) & (np.minimum(n, ra[:, 3]) * DEN >= np.maximum(n, ra[:, 3]) * NUM)
-        if left is right or rows.side.iloc[0] == 2:
-            ok[: i + 1] = False
-        at = np.nonzero(ok)[0]
-        if len(at):
-            gap = np.bitwise_count(y[at] ^ x[i]).sum(1, dtype=np.int64)
-            at = at[gap <= (n + ra[at, 3]) * (DEN - NUM) // (DEN + NUM)]
-            out.append(np.stack([np.full(len(at), la[i, 0]), ra[at, 0], np.full(len(at), la[i, 1]), ra[at, 1]], 1))
-    return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b", "doc_a", "doc_b"])
+def _tile_pairs(rows: pa.Table) -> np.ndarray:
+    """(a, b, doc_a, doc_b, component_a, component_b, gap) of a tile's rows aside with its other rows, where components differ and the pair is possible."""
+    at, left = rows.select(["node", "doc_id", "component", "n"]).to_pandas().to_numpy(np.int64), rows.column("left").to_numpy()
+    bits, free = rows.column("bits").to_pylist(), ~rows.column("aside").to_numpy()[~left]
+    words = min(map(len, bits)) // 8
+    bits = np.stack([fold(np.frombuffer(x, np.uint64), words) for x in bits])
+    x, y, la, ra, out = bits[left], bits[~left], at[left], at[~left], [np.zeros((0, 7), np.int64)]
+    for i, (node, doc, component, n) in enumerate(la.tolist()):
+        # Two that are both aside meet in two tiles.
+        k = np.nonzero((ra[:, 2] != component) & (free | (ra[:, 0] > node)) & (np.minimum(n, ra[:, 3]) * DEN >= np.maximum(n, ra[:, 3]) * NUM))[0]
+        gap = np.bitwise_count(y[k] ^ x[i]).sum(1, dtype=np.int64)
+        ok = gap <= (n + ra[k, 3]) * (DEN - NUM) // (DEN + NUM)
+        k, gap = k[ok], gap[ok]
+        if len(k):
+            own = np.broadcast_to(la[i, :3], (len(k), 3))
+            first, second = np.where((ra[k, 0] > node)[:, None], own, ra[k, :3]), np.where((ra[k, 0] > node)[:, None], ra[k, :3], own)
+            out.append(np.concatenate([np.stack([first, second], 2).reshape(len(k), 6), gap[:, None]], 1))
+    return np.concatenate(out)
+
+
+_PAIR = ["a", "b", "doc_a", "doc_b", "component_a", "component_b", "gap"]
+
+
+def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_tile_pairs of each tile of rows that come sorted by bucket, i and j; pairs met several times between two batches count once."""
+    now, rows, out, size = None, [], [], 0
+
+    def shown() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(list(map(pa.array, np.unique(np.concatenate(out), axis=0).T)), names=_PAIR)
+
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "i", "j")], 1)
+        cuts = [0, *(np.nonzero((key[1:] != key[:-1]).any(1))[0] + 1).tolist(), len(key)]
+        for lo, hi in zip(cuts[: len(cuts) - 1 if len(key) else 0], cuts[1:], strict=False):
+            if rows and tuple(key[lo].tolist()) != now:
+                out.append(_tile_pairs(pa.Table.from_batches(rows)))
+                rows, size = [], size + len(out[-1])
+                if size > PAIRS:
+                    yield shown()
+                    out, size = [], 0
+            now = tuple(key[lo].tolist())
+            rows.append(batch.slice(lo, hi - lo))
+    if rows:
+        out.append(_tile_pairs(pa.Table.from_batches(rows)))
+    if out:
+        yield shown()
 
 
 def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -410,6 +449,13 @@ def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
+def _apart(pairs: DataFrame, part: DataFrame) -> DataFrame:
+    """pairs(a, b, doc_a, doc_b, gap) of different components, with these."""
+    of = lambda x: part.select(F.col("id").alias(f"doc_{x}"), F.col("component").alias(f"own_{x}"))
+    both = pairs.join(of("a"), "doc_a", "left").join(of("b"), "doc_b", "left").withColumns({f"component_{x}": F.coalesce(f"own_{x}", f"doc_{x}") for x in "ab"})
+    return both.where("component_a <> component_b").select(*_PAIR)
+
+
 def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id), one row for each row of docs. doc_id must be a whole number."""
     spark = docs.sparkSession
@@ -422,40 +468,45 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = cut(packed.repartition(blocks, "block").mapInArrow(_candidates, "a long, b long, many binary, upper boolean"), "found")
     pairs = found.where("many is null").select("a", "b").distinct()
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    possible = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_possible, "a long, b long, doc_a long, doc_b long"), "possible")
+    possible = cut(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_possible, "a long, b long, doc_a long, doc_b long, gap long"), "possible")
     # First one edge for each node, to the least node that it may be linked with.
     least = possible.groupBy("b").agg(F.min_by(F.struct("a", "doc_a", "doc_b"), "a").alias("x")).select("x.a", "b", "x.doc_a", "x.doc_b")
     first = cut(least, "least")
     links = _verify(docs, first)
     part = components(links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
     # Then whatever else might join different components.
-    of = lambda x: part.select(F.col("id").alias(f"doc_{x}"), F.col("component").alias(f"component_{x}"))
-    apart = F.coalesce("component_a", "doc_a") != F.coalesce("component_b", "doc_b")
-    rest = possible.join(of("a"), "doc_a", "left").join(of("b"), "doc_b", "left").where(apart).select("a", "b", "doc_a", "doc_b")
-    named = nodes.join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("node", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
-    place = F.explode(F.transform(F.sequence(F.lit(0), F.col("b").cast("int") - 1), lambda k: F.reverse(F.substring("many", 8 * k + 1, F.lit(8)))))
-    listed = lambda upper: found.where(f"upper = {upper}").dropDuplicates(["a"]).select(F.col("a").alias("bucket"), place.alias("raw")).select("bucket", F.conv(F.hex("raw"), 16, -10).cast("long").alias("name"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rest = _apart(possible, part)
+    named = nodes.select("node", "doc_id").join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("component"))
+    listed = lambda upper: found.where(f"upper = {upper}").dropDuplicates(["a"]).select("a", "b", "many").mapInArrow(_listed, "bucket long, name long")
     groups = cut(listed("false").withColumnRenamed("name", "node").join(named, "node").select("bucket", "node", "component"), "groups")
     # Only signatures with more than one component are laid out node by node; a group counts by its least and greatest component.
     span = groups.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    entries = listed("true").join(span.withColumnRenamed("bucket", "name"), "name", "left").join(named.select(F.col("node").alias("name"), "component"), "name", "left")
+    entries = listed("true").join(span.withColumnRenamed("bucket", "name"), "name", "left").join(named.withColumnRenamed("node", "name"), "name", "left")
     entries = cut(entries.select("bucket", "name", F.coalesce("low", "component").alias("low"), F.coalesce("high", "component").alias("high"), F.col("low").isNotNull().alias("is_group")), "entries")
-    mixed = span.where("low <> high").select("bucket").union(entries.groupBy("bucket").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("bucket")).distinct()
-    apart_entries = entries.join(mixed, "bucket", "left_semi")
-    laid_out = apart_entries.where("is_group").select(F.col("bucket").alias("of"), F.col("name").alias("bucket")).join(groups, "bucket").select(F.col("of").alias("bucket"), "node")
-    members = cut(groups.join(mixed, "bucket", "left_semi").select("bucket", "node").union(laid_out).union(apart_entries.where("not is_group").select("bucket", F.col("name").alias("node"))).distinct(), "members")
-    sized = members.join(members.groupBy("bucket").agg(F.count("*").alias("size")), "bucket")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    placed = sized.join(named, "node").join(nodes.select("node", "bits"), "node").withColumn("tile", F.pmod(F.xxhash64("node"), tiles).cast("int"))
-    spread = placed.select("*", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-    spread = spread.select("bucket", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), F.when(F.col("tile") == F.col("other"), 2).when(F.col("tile") < F.col("other"), 0).otherwise(1).alias("side"), "node", "doc_id", "component", "n", "bits")
+    # A group that a signature names is laid out there.
+    alone = span.where("low <> high").select("bucket").join(entries.where("is_group").select(F.col("name").alias("bucket")), "bucket", "left_anti")
+    mixed = entries.join(entries.groupBy("bucket").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("bucket"), "bucket", "left_semi")
+    laid_out = mixed.where("is_group").select(F.col("bucket").alias("of"), F.col("name").alias("bucket")).join(groups, "bucket").select(F.col("of").alias("bucket"), "node", "component")
+    members = cut(groups.join(alone, "bucket", "left_semi").unionByName(laid_out).unionByName(mixed.where("not is_group").select("bucket", F.col("name").alias("node"), F.col("low").alias("component"))).distinct(), "members")
+    # Of a signature the nodes aside, which are not of its largest component, are compared with all others.
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("component", "k").alias("main"), F.sum("k").alias("all"), F.max("k").alias("of_main"))
+    placed = members.join(sizes, "bucket").join(nodes, "node").withColumns({"aside": F.col("component") != F.col("main"), "rows": F.ceil((F.col("all") - F.col("of_main")) / TILE).cast("int"), "columns": F.ceil(F.col("all") / TILE).cast("int")})
+    own = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+    along = lambda of, cell: F.transform(F.sequence(F.lit(0), F.col(of) - 1), lambda k: F.struct(*(x.alias(c) for c, x in zip(("i", "j", "left"), cell(k), strict=True))))
+    cells = F.concat(along("rows", lambda k: (k, own("columns"), F.lit(False))), F.when(F.col("aside"), along("columns", lambda k: (own("rows"), k, F.lit(True)))).otherwise(F.array().cast("array<struct<i:int,j:int,left:boolean>>")))
+    spread = placed.select("bucket", F.explode(cells).alias("cell"), "node", "doc_id", "component", "n", "aside", "bits").select("bucket", "cell.*", "node", "doc_id", "component", "n", "aside", "bits")
     # By number, as bytes say little about a tile's work.
-    dealt = spread.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket", "i", "j")
-    tiled = dealt.groupBy("bucket", "i", "j").applyInPandas(_tile_pairs, "a long, b long, doc_a long, doc_b long")
-    rest = cut(rest.unionByName(tiled).distinct(), "rest")
-    if rest.limit(1).count():
-        links = links.unionByName(_verify(docs, rest))
-        part = components(links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
+    dealt = spread.repartition(4 * parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    rest = cut(rest.unionByName(dealt.mapInArrow(_tiled, ", ".join(f"{c} long" for c in _PAIR))).dropDuplicates(["a", "b"]), "rest")
+    # The likeliest pair of two components first, then all pairs of those that are still apart.
+    likeliest = rest.groupBy(F.least("component_a", "component_b"), F.greatest("component_a", "component_b")).agg(F.min_by(F.struct("a", "b", "doc_a", "doc_b"), F.struct("gap", "a", "b")).alias("x")).select("x.*")
+    for pairs in (lambda: likeliest, lambda: _apart(rest, part)):
+        more = cut(pairs().select("a", "b", "doc_a", "doc_b"), "more")
+        if more.limit(1).count():
+            links = links.unionByName(_verify(docs, more))
+            part = components(links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
+        drop_cut(more)
     drop_cut(found, possible, first, groups, entries, members, rest)  # nothing below reads them
     named = nodes.select("node", "doc_id").join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("component"))
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")

@@ -580,6 +580,25 @@ def test_jaccard_shared_signatures(spark, parts, broadcast, monkeypatch):
     assert 20 < len({r.component_id for r in got}) < len(docs)
 
 
+def test_jaccard_links_beside_the_least(spark, monkeypatch):
+    """Near copies that are linked with a few of a large group only, neither with its least ones nor with each other."""
+    monkeypatch.setattr(jaccard_join, "TILE", 16)
+    random.seed(5)
+
+    def near(k, edits):
+        own = [f"w{i}" for i in range(400)]
+        for at in random.sample(range(400), edits):
+            own[at] = f"d{k}_{at}"
+        return " ".join(own)
+
+    far, close = [near(k, 8) for k in range(100)], [near(k, 3) for k in range(100, 400)]
+    name = lambda t: jaccard_join.node_of(jaccard_join.shingle_sets(pa.array([t]))[0])
+    docs = list(enumerate(far + sorted(close, key=name)[-5:]))
+    got = jaccard_join.join_components(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute_components(docs)
+    assert len({r.component_id for r in got}) == 1
+
+
 def test_signatures_meet():
     """Any two sets within the bound share a signature, whatever differs."""
     rng = np.random.default_rng(4)
