@@ -390,8 +390,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["doc_a", "doc_b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _tile_pairs(rows: pa.Table) -> np.ndarray:
-    """(a, b, doc_a, doc_b, component_a, component_b, gap) of a tile's rows aside with its other rows, where components differ and the pair is possible."""
+def _tile_pairs(rows: pa.Table, every: bool) -> np.ndarray:
+    """(a, b, doc_a, doc_b, component_a, component_b, gap) of a tile's rows aside with its other rows, where components differ and the pair is possible.
+
+    Unless every, of a row aside only the likeliest pair with each component.
+    """
     at, left = rows.select(["node", "doc_id", "component", "n"]).to_pandas().to_numpy(np.int64), rows.column("left").to_numpy()
     bits, free = rows.column("bits").to_pylist(), ~rows.column("aside").to_numpy()[~left]
     words = min(map(len, bits)) // 8
@@ -403,6 +406,10 @@ def _tile_pairs(rows: pa.Table) -> np.ndarray:
         gap = np.bitwise_count(y[k] ^ x[i]).sum(1, dtype=np.int64)
         ok = gap <= (n + ra[k, 3]) * (DEN - NUM) // (DEN + NUM)
         k, gap = k[ok], gap[ok]
+        if not every and len(k) > 1:
+            order = np.lexsort((ra[k, 0], gap, ra[k, 2]))
+            order = order[np.unique(ra[k[order], 2], return_index=True)[1]]
+            k, gap = k[order], gap[order]
         if len(k):
             own = np.broadcast_to(la[i, :3], (len(k), 3))
             first, second = np.where((ra[k, 0] > node)[:, None], own, ra[k, :3]), np.where((ra[k, 0] > node)[:, None], ra[k, :3], own)
@@ -413,29 +420,32 @@ def _tile_pairs(rows: pa.Table) -> np.ndarray:
 _PAIR = ["a", "b", "doc_a", "doc_b", "component_a", "component_b", "gap"]
 
 
-def _tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _tiled(every: bool):
     """_tile_pairs of each tile of rows that come sorted by bucket, i and j; pairs met several times between two batches count once."""
-    now, rows, out, size = None, [], [], 0
 
-    def shown() -> pa.RecordBatch:
+    def shown(out: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(list(map(pa.array, np.unique(np.concatenate(out), axis=0).T)), names=_PAIR)
 
-    for batch in batches:
-        key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "i", "j")], 1)
-        cuts = [0, *(np.nonzero((key[1:] != key[:-1]).any(1))[0] + 1).tolist(), len(key)]
-        for lo, hi in zip(cuts[: len(cuts) - 1 if len(key) else 0], cuts[1:], strict=False):
-            if rows and tuple(key[lo].tolist()) != now:
-                out.append(_tile_pairs(pa.Table.from_batches(rows)))
-                rows, size = [], size + len(out[-1])
-                if size > PAIRS:
-                    yield shown()
-                    out, size = [], 0
-            now = tuple(key[lo].tolist())
-            rows.append(batch.slice(lo, hi - lo))
-    if rows:
-        out.append(_tile_pairs(pa.Table.from_batches(rows)))
-    if out:
-        yield shown()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, out, size = None, [], [], 0
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("bucket", "i", "j")], 1)
+            cuts = [0, *(np.nonzero((key[1:] != key[:-1]).any(1))[0] + 1).tolist(), len(key)]
+            for lo, hi in zip(cuts[: len(cuts) - 1 if len(key) else 0], cuts[1:], strict=False):
+                if rows and tuple(key[lo].tolist()) != now:
+                    out.append(_tile_pairs(pa.Table.from_batches(rows), every))
+                    rows, size = [], size + len(out[-1])
+                    if size > PAIRS:
+                        yield shown(out)
+                        out, size = [], 0
+                now = tuple(key[lo].tolist())
+                rows.append(batch.slice(lo, hi - lo))
+        if rows:
+            out.append(_tile_pairs(pa.Table.from_batches(rows), every))
+        if out:
+            yield shown(out)
+
+    return run
 
 
 def _verify(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -476,38 +486,41 @@ def join_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     part = components(links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
     # Then whatever else might join different components.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rest = _apart(possible, part)
-    named = nodes.select("node", "doc_id").join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("component"))
     listed = lambda upper: found.where(f"upper = {upper}").dropDuplicates(["a"]).select("a", "b", "many").mapInArrow(_listed, "bucket long, name long")
-    groups = cut(listed("false").withColumnRenamed("name", "node").join(named, "node").select("bucket", "node", "component"), "groups")
-    # Only signatures with more than one component are laid out node by node; a group counts by its least and greatest component.
-    span = groups.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-    entries = listed("true").join(span.withColumnRenamed("bucket", "name"), "name", "left").join(named.withColumnRenamed("node", "name"), "name", "left")
-    entries = cut(entries.select("bucket", "name", F.coalesce("low", "component").alias("low"), F.coalesce("high", "component").alias("high"), F.col("low").isNotNull().alias("is_group")), "entries")
-    # A group that a signature names is laid out there.
-    alone = span.where("low <> high").select("bucket").join(entries.where("is_group").select(F.col("name").alias("bucket")), "bucket", "left_anti")
-    mixed = entries.join(entries.groupBy("bucket").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("bucket"), "bucket", "left_semi")
-    laid_out = mixed.where("is_group").select(F.col("bucket").alias("of"), F.col("name").alias("bucket")).join(groups, "bucket").select(F.col("of").alias("bucket"), "node", "component")
-    members = cut(groups.join(alone, "bucket", "left_semi").unionByName(laid_out).unionByName(mixed.where("not is_group").select("bucket", F.col("name").alias("node"), F.col("low").alias("component"))).distinct(), "members")
-    # Of a signature the nodes aside, which are not of its largest component, are compared with all others.
-    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("component", "k").alias("main"), F.sum("k").alias("all"), F.max("k").alias("of_main"))
-    placed = members.join(sizes, "bucket").join(nodes, "node").withColumns({"aside": F.col("component") != F.col("main"), "rows": F.ceil((F.col("all") - F.col("of_main")) / TILE).cast("int"), "columns": F.ceil(F.col("all") / TILE).cast("int")})
-    own = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
-    along = lambda of, cell: F.transform(F.sequence(F.lit(0), F.col(of) - 1), lambda k: F.struct(*(x.alias(c) for c, x in zip(("i", "j", "left"), cell(k), strict=True))))
-    cells = F.concat(along("rows", lambda k: (k, own("columns"), F.lit(False))), F.when(F.col("aside"), along("columns", lambda k: (own("rows"), k, F.lit(True)))).otherwise(F.array().cast("array<struct<i:int,j:int,left:boolean>>")))
-    spread = placed.select("bucket", F.explode(cells).alias("cell"), "node", "doc_id", "component", "n", "aside", "bits").select("bucket", "cell.*", "node", "doc_id", "component", "n", "aside", "bits")
-    # By number, as bytes say little about a tile's work.
-    dealt = spread.repartition(4 * parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    rest = cut(rest.unionByName(dealt.mapInArrow(_tiled, ", ".join(f"{c} long" for c in _PAIR))).dropDuplicates(["a", "b"]), "rest")
-    # The likeliest pair of two components first, then all pairs of those that are still apart.
-    likeliest = rest.groupBy(F.least("component_a", "component_b"), F.greatest("component_a", "component_b")).agg(F.min_by(F.struct("a", "b", "doc_a", "doc_b"), F.struct("gap", "a", "b")).alias("x")).select("x.*")
-    for pairs in (lambda: likeliest, lambda: _apart(rest, part)):
-        more = cut(pairs().select("a", "b", "doc_a", "doc_b"), "more")
+    # The likeliest pairs of two components first, then all of those between components that had some and are still apart.
+    for likely in (True, False):
+        own = nodes.select("node", "doc_id").join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("component"))
+        named = own if likely else own.join(open_, "component", "left_semi")
+        groups = cut(listed("false").withColumnRenamed("name", "node").join(named, "node").select("bucket", "node", "component"), "groups")
+        # Only signatures with more than one component are laid out node by node; a group counts by its least and greatest component.
+        span = groups.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+        entries = listed("true").join(span.withColumnRenamed("bucket", "name"), "name", "left").join(named.withColumnRenamed("node", "name"), "name", "left")
+        entries = cut(entries.select("bucket", "name", F.coalesce("low", "component").alias("low"), F.coalesce("high", "component").alias("high"), F.col("low").isNotNull().alias("is_group")).where("low IS NOT NULL"), "entries")
+        # A group that a signature names is laid out there.
+        alone = span.where("low <> high").select("bucket").join(entries.where("is_group").select(F.col("name").alias("bucket")), "bucket", "left_anti")
+        mixed = entries.join(entries.groupBy("bucket").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least <> most").select("bucket"), "bucket", "left_semi")
+        laid_out = mixed.where("is_group").select(F.col("bucket").alias("of"), F.col("name").alias("bucket")).join(groups, "bucket").select(F.col("of").alias("bucket"), "node", "component")
+        members = cut(groups.join(alone, "bucket", "left_semi").unionByName(laid_out).unionByName(mixed.where("not is_group").select("bucket", F.col("name").alias("node"), F.col("low").alias("component"))).distinct(), "members")
+        # Of a signature the nodes aside, which are not of its largest component, are compared with all others.
+        sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max_by("component", "k").alias("main"), F.sum("k").alias("all"), F.max("k").alias("of_main"))
+        placed = members.join(sizes, "bucket").join(nodes, "node").withColumns({"aside": F.col("component") != F.col("main"), "rows": F.ceil((F.col("all") - F.col("of_main")) / TILE).cast("int"), "columns": F.ceil(F.col("all") / TILE).cast("int")})
+        place = lambda of: F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+        along = lambda of, cell: F.transform(F.sequence(F.lit(0), F.col(of) - 1), lambda k: F.struct(*(x.alias(c) for c, x in zip(("i", "j", "left"), cell(k), strict=True))))
+        cells = F.concat(along("rows", lambda k: (k, place("columns"), F.lit(False))), F.when(F.col("aside"), along("columns", lambda k: (place("rows"), k, F.lit(True)))).otherwise(F.array().cast("array<struct<i:int,j:int,left:boolean>>")))
+        spread = placed.select("bucket", F.explode(cells).alias("cell"), "node", "doc_id", "component", "n", "aside", "bits").select("bucket", "cell.*", "node", "doc_id", "component", "n", "aside", "bits")
+        # By number, as bytes say little about a tile's work.
+        dealt = spread.repartition(4 * parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        rest = cut(_apart(possible, part).unionByName(dealt.mapInArrow(_tiled(not likely), ", ".join(f"{c} long" for c in _PAIR))).dropDuplicates(["a", "b"]), "rest")
+        best = rest.groupBy(F.least("component_a", "component_b"), F.greatest("component_a", "component_b")).agg(F.min_by(F.struct("a", "b", "doc_a", "doc_b"), F.struct("gap", "a", "b")).alias("x")).select("x.*")
+        more = cut(best if likely else rest.select("a", "b", "doc_a", "doc_b"), "more")
         if more.limit(1).count():
             links = links.unionByName(_verify(docs, more))
             part = components(links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")))
-        drop_cut(more)
-    drop_cut(found, possible, first, groups, entries, members, rest)  # nothing below reads them
+        open_ = cut(_apart(rest.select("a", "b", "doc_a", "doc_b", "gap"), part).select(F.explode(F.array("component_a", "component_b")).alias("component")).distinct(), "open")
+        drop_cut(groups, entries, members, rest, more)
+        if not open_.limit(1).count():
+            break
+    drop_cut(found, possible, first)  # nothing below reads them
     named = nodes.select("node", "doc_id").join(part.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("node", F.coalesce("component", "doc_id").alias("component"))
     out = rows.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
