@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkloom.functions import text as X
 from inkloom.functions import urls as U
 from inkloom.operators import book_import, frontmatter, graph, markup, matching, outline, rules, splice
-from inkloom.operators.scratch import shared_folder
+from inkloom.operators.scratch import drop_held, held, shared_folder
 from inkloom.plans.catalog import query, table
 from inkloom.sources import files, store
 from inkloom.streaming import ingest
@@ -607,10 +607,12 @@ def import_outlines(spark, sf_dir):
 def import_written(spark, sf_dir):
     """What is written is put over the kept store in two batches, the second one twice, and read back."""
     _, written, _ = book_import.import_books(*_import_inputs(spark, sf_dir))
+    written = held(written, "written")  # each batch reads it
     path, schema = shared_folder(spark, "store"), "store_id long, xml string"
     half = F.col("store_id") % 2
     store.save(written.where(half == 0), path, schema, 1)
     for _ in range(2):
         store.save(written.where(half == 1), path, schema, 2)
+    drop_held(written)
     kept = store.load(spark, path, schema)
     return kept.select(F.regexp_replace("xml", "Inject: 1[0-9]{9}", "Inject: new").alias("xml")).groupBy("xml").agg(F.count("*").alias("n"))

@@ -80,6 +80,17 @@ def test_styles_that_lack_nothing_are_not_joined_again(spark, monkeypatch):
     assert sum(tag == "styles" for tag, _, _ in seen) < 10
 
 
+def test_written_topics_are_made_once(spark, monkeypatch):
+    from inkloom.plans import import_queries
+
+    save, seen = import_queries.store.save, []
+    monkeypatch.setattr(import_queries.store, "save", lambda rows, *more: (seen.append(plan(rows)), save(rows, *more)))
+    got = import_queries.import_written(spark, "/root/testdata/sf0.001")
+    assert len(seen) == 3 and not any("Join" in x or "Aggregate" in x for x in seen)
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    assert got.agg(F.sum("n")).first()[0] == orders.where("o_custkey % 4 <> 0").count()
+
+
 def test_books_are_parsed_once(spark):
     from inkloom.operators import book_import
 
